@@ -74,6 +74,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         files.delete(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op7_url_filter, op9_token_files)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import line_rules as op
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return op.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op7_url_filter, op9_token_files, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
