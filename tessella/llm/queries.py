@@ -62,6 +62,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.judge(pages, op.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import mixing as op
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return op.decide(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import files
     from tessella.llm import token_files as op
@@ -81,6 +88,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op7_url_filter, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
