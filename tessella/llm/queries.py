@@ -55,6 +55,18 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         files.delete(spark, folder)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import chat as op
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)
+    out = op.render(op.fold(op.events_of(rows)))
+    out = out.withColumns({"t": op.turns(F.col("formatted")), "loss": op.masked(F.col("formatted"), F.col("loss_spans"))})
+    joined = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import url_filter as op
 
@@ -88,6 +100,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op5_chat, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
