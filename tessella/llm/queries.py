@@ -67,6 +67,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import near_dedup as op
+
+    return op.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import url_filter as op
 
@@ -100,6 +106,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op5_chat, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op5_chat, op6_near_dedup, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
