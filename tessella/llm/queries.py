@@ -55,6 +55,13 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         files.delete(spark, folder)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import quality_mil as op
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import chat as op
 
@@ -106,6 +113,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op5_chat, op6_near_dedup, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op4_quality, op5_chat, op6_near_dedup, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
