@@ -10,8 +10,8 @@ a file and from file to file.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark import TaskContext
@@ -25,12 +25,33 @@ from tessella.llm import common, files
 LENGTH, ROWS = 2048, 64
 
 
+class _Uncut(Exception):
+    """White space at a cut: the text must be encoded whole."""
+
+
+class _Table(dict):
+    """Ids of words, made when first asked for; emptied when it is full."""
+
+    def __init__(self, make, memory: int):
+        self.make, self.memory = make, memory
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.make(word)
+        if len(self) >= self.memory:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
 class WordCache:
-    """Encodes texts with the tokenizers library, remembering the ids of words (in a bounded table).
+    """Encodes texts with the tokenizers library, remembering the ids of words (in bounded tables).
 
-    For a byte-level BPE whose pre-tokenizer never joins a non-space with a space after it, a
-    text may be cut before each space that stands alone. Texts with two white-space characters
-    in a row, and tokenizers of other kinds, go to the library whole.
+    For a byte-level BPE, no token joins a non-space with white space after it. So a text may be
+    cut before a space or a line end that stands alone between two non-spaces, and what a part
+    encodes to doesn't depend on its neighbours. A part of letters alone is one token run: the
+    library's model encodes it directly. Texts with other white space at a cut, and tokenizers of
+    other kinds, go through the library whole.
     """
 
     def __init__(self, definition: str, memory: int = 500_000):
@@ -44,32 +65,45 @@ class WordCache:
         pre = kind.get("pre_tokenizer") or {}
         self.cuts = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and kind["model"].get("dropout") is None
         self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.memory, self.known = memory, {}
-        self.uncut = re.compile(r"\s\s|^\s|\s$").search
+        self.tokenize = self.tokenizer.model.tokenize if self.cuts else None
+        # byte-level BPE writes bytes as characters: printable ones as they are, others from U+0100 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+        self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.known = _Table(lambda w: self.part(" ", w), memory)  # words after a space
+        self.first = _Table(lambda w: self.part("", w), memory // 4)  # words that start a line
+        self.line_end = self.library(["\n"])[0]
+        self.marks = dict(zip(".,;:!?", self.library([*".,;:!?"]), strict=True))
 
     def library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def part(self, before: str, word: str) -> bytes:
+        if word.isalpha():
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.tokenize((self.letters[32] if before else "") + raw)]).tobytes()
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Uncut
+        if word[-1] in self.marks and word[:-1].isalpha():
+            return (self.known if before else self.first)[word[:-1]] + self.marks[word[-1]]
+        return self.library([before + word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         if not self.cuts:
             return self.library(texts)
-        whole = [i for i, t in enumerate(texts) if self.uncut(t)]
-        out: list[bytes] = [b""] * len(texts)
+        known, first, out, whole = self.known.__getitem__, self.first, [], []
+        for i, text in enumerate(texts):
+            try:
+                lines = []
+                for line in text.split("\n"):
+                    words = line.split(" ")
+                    lines.append(first[words[0]] + b"".join(map(known, words[1:])))
+                out.append(self.line_end.join(lines))
+            except _Uncut:
+                out.append(b"")
+                whole.append(i)
         for i, got in zip(whole, self.library([texts[i] for i in whole]), strict=True):
             out[i] = got
-        rest = sorted(set(range(len(texts))) - set(whole))
-        words = [texts[i].split(" ") for i in rest]
-        known = self.known
-        if len(known) >= self.memory:
-            known.clear()
-        missing = list({w for ws in words for w in ws[1:] if w not in known})
-        known.update(zip(missing, self.library([" " + w for w in missing]), strict=True))
-        firsts = self.library([ws[0] for ws in words])
-        for i, ws, first in zip(rest, words, firsts, strict=True):
-            out[i] = first + b"".join([known[w] for w in ws[1:]])
         return out
 
 
