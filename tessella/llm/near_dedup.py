@@ -86,16 +86,8 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "sa", "sb").mapInArrow(sift, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Of pairs (a, b: digests), those that meet the limit on their full shingle sets.
-
-    Pairs lie by ``a`` (and a salt, where one has very many): its set comes once before those of its
-    partners, so memory holds two sets at a time.
-    """
-    pairs = common.saved(pairs)
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
-    pairs = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(digest, hashes) of the wanted classes, made again from the text of one document each."""
     wanted = classes.join(wanted, "digest", "left_semi").select("digest", F.col("rep").alias("id"))
     texts = docs.select(F.col(key).cast("long").alias("id"), common.text_or_empty(text).alias("text")).join(wanted, "id")
 
@@ -114,7 +106,20 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
                     out.append((digest, raw))
             yield pa.record_batch([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["digest", "hashes"])
 
-    found = common.saved(texts.select("text", "digest").mapInArrow(sets, "digest binary, hashes binary").dropDuplicates(["digest"]))
+    return common.saved(texts.select("text", "digest").mapInArrow(sets, "digest binary, hashes binary").dropDuplicates(["digest"]))
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Of pairs (a, b: digests), those that meet the limit on their full shingle sets.
+
+    Pairs lie by ``a`` (and a salt, where one has very many): its set comes once before those of its
+    partners, so memory holds two sets at a time.
+    """
+    pairs = common.saved(pairs)
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
+    pairs = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
+    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    found = full_sets(wanted, classes, docs, key, text)
     firsts = pairs.select("a", "salt").distinct().join(found, F.col("a") == F.col("digest")).select("a", "salt", F.lit(None).cast("binary").alias("b"), "hashes")
     others = pairs.select("a", "salt", "b").join(found, F.col("b") == F.col("digest")).select("a", "salt", "b", "hashes")
     rows = firsts.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -143,23 +148,28 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
     return rows.mapInArrow(check, "a binary, b binary")
 
 
-def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of different components in buckets that hold several, but for those with the bucket's first class.
+def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (a, b: digests) between components in buckets that hold several, but for those of a bucket's first class.
 
-    ``buckets``: band, digest, first; ``labels``: rep, component. Classes outside a bucket's largest
+    ``buckets``: band, digest, n, first; ``labels``: rep, component. Classes outside a bucket's largest
     component meet all others in blocks: each side's block number is a hash, so a block has about
-    BLOCK classes however many the bucket has.
+    BLOCK classes however many the bucket has. A pair is looked at in the first band that it
+    shares; likely pairs are confirmed there on the full sets, the likeliest first, and pairs whose
+    components a block has already joined are passed over, so what leaves a block is a forest.
     """
     rows = buckets.where("n > 2").join(classes.select("digest", "rep"), "digest").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("band", "digest", "component", "first")
     rows = common.saved(rows)
     held = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = held.groupBy("band").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most")).where("most < n")
-    rows = rows.join(mixed, "band").where("digest <> first").join(classes.select("digest", "n_shingles", "sketch"), "digest")
+    rows = common.saved(rows.join(mixed, "band").where("digest <> first").drop("first"))
+    found = full_sets(rows.select("digest").distinct(), classes, docs, key, text)
+    found = found.join(classes.select("digest", "sketch", "bands"), "digest")
     rows = rows.withColumns({"left": F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)), "right": F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK), F.lit(1)), "h": F.xxhash64("digest", "band")})
-    body = ["band", "digest", "component", "n_shingles", "sketch"]
+    body = ["band", "digest", "component"]
     one = rows.select(*body, F.lit(0).alias("side"), F.pmod("h", "left").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("right") - 1)).alias("j"))
     two = rows.where("component <> main").select(*body, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)).alias("i"), F.pmod("h", "right").alias("j"))
-    met = one.unionByName(two).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    met = one.unionByName(two).join(found, "digest").select("band", "i", "j", "side", "digest", "component", "sketch", "bands", "hashes")
+    met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
@@ -169,31 +179,54 @@ def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
 
         m = MinHash(BANDS * ROWS, SKETCH_BITS)
 
-        def pairs(group: list) -> list:
-            one, two = [x for x in group if not x[4]], [x for x in group if x[4]]
+        def links(band: int, group: list) -> list:
+            one, two = [x for x in group if not x[0]], [x for x in group if x[0]]
             if not one or not two:
                 return []
-            sketch = np.frombuffer(b"".join(x[3] for x in one), dtype=np.uint64).reshape(len(one), -1)
-            comp, n = np.array([x[1] for x in one]), np.array([x[2] for x in one])
+            comp, n = np.array([x[2] for x in one]), np.array([len(x[5]) // 8 for x in one])
+            sketch = np.array([np.frombuffer(x[3], dtype=np.uint64) for x in one])
+            bands = np.array([x[4] for x in one], dtype=np.int64)
+            likely = []
+            for y, (_, _, c, s, own, raw) in enumerate(two):
+                size = len(raw) // 8
+                at = np.flatnonzero((comp != c) & (100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size)))
+                guess = m.estimate(np.bitwise_count(sketch[at] ^ np.frombuffer(s, dtype=np.uint64)).sum(axis=1))
+                at, guess = at[guess >= PERCENT / 100 - SLACK], guess[guess >= PERCENT / 100 - SLACK]
+                if not len(at):
+                    continue
+                own = np.array(own, dtype=np.int64)
+                here = own[(bands[at] == own).argmax(axis=1)] == band
+                likely += [(-g, x, y) for x, g in zip(at[here].tolist(), guess[here].tolist(), strict=True)]
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    x = up
+                return x
+
             out = []
-            for d, c, size, s, _ in two:
-                fits = (comp != c) & (100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size))
-                at = np.flatnonzero(fits)
-                ones = np.bitwise_count(sketch[at] ^ np.frombuffer(s, dtype=np.uint64)).sum(axis=1)
-                out += [(min(d, one[k][0]), max(d, one[k][0])) for k in at[m.estimate(ones) >= PERCENT / 100 - SLACK]]
+            for _, x, y in sorted(likely):
+                cx, cy = root(one[x][2]), root(two[y][2])
+                if cx != cy:
+                    a, b = np.frombuffer(one[x][5], dtype=np.uint64), np.frombuffer(two[y][5], dtype=np.uint64)
+                    at = np.searchsorted(a, b)
+                    at[at == len(a)] = 0
+                    both = int((a[at] == b).sum())
+                    if 100 * both >= PERCENT * (len(a) + len(b) - both):
+                        parent[max(cx, cy)] = min(cx, cy)
+                        out.append((one[x][1], two[y][1]))
             return out
 
-        group, name, done = [], None, []
+        group, name = [], None
         for batch in batches:
-            for band, d, c, size, s, side, i, j in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            done = []
+            for band, i, j, *rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (band, i, j) != name:
-                    done += pairs(group)
+                    done += links(name[0], group) if name else []
                     group, name = [], (band, i, j)
-                group.append((d, c, size, s, side))
-            done = list(dict.fromkeys(done))
+                group.append(rest)
             yield pa.record_batch([pa.array([x[k] for x in done], pa.binary()) for k in (0, 1)], names=["a", "b"])
-            done = []
-        done = pairs(group)
+        done = links(name[0], group) if name else []
         yield pa.record_batch([pa.array([x[k] for x in done], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return met.mapInArrow(compare, "a binary, b binary").distinct()
@@ -221,7 +254,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links = links.unionByName(full.join(several, "id", "left_semi").join(reps, "digest").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     labels = common.saved(connected(links))
     named = labels.select(F.col("node").alias("rep"), "component")
-    more = ends(confirmed(across(buckets, classes, named), classes, docs, key, text))
+    more = ends(across(buckets, classes, named, docs, key, text))
     label = lambda side: named.select(F.col("rep").alias(side), F.col("component").alias(f"c{side}"))
     more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = connected(more).select(F.col("node").alias("component"), F.col("component").alias("merged"))
