@@ -122,12 +122,16 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its copies, with all its columns.
 
-    Rows that agree in key, source and text are told apart by number only.
+    Rows that agree in key, source and text are interchangeable: how many of them get how many
+    copies comes as four counts, and a number within them says which. Numbering and join lie by
+    the same digest, so the texts are shuffled once.
     """
-    digest, size, nth, many, made = (common.free_name(docs, x) for x in ("digest", "size", "nth", "many", "made"))
-    rows = docs.withColumns({digest: F.md5(common.text_or_empty(text)), size: F.regexp_count(common.text_or_empty(text), F.lit(common.WORD)).cast("long")})
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, source, digest).orderBy(F.lit(1))))
-    plan = decide(rows.select(*dict.fromkeys([key, source, text, digest])), key, text, source, (digest,), seed, **options).where("copies > 0")
-    plan = plan.select(F.struct(F.col(key).alias("k"), F.col("source").alias("s"), F.col(digest).alias("d"), F.col("nth").alias("n")).alias(made), F.col("copies").alias(many))
-    same = rows[key].eqNullSafe(plan[made]["k"]) & rows[source].cast("string").eqNullSafe(plan[made]["s"]) & (rows[digest] == plan[made]["d"]) & (rows[nth] == plan[made]["n"])
-    return rows.join(plan, same).withColumn(many, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
+    digest, nth, counts, made = (common.free_name(docs, x) for x in ("digest", "nth", "counts", "made"))
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    rows = docs.withColumn(digest, F.md5(F.concat(marked(key), F.lit("\0"), marked(source), F.lit("\0"), common.text_or_empty(text))))
+    plan = decide(rows.select(*dict.fromkeys([key, source, text, digest])), key, text, source, (digest,), seed, **options)
+    plan = plan.groupBy(F.col(digest).alias(made)).agg(F.array(*[F.count_if(F.col("copies") >= c) for c in range(1, MOST_COPIES + 1)]).alias(counts))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(digest).orderBy(F.lit(1))))
+    rows = rows.join(plan, rows[digest] == plan[made])
+    copies = F.size(F.filter(F.col(counts), lambda c: c >= F.col(nth)))
+    return rows.withColumn(made, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*docs.columns)
