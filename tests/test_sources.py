@@ -77,3 +77,20 @@ def test_follow(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     incremental.follow(stream, "k", "at", f"{tmp_path}/out", f"{tmp_path}/cp", lambda d: d).awaitTermination(60)
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_contracts(spark, tmp_path):
+    from tessella.operators import contracts
+
+    with pytest.raises(PermissionError):
+        contracts.read_split(spark, f"{tmp_path}", "final", "training")
+    path = f"file://{tmp_path}/design"
+    first = contracts.freeze_or_match(spark, {"seed": 1, "note": "a"}, ["seed"], path)
+    assert contracts.freeze_or_match(spark, {"seed": 1, "note": "b"}, ["seed"], path) == first
+    with pytest.raises(FileExistsError):
+        contracts.freeze_or_match(spark, {"seed": 2}, ["seed"], path)
+    contracts.register_evaluation(spark, "r1", f"file://{tmp_path}/run")
+    contracts.register_evaluation(spark, "r1", f"file://{tmp_path}/run")
+    with pytest.raises(PermissionError):
+        contracts.register_evaluation(spark, "r2", f"file://{tmp_path}/run")
+    assert contracts.table_text(spark.createDataFrame([(1, 0.5)], "a int, bb double")) == "a  bb\n1  0.5000"
