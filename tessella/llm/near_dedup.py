@@ -9,8 +9,8 @@ Not all pairs of a bucket are made. First each class is compared with its bucket
 ones. What that links becomes components; then, in buckets that hold several components,
 classes outside the bucket's largest one are compared with all others of other components, in
 blocks of bounded size. Pairs inside a component need no comparison, so no link between
-components is left out. Shingle sets are made again from the texts for confirmation only, so
-they are never stored for all documents.
+components is left out. Shingle sets are made again from the texts, once and only for classes that
+share a bucket, so they are never stored for all documents.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     return common.saved(texts.select("text", "digest").mapInArrow(sets, "digest binary, hashes binary").dropDuplicates(["digest"]))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Of pairs (a, b: digests), those that meet the limit on their full shingle sets.
 
     Pairs lie by ``a`` (and a salt, where one has very many): its set comes once before those of its
@@ -118,8 +118,6 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
     pairs = common.saved(pairs)
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
     pairs = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    found = full_sets(wanted, classes, docs, key, text)
     firsts = pairs.select("a", "salt").distinct().join(found, F.col("a") == F.col("digest")).select("a", "salt", F.lit(None).cast("binary").alias("b"), "hashes")
     others = pairs.select("a", "salt", "b").join(found, F.col("b") == F.col("digest")).select("a", "salt", "b", "hashes")
     rows = firsts.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -148,7 +146,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
     return rows.mapInArrow(check, "a binary, b binary")
 
 
-def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, found: DataFrame) -> DataFrame:
     """Links (a, b: digests) between components in buckets that hold several, but for those of a bucket's first class.
 
     ``buckets``: band, digest, n, first; ``labels``: rep, component. Classes outside a bucket's largest
@@ -162,7 +160,6 @@ def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: Data
     held = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = held.groupBy("band").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most")).where("most < n")
     rows = common.saved(rows.join(mixed, "band").where("digest <> first").drop("first"))
-    found = full_sets(rows.select("digest").distinct(), classes, docs, key, text)
     found = found.join(classes.select("digest", "sketch", "bands"), "digest")
     rows = rows.withColumns({"left": F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)), "right": F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK), F.lit(1)), "h": F.xxhash64("digest", "band")})
     body = ["band", "digest", "component"]
@@ -245,16 +242,17 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spread = classes.select(F.explode("bands").alias("band"), "digest", "rep")
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "digest")).alias("least")).where("n > 1").select("band", "n", F.col("least.digest").alias("first"))
     buckets = common.saved(spread.join(sizes, "band").select("band", "digest", "n", "first"))
+    found = full_sets(buckets.select("digest").distinct(), classes, docs, key, text)
     stars = buckets.where("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b")).distinct()
     reps = classes.select("digest", "rep")
     ends = lambda p: p.join(reps.select(F.col("digest").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("digest").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = common.saved(ends(confirmed(likely(stars, classes), classes, docs, key, text)))
+    links = common.saved(ends(confirmed(likely(stars, classes), found)))
     # a key that comes with several texts joins their classes
     several = full.groupBy("id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("id")
     links = links.unionByName(full.join(several, "id", "left_semi").join(reps, "digest").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     labels = common.saved(connected(links))
     named = labels.select(F.col("node").alias("rep"), "component")
-    more = ends(across(buckets, classes, named, docs, key, text))
+    more = ends(across(buckets, classes, named, found))
     label = lambda side: named.select(F.col("rep").alias(side), F.col("component").alias(f"c{side}"))
     more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = connected(more).select(F.col("node").alias("component"), F.col("component").alias("merged"))
