@@ -42,21 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     Only where neither the session nor its context has one (tests on one machine), a
     local temporary folder is set.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if not conf:
-        conf = getattr(sc, "_tessella_shared", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else getattr(sc, "_tessella_shared", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        sc._tessella_shared = conf
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(conf)
-    return conf.rstrip("/")
+    set_dir = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_tessella_shared", None)
+    if not folder:
+        folder = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessella-")
+        sc._tessella_shared = folder
+    if not set_dir.isDefined():
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path below the shared folder, with the store's scheme, so that workers and Spark mean the same."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+    return f"{whole.toString().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
