@@ -70,10 +70,11 @@ def at_threshold(df: DataFrame, groups: Groups, score: str = "score", target: st
 
 
 def macro_auroc(df: DataFrame, groups: Groups, label: str = "label", mask: str = "mask", least: int = 10, **names) -> DataFrame:
-    """Mean AUROC of the labels with enough unmasked rows of either class, and their number."""
+    """Mean AUROC of the labels with enough unmasked rows of either class, and their number (NULL and 0 where none has)."""
     seen = df.where(F.col(mask))
     support = seen.groupBy(*groups, label).agg(F.count_if(F.col(names.get("target", "target")) == 1).alias("pos"), F.count_if(F.col(names.get("target", "target")) != 1).alias("neg"))
-    each = auroc(seen, [*groups, label], **names).join(support.where((F.col("pos") >= least) & (F.col("neg") >= least)), [*groups, label])
+    each = auroc(seen, [*groups, label], **names).join(support, [*groups, label])
+    each = each.withColumn("auroc", F.when((F.col("pos") >= least) & (F.col("neg") >= least), F.col("auroc")))
     return each.groupBy(*groups).agg(F.avg("auroc").alias("macro_auroc"), F.count("auroc").alias("n_labels"))
 
 
