@@ -87,21 +87,22 @@ def counts(text: Column) -> dict[str, Column]:
 
 
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> DataFrame:
-    """For each distinct document with lines above its host's limit: host_, doc_ (digest of the text), lines_ (their hashes).
+    """For each distinct document with lines above its host's limit: host_, doc_ (digest of the text), lines_ (their hashes), lost_ (their words).
 
     Documents of a host with equal texts count once. A null host is a host of its own. A line is
     above the limit if more than ``least_docs`` documents and more than ``most_share`` of the host's
     documents hold it.
     """
     whole = common.text_or_empty(text)
-    hashes = F.array_distinct(F.transform(lines_of(whole), line_hash))
+    hashes = F.transform(lines_of(whole), lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(common.WORD)).alias("w")))
     each = docs.select(F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")).alias("host_"), F.md5(whole).alias("doc_"), hashes.alias("all_"))
     each = common.saved(each.dropDuplicates(["host_", "doc_"]))
-    spread = each.select("host_", "doc_", F.explode("all_").alias("line_"))
+    spread = each.select("host_", F.explode(F.array_distinct("all_.h")).alias("line_"))
     sizes = each.groupBy("host_").agg(F.count(F.lit(1)).alias("size_"))
     held = spread.groupBy("host_", "line_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > least_docs)
     above = held.join(sizes, "host_").where(F.col("n_") > F.col("size_") * F.lit(most_share)).select("host_", "line_")
-    return spread.join(above, ["host_", "line_"], "left_semi").groupBy("host_", "doc_").agg(F.collect_list("line_").alias("lines_"))
+    lines = each.select("host_", "doc_", F.explode("all_").alias("l")).select("host_", "doc_", F.col("l.h").alias("line_"), F.col("l.w").alias("w_"))
+    return lines.join(above, ["host_", "line_"], "left_semi").groupBy("host_", "doc_").agg(F.collect_set("line_").alias("lines_"), F.sum("w_").alias("lost_"))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", cleaned: str = "cleaned_text", least_kept: float = LEAST_KEPT, **limits) -> DataFrame:
@@ -109,6 +110,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", cleaned: st
 
     A document without words fails the base rules. Rows, repeated ones included, stay as many as
     they are; columns of the names added are replaced, others kept. An empty table gives no rows.
+    Removed words are counted where lines are, so texts take part in a join only if the cleaned text
+    is asked for.
     """
     whole = common.text_or_empty(text)
     made = counts(F.col(text))
@@ -116,13 +119,11 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", cleaned: st
     rows = docs.drop(*[c for c in docs.columns if c.lower() in added and c not in (text, host)])
     found = frequent_lines(docs.select(*dict.fromkeys([text, host])), text, host, **limits)
     key, here = F.md5(whole), F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
-    rows = rows.withColumns(made)
-    rows = rows.join(found, (here == F.col("host_")) & (key == F.col("doc_")), "left").drop("host_", "doc_")
+    rows = rows.withColumns(made | {"key_": key, "here_": here})
+    rows = rows.join(found, (F.col("here_") == F.col("host_")) & (F.col("key_") == F.col("doc_")), "left").drop("host_", "doc_", "here_", "key_")
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    dropped = F.filter(F.split(whole, "\n"), lambda x: F.array_contains(F.col("lines_"), line_hash(x)))
-    lost = F.aggregate(dropped, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(common.WORD)))
     rest = F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains(F.col("lines_"), line_hash(x)))
     some = F.col("lines_").isNotNull()
-    rows = rows.withColumns({"n_kept_words": F.when(some, F.col("n_words") - lost).otherwise(F.col("n_words")), cleaned: F.when(some, F.array_join(rest, "\n")).otherwise(whole)})
+    rows = rows.withColumns({"n_kept_words": F.col("n_words") - F.coalesce("lost_", F.lit(0)), cleaned: F.when(some, F.array_join(rest, "\n")).otherwise(whole)})
     verdict = ~F.col("base_failed") & (F.col("n_kept_words") >= F.col("n_words") * F.lit(least_kept))
-    return rows.withColumn("kept", verdict).drop("lines_")
+    return rows.withColumn("kept", verdict).drop("lines_", "lost_")
