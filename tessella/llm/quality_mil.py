@@ -33,7 +33,7 @@ N_COUNTS = 10
 class Reader:
     """Turns a text into passages: bucket numbers of all words, where passages start, and counts of each."""
 
-    memory: int = 300_000
+    memory: int = 100_000
     known: dict[str, int] = field(default_factory=dict)
     shapes: dict[str, tuple] = field(default_factory=dict)
 

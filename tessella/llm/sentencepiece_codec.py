@@ -36,7 +36,7 @@ class Codec:
     ``memory``: distinct text parts and piece pairs to remember at most; only speed depends on it.
     """
 
-    def __init__(self, model: bytes, memory: int = 700_000):
+    def __init__(self, model: bytes, memory: int = 200_000):
         import ahocorasick
         import sentencepiece
 
