@@ -161,11 +161,18 @@ def youden(df: DataFrame, groups: Groups, steps: int = 19, score: str = "score",
 def pairwise_ranking_accuracy(df: DataFrame, groups: Groups, predicted: str, measured: str, key: str) -> DataFrame:
     """Share of pairs with different measured values that the prediction orders alike; ties of the prediction count as wrong.
 
-    Pairs are counted, not made: within a group, an inversion count over ranks would do for large
-    groups; groups here are designs of a few hundred rows, joined with themselves.
+    Pairs are counted, not made: each row meets the distinct predictions of its group, and a running
+    count by measured value says how many rows with that prediction lie below it. ``key`` is unique in
+    a group; rows without it or without a measured value are in no pair.
     """
-    a = df.select(*groups, F.col(key).alias("ka"), F.col(predicted).alias("pa"), F.col(measured).alias("ma"))
-    b = df.select(*groups, F.col(key).alias("kb"), F.col(predicted).alias("pb"), F.col(measured).alias("mb"))
-    pairs = a.join(b, groups).where("ka < kb and ma <> mb")
-    right = F.signum(F.col("pa") - F.col("pb")) == F.signum(F.col("ma") - F.col("mb"))
-    return pairs.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(right.cast("double")).alias("accuracy"), F.avg(F.log1p(F.exp(-(F.col("pa") - F.col("pb")) * F.signum(F.col("ma") - F.col("mb"))))).alias("logistic_loss"))
+    rows = df.where(F.col(key).isNotNull() & F.col(measured).isNotNull()).groupBy(*groups, F.col(predicted).alias("pa"), F.col(measured).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.join(rows.select(*groups, F.col("pa").alias("pb")).distinct(), groups)
+    own = F.when(F.col("pa").eqNullSafe(F.col("pb")), F.col("n")).otherwise(0)
+    below = Window.partitionBy(*groups, "pb").orderBy("m").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    under = F.sum(own).over(below) - F.sum(own).over(Window.partitionBy(*groups, "pb", "m"))
+    pairs = cells.withColumn("n", F.col("n") * under).groupBy(*groups, "pa", "pb").agg(F.sum("n").alias("n")).where("n > 0")
+    # pa belongs to the greater measured value of the pair
+    right = (F.col("pa") > F.col("pb")).cast("double")
+    loss = F.log1p(F.exp(F.col("pb") - F.col("pa")))
+    mean = lambda x: F.sum(F.col("n") * x) / F.sum(F.when(x.isNotNull(), F.col("n")))
+    return pairs.groupBy(*groups).agg(F.sum("n").alias("n_pairs"), mean(right).alias("accuracy"), mean(loss).alias("logistic_loss"))

@@ -51,8 +51,8 @@ STAND_INS = {
     # design by repeats
     "repeats": "SELECT l_suppkey AS subset_id, l_linenumber AS seed, avg(l_quantity) AS y FROM lineitem GROUP BY l_suppkey, l_linenumber",
     # measured subsets and their members
-    "subsets": "SELECT o_orderkey AS subset_id, o_totalprice / 1000 AS utility FROM orders WHERE o_orderkey < 400",
-    "members": "SELECT DISTINCT l_orderkey AS subset_id, l_partkey % 50 AS image_id FROM lineitem WHERE l_orderkey < 400",
+    "subsets": "SELECT o_orderkey AS subset_id, o_totalprice / 1000 AS utility FROM orders",
+    "members": "SELECT DISTINCT l_orderkey AS subset_id, l_partkey % 50 AS image_id FROM lineitem",
 }
 
 

@@ -140,7 +140,8 @@ def se2(t: Tables):
 
 @register("se3_winsorised", "WITH q AS (SELECT quantile_cont(utility, 0.05) AS lo, quantile_cont(utility, 0.95) AS hi FROM subsets), c AS (SELECT subset_id, greatest(lo, least(hi, utility)) AS clipped FROM subsets, q) SELECT subset_id, round(clipped, 2) AS clipped, round((clipped - (SELECT avg(clipped) FROM c)) / (SELECT stddev_pop(clipped) FROM c), 6) AS standardised FROM c")
 def se3(t: Tables):
-    return rounded(rounded(select.winsorised(t.subsets, "utility").select("subset_id", "clipped", "standardised"), "standardised"), "clipped", places=2)
+    out = rounded(select.winsorised(t.subsets, "utility").select("subset_id", "clipped", "standardised"), "standardised")
+    return out.withColumn("clipped", F.round(F.col("clipped") * 100) / 100)  # the double itself is rounded, not its shortest decimal
 
 
 @register("se4_min_max", "WITH e AS (SELECT min(utility) AS lo, max(utility) AS hi FROM subsets) SELECT subset_id, round((utility - lo) / (hi - lo), 6) AS normalised, false AS degenerate FROM subsets, e UNION ALL SELECT -1, 0.5, true")
