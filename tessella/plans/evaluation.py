@@ -71,7 +71,7 @@ def st11(t: Tables):
     return rounded(metrics.multiclass_suite(t.predictions, ["seed"], 5), "accuracy", "balanced_accuracy", "macro_f1")
 
 
-PROBS = "SELECT o_orderkey AS image_id, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS true_class, CAST((o_orderkey * 31) % 101 AS DOUBLE) / 101 AS p0, CAST((o_orderkey * 17) % 103 AS DOUBLE) / 103 AS p1, CAST((o_orderkey * 7) % 107 AS DOUBLE) / 107 AS p2 FROM orders WHERE o_orderkey < 3000"
+PROBS = "SELECT o_orderkey AS image_id, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS true_class, CAST((o_orderkey * 31) % 101 AS DOUBLE) / 101 AS p0, CAST((o_orderkey * 17) % 103 AS DOUBLE) / 103 AS p1, CAST((o_orderkey * 7) % 107 AS DOUBLE) / 107 AS p2 FROM orders"
 
 
 @register("st12_one_vs_rest", f"WITH x AS ({PROBS}), e AS (SELECT image_id, 0 AS class, p0 AS s, CASE WHEN true_class = 0 THEN 1 ELSE 0 END AS y FROM x UNION ALL SELECT image_id, 1, p1, CASE WHEN true_class = 1 THEN 1 ELSE 0 END FROM x UNION ALL SELECT image_id, 2, p2, CASE WHEN true_class = 2 THEN 1 ELSE 0 END FROM x), r AS (SELECT class, y, rank() OVER (PARTITION BY class ORDER BY s) + (count(*) OVER (PARTITION BY class, s) - 1) / 2.0 AS r, sum(y) OVER (PARTITION BY class ORDER BY s DESC, image_id ROWS UNBOUNDED PRECEDING) / row_number() OVER (PARTITION BY class ORDER BY s DESC, image_id) AS p FROM e) SELECT class, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auroc, round(sum(CASE WHEN y = 1 THEN p ELSE 0 END) / sum(y), 6) AS average_precision FROM r GROUP BY class")
@@ -205,7 +205,7 @@ def ag29(t: Tables):
     return rounded(valuation.pooled_features(t.members, features, ["f"]), "f_mean", "f_std")
 
 
-MEASURED = "SELECT l_orderkey % 60 AS context_id, l_linenumber AS position, l_linenumber / 10 AS threshold, CAST((l_orderkey * 7 + l_linenumber * 3) % 5 AS DOUBLE) AS utility, (l_orderkey * 11 + l_linenumber) % 40 AS selected, 40 AS pool_size FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 60) d"
+MEASURED = "SELECT l_orderkey AS context_id, l_linenumber AS position, l_linenumber / 10 AS threshold, CAST((l_orderkey * 7 + l_linenumber * 3) % 5 AS DOUBLE) AS utility, (l_orderkey * 11 + l_linenumber) % 40 AS selected, 40 AS pool_size FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) d"
 
 
 @register("ag22_best_measured", f"WITH m AS ({MEASURED}) SELECT context_id, threshold, utility FROM (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY utility DESC, position) AS r FROM m) WHERE r = 1")
@@ -394,7 +394,7 @@ def im15(t: Tables):
     return rounded(signals.tie_report(t.pool, "score", ["dx"]), "unique_fraction", "zero_share")
 
 
-RAWP = "SELECT l_orderkey AS image_id, l_linenumber AS pass, k AS class, CAST((l_partkey * (k + 3) + l_suppkey * k) % 17 + 1 AS DOUBLE) AS w FROM lineitem CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) c WHERE l_orderkey < 2000"
+RAWP = "SELECT l_orderkey AS image_id, l_linenumber AS pass, k AS class, CAST((l_partkey * (k + 3) + l_suppkey * k) % 17 + 1 AS DOUBLE) AS w FROM lineitem CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) c"
 
 
 def passes(t: Tables):
@@ -413,7 +413,7 @@ def im17(t: Tables):
     return rounded(signals.uncertainty_multi(passes(t), "image_id", 0.05, 0.151), "mean_std", "max_std", "entropy")
 
 
-@register("im18_agreement", f"WITH x AS ({PROBS.replace('WHERE o_orderkey < 3000', 'WHERE o_orderkey < 3000 AND CAST(substr(o_orderpriority, 1, 1) AS INT) <= 3')}), y AS (SELECT *, CASE true_class WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS own, CASE true_class WHEN 0 THEN greatest(p1, p2) WHEN 1 THEN greatest(p0, p2) ELSE greatest(p0, p1) END AS rival FROM x) SELECT image_id, round(own - 0.5 * CASE WHEN rival >= 0.6 THEN rival ELSE 0 END, 6) AS score, round(own - rival, 6) AS margin, rival >= 0.6 AS penalised, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END = true_class AS is_match FROM y")
+@register("im18_agreement", f"WITH x AS ({PROBS} WHERE CAST(substr(o_orderpriority, 1, 1) AS INT) <= 3), y AS (SELECT *, CASE true_class WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS own, CASE true_class WHEN 0 THEN greatest(p1, p2) WHEN 1 THEN greatest(p0, p2) ELSE greatest(p0, p1) END AS rival FROM x) SELECT image_id, round(own - 0.5 * CASE WHEN rival >= 0.6 THEN rival ELSE 0 END, 6) AS score, round(own - rival, 6) AS margin, rival >= 0.6 AS penalised, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END = true_class AS is_match FROM y")
 def im18(t: Tables):
     rows = t.sql(PROBS).where("true_class <= 2").withColumn("p", F.array("p0", "p1", "p2"))
     return rounded(signals.agreement(rows, "p", "true_class", 0.6, 0.5).select("image_id", "score", "margin", "penalised", "is_match"), "score", "margin")

@@ -71,3 +71,36 @@ def test_pairs_are_counted_as_if_made(spark):
     assert [r.g for r in got] == [1] and got[0].n_pairs == len(pairs)
     assert got[0].accuracy == pytest.approx(sum(d * s > 0 for d, s in known) / len(known))
     assert got[0].logistic_loss == pytest.approx(sum(math.log1p(math.exp(-d * s)) for d, s in known) / len(known))
+
+
+LINES = "(select distinct l_orderkey, l_linenumber from lineitem)"
+CUT = {
+    "st12_one_vs_rest": "select 3",
+    "st25_prediction_table": "select count(*) from orders",
+    "im18_agreement": "select count(*) from orders where o_orderpriority < '4'",
+    "im19_agreement_multi": "select count(*) from orders",
+    "im16_uncertainty": "select count(distinct l_orderkey) from lineitem",
+    "im17_uncertainty_multi": "select count(distinct l_orderkey) from lineitem",
+    "ag21_verified_counts": "select count(distinct l_linenumber) from lineitem",
+    "ag22_best_measured": "select count(distinct l_orderkey) from lineitem",
+    "ag23_least_ranked": "select count(distinct l_orderkey) from lineitem",
+    "ag24_median_threshold": "select count(distinct l_linenumber) from lineitem",
+    "ag25_mean_threshold": "select 1",
+    "ag26_threshold_stability": "select 1",
+    "wn13_rank_in_context": f"select count(*) from {LINES}",
+    "st28_threshold_regret": f"select count(*) from {LINES} where l_linenumber = 1",
+}
+
+
+@pytest.mark.parametrize("name", CUT)
+def test_measured_and_predicted_rows_are_all_rows(spark, far, name):
+    got = whole(spark, far, name, CUT[name])
+    assert all(v is not None for r in got for v in r.values())
+    if name == "ag21_verified_counts":
+        assert sum(r["train"] + r["held_out"] for r in got) == far[1].execute(f"select count(*) from {LINES}").fetchone()[0]
+
+
+def test_every_context_has_candidates_to_verify(spark, far):
+    n = far[1].execute("select count(distinct l_orderkey) from lineitem").fetchone()[0]
+    got = whole(spark, far, "se23_diversified", f"with m as (select l_orderkey as c, l_linenumber as p, (l_orderkey * 7 + l_linenumber * 3) % 5 as u, abs((l_orderkey * 11 + l_linenumber) % 40 - 20) as d from {LINES}), r as (select *, row_number() over (partition by c order by u desc, p) - 1 as k, count(*) over (partition by c) as n, row_number() over (partition by c order by d, p) as h, min(p) over (partition by c) as lo, max(p) over (partition by c) as hi from m) select count(*) from r where k < 3 or k % greatest(1, (n - 1) // 4) = 0 or p in (lo, hi) or h = 1")
+    assert len({r["context_id"] for r in got}) == n
