@@ -114,17 +114,16 @@ def se27(t: Tables):
     return rounded(metrics.youden(seen(t), ["label"]), "threshold", "j")
 
 
-@register("st15_holm", "WITH p AS (SELECT c_mktsegment AS family, c_custkey AS name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE (c_custkey % 97) / 1000.0::DOUBLE END AS p FROM customer WHERE c_custkey < 200), r AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, p * (count(p) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p ASC NULLS LAST, name) + 1)) END AS raw FROM p), a AS (SELECT *, CASE WHEN p IS NOT NULL THEN max(raw) OVER (PARTITION BY family ORDER BY p ASC NULLS LAST, name ROWS UNBOUNDED PRECEDING) END AS adjusted FROM r) SELECT family, name, round(adjusted, 6) AS adjusted, coalesce(adjusted <= 0.05, false) AS rejected, CASE WHEN p IS NULL THEN 'undefined_p' END AS note FROM a")
+@register("st15_holm", "WITH p AS (SELECT c_mktsegment AS family, c_custkey AS name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE (c_custkey % 97) / 1000.0::DOUBLE END AS p FROM customer), r AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, p * (count(p) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p ASC NULLS LAST, name) + 1)) END AS raw FROM p), a AS (SELECT *, CASE WHEN p IS NOT NULL THEN max(raw) OVER (PARTITION BY family ORDER BY p ASC NULLS LAST, name ROWS UNBOUNDED PRECEDING) END AS adjusted FROM r) SELECT family, name, round(adjusted, 6) AS adjusted, coalesce(adjusted <= 0.05, false) AS rejected, CASE WHEN p IS NULL THEN 'undefined_p' END AS note FROM a")
 def st15(t: Tables):
     return rounded(inference.holm(p_values(t), ["family"]).select("family", "name", "adjusted", "rejected", "note"), "adjusted")
 
 
 def p_values(t: Tables):
-    c = t.customer.where("c_custkey < 200")
-    return c.select(F.col("c_mktsegment").alias("family"), F.col("c_custkey").alias("name"), F.when(F.col("c_custkey") % 10 != 0, (F.col("c_custkey") % 97) / 1000.0).alias("p"))
+    return t.customer.select(F.col("c_mktsegment").alias("family"), F.col("c_custkey").alias("name"), F.when(F.col("c_custkey") % 10 != 0, (F.col("c_custkey") % 97) / 1000.0).alias("p"))
 
 
-@register("st16_benjamini_hochberg", "WITH p AS (SELECT c_mktsegment AS family, c_custkey AS name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE (c_custkey % 97) / 1000.0::DOUBLE END AS p FROM customer WHERE c_custkey < 200), r AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, p * count(p) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p ASC NULLS LAST, name)) END AS raw FROM p), a AS (SELECT *, CASE WHEN p IS NOT NULL THEN min(raw) OVER (PARTITION BY family ORDER BY p ASC NULLS LAST, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS adjusted FROM r) SELECT family, name, round(adjusted, 6) AS adjusted, coalesce(adjusted <= 0.05, false) AS rejected FROM a")
+@register("st16_benjamini_hochberg", "WITH p AS (SELECT c_mktsegment AS family, c_custkey AS name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE (c_custkey % 97) / 1000.0::DOUBLE END AS p FROM customer), r AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, p * count(p) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p ASC NULLS LAST, name)) END AS raw FROM p), a AS (SELECT *, CASE WHEN p IS NOT NULL THEN min(raw) OVER (PARTITION BY family ORDER BY p ASC NULLS LAST, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS adjusted FROM r) SELECT family, name, round(adjusted, 6) AS adjusted, coalesce(adjusted <= 0.05, false) AS rejected FROM a")
 def st16(t: Tables):
     return rounded(inference.benjamini_hochberg(p_values(t), ["family"]).select("family", "name", "adjusted", "rejected"), "adjusted")
 

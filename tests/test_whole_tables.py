@@ -104,3 +104,29 @@ def test_every_context_has_candidates_to_verify(spark, far):
     n = far[1].execute("select count(distinct l_orderkey) from lineitem").fetchone()[0]
     got = whole(spark, far, "se23_diversified", f"with m as (select l_orderkey as c, l_linenumber as p, (l_orderkey * 7 + l_linenumber * 3) % 5 as u, abs((l_orderkey * 11 + l_linenumber) % 40 - 20) as d from {LINES}), r as (select *, row_number() over (partition by c order by u desc, p) - 1 as k, count(*) over (partition by c) as n, row_number() over (partition by c order by d, p) as h, min(p) over (partition by c) as lo, max(p) over (partition by c) as hi from m) select count(*) from r where k < 3 or k % greatest(1, (n - 1) // 4) = 0 or p in (lo, hi) or h = 1")
     assert len({r["context_id"] for r in got}) == n
+
+
+FAMILIES = {"st15_holm": "select count(*) from customer", "st16_benjamini_hochberg": "select count(*) from customer", "pf9_one_hot": "select 5 * count(*) from orders", "so7_subset_distinctness": "select count(distinct l_orderkey) from lineitem"}
+
+
+@pytest.mark.parametrize("name", FAMILIES)
+def test_families_and_labels_are_whole(spark, far, name):
+    got = whole(spark, far, name, FAMILIES[name])
+    if name == "pf9_one_hot":
+        assert sum(r["hot"] for r in got) * 5 == len(got)
+    if name == "so7_subset_distinctness":
+        assert sum(r["declared"] for r in got) == far[1].execute("select count(*) from lineitem").fetchone()[0]
+    if name not in ("st15_holm", "st16_benjamini_hochberg"):
+        return
+    # plain recomputation, with the size of the whole family
+    families = {}
+    for family, key in far[1].execute("select c_mktsegment, c_custkey from customer where c_custkey % 10 <> 0").fetchall():
+        families.setdefault(family, []).append((key % 97 / 1000, key))
+    want = {}
+    for ps in families.values():
+        ps.sort()
+        m, best = len(ps), 0.0 if name == "st15_holm" else 1.0
+        for i, (p, key) in enumerate(ps) if name == "st15_holm" else reversed(list(enumerate(ps))):
+            best = max(best, min(1.0, p * (m - i))) if name == "st15_holm" else min(best, p * m / (i + 1))
+            want[key] = best
+    assert {r["name"]: r["adjusted"] for r in got if r["adjusted"] is not None} == pytest.approx(want, abs=1e-6)
