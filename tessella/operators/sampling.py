@@ -145,10 +145,66 @@ def greedy_multilabel(vectors: list[tuple], shares: dict[str, float], n_labels:
     return out
 
 
-def rarity_first(vectors: list[tuple], quota: int, n_labels: int, total: int) -> list:
-    """Whole groups, rarest label first until each label has its quota, then the rest in order up to ``total`` (driver)."""
+def greedy_counts(counts: dict[tuple, int], shares: dict[str, float]) -> dict[tuple, int]:
+    """``greedy_multilabel`` over distinct vectors and how many groups have each; returns (vector, split) to the number of groups.
+
+    Groups with equal vectors are alike to the heuristic; of vectors of a size the lower one goes first.
+    """
+    names, left, out = list(shares), dict(sorted(counts.items())), {}
+    n_labels = len(next(iter(left), ()))
+    totals = [sum(n * v[k] for v, n in left.items()) for k in range(n_labels)]
+    need = {s: [shares[s] * x for x in totals] for s in names}
+    room = {s: shares[s] * sum(left.values()) for s in names}
+    while left:
+        some = [k for k in range(n_labels) if totals[k]]
+        k = min(some, key=lambda k: (totals[k], k)) if some else None
+        v = min((x for x in left if k is None or x[k]), key=lambda x: (-sum(x), x))
+        s = max(names, key=lambda s: (need[s][k] if k is not None else 0, room[s], -names.index(s)))
+        out[v, s] = out.get((v, s), 0) + 1
+        room[s] -= 1
+        need[s] = [a - b for a, b in zip(need[s], v, strict=True)]
+        totals = [a - b for a, b in zip(totals, v, strict=True)]
+        left[v] -= 1
+        if not left[v]:
+            del left[v]
+    return out
+
+
+def multilabel_groups(groups: DataFrame, kinds: list[str], shares: dict[str, float] = SPLITS, key: str = "group_id", seed: object = 0) -> DataFrame:
+    """A split for each group by ``greedy_counts``: distinct vectors come to the driver, groups of a vector are dealt in hash order."""
+    plan, begin = [], {}
+    for (v, s), n in greedy_counts({tuple(r[:-1]): r[-1] for r in groups.groupBy(*kinds).agg(F.count(F.lit(1))).collect()}, shares).items():
+        plan.append((*v, s, begin.get(v, 0), begin.get(v, 0) + n))
+        begin[v] = begin.get(v, 0) + n
+    plan = groups.sparkSession.createDataFrame(plan, ", ".join(f"{k} int" for k in kinds) + ", split string, begin long, end long")
+    # ranks in hash order: within the hash's first two digits, after what lies before these, so that a frequent vector isn't one task's
+    rows = groups.withColumns({"h_": seeded(seed, key), "d_": F.substring(seeded(seed, key), 1, 2)})
+    sums = rows.groupBy(*kinds, "d_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*kinds).orderBy("d_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(sums.select(*kinds, "d_", before.alias("o_"))), [*kinds, "d_"])
+    rows = rows.withColumn("r_", F.col("o_") + F.row_number().over(Window.partitionBy(*kinds, "d_").orderBy("h_", key)) - 1)
+    # a row for each vector and split
+    return rows.join(F.broadcast(plan), kinds).where((F.col("r_") >= F.col("begin")) & (F.col("r_") < F.col("end"))).select(key, "split")
+
+
+def first_of_vectors(groups: DataFrame, kinds: list[str], n: int, key: str = "group_id") -> tuple[list[tuple], list[int]]:
+    """The first n groups of each vector and the labels' totals over all groups.
+
+    For a heuristic that picks n groups at most, and of equal vectors the first, the others never matter.
+    """
+    rows = groups.withColumn("r_", F.row_number().over(Window.partitionBy(*kinds).orderBy(key))).where(F.col("r_") <= n)
+    totals = groups.agg(*[F.coalesce(F.sum(k), F.lit(0)) for k in kinds]).first()
+    return [(r[0], tuple(r[1:])) for r in rows.select(key, *kinds).collect()], list(totals)
+
+
+def rarity_first(vectors: list[tuple], quota: int, n_labels: int, total: int, totals: list[int] | None = None) -> list:
+    """Whole groups, rarest label first until each label has its quota, then the rest in order up to ``total`` (driver).
+
+    ``totals`` are the labels' totals if ``vectors`` are only the first ``total`` groups of each vector.
+    """
     got, out = [0] * n_labels, []
-    order = sorted(range(n_labels), key=lambda k: (sum(v[k] for _, v in vectors), k))
+    totals = totals or [sum(v[k] for _, v in vectors) for k in range(n_labels)]
+    order = sorted(range(n_labels), key=lambda k: (totals[k], k))
     for k in order:
         for group, v in sorted(vectors):
             if got[k] >= quota or len(out) >= total:

@@ -369,24 +369,29 @@ def sc7(t: Tables):
     return missing_cells(t.predictions, {"seed": [1, 2, 3], "condition": ["A", "B", "C", "D"]})
 
 
-def vector_rows(t: Tables) -> list[tuple]:
-    """Label vectors of customers, aggregated in Spark; one row a group comes to the driver."""
-    kinds = labels.CLASSES
-    rows = t.orders.groupBy("o_custkey").agg(*[F.max((F.col("o_orderpriority") == k).cast("int")).alias(f"k{i}") for i, k in enumerate(kinds)])
-    return [(r[0], tuple(r[1:])) for r in rows.where("o_custkey < 300").collect()]
+def vectors_of(t: Tables):
+    """Label vectors of all customers with orders."""
+    kinds = enumerate(labels.CLASSES)
+    return t.orders.where("o_custkey is not null").groupBy(F.col("o_custkey").alias("group_id")).agg(*[F.max((F.coalesce("o_orderpriority", F.lit("")) == k).cast("int")).alias(f"k{i}") for i, k in kinds])
+
+
+KINDS = [f"k{i}" for i in range(len(labels.CLASSES))]
 
 
 @register("sp4_multilabel_allocation")
 def sp4(t: Tables):
-    return t.spark.createDataFrame(sorted(sampling.greedy_multilabel(vector_rows(t), sampling.SPLITS, 5).items()), "group_id long, split string")
+    return sampling.multilabel_groups(vectors_of(t), KINDS)
 
 
 @register("sm11_rarity_first")
 def sm11(t: Tables):
-    return t.spark.createDataFrame([(g,) for g in sampling.rarity_first(vector_rows(t), 30, 5, 80)], "group_id long")
+    rows, totals = sampling.first_of_vectors(vectors_of(t), KINDS, 80)
+    return t.spark.createDataFrame([(g,) for g in sampling.rarity_first(rows, 30, 5, 80, totals)], "group_id long")
 
 
 @register("sm12_matched_draw")
 def sm12(t: Tables):
-    got, residual = sampling.matched_draw(vector_rows(t)[:120], [20, 20, 20, 20, 20], 30, 5)
+    size, swaps = 30, 5
+    rows, _ = sampling.first_of_vectors(vectors_of(t), KINDS, size + swaps)
+    got, residual = sampling.matched_draw(rows, [20, 20, 20, 20, 20], size, swaps)
     return t.spark.createDataFrame([(g, residual) for g in sorted(got)], "group_id long, residual int")

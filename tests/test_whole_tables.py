@@ -1,13 +1,15 @@
 """Queries read whole tables: tables whose ids all lie far above the former id limits give every row its result."""
 
+import hashlib
 import itertools
 import math
+from collections import Counter
 
 import duckdb
 import pytest
 from test_oracles import DATA, rows
 
-from tessella.operators import metrics
+from tessella.operators import labels, metrics, sampling
 from tessella.plans import ORACLES, QUERIES
 from tessella.plans.registry import TABLES
 
@@ -130,3 +132,38 @@ def test_families_and_labels_are_whole(spark, far, name):
             best = max(best, min(1.0, p * (m - i))) if name == "st15_holm" else min(best, p * m / (i + 1))
             want[key] = best
     assert {r["name"]: r["adjusted"] for r in got if r["adjusted"] is not None} == pytest.approx(want, abs=1e-6)
+
+
+def test_all_groups_take_part_in_the_heuristics(spark, far):
+    folder, duck = far
+    kinds = ", ".join(f"max((o_orderpriority = '{k}')::int)" for k in labels.CLASSES)
+    groups = [(r[0], r[1:]) for r in duck.execute(f"select o_custkey, {kinds} from orders group by 1").fetchall()]
+    # the plain heuristic over all groups, numbered by vector, which is its tie rule
+    plain = sampling.greedy_multilabel([(i, v) for i, v in enumerate(sorted(v for _, v in groups))], sampling.SPLITS, 5)
+    vectors = sorted(v for _, v in groups)
+    got = {r.group_id: r.split for r in QUERIES["sp4_multilabel_allocation"](spark, folder).collect()}
+    assert got.keys() == {g for g, _ in groups}
+    assert Counter((v, got[g]) for g, v in groups) == Counter((vectors[i], s) for i, s in plain.items())
+    assert sorted(r.group_id for r in QUERIES["sm11_rarity_first"](spark, folder).collect()) == sorted(sampling.rarity_first(groups, 30, 5, 80))
+    want, residual = sampling.matched_draw(groups, [20] * 5, 30, 5)
+    assert [tuple(r) for r in QUERIES["sm12_matched_draw"](spark, folder).collect()] == [(g, residual) for g in sorted(want)]
+
+
+def test_late_groups_are_candidates(spark):
+    """Groups with the rare label come last by id, behind more groups than are drawn."""
+    data = [(g, 1, 0) for g in range(400)] + [(1000 + g, 0, 1) for g in range(3)]
+    rows, totals = sampling.first_of_vectors(spark.createDataFrame(data, "group_id long, a int, b int"), ["a", "b"], 20)
+    whole = [(g, (a, b)) for g, a, b in data]
+    assert totals == [400, 3] and len(rows) == 23
+    assert sampling.rarity_first(rows, 5, 2, 20, totals) == sampling.rarity_first(whole, 5, 2, 20)
+    assert sampling.matched_draw(rows, [5, 2], 7, 13) == sampling.matched_draw(whole, [5, 2], 7, 13)
+
+
+def test_groups_of_a_vector_are_dealt_in_hash_order(spark):
+    data = [(g, int(g % 50 == 0), 1) for g in range(3000)]
+    got = {r.group_id: r.split for r in sampling.multilabel_groups(spark.createDataFrame(data, "group_id long, a int, b int"), ["a", "b"], seed=4).collect()}
+    plan = sampling.greedy_counts(Counter((a, b) for _, a, b in data), sampling.SPLITS)
+    for v in {x[1:] for x in data}:
+        ids = sorted((g for g, *w in data if tuple(w) == v), key=lambda g: hashlib.sha256(f"4:{g}".encode()).hexdigest())
+        assert [got[g] for g in ids] == [s for (w, s), n in plan.items() if w == v for _ in range(n)]
+    assert len(got) == 3000
