@@ -233,10 +233,9 @@ def st28(t: Tables):
     return rounded(valuation.regret(m, m.where("position = 1").select("context_id", "threshold")), "threshold_error")
 
 
-@register("ag24_median_threshold", f"WITH m AS ({MEASURED}) SELECT position, round(quantile_cont(threshold * utility, 0.5), 6) AS median FROM m WHERE context_id % 2 = 0 GROUP BY position")
+@register("ag24_median_threshold", f"WITH m AS ({MEASURED}) SELECT position, round(quantile_cont(threshold * utility, 0.5), 6) AS median FROM m GROUP BY position")
 def ag24(t: Tables):
-    m = t.sql(MEASURED).where("context_id % 2 = 0")
-    return rounded(m.groupBy("position").agg(F.percentile(F.col("threshold") * F.col("utility"), F.lit(0.5)).alias("median")), "median")
+    return rounded(t.sql(MEASURED).groupBy("position").agg(F.percentile(F.col("threshold") * F.col("utility"), F.lit(0.5)).alias("median")), "median")
 
 
 @register("ag25_mean_threshold", f"WITH m AS ({MEASURED}) SELECT round(avg(coalesce(CASE WHEN utility > 1 THEN threshold END, 0.5)), 6) AS mean_threshold FROM m")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import statistics
 from collections import Counter
 
 import duckdb
@@ -167,3 +168,18 @@ def test_groups_of_a_vector_are_dealt_in_hash_order(spark):
         ids = sorted((g for g, *w in data if tuple(w) == v), key=lambda g: hashlib.sha256(f"4:{g}".encode()).hexdigest())
         assert [got[g] for g in ids] == [s for (w, s), n in plan.items() if w == v for _ in range(n)]
     assert len(got) == 3000
+
+
+def test_outer_merge_takes_whole_tables(spark, far):
+    got = whole(spark, far, "jn2_outer_merge", "select count(*) from orders")
+    assert sum(r["b"] is not None for r in got) == far[1].execute("select count(*) from orders where o_orderkey % 19 <> 0").fetchone()[0]
+    a, b = spark.createDataFrame([(1, 10), (2, 20)], "k int, a int"), spark.createDataFrame([(2, 200), (3, 300)], "k int, b int")
+    assert sorted(tuple(r) for r in labels.merge_all([a, b], "k", "full").collect()) == [(1, 10, None), (2, 20, 200), (3, None, 300)]
+
+
+def test_median_takes_odd_contexts_too(spark, far):
+    got = whole(spark, far, "ag24_median_threshold", "select count(distinct l_linenumber) from lineitem")
+    values = {}
+    for k, n in far[1].execute("select distinct l_orderkey, l_linenumber from lineitem").fetchall():
+        values.setdefault(n, []).append(n / 10 * ((k * 7 + n * 3) % 5))
+    assert {r["position"]: r["median"] for r in got} == pytest.approx({n: statistics.median(v) for n, v in values.items()}, abs=1e-6)
