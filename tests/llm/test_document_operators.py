@@ -303,3 +303,74 @@ def test_pipeline(spark):
     kept = near_dedup.link(docs.join(spark.createDataFrame([(r.doc_id,) for r in out], "doc_id long").distinct(), "doc_id", "left_semi"))
     assert all(r.kept for r in kept.collect())
     assert hashlib.sha256(b"").hexdigest() not in {r.decoded_sha256 for r in out}
+
+
+def test_pipeline_is_its_stages_recomputed(spark, tmp_path, monkeypatch):
+    """All five stages in plain Python, with the classifier's scores and the mix's draws given."""
+    import corpus_pipeline
+    import sentencepiece
+    from tessella.llm.queries import vocabulary
+
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    fresh = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    line = "this very line stands in most documents of the first host"
+    texts = [f"{line}\n{fresh(rng.randint(25, 60))}" for _ in range(60)] + [f"{line}\n{fresh(4)}" for _ in range(8)] + [fresh(rng.randint(25, 60)) for _ in range(60)]
+    texts += [fresh(5), "", None, "same " * 40] + [t + " tail" for t in texts[:6]] + [texts[70], texts[70]]
+    rows = [(i, t, "en", "one" if t and line in t else "two", 0 if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    predicted = lambda d: (F.col("doc_id") % 7 != 3).cast("int")
+    monkeypatch.setattr(quality_mil, "classify", lambda docs, labels: docs.withColumn("predicted", predicted(docs)))
+    drawn = {}
+
+    def mixed(docs):
+        drawn["docs"] = sorted((r.doc_id, r.text, r.source) for r in docs.collect())
+        out = mix(docs)
+        drawn["copies"] = collections.Counter(r.doc_id for r in out.collect())
+        return out
+
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", mixed)
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+
+    docs = [(i, t or "", s) for i, t, _, s, _ in rows if i % 7 != 3]
+    holders, hosts = collections.defaultdict(set), collections.defaultdict(set)
+    for _, t, s in docs:
+        hosts[s].add(t)
+        for x in t.split("\n"):
+            if WORD.search(x):
+                holders[s, " ".join(x.lower().split())].add(t)
+    above = {k for k, v in holders.items() if len(v) > 20 and len(v) > 0.2 * len(hosts[k[0]])}
+    assert above == {("one", line)}
+    kept = []
+    for i, t, s in docs:
+        rest = "\n".join(x for x in t.split("\n") if (s, " ".join(x.lower().split())) not in above)
+        n, _, _, _, repeated = base_counts(t)
+        if n >= 20 and 100 * repeated <= 30 * n and len(WORD.findall(rest)) >= 0.3 * n:
+            kept.append((i, rest, s))
+    first = brute_components([(i, t) for i, t, _ in kept])
+    kept = [x for x in kept if first[x[0]][1] == x[0]]
+    assert len(docs) > len(kept) > 80 and drawn["docs"] == sorted(kept)
+
+    size = collections.Counter()
+    for _, t, s in kept:
+        size[s] += len(WORD.findall(t))
+    target, total = {}, sum(size.values())
+    for s, w in (("one", 1), ("two", 2)):
+        target[s] = total * w / 3
+    assert all(target[s] <= 3 * size[s] for s in size)
+    words = collections.Counter()
+    for i, t, s in kept:
+        rate = target[s] / size[s]
+        assert int(rate) <= drawn["copies"][i] <= int(rate) + 1
+        words[s] += drawn["copies"][i] * len(WORD.findall(t))
+    assert all(abs(words[s] - target[s]) <= 61 for s in size)
+
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    want = []
+    for i, t, s in kept:
+        ids = library.encode(t)
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want += [(i, s, len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids)))] * drawn["copies"][i]
+    assert collections.Counter(got) == collections.Counter(want)
