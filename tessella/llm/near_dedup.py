@@ -9,8 +9,12 @@ Not all pairs of a bucket are made. First each class is compared with its bucket
 ones. What that links becomes components; then, in buckets that hold several components,
 classes outside the bucket's largest one are compared with all others of other components, in
 blocks of bounded size. Pairs inside a component need no comparison, so no link between
-components is left out. Shingle sets are made again from the texts, once and only for classes that
-share a bucket, so they are never stored for all documents.
+components is left out.
+
+What is shuffled is small: bands meet as two numbers (band, class), and shingle sets are made
+again from the texts, only for classes that are compared, so neither texts nor the sets of
+all documents are ever moved. Which documents those are is told by a Bloom filter of fixed size;
+beyond what it can tell apart, more sets than needed are made, and dropped.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm import common
+from tessella.llm import common, files
 from tessella.llm.components import connected
 
 SHINGLE, PERCENT = 5, 75
@@ -31,6 +35,8 @@ SKETCH_BITS = 1024
 SLACK = 0.13
 #: Classes of a bucket to a block on either side of a comparison, on average.
 BLOCK = 1024
+#: Bits of the Bloom filter of wanted documents (8 MB) and hashes of each.
+BLOOM_BITS, BLOOM_HASHES = 1 << 26, 3
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,10 +70,12 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b: digests) whose sizes and sketches allow the limit."""
-    of = classes.select("digest", "n_shingles", "sketch")
-    rows = pairs.join(of.select(F.col("digest").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
-    rows = rows.join(of.select(F.col("digest").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
+    """Pairs (a, b: classes) whose sizes and sketches allow the limit."""
+    of = classes.select("c", "n_shingles", "sketch")
+    a, b = (of.select(F.col("c").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    pairs = common.saved(pairs)
+    hot = common.hot_keys(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), ["a"])
+    rows = common.even_join(pairs, a, ["a"], hot).join(b, "b")
     rows = rows.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
 
     def sift(batches: Iterator) -> Iterator:
@@ -83,43 +91,65 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep = m.estimate(np.bitwise_count(sa ^ sb).sum(axis=1)) >= PERCENT / 100 - SLACK
                 yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(sift, "a binary, b binary")
+    return rows.select("a", "b", "sa", "sb").mapInArrow(sift, "a long, b long")
+
+
+def places(key: str) -> list:
+    """Where a key's bits lie in the Bloom filter."""
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(BLOOM_BITS)).alias(f"place{k}") for k in range(BLOOM_HASHES)]
+
+
+def bloom(keys: DataFrame, key: str):
+    """The Bloom filter of the keys as bytes: BLOOM_BITS bits, made where the keys are."""
+    import numpy as np
+
+    out, size = np.zeros(BLOOM_BITS // 8, dtype=np.uint8), 1 << 15  # bits to a row
+    at = keys.select(F.explode(F.array(*places(key))).alias("at"))
+    made = at.groupBy((F.col("at") / size).cast("long").alias("k")).agg(F.bitmap_construct_agg(F.col("at") % size).alias("bits"))
+    for r in made.collect():
+        out[r.k * size // 8 : r.k * size // 8 + len(r.bits)] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
 
 
 def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(digest, hashes) of the wanted classes, made again from the text of one document each."""
-    wanted = classes.join(wanted, "digest", "left_semi").select("digest", F.col("rep").alias("id"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), common.text_or_empty(text).alias("text")).join(wanted, "id")
+    """(c, hashes) of the wanted classes, made again from the text of the document that each is named by."""
+    wanted = common.saved(classes.select("c", "digest", "rep").join(wanted, "c", "left_semi"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "rep"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), common.text_or_empty(text).alias("text")).where("id is not null").select("text", *places("id"))
 
     def sets(batches: Iterator) -> Iterator:
         import hashlib
 
+        import numpy as np
         import pyarrow as pa
 
         from tessella.llm.shingles import shingle_set
 
+        bits = shared.value
         for batch in batches:
-            out = []
-            for text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = shingle_set(text.encode("utf-8", "surrogatepass"), SHINGLE).tobytes()
-                if hashlib.blake2b(raw, digest_size=16).digest() == digest:  # a repeated id may have other texts
-                    out.append((digest, raw))
-            yield pa.record_batch([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["digest", "hashes"])
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for k in range(BLOOM_HASHES):
+                at = batch.column(k + 1).to_numpy()
+                keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            raws = [shingle_set(t.encode("utf-8", "surrogatepass"), SHINGLE).tobytes() for t in batch.column(0).filter(pa.array(keep)).to_pylist()]
+            yield pa.record_batch([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raws], pa.binary()), pa.array(raws, pa.binary())], names=["digest", "hashes"])
 
-    return common.saved(texts.select("text", "digest").mapInArrow(sets, "digest binary, hashes binary").dropDuplicates(["digest"]))
+    made = rows.mapInArrow(sets, "digest binary, hashes binary").join(wanted.select("digest", "c"), "digest")
+    return made.dropDuplicates(["digest"]).select("c", "hashes")  # a repeated id may have other texts, or the same again
 
 
 def confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of pairs (a, b: digests), those that meet the limit on their full shingle sets.
+    """Of pairs (a, b: classes), those that meet the limit on their full shingle sets.
 
     Pairs lie by ``a`` (and a salt, where one has very many): its set comes once before those of its
     partners, so memory holds two sets at a time.
     """
     pairs = common.saved(pairs)
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
-    pairs = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    firsts = pairs.select("a", "salt").distinct().join(found, F.col("a") == F.col("digest")).select("a", "salt", F.lit(None).cast("binary").alias("b"), "hashes")
-    others = pairs.select("a", "salt", "b").join(found, F.col("b") == F.col("digest")).select("a", "salt", "b", "hashes")
+    hot = common.hot_keys(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), ["a"])
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts_", F.lit(1).cast("long")))
+    pairs = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", salt.alias("salt"))
+    firsts = pairs.select("a", "salt").distinct().join(found, F.col("a") == F.col("c")).select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
+    others = pairs.join(found, F.col("b") == F.col("c")).select("a", "salt", "b", "hashes")
     rows = firsts.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator) -> Iterator:
@@ -136,36 +166,50 @@ def confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
                     continue
                 if first is None or first[0] != a:
                     raise ValueError("a set is missing")
-                at = np.searchsorted(first[1], s)
-                at[at == len(first[1])] = 0
-                both = int((first[1][at] == s).sum())
-                if 100 * both >= PERCENT * (len(s) + len(first[1]) - both):
+                if alike(first[1], s):
                     out.append((a, b))
-            yield pa.record_batch([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(check, "a long, b long")
+
+
+def alike(a, b) -> bool:
+    """Whether two sets (sorted hashes) meet the limit."""
+    import numpy as np
 
-    return rows.mapInArrow(check, "a binary, b binary")
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, found: DataFrame) -> DataFrame:
-    """Links (a, b: digests) between components in buckets that hold several, but for those of a bucket's first class.
+def mixed_buckets(buckets: DataFrame, of: DataFrame, hot: DataFrame) -> DataFrame:
+    """Classes of buckets that hold several components: band, c, component, and the bucket's n, most and main (its largest component, of ``most`` classes).
 
-    ``buckets``: band, digest, n, first; ``labels``: rep, component. Classes outside a bucket's largest
-    component meet all others in blocks: each side's block number is a hash, so a block has about
-    BLOCK classes however many the bucket has. A pair is looked at in the first band that it
-    shares; likely pairs are confirmed there on the full sets, the likeliest first, and pairs whose
-    components a block has already joined are passed over, so what leaves a block is a forest.
+    ``buckets``: band, c, n, first; ``of``: c, component; ``hot``: hot bands. A bucket's first class
+    has been compared with all others, so it isn't among them.
     """
-    rows = buckets.where("n > 2").join(classes.select("digest", "rep"), "digest").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("band", "digest", "component", "first")
-    rows = common.saved(rows)
+    rows = common.saved(buckets.where("n > 2").join(of, "c").select("band", "c", "component", "first"))
     held = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = held.groupBy("band").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most")).where("most < n")
-    rows = common.saved(rows.join(mixed, "band").where("digest <> first").drop("first"))
-    found = found.join(classes.select("digest", "sketch", "bands"), "digest")
-    rows = rows.withColumns({"left": F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)), "right": F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK), F.lit(1)), "h": F.xxhash64("digest", "band")})
-    body = ["band", "digest", "component"]
+    return common.saved(common.even_join(rows, mixed, ["band"], hot).where("c <> first").drop("first"))
+
+
+def across(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b: classes) between components in the buckets of ``rows`` (see ``mixed_buckets``).
+
+    Classes outside a bucket's largest component meet all others in blocks: each side's block
+    number is a hash, so a block has about BLOCK classes however many the bucket has. A pair is
+    looked at in the first band that it shares; likely pairs are confirmed there on the full
+    sets, the likeliest first, and pairs whose components a block has already joined are passed
+    over, so what leaves a block is a forest.
+    """
+    found = found.join(classes.select("c", "sketch", "bands"), "c")
+    rows = rows.withColumns({"left": F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)), "right": F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK), F.lit(1)), "h": F.xxhash64("c", "band")})
+    body = ["band", "c", "component"]
     one = rows.select(*body, F.lit(0).alias("side"), F.pmod("h", "left").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("right") - 1)).alias("j"))
     two = rows.where("component <> main").select(*body, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)).alias("i"), F.pmod("h", "right").alias("j"))
-    met = one.unionByName(two).join(found, "digest").select("band", "i", "j", "side", "digest", "component", "sketch", "bands", "hashes")
+    met = one.unionByName(two).join(found, "c").select("band", "i", "j", "side", "c", "component", "sketch", "bands", "hashes")
     met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def compare(batches: Iterator) -> Iterator:
@@ -204,14 +248,9 @@ def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, found: Dat
             out = []
             for _, x, y in sorted(likely):
                 cx, cy = root(one[x][2]), root(two[y][2])
-                if cx != cy:
-                    a, b = np.frombuffer(one[x][5], dtype=np.uint64), np.frombuffer(two[y][5], dtype=np.uint64)
-                    at = np.searchsorted(a, b)
-                    at[at == len(a)] = 0
-                    both = int((a[at] == b).sum())
-                    if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                        parent[max(cx, cy)] = min(cx, cy)
-                        out.append((one[x][1], two[y][1]))
+                if cx != cy and alike(*(np.frombuffer(z[5], dtype=np.uint64) for z in (one[x], two[y]))):
+                    parent[max(cx, cy)] = min(cx, cy)
+                    out.append((one[x][1], two[y][1]))
             return out
 
         group, name = [], None
@@ -222,11 +261,11 @@ def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, found: Dat
                     done += links(name[0], group) if name else []
                     group, name = [], (band, i, j)
                 group.append(rest)
-            yield pa.record_batch([pa.array([x[k] for x in done], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            yield pa.record_batch([pa.array([x[k] for x in done], pa.int64()) for k in (0, 1)], names=["a", "b"])
         done = links(name[0], group) if name else []
-        yield pa.record_batch([pa.array([x[k] for x in done], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        yield pa.record_batch([pa.array([x[k] for x in done], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return met.mapInArrow(compare, "a binary, b binary").distinct()
+    return met.mapInArrow(compare, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,30 +273,50 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     A text without words has no shingles and is linked with nothing. Rows with a null key are
     linked with nothing: their component is null and they are kept. Rows that repeat a key share
-    its component, whatever their texts; an empty table gives no rows.
+    its component, whatever their texts; an empty table gives no rows. Other columns of ``docs``
+    aren't read.
     """
-    rows = common.saved(signatures(docs, key, text))
-    full = rows.where("digest is not null and id is not null")
-    classes = common.saved(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    spread = classes.select(F.explode("bands").alias("band"), "digest", "rep")
-    sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "digest")).alias("least")).where("n > 1").select("band", "n", F.col("least.digest").alias("first"))
-    buckets = common.saved(spread.join(sizes, "band").select("band", "digest", "n", "first"))
-    found = full_sets(buckets.select("digest").distinct(), classes, docs, key, text)
-    stars = buckets.where("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b")).distinct()
-    reps = classes.select("digest", "rep")
-    ends = lambda p: p.join(reps.select(F.col("digest").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("digest").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = common.saved(ends(confirmed(likely(stars, classes), found)))
-    # a key that comes with several texts joins their classes
-    several = full.groupBy("id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("id")
-    links = links.unionByName(full.join(several, "id", "left_semi").join(reps, "digest").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    labels = common.saved(connected(links))
-    named = labels.select(F.col("node").alias("rep"), "component")
-    more = ends(across(buckets, classes, named, found))
-    label = lambda side: named.select(F.col("rep").alias(side), F.col("component").alias(f"c{side}"))
-    more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = connected(more).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    of = classes.select("digest", "rep").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    of = of.join(merged, "component", "left").select(F.col("digest").alias("d"), F.coalesce("merged", "component").alias("c"))
-    out = rows.join(of, F.col("digest") == F.col("d"), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    spark = docs.sparkSession
+    folder = common.scratch(spark, "near")
+    keep = lambda df, name: common.kept(df, folder, name)
+    try:
+        rows = keep(signatures(docs, key, text), "signatures")
+        full = rows.where("digest is not null and id is not null")
+        groups = full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        classes = keep(groups.withColumn("c", F.monotonically_increasing_id()), "classes")  # numbers are fixed once written
+        rows = keep(rows.select("id", "n_shingles", "digest"), "rows")
+        files.delete(spark, f"{folder}/signatures")
+        full, reps = rows.where("digest is not null and id is not null"), classes.select("c", "rep")
+
+        spread = classes.select(F.explode("bands").alias("band"), "c")
+        sizes = keep(spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("first")).where("n > 1"), "sizes")
+        hot = common.hot_keys(sizes, ["band"])
+        buckets = keep(common.even_join(spread, sizes, ["band"], hot).select("band", "c", "n", "first"), "buckets")
+
+        stars = buckets.where("c <> first").select(F.col("first").alias("a"), F.col("c").alias("b")).distinct()
+        stars = keep(likely(stars, classes), "stars")
+        ends = lambda p: p.join(reps.select(F.col("c").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("c").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        found = keep(full_sets(buckets.select("c").distinct(), classes, docs, key, text), "sets")
+        links = ends(confirmed(stars, found))
+        # a key that comes with several texts joins their classes
+        several = full.groupBy("id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("id")
+        links = links.unionByName(full.join(several, "id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+        labels = common.saved(connected(links)).select(F.col("node").alias("rep"), "component")
+        of = keep(reps.join(labels, "rep", "left").select("c", "rep", F.coalesce("component", "rep").alias("component")), "of")
+
+        mixed = mixed_buckets(buckets, of.select("c", "component"), hot)
+        label = lambda side: of.select(F.col("c").alias(side), F.col("component").alias(f"c{side}"))
+        more = across(mixed, classes, found).join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = connected(more).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+        of = of.join(merged, "component", "left").select("c", F.coalesce("merged", "component").alias("component"))
+        of = classes.select("c", "digest").join(of, "c").select("digest", "component")
+
+        held = full.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+        named = common.even_join(full, of, ["digest"], common.hot_keys(held, ["digest"])).select("id", "n_shingles", "component")
+        bare = rows.where("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("component"))
+        # a row without words or key stands for itself, but for a key that also comes with words
+        alone = bare.join(named.groupBy("id").agg(F.min("component").alias("shared")), "id", "left").select("id", "n_shingles", F.coalesce("shared", "component").alias("component"))
+        out = named.unionByName(alone)
+        return common.saved(out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept")))
+    finally:
+        files.delete(spark, folder)
