@@ -26,7 +26,7 @@ LENGTH, ROWS = 2048, 64
 
 
 class _Uncut(Exception):
-    """White space at a cut: the text must be encoded whole."""
+    """White space at a cut, or an added token: the text must be encoded whole."""
 
 
 class _Table(dict):
@@ -50,8 +50,9 @@ class WordCache:
     For a byte-level BPE, no token joins a non-space with white space after it. So a text may be
     cut before a space or a line end that stands alone between two non-spaces, and what a part
     encodes to doesn't depend on its neighbours. A part of letters alone is one token run: the
-    library's model encodes it directly. Texts with other white space at a cut, and tokenizers of
-    other kinds, go through the library whole.
+    library's model encodes it directly. Texts with other white space at a cut, texts that hold
+    the string of an added token (which the library looks for first), and tokenizers of other
+    kinds go through the library whole.
     """
 
     def __init__(self, definition: str, memory: int = 500_000):
@@ -60,10 +61,10 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
         kind = json.loads(definition)
         pre = kind.get("pre_tokenizer") or {}
         self.cuts = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and kind["model"].get("dropout") is None
+        self.added = [t["content"] for t in kind.get("added_tokens") or []]
         self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
         self.tokenize = self.tokenizer.model.tokenize if self.cuts else None
         # byte-level BPE writes bytes as characters: printable ones as they are, others from U+0100 on
@@ -94,6 +95,8 @@ class WordCache:
         known, first, out, whole = self.known.__getitem__, self.first, [], []
         for i, text in enumerate(texts):
             try:
+                if any(a in text for a in self.added):
+                    raise _Uncut
                 lines = []
                 for line in text.split("\n"):
                     words = line.split(" ")
