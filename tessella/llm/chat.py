@@ -7,8 +7,9 @@ are escaped inside texts, reversibly. All of it is DataFrame functions.
 
 Events: conv_id, seq, kind, message, role, text. ``start`` opens a message with a role and no
 text, ``delta`` appends its text, ``edit`` replaces what the message has so far, ``regenerate``
-empties the message and drops all later messages that had started by then. Events of one
-sequence number are taken in the order start, regenerate, edit, delta, then by text.
+empties the message and drops all later messages that are open by then. What comes for a dropped
+message changes nothing, its regenerations included, until it is started again. Events of one
+sequence number are taken in the order start, regenerate, edit, delta, then by message and text.
 """
 
 from __future__ import annotations
@@ -45,30 +46,65 @@ def unescape(text: Column, controls: tuple[str, ...] = CONTROLS) -> Column:
     return F.regexp_replace(text, F.lit(rf"({head})\\(\\*)({rest})"), F.lit(r"$1$2$3"))
 
 
+def _whole_events(events: DataFrame) -> DataFrame:
+    """Events with a place (sequence number, rank of the kind) and no null role or text; unknown kinds raise."""
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    kind = F.when(rank > 0, rank).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce("kind", F.lit("null")))))
+    place = F.struct(F.col("seq").cast("long").alias("seq"), kind.cast("int").alias("kind"))
+    return events.select(F.struct("conv_id", "message").alias("id"), place.alias("place"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def dropped(events: DataFrame) -> DataFrame:
+    """The ids (conv_id, message) of messages that a regeneration of a lower one has dropped for good; of ``_whole_events``.
+
+    A regeneration counts if its own message is open then, which only lower messages decide; so a
+    conversation's regenerated messages are folded by number, each adding those that count. Of
+    all others, only the last opening is looked at. Texts take no part.
+    """
+    kind = F.col("place.kind")
+    each = events.groupBy("id").agg(F.min("place").alias("first"), F.collect_list(F.when(kind == 1, F.col("place"))).alias("starts"), F.collect_list(F.when(kind == 2, F.col("place"))).alias("again"))
+    each = each.withColumn("opened", F.array_union("starts", F.array("first")))
+    some = each.where("size(again) > 0").groupBy("id.conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("id.message").alias("message"), "opened", "again"))).alias("m"))
+
+    def counted(drops: Column, x: Column) -> Column:
+        def fits(u: Column) -> Column:
+            last = F.array_max(F.filter(x["opened"], lambda o: o <= u))
+            return ~F.exists(drops, lambda d: (d["place"] > last) & (d["place"] <= u))
+
+        return F.concat(drops, F.transform(F.filter(x["again"], fits), lambda u: F.struct(x["message"].alias("message"), u.alias("place"))))
+
+    kind_of = events.select(F.struct(F.col("id.message").alias("message"), "place").alias("d")).schema["d"].dataType.simpleString()
+    drops = some.select("conv_id", F.explode(F.aggregate("m", F.from_json(F.lit("[]"), f"array<{kind_of}>"), counted)).alias("d"))
+    # for each message, the last opening against the drops of its conversation by lower messages
+    last = each.select("id", F.array_max("opened").alias("opened"))
+    met = last.join(drops.select(F.struct(F.col("conv_id")).alias("conv"), "d"), F.struct(F.col("id.conv_id").alias("conv_id")) == F.col("conv"))
+    lower = F.struct(F.col("d.message").alias("m")) < F.struct(F.col("id.message").alias("m"))
+    return met.where(lower & (F.col("d.place") > F.col("opened"))).select("id").distinct()
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, message, role, text.
 
-    The role is that of the last start event (null: empty); events for a message that never
-    started are kept as a message with an empty role. Null texts count as empty, null sequence
-    numbers as before all others; a null conversation or message number is a value like others.
-    Unknown kinds raise. Events are gathered for one message at a time.
+    The role is that of the last start event (null: empty). A message whose first event isn't a
+    start is opened by that event, with an empty role. Null texts count as empty, null sequence
+    numbers as before all others; a null conversation or message number is a value like others,
+    below all. Unknown kinds raise. An empty log gives no rows; other columns aren't read. Events
+    are gathered for one message at a time, and of regenerated messages the places alone for
+    one conversation.
     """
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    kind = F.when(rank > 0, rank).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce("kind", F.lit("null")))))
+    events = _whole_events(events)
     # a field order that sorts as said: sequence, kind, text; then the role goes along
-    event = F.struct(F.col("seq").cast("long").alias("seq"), kind.cast("int").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))
-    each = events.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(event)).alias("e"))
+    event = F.struct(F.col("place.seq").alias("seq"), F.col("place.kind").alias("kind"), "text", "role")
+    each = events.groupBy("id").agg(F.sort_array(F.collect_list(event)).alias("e"))
     # index of the last event that isn't a delta
     reset = F.aggregate(F.transform("e", lambda x, i: F.when(x["kind"] < 4, i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
     each = each.withColumn("reset", reset)
     starts = F.filter("e", lambda x: x["kind"] == 1)
-    again = F.filter("e", lambda x: x["kind"] == 2)
     base = F.when(F.get("e", F.col("reset") - 1)["kind"] == 3, F.get("e", F.col("reset") - 1)["text"]).otherwise("")
     tail = F.array_join(F.transform(F.slice("e", F.col("reset") + 1, F.size("e")), lambda x: x["text"]), "")
-    each = each.select("conv_id", "message", F.coalesce(F.get(starts, F.size(starts) - 1)["role"], F.lit("")).alias("role"), F.concat(F.when(F.col("reset") > 0, base).otherwise(""), tail).alias("text"), F.coalesce(F.get(starts, F.size(starts) - 1)["seq"], F.get("e", F.lit(0))["seq"]).alias("began"), F.get(again, F.size(again) - 1)["seq"].alias("regenerated"))
-    before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("cut", F.max("regenerated").over(before))
-    return each.where("cut is null or began > cut").select("conv_id", "message", "role", "text")
+    text = F.concat(F.when(F.col("reset") > 0, base).otherwise(""), tail)
+    each = each.select("id", F.coalesce(F.get(starts, F.size(starts) - 1)["role"], F.lit("")).alias("role"), text.alias("text"))
+    return each.join(dropped(events), "id", "left_anti").select("id.conv_id", "id.message", "role", "text")
 
 
 def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",), controls: tuple[str, ...] = CONTROLS) -> DataFrame:
@@ -110,13 +146,19 @@ def masked(formatted: Column, spans: Column, controls: tuple[str, ...] = CONTROL
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log that streaming these turns would leave: for each row a start and its text in two deltas.
+    """A log that streaming these turns could leave, one whose folding needs every kind of event.
 
-    Rows are numbered by turn (nulls first), role and text; repeated rows are turns of their own.
+    Each row is a message that starts, gets a draft and is mended: what the user says by an edit,
+    all else by a regeneration that also drops a message begun after it. Then the text comes in
+    two parts. Rows are numbered by turn (nulls first), role and text; repeated rows are turns of
+    their own.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("message"))
     half = F.floor(F.length("text") / 2).cast("int")
-    event = lambda k, kind, text: F.struct((F.col("message") * 3 + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    made = F.array(event(0, "start", F.lit(None).cast("string")), event(1, "delta", F.substring("text", F.lit(1), half)), event(2, "delta", F.substring("text", half + 1, F.length("text"))))
-    return rows.select("conv_id", "message", "role", F.explode(made).alias("e")).select("conv_id", "message", "role", "e.seq", "e.kind", "e.text")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    none = F.lit(None).cast("string")
+    event = lambda k, kind, text, later=0, role=None: F.struct((F.col("message") + later).alias("message"), F.lit(role).cast("string").alias("role") if role else F.when(F.lit(kind == "start"), F.col("role")).alias("role"), (F.col("message") * 8 + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    said = F.array(event(0, "start", none), event(1, "delta", second), event(2, "edit", first), event(3, "delta", second))
+    made = F.array(event(0, "start", none), event(1, "delta", second), event(2, "start", none, 1, "user"), event(3, "delta", first, 1), event(4, "regenerate", none), event(5, "delta", first), event(6, "delta", second))
+    return rows.select("conv_id", F.explode(F.when(F.col("role") == "user", said).otherwise(made)).alias("e")).select("conv_id", "e.message", "e.role", "e.seq", "e.kind", "e.text")
