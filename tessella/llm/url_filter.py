@@ -17,10 +17,14 @@ PREFIX_BYTES = 4
 BROADCAST_RULES = 100_000
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased, other letters as they are."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lowered(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -43,21 +47,25 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     Rules with a null host or path count as empty strings; rules with an empty host fit none.
     Repeated rows and rules change nothing.
 
-    Only distinct (host, start of path) pairs are expanded, by as many characters as the
-    longest rule has, so a host with a third of all pages is expanded once a path start.
+    Rules' hosts are lower-cased as pages' are, A-Z alone. Only distinct (host, start of path)
+    pairs are expanded, by as many characters as the longest rule has, so a host with a third of
+    all pages is expanded once a path start; pages of a pair that very many share are dealt out
+    over many tasks.
     """
     clash = {"host", "path", "rule", "verdict"}
     rows = pages.drop(*[c for c in pages.columns if c.lower() in clash and c != url])
     rows = rows.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    rules = rules.select(F.coalesce(F.lower("host"), F.lit("")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict").where("rule_host <> ''").groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
+    rules = rules.select(F.coalesce(lowered(F.col("host")), F.lit("")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict").where("rule_host <> ''").groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
     rules = common.saved(rules)
     bounds = rules.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("rule_path")).alias("longest"), F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"), F.max(F.size(F.split("rule_host", r"\."))).alias("labels")).first()
     if not bounds.n:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     digest = F.sha2(expression(F.col("rule_host"), F.col("rule_path")), 256)
     rules = rules.withColumns({"digest": digest, "short": F.substring(digest, 1, 2 * PREFIX_BYTES)})
-    start = F.substring("path", 1, bounds.longest)
-    keys = rows.where("host <> ''").select("host", start.alias("start")).distinct()
+    head, best_of = common.free_name(rows, "start"), common.free_name(rows, "best")
+    rows = rows.withColumn(head, F.substring("path", 1, bounds.longest))
+    keys = common.saved(rows.where("host <> ''").groupBy("host", F.col(head).alias("start")).agg(F.count(F.lit(1)).alias("n")))
+    hot = common.hot_keys(keys, ["host", "start"])
     labels = F.split("host", r"\.")
     # suffixes of at most as many labels as any rule has; prefixes of the lengths that rules have
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(bounds.labels))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
@@ -70,9 +78,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     found = spread.join(side, "short").where("full = digest")
     order = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("verdict"))
     best = found.groupBy("host", "start").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("verdict")), order).alias("best"))
-    best = best.select(F.col("host").alias("host_"), F.col("start").alias("start_"), "best")
-    out = rows.join(best, (F.col("host") == F.col("host_")) & (start == F.col("start_")), "left")
-    return out.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("host_", "start_", "best")
+    best = best.select("host", F.col("start").alias(head), F.col("best").alias(best_of))
+    out = common.even_join(rows, best, ["host", head], hot.withColumnRenamed("start", head), "left")
+    return out.withColumns({"rule": F.col(f"{best_of}.rule"), "verdict": F.coalesce(f"{best_of}.verdict", F.lit(default))}).drop(head, best_of)
 
 
 #: The rules of the registered query.
