@@ -1,9 +1,10 @@
 """WARC archives: a writer with one gzip member a record, and a splittable reader.
 
-The reader's tasks take byte ranges of files. A task searches its range for the gzip magic,
-holds a place for a record only if the member there inflates to a WARC header, and from the
-first one on goes from member to member. It owns the records that start in its range and
-reads past its end to finish the last.
+The reader's tasks take byte ranges of files. A task searches its range for the gzip magic and
+holds a place for a record only if the member there inflates to a WARC record and members
+follow it end to end, some deep or to the file's end: a member inside another's payload is
+followed by the rest of that payload. From the first record on it goes from member to member.
+It owns the records that start in its range and reads past its end to finish the last.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from tessella.llm import common, files
 MAGIC = b"\x1f\x8b\x08"  # fixed by the format
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed by the format
 LEAST_PAYLOAD = 100
+#: Members that must follow a place found by search. Archives of more members than this, stored
+#: without compression inside a record that crosses the split's start, would be taken for records.
+DEPTH = 16
 SCHEMA = "file string, offset long, record_type string, record_id string, refers_to_id string, target_uri string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -59,10 +63,12 @@ def decided(pages: DataFrame, key: str = "page_id", body: str = "html", least: i
     rows = pages.drop(*[c for c in pages.columns if c.lower() in made and c not in (key, body)])
     raw = F.encode(common.text_or_empty(body), "UTF-8")
     rows = rows.withColumns({"payload_digest": F.sha2(raw, 256), "payload_bytes": F.octet_length(raw).cast("long")})
-    first = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("digest_")).agg(F.min(key).alias("first_"), F.count(F.lit(1)).alias("n_")).where("n_ > 1")
-    rows = rows.join(first, F.col("payload_digest") == F.col("digest_"), "left")
-    again = F.col("first_").isNotNull() & (F.col(key).isNull() | (F.col(key) > F.col("first_")))
-    return rows.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first_"))}).drop("digest_", "first_", "n_")
+    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = common.saved(first)  # a very common payload's rows are dealt out over many tasks
+    of = common.free_name(rows, "first")
+    rows = common.even_join(rows, first.select("payload_digest", F.col("first").alias(of)), ["payload_digest"], common.hot_keys(first, ["payload_digest"]), "left")
+    again = F.col(of).isNotNull() & (F.col(key).isNull() | (F.col(key) > F.col(of)))
+    return rows.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col(of))}).drop(of)
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", body: str = "html", date: str = "2020-01-01T00:00:00Z", least: int = LEAST_PAYLOAD) -> list[tuple[str, int]]:
@@ -96,11 +102,11 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url",
 
 
 class Ranges:
-    """Bytes of a file from a place on, fetched piece by piece."""
+    """Bytes of a file from a place on, fetched piece by piece; front and end of what is held move without copying the rest."""
 
     def __init__(self, source, at: int, step: int = 1 << 20):
         source.seek(at)
-        self.source, self.base, self.held, self.step = source, at, b"", step
+        self.source, self.base, self.held, self.step = source, at, bytearray(), step
 
     def more(self) -> bool:
         got = self.source.read(self.step)
@@ -110,7 +116,7 @@ class Ranges:
     def skip_to(self, at: int) -> None:
         while at > self.base + len(self.held) and self.more():
             pass
-        self.held = self.held[at - self.base :]
+        del self.held[: at - self.base]
         self.base = at
 
     def find(self, limit: int) -> int | None:
@@ -125,25 +131,31 @@ class Ranges:
             if not self.more():
                 return None
 
-    def inflate(self, only_header: bool = False) -> tuple[bytes, int] | None:
-        """The member at the base and its length in the file, or None where there is none with a WARC header."""
-        z, out, at = zlib.decompressobj(31), [], 0
+    def inflate(self, at: int = 0, header: bytes = b"WARC/1.") -> tuple[bytes, int] | None:
+        """The member ``at`` bytes from the base and where it ends, or None where there is none that starts with ``header``."""
+        z, out = zlib.decompressobj(31), bytearray()
         try:
             while not z.eof:
                 if at >= len(self.held) and not self.more():
                     return None
-                piece = self.held[at : at + (1 << 16)]
+                piece = bytes(self.held[at : at + (1 << 16)])
                 at += len(piece)
-                out.append(z.decompress(piece))
-                if len(out) == 1 or only_header:
-                    start = b"".join(out)[:7]
-                    if not b"WARC/1.".startswith(start[:7]) and start[:7] != b"WARC/1.":
-                        return None
-                    if only_header and b"\r\n\r\n" in b"".join(out):
-                        return b"".join(out), 0
+                out += z.decompress(piece)
+                if not header.startswith(out[: len(header)]):
+                    return None
         except zlib.error:
             return None
-        return b"".join(out), at - len(z.unused_data)
+        return (bytes(out), at - len(z.unused_data)) if out.startswith(header) else None
+
+    def followed(self, at: int, depth: int = DEPTH) -> bool:
+        """Whether whole members lie end to end from ``at`` bytes behind the base on, ``depth`` of them or up to the file's end."""
+        for _ in range(depth):
+            if at >= len(self.held) and not self.more():
+                return True
+            if (got := self.inflate(at, b"")) is None:
+                return False
+            at = got[1]
+        return True
 
 
 def parsed(data: bytes) -> dict:
@@ -166,20 +178,26 @@ def parsed(data: bytes) -> dict:
 
 
 def records(source, start: int, end: int, size: int) -> Iterator[tuple[int, dict]]:
-    """Records that start in [start, end) of a file of ``size`` bytes, with their places."""
-    window = Ranges(source, start)
+    """Records that start in [start, end) of a file of ``size`` bytes, with their places.
+
+    A record found by search must be followed by whole members, one that lies at the file's start
+    or at the end of another need not, so a damaged member costs what lies up to it only if a
+    split starts within DEPTH members before it.
+    """
+    window, known = Ranges(source, start), 0  # where a member is known to start
     while (at := window.find(end)) is not None:
         window.skip_to(at)
         got = window.inflate()
         try:
-            fields = parsed(got[0]) if got else None
+            fields = parsed(got[0]) if got and (at == known or window.followed(got[1])) else None
         except (ValueError, KeyError):
             fields = None
         if fields is None:
             window.skip_to(at + 1)
             continue
         yield at, fields
-        window.skip_to(at + got[1])
+        known = at + got[1]
+        window.skip_to(known)
 
 
 def read(spark: SparkSession, archives: list[tuple[str, int]], split_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
