@@ -8,6 +8,7 @@ the weighted sum of the passages gives the document's score.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,8 +22,10 @@ from tessella.llm import common
 
 #: Words to a passage, buckets of hashed words, sizes of word vectors, passage codes and attention.
 PASSAGE, BUCKETS, WORD_SIZE, CODE, GATE = 64, 1 << 13, 12, 24, 12
-#: The sample of labelled rows to learn from: rows, and characters of a row's text, at most.
-MOST_ROWS, MOST_CHARS = 3000, 60_000
+#: Documents in the sample of labelled rows to learn from, at most.
+MOST_ROWS = 3000
+#: Characters of a text to split into words at once, and of texts to score at once; passages to encode at once.
+PIECE, TOGETHER, BLOCK = 1 << 18, 1 << 22, 1 << 14
 FOLDS = 5
 THRESHOLD = 0.3
 SYMBOLS = frozenset("#*$%&|<>{}[]\\^~_=+@")
@@ -34,7 +37,6 @@ class Reader:
     """Turns a text into passages: bucket numbers of all words, where passages start, and counts of each."""
 
     memory: int = 100_000
-    known: dict[str, int] = field(default_factory=dict)
     shapes: dict[str, tuple] = field(default_factory=dict)
 
     def shape(self, word: str) -> tuple:
@@ -52,25 +54,47 @@ class Reader:
         return got
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((1, N_COUNTS), np.float32)
-        shapes = self.shapes
-        each = np.array([shapes.get(w) or self.shape(w) for w in words], dtype=np.int64)
-        starts = np.arange(0, len(words), PASSAGE)
-        sizes = np.diff(np.append(starts, len(words)))
-        sums = np.add.reduceat(each[:, 1:], starts, axis=0)
-        chars = np.maximum(sums[:, 5], 1)[:, None]
-        same = np.zeros(len(words))
-        same[1:] = each[1:, 0] == each[:-1, 0]
-        seen = [len(set(words[a : a + PASSAGE])) for a in starts.tolist()]
-        # a word that also stands a passage or more before counts as repeated in its document
-        first = np.ones(len(words))
-        _, at = np.unique(each[:, 0], return_index=True)
-        first[:] = 0
-        first[at] = 1
-        counts = np.column_stack([sums[:, :5] / chars, sums[:, 5] / sizes / 10, np.add.reduceat(same, starts) / sizes, np.array(seen) / sizes, np.add.reduceat(first, starts) / sizes, np.log1p(sizes) / 4])
-        return each[:, 0].astype(np.int32), starts, counts.astype(np.float32)
+        """Long texts are read piece by piece, so only numbers are held for all of one: two bytes a word."""
+        seen, last, parts = np.zeros(BUCKETS, dtype=bool), -1, []
+        for words in pieces(text):
+            shapes = self.shapes
+            each = np.array([shapes.get(w) or self.shape(w) for w in words], dtype=np.int64)
+            starts, ids = np.arange(0, len(words), PASSAGE), each[:, 0]
+            sizes = np.diff(np.append(starts, len(words)))
+            sums = np.add.reduceat(each[:, 1:], starts, axis=0)
+            chars = np.maximum(sums[:, 5], 1)[:, None]
+            same = ids == np.append(last, ids[:-1])
+            kinds = [len(set(words[a : a + PASSAGE])) for a in starts.tolist()]
+            first = np.zeros(len(words))  # words whose bucket is new in the document
+            new, at = np.unique(ids, return_index=True)
+            first[at[~seen[new]]] = 1
+            seen[new], last = True, ids[-1]
+            counts = np.column_stack([sums[:, :5] / chars, sums[:, 5] / sizes / 10, np.add.reduceat(same.astype(float), starts) / sizes, np.array(kinds) / sizes, np.add.reduceat(first, starts) / sizes, np.log1p(sizes) / 4])
+            parts.append((ids.astype(np.uint16), counts.astype(np.float32)))
+        if not parts:
+            return bag(np.zeros(0, np.uint16), np.zeros((1, N_COUNTS), np.float32))
+        return bag(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+def bag(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A read text: bucket numbers, starts of its passages (one empty one without words) and counts of each."""
+    return ids, np.arange(0, max(len(ids), 1), PASSAGE), counts
+
+
+def pieces(text: str) -> Iterator[list[str]]:
+    """The words of a text, about PIECE characters at a time; all lists but the last hold whole passages."""
+    at, rest = 0, []
+    while at < len(text):
+        cut = _SPACE(text, at + PIECE) if at + PIECE < len(text) else None
+        end = cut.start() if cut else len(text)
+        words = rest + text[at:end].split()
+        n = len(words) if end == len(text) else len(words) // PASSAGE * PASSAGE
+        if n:
+            yield words[:n]
+        at, rest = end, words[n:]
+
+
+_SPACE = re.compile(r"\s").search
 
 
 class Model:
@@ -88,7 +112,7 @@ class Model:
         p = self.p
         if len(ids):
             sizes = np.diff(np.append(starts, len(ids)))
-            safe = np.minimum(starts, len(ids) - 1)
+            safe = np.minimum(starts, len(ids) - 1)  # an empty passage's sum is cleared below
             bags = np.add.reduceat(p["E"][ids], safe, axis=0)
             bags[sizes == 0] = 0
             bags /= np.maximum(sizes, 1)[:, None]
@@ -113,8 +137,12 @@ class Model:
         if self.constant is not None or not bags:
             return np.full(len(bags), self.constant or 0.0)
         ids, starts, counts, docs = laid(bags)
-        _, h = self.encode(ids, starts, counts)
-        *_, z = self.attend(h, docs)
+        h = []
+        for at in range(0, len(starts), BLOCK):
+            own = starts[at : at + BLOCK]
+            end = starts[at + BLOCK] if at + BLOCK < len(starts) else len(ids)
+            h.append(self.encode(ids[own[0] : end], own - own[0], counts[at : at + BLOCK])[1])
+        *_, z = self.attend(np.concatenate(h), docs)
         return 1 / (1 + np.exp(-(z @ self.p["c"] + self.p["d"]).astype(np.float64)))
 
     def fit(self, bags: list, labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.004, decay: float = 1e-4, seed: int = 6) -> Model:
@@ -134,36 +162,44 @@ class Model:
             order = rng.permutation(len(bags))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
-                ids, starts, counts, docs = laid([bags[i] for i in pick])
-                y = labels[pick]
-                x, h = self.encode(ids, starts, counts)
-                t, s, a, of, z = self.attend(h, docs)
-                out = 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))
-                dout = (out - y) / len(y)
-                g = {"c": z.T @ dout, "d": np.array([dout.sum()], np.float32)}
-                dz = dout[:, None] * p["c"][None, :]
-                dh = a[:, None] * dz[of]
-                da = (h * dz[of]).sum(axis=1)
-                de = a * (da - np.add.reduceat(a * da, docs)[of])
-                g["w"] = (t * s).T @ de
-                dt, ds = de[:, None] * p["w"] * s * (1 - t * t), de[:, None] * p["w"] * t * s * (1 - s)
-                g["V"], g["U"] = h.T @ dt, h.T @ ds
-                dh += dt @ p["V"].T + ds @ p["U"].T
-                dx = dh * (1 - h * h)
-                g["W"], g["b"] = x.T @ dx, dx.sum(axis=0)
-                db = (dx @ p["W"].T)[:, :WORD_SIZE]
-                g["E"] = np.zeros_like(p["E"])
-                if len(ids):
-                    sizes = np.diff(np.append(starts, len(ids)))
-                    np.add.at(g["E"], ids, np.repeat(db / np.maximum(sizes, 1)[:, None], sizes, axis=0))
+                _, g = self.gradients([bags[i] for i in pick], labels[pick])
                 step += 1
-                for k in p:
-                    grad = g[k].astype(np.float32) + decay * p[k]
-                    m[k] += 0.1 * (grad - m[k])
-                    v2[k] += 0.001 * (grad * grad - v2[k])
-                    p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)
+                for k, (of, grad) in g.items():  # of word vectors, those of the batch alone move
+                    grad = grad.astype(np.float32) + decay * p[k][of]
+                    m[k][of] += 0.1 * (grad - m[k][of])
+                    v2[k][of] += 0.001 * (grad * grad - v2[k][of])
+                    p[k][of] -= rate * (m[k][of] / (1 - 0.9**step)) / (np.sqrt(v2[k][of] / (1 - 0.999**step)) + 1e-8)
         return self
 
+    def gradients(self, bags: list, y: np.ndarray) -> tuple[float, dict]:
+        """Mean log loss and, for each parameter, which rows it has a gradient for and that gradient."""
+        p = self.p
+        ids, starts, counts, docs = laid(bags)
+        x, h = self.encode(ids, starts, counts)
+        t, s, a, of, z = self.attend(h, docs)
+        logit = z @ p["c"] + p["d"]
+        loss = float((np.logaddexp(0, logit) - y * logit).mean())
+        dout = (1 / (1 + np.exp(-logit)) - y) / len(y)
+        g = {"c": z.T @ dout, "d": dout.sum(keepdims=True)}
+        dz = dout[:, None] * p["c"][None, :]
+        dh = a[:, None] * dz[of]
+        da = (h * dz[of]).sum(axis=1)
+        de = a * (da - np.add.reduceat(a * da, docs)[of])
+        g["w"] = (t * s).T @ de
+        dt, ds = de[:, None] * p["w"] * s * (1 - t * t), de[:, None] * p["w"] * t * s * (1 - s)
+        g["V"], g["U"] = h.T @ dt, h.T @ ds
+        dh += dt @ p["V"].T + ds @ p["U"].T
+        dx = dh * (1 - h * h)
+        g["W"], g["b"] = x.T @ dx, dx.sum(axis=0)
+        out = {k: (slice(None), v) for k, v in g.items()}
+        if len(ids):
+            sizes = np.diff(np.append(starts, len(ids)))
+            db = (dx @ p["W"].T)[:, :WORD_SIZE] / np.maximum(sizes, 1)[:, None]
+            order = np.argsort(ids, kind="stable")
+            words, at = np.unique(ids[order], return_index=True)
+            out["E"] = (words, np.add.reduceat(db[np.repeat(np.arange(len(sizes)), sizes)[order]], at, axis=0))
+        return loss, out
+
 
 def laid(bags: list):
     """Read texts laid end to end: word buckets, passage starts, counts and first passages."""
@@ -179,24 +215,34 @@ def fold(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> DataFrame:
-    """The labelled rows to learn from: text and label, in a random order that the keys fix.
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> DataFrame:
+    """The labelled documents to learn from (key_, text, label), ``most_rows`` at most, drawn by a hash of their keys.
 
-    Rows of fold 0, without a label of 0 or 1, or longer than ``most_chars`` are never among them. A
-    key with several labels has the lower one.
+    Rows of fold 0, or without a label of 0 or 1, are never among them; texts of all lengths are. A
+    key with several labels has the lower one, one with several texts the first by order; null
+    keys fit no label.
     """
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).cast("int").alias("label")).select(F.col(key).alias("key_"), "label")
-    rows = docs.where(fold(key) != 0).select(F.col(key).alias("key_"), common.text_or_empty(text).alias("text")).where(F.length("text") <= most_chars)
-    # keys are drawn first, so that only drawn texts are sorted
-    drawn = rows.select("key_").join(known, "key_").distinct().orderBy(F.xxhash64("key_"), "key_").limit(most_rows)
-    return rows.join(F.broadcast(drawn), "key_").select("key_", "text", "label")
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key_")).agg(F.min(label).cast("int").alias("label"))
+    rows = docs.where(fold(key) != 0).select(F.col(key).alias("key_"), common.text_or_empty(text).alias("text"))
+    # keys are drawn first, so that only drawn texts are gathered
+    drawn = rows.select("key_").distinct().join(known, "key_").orderBy(F.xxhash64("key_"), "key_").limit(most_rows)
+    return rows.join(F.broadcast(drawn), "key_").groupBy("key_").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> Model:
+    """Fit on the bounded sample, on the driver; texts are turned into numbers before they are sent there."""
+    common.ship(docs.sparkSession)
 
+    def numbers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader()
+        for frame in frames:
+            read = [reader.read(t) for t in frame["text"]]
+            yield pd.DataFrame({"key": frame["key_"].astype(str), "label": frame["label"], "ids": [r[0].tobytes() for r in read], "counts": [r[2].tobytes() for r in read]})
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> Model:
-    """Fit on the bounded sample, on the driver."""
-    rows = sorted(sample(docs, labels, key, text, label, most_rows, most_chars).collect(), key=lambda r: (zlib.crc32(str(r.key_).encode()), str(r.key_), r.text))[:most_rows]
-    reader = Reader()
-    return Model().fit([reader.read(r.text) for r in rows], np.array([r.label for r in rows]))
+    rows = sample(docs, labels, key, text, label, most_rows).mapInPandas(numbers, "key string, label int, ids binary, counts binary").collect()
+    rows.sort(key=lambda r: (zlib.crc32(r.key.encode()), r.key))
+    bags = [bag(np.frombuffer(r.ids, np.uint16), np.frombuffer(r.counts, np.float32).reshape(-1, N_COUNTS)) for r in rows]
+    return Model().fit(bags, np.array([r.label for r in rows]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
@@ -211,10 +257,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader, own = Reader(), shared.value
         for texts in batches:
-            out = []
-            for at in range(0, len(texts), 64):
-                out.append(own.score([reader.read(t) for t in texts[at : at + 64]]))
-            yield pd.Series(np.round(np.concatenate(out), 6) if out else [])
+            out, held, chars = [], [], 0
+            for t in texts:
+                held.append(reader.read(t))
+                chars += len(t)
+                if len(held) == 64 or chars >= TOGETHER:
+                    out.append(own.score(held))
+                    held, chars = [], 0
+            out.append(own.score(held))
+            yield pd.Series(np.round(np.concatenate(out), 6))
 
     return docs.withColumn(column, scores(common.text_or_empty(text)))
 
