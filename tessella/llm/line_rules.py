@@ -16,8 +16,10 @@ from tessella.llm import common
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: A line is removed if more distinct documents of its host hold it than both of these allow.
-LEAST_DOCS, MOST_SHARE = 20, 0.2
+#: A line is removed if more distinct documents of its host than this hold it, however large the host
+#: is: prose doesn't repeat whole lines over dozens of documents, boilerplate does, and a share of the
+#: host would let it pass the more easily the larger the host is.
+MOST_DOCS = 20
 #: A document is rejected if it keeps a smaller share of its words.
 LEAST_KEPT = 0.3
 #: And if it fails a base rule: too few words, or too many (percent) in repeated windows.
@@ -86,23 +88,22 @@ def counts(text: Column) -> dict[str, Column]:
     return {k: v.cast("long") for k, v in out.items()}
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> DataFrame:
-    """For each distinct document with lines above its host's limit: host_, doc_ (digest of the text), lines_ (their hashes), lost_ (their words).
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", most_docs: int = MOST_DOCS) -> tuple[DataFrame, DataFrame]:
+    """For each distinct document with lines above the limit: host, doc (digest of the text), lines (their hashes), lost (their words).
 
-    Documents of a host with equal texts count once. A null host is a host of its own. A line is
-    above the limit if more than ``least_docs`` documents and more than ``most_share`` of the host's
-    documents hold it.
+    And hot documents (see ``common.hot_keys``). Documents of a host with equal texts count once. A
+    null host is a host of its own. A line is above the limit if more than ``most_docs`` distinct
+    documents of the host hold it.
     """
     whole = common.text_or_empty(text)
     hashes = F.transform(lines_of(whole), lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(common.WORD)).alias("w")))
-    each = docs.select(F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")).alias("host_"), F.md5(whole).alias("doc_"), hashes.alias("all_"))
-    each = common.saved(each.dropDuplicates(["host_", "doc_"]))
-    spread = each.select("host_", F.explode(F.array_distinct("all_.h")).alias("line_"))
-    sizes = each.groupBy("host_").agg(F.count(F.lit(1)).alias("size_"))
-    held = spread.groupBy("host_", "line_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > least_docs)
-    above = held.join(sizes, "host_").where(F.col("n_") > F.col("size_") * F.lit(most_share)).select("host_", "line_")
-    lines = each.select("host_", "doc_", F.explode("all_").alias("l")).select("host_", "doc_", F.col("l.h").alias("line_"), F.col("l.w").alias("w_"))
-    return lines.join(above, ["host_", "line_"], "left_semi").groupBy("host_", "doc_").agg(F.collect_set("line_").alias("lines_"), F.sum("w_").alias("lost_"))
+    each = docs.select(F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")).alias("host"), F.md5(whole).alias("doc"), hashes.alias("all"))
+    each = common.saved(each.groupBy("host", "doc").agg(F.first("all").alias("all"), F.count(F.lit(1)).alias("n")))
+    spread = each.select("host", F.explode(F.array_distinct("all.h")).alias("line"))
+    above = common.saved(spread.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_docs))
+    lines = each.select("host", "doc", F.explode("all").alias("l")).select("host", "doc", F.col("l.h").alias("line"), F.col("l.w").alias("w"))
+    lines = common.even_join(lines, above.drop("n"), ["host", "line"], common.hot_keys(above, ["host", "line"]), "left_semi")
+    return lines.groupBy("host", "doc").agg(F.collect_set("line").alias("lines"), F.sum("w").alias("lost")), common.hot_keys(each, ["host", "doc"])
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", cleaned: str = "cleaned_text", least_kept: float = LEAST_KEPT, **limits) -> DataFrame:
@@ -111,19 +112,19 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", cleaned: st
     A document without words fails the base rules. Rows, repeated ones included, stay as many as
     they are; columns of the names added are replaced, others kept. An empty table gives no rows.
     Removed words are counted where lines are, so texts take part in a join only if the cleaned text
-    is asked for.
+    is asked for; lines and documents that very many rows share are dealt out over many tasks.
     """
     whole = common.text_or_empty(text)
     made = counts(F.col(text))
     added = {*made, "base_failed", "kept", "n_kept_words", cleaned}
     rows = docs.drop(*[c for c in docs.columns if c.lower() in added and c not in (text, host)])
-    found = frequent_lines(docs.select(*dict.fromkeys([text, host])), text, host, **limits)
-    key, here = F.md5(whole), F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
-    rows = rows.withColumns(made | {"key_": key, "here_": here})
-    rows = rows.join(found, (F.col("here_") == F.col("host_")) & (F.col("key_") == F.col("doc_")), "left").drop("host_", "doc_", "here_", "key_")
+    found, hot = frequent_lines(docs.select(*dict.fromkeys([text, host])), text, host, **limits)
+    key, here, lines, lost = (common.free_name(rows, x) for x in ("key", "here", "lines", "lost"))
+    rows = rows.withColumns(made | {key: F.md5(whole), here: F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))})
+    found = found.select(F.col("host").alias(here), F.col("doc").alias(key), F.col("lines").alias(lines), F.col("lost").alias(lost))
+    rows = common.even_join(rows, found, [here, key], hot.select(F.col("host").alias(here), F.col("doc").alias(key), "salts_"), "left").drop(here, key)
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    rest = F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains(F.col("lines_"), line_hash(x)))
-    some = F.col("lines_").isNotNull()
-    rows = rows.withColumns({"n_kept_words": F.col("n_words") - F.coalesce("lost_", F.lit(0)), cleaned: F.when(some, F.array_join(rest, "\n")).otherwise(whole)})
+    rest = F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains(F.col(lines), line_hash(x)))
+    rows = rows.withColumns({"n_kept_words": F.col("n_words") - F.coalesce(lost, F.lit(0)), cleaned: F.when(F.col(lines).isNotNull(), F.array_join(rest, "\n")).otherwise(whole)})
     verdict = ~F.col("base_failed") & (F.col("n_kept_words") >= F.col("n_words") * F.lit(least_kept))
-    return rows.withColumn("kept", verdict).drop("lines_", "lost_")
+    return rows.withColumn("kept", verdict).drop(lines, lost)

@@ -48,7 +48,7 @@ g AS (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS g FROM (SELECT doc_i
 h AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
 q AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(generate_series(k, k + 7)) AS i FROM h WHERE c > 1) GROUP BY 1),
 l AS (SELECT doc_id, source, text, x, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(x, '{WORD}')) AS nw FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{WORD}')),
-f AS (SELECT source, line FROM l GROUP BY source, line HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.2 * (SELECT count(DISTINCT text) FROM documents z WHERE z.source IS NOT DISTINCT FROM l.source)),
+f AS (SELECT source, line FROM l GROUP BY source, line HAVING count(DISTINCT text) > 20),
 z AS (SELECT l.doc_id, count(*) - count(DISTINCT x) AS dup, CAST(sum(CASE WHEN f.line IS NOT NULL THEN nw ELSE 0 END) AS BIGINT) AS lost FROM l LEFT JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY 1),
 b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(q.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost FROM d LEFT JOIN q ON d.doc_id = q.doc_id LEFT JOIN z ON d.doc_id = z.doc_id),
 r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
