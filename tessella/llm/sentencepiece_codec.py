@@ -28,10 +28,14 @@ from tessella.llm import common
 
 MARK = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Texts that models of other types, normalisers or user-defined symbols are told by.
+PROBES = ("", " ", "  a  b ", "a\tb\n\nc", "ﬁ① ½ Ａ", "e\u0301 é", "\u3000x\u00a0y", "the international thing", "12345 x2", "▁a", "\x00", "<s> </s> <unk>")
+#: Characters of a text to split into words at once.
+PIECE = 1 << 20
 
 
 class Codec:
-    """Encoder and decoder of one model (type BPE, identity normaliser, byte fallback).
+    """Encoder and decoder of one model (type BPE, identity normaliser, byte fallback; others are refused).
 
     ``memory``: distinct text parts and piece pairs to remember at most; only speed depends on it.
     """
@@ -92,6 +96,10 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}  # by finer parts
         self.fits: dict[int, bool] = {}
         self.names = [str(i) for i in range(n)]
+        some = [sp.decode([i]) for i in [*range(min(n, 300)), *range(300, n, 61)]]
+        for text in [*PROBES, *some, *(a + b for a, b in zip(some, some[1:], strict=False))]:
+            if self.encode(text) != sp.encode(text):
+                raise ValueError(f"not a model of the supported kind: {text[:40]!r} is encoded otherwise")
 
     def merged(self, text: str) -> list[str]:
         """The merge rule itself, for short texts: join the adjacent two whose union scores highest, leftmost first."""
@@ -191,8 +199,13 @@ class Codec:
             return []
         plain = text.replace(MARK, " ")
         if self.prefix and "  " not in plain and plain[0] != " " and plain[-1] != " ":
-            words = self.words
-            return list(chain.from_iterable([words.get(w) or self.word_ids(w) for w in plain.split(" ")]))
+            words, out, at = self.words, [], 0
+            while at >= 0:
+                cut = plain.find(" ", at + PIECE)
+                own = plain[at : cut if cut >= 0 else None]
+                out.extend(chain.from_iterable([words.get(w) or self.word_ids(w) for w in own.split(" ")]))
+                at = cut + 1 if cut >= 0 else -1
+            return out
         return list(chain.from_iterable([self.part_ids(p) for p in self.parts((" " if self.prefix else "") + plain)]))
 
     def decode(self, ids: Iterable[int]) -> str:
