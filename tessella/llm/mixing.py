@@ -134,4 +134,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(digest).orderBy(F.lit(1))))
     rows = rows.join(plan, rows[digest] == plan[made])
     copies = F.size(F.filter(F.col(counts), lambda c: c >= F.col(nth)))
-    return rows.withColumn(made, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*docs.columns)
+    return rows.withColumn(made, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*[common.quoted(c) for c in docs.columns])
