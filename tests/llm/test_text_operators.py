@@ -38,6 +38,30 @@ def test_codec_is_the_library(codec):
         assert codec.decode(ids) == sp.decode(ids), ids
 
 
+def test_long_texts_are_encoded_in_pieces(codec, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["the", "thing", "été\n", "x" * 70, "1234", "汉字"]) for _ in range(300_000))
+    want = sp.encode(text)
+    assert codec.encode(text) == want
+    monkeypatch.setattr(sentencepiece_codec, "PIECE", 1000)
+    assert codec.encode(text) == want
+
+
+def test_other_models_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Other(sentencepiece.SentencePieceProcessor):
+        def encode(self, text, **options):  # as a normaliser would
+            return super().encode(text.replace("ﬁ", "fi"), **options)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Other)
+    with pytest.raises(ValueError, match="supported kind"):
+        sentencepiece_codec.Codec(sentencepiece_codec.read_model(vocabulary("piece_bpe_32k.model")))
+
+
 def test_backtracking_steps_back():
     """A toy vocabulary where the longest first piece leads nowhere."""
     c = object.__new__(sentencepiece_codec.Codec)
@@ -142,6 +166,30 @@ def test_warc_reads_other_members_and_skips_false_magic(tmp_path):
     assert [at for at, _ in got] == [len(noise), len(noise + inner + stored)]
 
 
+def test_warc_members_inside_stored_members(tmp_path):
+    """Splits that start inside a payload don't take what it holds for records, and all split sizes agree."""
+    rng = random.Random(6)
+    small = lambda k: warc.member(warc.record("response", f"urn:{k}", None, "u", "d", "0", rng.randbytes(rng.randint(0, 400)), 0))
+    outer = lambda k: warc.member(warc.record("response", f"urn:{k}", None, "u", "d", "0", b"x" * 3000 + b"".join(small(f"no-{j}") for j in range(3)) + b"y" * 2000, 0), level=0)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(outer(k) if k % 3 == 1 else small(k) for k in range(40)))
+    size = path.stat().st_size
+    with open(path, "rb") as f:
+        whole = [(at, x["warc-record-id"]) for at, x in warc.records(f, 0, size, size)]
+        assert [k for _, k in whole] == [f"<urn:{k}>" for k in range(40)]
+        for step in (1000, 3500, 20000):
+            got = [(at, x["warc-record-id"]) for a in range(0, size, step) for at, x in warc.records(f, a, min(a + step, size), size)]
+            assert got == whole
+
+
+def test_warc_long_member(tmp_path):
+    body = random.Random(7).randbytes(24 << 20)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(warc.member(warc.record("response", "urn:x", None, "u", "d", "0", body, len(body)), level=1))
+    with open(path, "rb") as f:
+        assert [x["block"].endswith(body) for _, x in warc.records(f, 0, path.stat().st_size, path.stat().st_size)] == [True]
+
+
 def test_warc_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write(pages, f"file://{tmp_path}/w") == [] and warc.read(spark, []).count() == 0
@@ -164,6 +212,17 @@ def test_token_files(spark, tmp_path):
         at += r.n_tokens
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "x <|endoftext|> y", "<|endoftext|>a b", "a b<|endoftext|>", "<|endoftext|", "a <|endoftext|><|endoftext|>\n b <|endoftext |>"])
+def test_special_strings_are_the_library_s(text):
+    from tokenizers import Tokenizer
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        c = token_files.WordCache(f.read())
+    tk = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    for _ in range(2):  # the second time from its tables
+        assert [np.frombuffer(x, "<u4").tolist() for x in c.encode([text, "plain words here", text])] == [tk.encode(t, add_special_tokens=False).ids for t in (text, "plain words here", text)]
+
+
 def test_token_file_layout(spark, tmp_path):
     import pyarrow as pa
 
@@ -199,6 +258,29 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, *(max(fits)[1:] if fits else (None, "allow"))), u
 
 
+def test_url_rules_clashing_names_and_letters(spark):
+    pages = spark.createDataFrame([(1, "http://É.com/x", 1, 2, 3, 4, 5), (2, "http://É.COM/x", 1, 2, 3, 4, 5), (3, "http://é.com/x", 1, 2, 3, 4, 5)], "page_id long, url string, best int, host_ int, start int, salt_ int, `n.n` int")
+    rules = spark.createDataFrame([("É.COM", "/", "block"), (None, "/", "block"), ("", None, "block")], "host string, path string, verdict string")
+    got = url_filter.judge(pages, rules)
+    assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    assert {(r.page_id, r.rule, r.verdict, r.best, r.salt_) for r in got.collect()} == {(1, "É.com/", "block", 1, 4), (2, "É.com/", "block", 1, 4), (3, None, "allow", 1, 4)}
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    from tessella.llm import common
+
+    monkeypatch.setattr(common, "PARTS", 8)
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(600)] + [(None, 1)], "k long, v long")
+    counts = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = common.hot_keys(counts, ["k"])
+    assert {r.k: r.salts_ for r in hot.collect()} == {1: 6}
+    side = counts.select("k", F.col("n").alias("w"))
+    for how, n in (("inner", 600), ("left", 601), ("left_semi", 600)):
+        got = common.even_join(rows, side, ["k"], hot, how)
+        assert got.columns == ["k", "v", "w"][: 3 if how != "left_semi" else 2] and got.count() == n
+    assert common.hot_keys(counts.limit(0), ["k"]).count() == 0
+
+
 def test_url_rules_without_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string")
