@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.frames import numbered
 from tessella.functions.hashing import seeded_int
 
 
@@ -15,11 +16,11 @@ def draws(groups: DataFrame, replicates: int, seed: int = 0, unit: str = "unit")
     the unit whose number is a hash of seed, b and k. ``groups`` has a row a unit; units, not rows,
     are drawn, so all rows of a unit move together.
     """
-    numbered = groups.select(unit).distinct().withColumn("at", F.row_number().over(Window.orderBy(unit)) - 1)
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    grid = n.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    taken = grid.select("b", (seeded_int(seed, "b", "k") % F.col("n")).alias("at")).groupBy("b", "at").agg(F.count(F.lit(1)).alias("weight"))
-    return taken.join(numbered, "at").select("b", unit, "weight")
+    units = numbered(groups.select(unit).distinct(), [F.col(unit)], "at")
+    n = units.count()
+    grid = groups.sparkSession.range(replicates * n).select((F.floor(F.col("id") / F.lit(max(n, 1))) + 1).cast("int").alias("b"), (F.col("id") % max(n, 1) + 1).alias("k"))
+    taken = grid.select("b", (seeded_int(seed, "b", "k") % n).alias("at")).groupBy("b", "at").agg(F.count(F.lit(1)).alias("weight"))
+    return taken.join(units, "at").select("b", unit, "weight")
 
 
 def bootstrap_rate(df: DataFrame, unit: str, value: str, groups: list[str], replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:

@@ -45,6 +45,19 @@ def average_precision(df: DataFrame, groups: Groups, score: str = "score", targe
     return rows.groupBy(*groups).agg((F.sum(hit * F.col("precision")) / F.nullif(F.sum(hit), F.lit(0.0))).alias("average_precision"))
 
 
+def cumulative_precision(df: DataFrame, groups: Groups, score: str = "score", target: str = "target", tie: str = "row_id") -> DataFrame:
+    """``df`` (rows without a score or target left out) with rank and precision down to it, best first."""
+    over = Window.partitionBy(*groups).orderBy(F.col(score).desc(), tie)
+    hits = F.sum((F.col(target) == 1).cast("double")).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    return defined(df, score, target).withColumn("rank", F.row_number().over(over)).withColumn("precision", hits / F.col("rank"))
+
+
+def micro_auroc(df: DataFrame, mask: str = "mask", **names) -> DataFrame:
+    """AUROC over the unmasked rows of all labels together, in one row."""
+    rows = df.where(F.col(mask)).withColumn("all_", F.lit(1))
+    return auroc(rows, ["all_"], **names).select(F.col("auroc").alias("micro_auroc"))
+
+
 def brier(df: DataFrame, groups: Groups, score: str = "score", target: str = "target") -> DataFrame:
     return defined(df, score, target).groupBy(*groups).agg(F.avg(F.pow(F.col(score) - F.col(target), 2)).alias("brier"))
 

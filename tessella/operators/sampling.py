@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.frames import numbered
 from tessella.functions.hashing import seeded
 
 
@@ -36,8 +39,8 @@ def split_share(df: DataFrame, share: float, key: str, seed: object = 0, by: lis
 
 def folds(df: DataFrame, k: int, key: str, seed: object = 0) -> DataFrame:
     """Distinct keys dealt to k folds in hash order."""
-    keys = df.select(key).distinct()
-    return keys.withColumn("fold", ((F.row_number().over(Window.orderBy(seeded(seed, key), key)) - 1) % k).cast("bigint"))
+    rows = numbered(df.select(key).distinct(), [seeded(seed, key), F.col(key)], "fold")
+    return rows.withColumn("fold", (F.col("fold") % k).cast("bigint"))
 
 
 def bootstrap_contexts(df: DataFrame, replicates: int, share: float, key: str, by: str, seed: object = 0) -> DataFrame:
@@ -99,8 +102,8 @@ def stratified_groups(groups: DataFrame, shares: dict[str, float] = SPLITS, by:
 
 def contiguous_groups(groups: DataFrame, shares: dict[str, float] = SPLITS, key: str = "group_id", seed: object = 0) -> DataFrame:
     """Unstratified: hash order cut at floors of the shares, the rest to the last split."""
-    n = groups.select(key).distinct().agg(F.count(F.lit(1)).alias("n_"))
-    rows = groups.select(key).distinct().withColumn("r_", F.row_number().over(Window.orderBy(seeded(seed, key), key)) - 1).crossJoin(F.broadcast(n))
+    rows = numbered(groups.select(key).distinct(), [seeded(seed, key), F.col(key)], "r_")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_"))))
     at, case = F.lit(0).cast("bigint"), None
     for name, share in list(shares.items())[:-1]:
         at = at + F.floor(F.col("n_") * share + 1e-9)
@@ -122,58 +125,44 @@ def feasibility(counts: DataFrame, least: dict[str, int], shares: dict[str, floa
     return rows.select(by, "split", "groups", "least", (F.col("groups") >= F.col("least")).alias("feasible"), F.greatest(F.col("least") - F.col("groups"), F.lit(0)).cast("bigint").alias("short"))
 
 
-def greedy_multilabel(vectors: list[tuple], shares: dict[str, float], n_labels: int) -> dict:
-    """Iterative multilabel allocation on the driver over per-group label vectors (bounded by the number of groups).
-
-    Rarest needed label first: its groups, largest vectors first, each go to the split with the
-    greatest lack of that label, then of groups. Returns group to split.
-    """
-    names = list(shares)
-    need = {s: [shares[s] * sum(v[k] for _, v in vectors) for k in range(n_labels)] for s in names}
-    room = {s: shares[s] * len(vectors) for s in names}
-    left, out = sorted(vectors), {}
-    while left:
-        totals = [sum(v[k] for _, v in left) for k in range(n_labels)]
-        some = [k for k in range(n_labels) if totals[k]]
-        k = min(some, key=lambda k: (totals[k], k)) if some else None
-        group, v = min((x for x in left if k is None or x[1][k]), key=lambda x: (-sum(x[1]), x[0]))
-        s = max(names, key=lambda s: (need[s][k] if k is not None else 0, room[s], -names.index(s)))
-        out[group] = s
-        room[s] -= 1
-        need[s] = [a - b for a, b in zip(need[s], v, strict=True)]
-        left.remove((group, v))
-    return out
-
-
-def greedy_counts(counts: dict[tuple, int], shares: dict[str, float]) -> dict[tuple, int]:
-    """``greedy_multilabel`` over distinct vectors and how many groups have each; returns (vector, split) to the number of groups.
+def greedy_counts(counts: dict[tuple, int], shares: dict[str, float], seed: object = 0) -> dict[tuple, int]:
+    """Multi-label allocation over distinct vectors and how many groups have each; returns (vector, split) to the number of groups.
 
-    Groups with equal vectors are alike to the heuristic; of vectors of a size the lower one goes first.
+    A vector's places are signals to balance: positives of each label, and confident negatives
+    where they are given too. Vectors with the rarest signal come first, of these the largest,
+    then by a seeded hash. Each group goes to the split with room whose lack is greatest: the sum
+    over its signals of the share of the split's own target that is still to come, so that small
+    splits aren't starved; then by the share of room, then in the order of splits. Groups with
+    equal vectors are alike, so a step takes a group's time but a vector's memory (driver).
     """
-    names, left, out = list(shares), dict(sorted(counts.items())), {}
-    n_labels = len(next(iter(left), ()))
-    totals = [sum(n * v[k] for v, n in left.items()) for k in range(n_labels)]
-    need = {s: [shares[s] * x for x in totals] for s in names}
-    room = {s: shares[s] * sum(left.values()) for s in names}
-    while left:
-        some = [k for k in range(n_labels) if totals[k]]
-        k = min(some, key=lambda k: (totals[k], k)) if some else None
-        v = min((x for x in left if k is None or x[k]), key=lambda x: (-sum(x), x))
-        s = max(names, key=lambda s: (need[s][k] if k is not None else 0, room[s], -names.index(s)))
-        out[v, s] = out.get((v, s), 0) + 1
-        room[s] -= 1
-        need[s] = [a - b for a, b in zip(need[s], v, strict=True)]
-        totals = [a - b for a, b in zip(totals, v, strict=True)]
-        left[v] -= 1
-        if not left[v]:
-            del left[v]
+    names, total = list(shares), sum(counts.values())
+    room = {s: int(total * p) for s, p in shares.items()}
+    room[max(names, key=shares.get)] += total - sum(room.values())
+    size = {s: max(n, 1) for s, n in room.items()}
+    signals = range(len(next(iter(counts), ())))
+    totals = [sum(n * v[j] for v, n in counts.items()) for j in signals]
+    target = {s: [max(shares[s] * t, 1e-9) for t in totals] for s in names}
+    have = {s: [0] * len(totals) for s in names}
+    out: dict[tuple, int] = {}
+    digest = lambda v: hashlib.sha256(f"{seed}:{v}".encode()).hexdigest()
+    rarest = lambda v: min((totals[j] for j in signals if v[j]), default=total + 1)
+    for v in sorted(counts, key=lambda v: (rarest(v), -sum(v), digest(v))):
+        own = [j for j in signals if v[j]]
+        lack = lambda s, own=own: round(sum(max(0.0, 1 - have[s][j] / target[s][j]) for j in own), 9)
+        for _ in range(counts[v]):
+            s = max((s for s in names if room[s]), key=lambda s: (lack(s), room[s] / size[s], -names.index(s)))
+            out[v, s] = out.get((v, s), 0) + 1
+            room[s] -= 1
+            for j in own:
+                have[s][j] += 1
     return out
 
 
 def multilabel_groups(groups: DataFrame, kinds: list[str], shares: dict[str, float] = SPLITS, key: str = "group_id", seed: object = 0) -> DataFrame:
     """A split for each group by ``greedy_counts``: distinct vectors come to the driver, groups of a vector are dealt in hash order."""
     plan, begin = [], {}
-    for (v, s), n in greedy_counts({tuple(r[:-1]): r[-1] for r in groups.groupBy(*kinds).agg(F.count(F.lit(1))).collect()}, shares).items():
+    # as many as there are distinct vectors
+    for (v, s), n in greedy_counts({tuple(r[:-1]): r[-1] for r in groups.groupBy(*kinds).agg(F.count(F.lit(1))).collect()}, shares, seed).items():
         plan.append((*v, s, begin.get(v, 0), begin.get(v, 0) + n))
         begin[v] = begin.get(v, 0) + n
     plan = groups.sparkSession.createDataFrame(plan, ", ".join(f"{k} int" for k in kinds) + ", split string, begin long, end long")
@@ -187,6 +176,28 @@ def multilabel_groups(groups: DataFrame, kinds: list[str], shares: dict[str, flo
     return rows.join(F.broadcast(plan), kinds).where((F.col("r_") >= F.col("begin")) & (F.col("r_") < F.col("end"))).select(key, "split")
 
 
+def fraction_proposal(support: DataFrame, shares: dict[str, float], total: int, least_positive: int, least_negative: int, donor: str) -> DataFrame:
+    """(split, share, factor, proposed, more_groups) for splits whose support (split, label, positives, negatives) fails, and the donor's row.
+
+    The factor would lift the label that lacks most to the minimum; what the others need is
+    taken from the donor. A proposal only: nothing is changed.
+    """
+    ratio = lambda have, least: F.when(F.col(have) < least, F.lit(least) / F.greatest(F.col(have), F.lit(1))).otherwise(1.0)
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("split"))
+    worst = F.max(F.greatest(ratio("positives", least_positive), ratio("negatives", least_negative)))
+    failing = support.groupBy("split").agg(worst.alias("factor")).where("factor > 1").withColumn("share", share)
+    rows = failing.withColumn("whole", F.least(F.lit(1.0), F.col("share") * F.col("factor")))
+    rows = rows.select("split", "share", F.round("factor", 3).alias("factor"), F.round("whole", 4).alias("proposed"), F.floor(total * (F.col("whole") - F.col("share")) + 1e-9).cast("bigint").alias("more_groups"))
+    lost = rows.agg(F.coalesce(F.sum("more_groups"), F.lit(0)).alias("n"))
+    return rows.unionByName(lost.select(F.lit(donor).alias("split"), F.lit(shares[donor]).alias("share"), F.lit(None).cast("double").alias("factor"), F.round(shares[donor] - F.col("n") / max(total, 1), 4).alias("proposed"), (-F.col("n")).alias("more_groups")))
+
+
+def heads(rows: DataFrame, by: str, order: list[str], n: int, key: str) -> DataFrame:
+    """Keys of the first n rows of each label (rows: one a key and label), and of the first n keys of all, each once."""
+    each = rows.withColumn("r_", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("r_") <= n).select(key)
+    return each.unionByName(rows.groupBy(key).agg(F.min(F.struct(*order)).alias("o_")).orderBy("o_").limit(n).select(key)).distinct()
+
+
 def first_of_vectors(groups: DataFrame, kinds: list[str], n: int, key: str = "group_id") -> tuple[list[tuple], list[int]]:
     """The first n groups of each vector and the labels' totals over all groups.
 

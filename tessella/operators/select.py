@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.frames import quantile_row, quantiles
 from tessella.functions.hashing import seeded
+from tessella.operators.labels import require_empty
 
 
 def fail_closed(pool: DataFrame, flags: DataFrame, key: str = "image_id") -> DataFrame:
@@ -21,7 +23,8 @@ def fail_closed(pool: DataFrame, flags: DataFrame, key: str = "image_id") -> Dat
 def fit_features(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row of statistics: median for gaps, mean and population deviation after filling; infinite counts as missing, no spread as 1."""
     finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double"))  # noqa: E731  also drops NaN
-    medians = df.agg(*[F.coalesce(F.percentile(finite(c), F.lit(0.5)), F.lit(0.0)).alias(f"{c}_median") for c in columns])
+    medians = quantile_row(df, {f"{c}_median": (finite(c), 0.5) for c in columns})
+    medians = medians.select(*[F.coalesce(m, F.lit(0.0)).alias(m) for m in medians.columns])
     filled = df.crossJoin(F.broadcast(medians)).select(*[F.coalesce(finite(c), F.col(f"{c}_median")).alias(c) for c in columns])  # one row
     moments = filled.agg(*[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0).alias(f"{c}_std") for c in columns])
     return medians.crossJoin(F.broadcast(moments))
@@ -51,7 +54,7 @@ def normalised(df: DataFrame, value: str, by: list[str] = (), constant: float =
 
 def winsorised(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """``df`` with clipped and standardised targets."""
-    q = df.agg(F.percentile(value, F.lit(low)).alias("lo_"), F.percentile(value, F.lit(high)).alias("hi_"))
+    q = quantile_row(df, {"lo_": (value, low), "hi_": (value, high)})
     rows = df.crossJoin(F.broadcast(q)).withColumn("clipped", F.greatest("lo_", F.least("hi_", F.col(value))))
     m = rows.agg(F.avg("clipped").alias("m_"), F.stddev_pop("clipped").alias("s_"))
     return rows.crossJoin(F.broadcast(m)).withColumn("standardised", F.coalesce((F.col("clipped") - F.col("m_")) / F.nullif("s_", F.lit(0.0)), F.lit(0.0))).drop("lo_", "hi_", "m_", "s_")
@@ -77,15 +80,20 @@ def weight_grid(spark, names: list[str], levels: tuple[float, ...] = (0.0, 0.5,
     return rows.where(total > 0).withColumn("priority", kind).withColumn("position", F.row_number().over(Window.orderBy("priority", *[F.col(n).desc() for n in names])))
 
 
+def soft_gate(score: Column, threshold: float, temperature: float) -> Column:
+    """A logistic step at the threshold."""
+    return 1 / (1 + F.exp(-(score - threshold) / temperature))
+
+
 def pooled_floor(df: DataFrame, p: float, score: str = "score") -> DataFrame:
     """Rows at or above one percentile of all scores."""
-    cut = df.agg(F.percentile(score, F.lit(p)).alias("floor"))
+    cut = quantile_row(df, {"floor": (score, p)})
     return df.crossJoin(F.broadcast(cut)).where(F.col(score) >= F.col("floor"))
 
 
 def class_floor(df: DataFrame, p: float, score: str = "score", by: str = "dx") -> DataFrame:
     """Rows at or above their own class's percentile."""
-    return df.join(df.groupBy(by).agg(F.percentile(score, F.lit(p)).alias("floor")), by).where(F.col(score) >= F.col("floor"))
+    return df.join(quantiles(df, score, [p], [by]).select(by, F.col("v").alias("floor")), by).where(F.col(score) >= F.col("floor"))
 
 
 def top_k(df: DataFrame, k: Column | int, score: str = "score", by: str | list[str] = "dx", key: str = "image_id") -> DataFrame:
@@ -197,7 +205,7 @@ def random_matched(pool: DataFrame, targets: DataFrame, seed: int, by: str = "dx
 def select_with_reasons(pool: DataFrame, flags: DataFrame, floor: float = 0.25, quota: int = 40, bonus: float = 0.05) -> DataFrame:
     """Pooled floor, near duplicates out, a bonus for the middle band, a quota a label; each row with its reason."""
     rows = pool.join(flags.select("image_id", "duplicate"), "image_id", "left")
-    cut = pool.agg(F.percentile("score", F.lit(floor)).alias("floor"))
+    cut = quantile_row(pool, {"floor": ("score", floor)})
     rows = rows.crossJoin(F.broadcast(cut)).withColumn("adjusted", F.col("score") + F.when(F.col("score").between(0.4, 0.6), bonus).otherwise(0.0))
     first = F.when(F.col("score") < F.col("floor"), "below_floor").when(F.coalesce("duplicate", F.lit(False)), "near_duplicate")
     rows = rows.withColumn("reason", first)
@@ -206,6 +214,60 @@ def select_with_reasons(pool: DataFrame, flags: DataFrame, floor: float = 0.25,
     return rows.withColumn("rank_", rank).select("image_id", "dx", "adjusted", F.coalesce("reason", F.when(F.col("rank_") > quota, "over_quota"), F.lit("selected")).alias("reason"))
 
 
+def hard_grid(candidates: DataFrame, grid: list[float], weight: float, most: int, least: int = 0, by: str = "context_id", key: str = "image_id", score: str = "score", utility: str = "utility") -> DataFrame:
+    """Thresholds of a grid for each context: how many candidates they select (``most`` at most, the best), their predicted utility (the mean of what is predicted for each), objective and rank.
+
+    The objective is the utility less ``weight`` times the selected share; a threshold that selects
+    nothing isn't a choice, and a context without any raises. Equal objectives go to the lower
+    threshold. Candidates meet the grid binned by the highest threshold that they reach.
+    """
+    over = Window.partitionBy(by).orderBy(F.col(score).desc(), key)
+    ranked = candidates.select(by, score, F.row_number().over(over).alias("selected"), F.avg(utility).over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("utility"))
+    at = F.size(F.filter(F.array(*[F.lit(float(t)) for t in sorted(grid)]), lambda t: t <= F.col(score)))  # thresholds that it reaches
+    reached = candidates.groupBy(by, at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    levels = reached.select(by).distinct().withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))))
+    upto = Window.partitionBy(by).orderBy(F.col("level").desc())
+    counts = levels.join(reached.select(by, F.col("at").alias("level"), "n"), [by, "level"], "left").withColumn("reached", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    sizes = candidates.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
+    threshold = F.element_at(F.array(*[F.lit(float(t)) for t in sorted(grid)]), F.col("level"))
+    rows = counts.where("reached > 0").select(by, threshold.alias("threshold"), F.least("reached", F.lit(most)).alias("selected"))
+    require_empty(sizes.join(rows, by, "left_anti").select(by), "contexts in which every threshold selects nothing")
+    rows = rows.join(ranked.where(F.col("selected") <= most).drop(score), [by, "selected"]).join(sizes, by)
+    rows = rows.withColumn("objective", F.col("utility") - weight * F.col("selected") / F.col("size"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.round("objective", 12).desc(), "threshold"))
+    return rows.select(by, "threshold", "selected", "utility", (F.col("selected") < least).alias("below_least"), place.cast("long").alias("rank"))
+
+
+#: Policies that can win, in the order in which thresholds are laid over each other.
+POLICIES = ("baseline", "pooled_half", "rarity_percentile", "measured_best", "network")
+
+
+def policy_thresholds(pool: DataFrame, policy: str, layers: dict[str, DataFrame], floor: int, score: str = "score", by: str = "dx", key: str = "image_id") -> DataFrame:
+    """(by, threshold) of a policy: each class's median, rarity-scaled percentiles lowered to admit ``floor`` rows a class, or the baseline with measured ones and the network's laid over it where they aren't null."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy}")
+    if policy == "pooled_half":
+        return quantiles(pool, score, [0.5], [by]).select(by, F.col("v").alias("threshold"))
+    if policy == "rarity_percentile":
+        counts = pool.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+        cuts = group_percentiles(pool, rarity_percentiles(counts), score, by).select(by, "threshold")
+        last = top_k(pool, floor, score, by, key).groupBy(by).agg(F.min(score).alias("last"))
+        return cuts.join(last, by).select(by, F.least("threshold", "last").alias("threshold"))
+    out = layers["baseline"].select(by, "threshold")
+    for name in ("measured_best", "network")[: POLICIES.index(policy) - 2 if policy != "baseline" else 0]:
+        out = out.join(layers[name].select(by, F.col("threshold").alias("next")), by, "left").select(by, F.coalesce("next", "threshold").alias("threshold"))
+    return out
+
+
+def finalise(pool: DataFrame, policy: str, layers: dict[str, DataFrame], floor: int = 1, score: str = "score", by: str = "dx", key: str = "image_id") -> DataFrame:
+    """(key, score, policy) that the winning policy's thresholds select; ValueError where that is nothing."""
+    cuts = policy_thresholds(pool, policy, layers, floor, score, by, key)
+    rows = pool.join(cuts, by).groupBy(key).agg(F.max(score).alias(score), F.min("threshold").alias("cut")).where(F.col(score) >= F.col("cut"))
+    if rows.isEmpty():
+        raise ValueError(f"{policy} selects nothing")
+    return rows.select(key, score, F.lit(policy).alias("policy"))
+
+
 def class_weights(df: DataFrame, by: str) -> DataFrame:
     """Inverse frequencies with mean 1."""
     n = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
@@ -223,3 +285,14 @@ def quotas_upper_median(counts: DataFrame, base: int, least: int, most: int) ->
     """Quota by prevalence, against the upper of the two middle values."""
     m = counts.agg(F.sort_array(F.collect_list("n")).alias("v")).select(F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("m_"))  # a value a class
     return counts.crossJoin(F.broadcast(m)).select("dx", "n", F.least(F.lit(most), F.greatest(F.lit(least), F.bround(base * F.col("m_") / F.greatest("n", F.lit(1)), 0))).cast("bigint").alias("quota"))
+
+
+def adaptive_report(pool: DataFrame, flags: DataFrame, counts: DataFrame, floor: float = 0.25, ratio: float = 0.5, least_target: int = 50, most_target: int = 1000, **options) -> DataFrame:
+    """What ``select_adaptive`` leaves of each class at each step: pool, safe, above_floor, selected, target, short of it, and whether the class is eliminated."""
+    safe = fail_closed(pool, flags).where("not unsafe").drop("unsafe", "reason")
+    above = pooled_floor(safe, floor).drop("floor")
+    chosen = select_adaptive(pool, flags, counts, floor, ratio, least_target, most_target, **options)
+    rows = ratio_targets(counts, ratio, least_target, most_target).select("dx", "target")
+    for name, df in (("pool", pool), ("safe", safe), ("above_floor", above), ("selected", chosen)):
+        rows = rows.join(df.groupBy("dx").agg(F.count(F.lit(1)).alias(name)), "dx", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return rows.withColumns({"short": F.greatest(F.col("target") - F.col("selected"), F.lit(0)), "eliminated": F.col("selected") == 0})

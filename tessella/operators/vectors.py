@@ -1,15 +1,21 @@
 """Similarity of vectors with class constraints.
 
-Pairs meet by class, an equi-join key, so work is the sum of squared class sizes; vectors are
-normalised once, before the join. Exact results are asked for, so nothing is approximated.
+Pairs meet by class, an equi-join key, in blocks of bounded size, as products of matrices; of
+these only what is asked for becomes rows. Exact results are asked for, so nothing is
+approximated, and work is the sum of squared class sizes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.frames import settled
+
 EPSILON = 1e-8
 
 
@@ -31,43 +37,158 @@ def with_units(df: DataFrame, vector: str) -> DataFrame:
     return d.withColumn(vector, F.zip_with(vector, F.array_repeat("norm_", F.size(vector)), lambda x, n: x / n)).drop("norm_")
 
 
-def similarities(candidates: DataFrame, references: DataFrame, key: str, by: str, vector: str, least_references: int = 25) -> DataFrame:
-    """(key, similarity, tier): every candidate with the references of its class, or with all where the class has too few."""
-    c = with_units(candidates.select(key, by, vector), vector)
-    r = with_units(references.select(F.col(key).alias("ref_"), F.col(by).alias("ref_class_"), F.col(vector).alias("ref_vector_")), "ref_vector_")
-    enough = r.groupBy("ref_class_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") >= least_references)
-    c = c.join(enough, F.col(by) == F.col("ref_class_"), "left").withColumn("tier", F.when(F.col("n_").isNotNull(), "same_class").otherwise("all")).drop("ref_class_", "n_")
-    # the fallback's references are dealt to a constant key of their own
-    same = c.where("tier = 'same_class'").join(r, F.col(by) == F.col("ref_class_"))
-    every = c.where("tier = 'all'").join(r)
-    pairs = same.select(key, "tier", "ref_", vector, "ref_vector_").unionByName(every.select(key, "tier", "ref_", vector, "ref_vector_"))
-    return pairs.select(key, "tier", "ref_", dot(vector, "ref_vector_").alias("similarity"))
-
-
-def knn_scores(pairs: DataFrame, key: str, k: int = 5, duplicate: float = 0.95) -> DataFrame:
-    """Mean, top, spread and gap of the k greatest similarities; novelty is the mean unless it is a near duplicate."""
-    top = pairs.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "ref_"))).where(F.col("r_") <= k)
-    s = F.col("similarity")
-    rows = top.groupBy(key).agg(F.first("tier").alias("tier"), F.avg(s).alias("knn_mean"), F.max(s).alias("top1"), (F.max(s) - F.min(s)).alias("topk_spread"), (F.max(s) - F.avg(F.when(F.col("r_") > 1, s))).alias("top1_gap"), F.count(F.lit(1)).alias("k_used"))
+#: Vectors to either side of a block, on average.
+BLOCK = 2048
+
+
+def blocks(left: DataFrame, right: DataFrame, work, schema: str) -> DataFrame:
+    """``work(a, b)`` over blocks of two tables (id, class_, v), so that each pair of one class meets in one block.
+
+    A class is cut into blocks by hash; each block of one side meets each of the other. ``work`` gets
+    two frames, ids in ``id`` and unit vectors, one a row, as a matrix. So a task holds two blocks,
+    however large a class is, and pairs are never rows.
+    """
+    sizes = lambda df, n: df.groupBy("class_").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(n))
+    plan = sizes(left, "n_").join(sizes(right, "m_"), "class_")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("id"), n)
+    one = left.join(plan, "class_").select("id", "class_", "v", place("n_").alias("i"), every("m_").alias("j"))
+    again = [F.col(c).alias(c) for c in ("id", "class_", "v")]  # the sides may be one table
+    two = right.join(plan, "class_").select(*again, every("n_").alias("i"), place("m_").alias("j"))
+
+    def matrix(frame: pd.DataFrame) -> np.ndarray:
+        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+        return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + EPSILON)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return work(a, matrix(a), b, matrix(b))
+
+    key = ["class_", "i", "j"]
+    return one.groupBy(*key).cogroup(two.groupBy(*key)).applyInPandas(run, schema)
+
+
+NEAREST = "id long, top array<double>, n_duplicates long, n_peers long"
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, duplicate: float, same: bool) -> DataFrame:
+    """For each of ``left`` (id, class_, v): its k greatest similarities to those of its class in ``right``, and how many there are, in all and from ``duplicate`` on.
+
+    ``same``: the sides are one table, and rows of equal id don't meet. Blocks return k values a row.
+    """
+
+    def work(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        s = x @ y.T
+        own = (a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]) & same
+        s[own] = -np.inf
+        top = np.partition(s, s.shape[1] - k, axis=1)[:, -k:] if s.shape[1] > k else s
+        top = [t[np.isfinite(t)] for t in -np.sort(-top, axis=1)]
+        return pd.DataFrame({"id": a["id"], "top": top, "n_duplicates": (s >= duplicate).sum(axis=1), "n_peers": s.shape[1] - own.sum(axis=1)})
+
+    each = blocks(left, right, work, NEAREST)
+    top = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k)
+    return each.groupBy("id").agg(top.alias("top"), F.sum("n_duplicates").alias("n_duplicates"), F.sum("n_peers").alias("n_peers"))
+
+
+def knn_scores(candidates: DataFrame, references: DataFrame, key: str, by: str, vector: str, k: int = 5, duplicate: float = 0.95, least_references: int = 25) -> DataFrame:
+    """Mean, top, spread and gap of a candidate's k greatest similarities to references of its class, or to all where the class has too few.
+
+    Novelty is the mean unless it is a near duplicate.
+    """
+    enough = references.groupBy(F.col(by).alias("class_")).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") >= least_references)
+    c = candidates.select(F.col(key).alias("id"), F.col(by).alias("class_"), F.col(vector).alias("v")).join(enough, "class_", "left")
+    # classes as arrays: a class of its own, empty, stands for all references
+    c = c.select("id", F.when(F.col("n_").isNotNull(), F.array("class_")).otherwise(F.array().cast(f"array<{candidates.schema[by].dataType.simpleString()}>")).alias("class_"), "v")
+    r = references.select(F.monotonically_increasing_id().alias("id"), F.array(by).alias("class_"), F.col(vector).alias("v"))
+    if not c.where("size(class_) = 0").isEmpty():
+        r = r.unionByName(r.withColumn("class_", F.slice("class_", 1, 0)))
+    top = nearest(c, r, k, duplicate, same=False).join(c.select("id", F.when(F.size("class_") > 0, "same_class").otherwise("all").alias("tier")), "id")
+    return top_scores(top, key, duplicate).join(top.select(F.col("id").alias(key), F.col("n_peers").alias("n_references")), key)
+
+
+def tiers(wanted: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """For each wanted label set (array), its tier and the reference sets it is compared with: (wanted, tier, refs; null refs for all).
+
+    The first of these with enough references: equal sets, sets of Jaccard similarity 0.5 or more,
+    sets that share a label; else all. ``sets``: labels, n. Distinct sets are paired by the labels
+    they share, and equal ones also where empty.
+    """
+    s = sets.select(F.col("labels").alias("ref"), "n")
+    shared = wanted.select("wanted", F.explode("wanted").alias("x")).join(s.select("ref", "n", F.explode("ref").alias("x")), "x").select("wanted", "ref", "n").distinct()
+    pairs = shared.unionByName(wanted.join(s, F.col("wanted") == F.col("ref")).where("size(wanted) = 0"))
+    pairs = pairs.withColumn("j", F.coalesce(F.size(F.array_intersect("wanted", "ref")) / F.nullif(F.size(F.array_union("wanted", "ref")), F.lit(0)), F.lit(1.0)))
+    level = F.when(F.col("wanted") == F.col("ref"), 1).when(F.col("j") >= 0.5, 2).otherwise(3)
+    pairs = pairs.withColumn("level", level)
+    held = lambda k: F.sum(F.when(F.col("level") <= k, F.col("n")))
+    first = F.when(held(1) >= least, 1).when(held(2) >= least, 2).when(held(3) >= least, 3)
+    got = pairs.groupBy("wanted").agg(first.alias("tier"), F.collect_list(F.struct("level", "ref")).alias("refs"))
+    refs = F.transform(F.filter("refs", lambda x: x["level"] <= F.col("tier")), lambda x: x["ref"])
+    return wanted.join(got.where("tier is not null").select("wanted", "tier", refs.alias("refs")), "wanted", "left").withColumn("tier", F.coalesce("tier", F.lit(4)))
+
+
+def tiered_scores(candidates: DataFrame, references: DataFrame, key: str, labels: str, vector: str, k: int = 5, duplicate: float = 0.95, collapsed: float = 0.1, least_references: int = 5) -> DataFrame:
+    """``knn_scores`` for label sets (sorted arrays): references by tier (see ``tiers``), their number, and whether a near duplicate stands out from the other neighbours.
+
+    Candidates of one label set are a class; its references are repeated for each set that uses
+    them, and once for all sets that use all.
+    """
+    plan = settled(tiers(candidates.select(F.col(labels).alias("wanted")).distinct(), references.groupBy(F.col(labels).alias("labels")).agg(F.count(F.lit(1)).alias("n")), least_references))
+    some = F.when(F.col("tier") < 4, F.array("wanted"))
+    every = F.array().cast("array<array<string>>")
+    c = candidates.select(F.col(key).alias("id"), F.col(labels).alias("wanted"), F.col(vector).alias("v")).join(plan.select("wanted", "tier"), "wanted")
+    c = c.select("id", F.coalesce(some, every).alias("class_"), "v", "tier")
+    r = references.select(F.monotonically_increasing_id().alias("id"), F.col(labels).alias("ref"), F.col(vector).alias("v"))
+    own = plan.where("tier < 4").select(F.array("wanted").alias("class_"), F.explode("refs").alias("ref"))
+    met = r.join(own, "ref").select("id", "class_", "v")
+    if not plan.where("tier = 4").isEmpty():
+        met = met.unionByName(r.select("id", every.alias("class_"), "v"))
+    top = nearest(c.drop("tier"), met, k, duplicate, same=False).join(c.select("id", F.concat(F.lit("tier"), "tier").alias("tier")), "id")
+    rows = top_scores(top, key, duplicate).join(top.select(F.col("id").alias(key), F.col("n_peers").alias("n_references")), key)
+    gap = F.coalesce("top1_gap", F.lit(0.0))
+    return rows.withColumns({"top1_gap": gap, "collapsed": F.col("is_near_duplicate") & (gap >= collapsed)})
+
+
+def top_scores(top: DataFrame, key: str, duplicate: float) -> DataFrame:
+    """Statistics of (id, tier, top), the greatest similarities in falling order."""
+    first, n = F.get("top", F.lit(0)), F.size("top")
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(a), F.lit(0))
+    rows = top.where(n > 0).select(F.col("id").alias(key), "tier", mean("top").alias("knn_mean"), first.alias("top1"), (first - F.get("top", n - 1)).alias("topk_spread"), (first - mean(F.slice("top", F.lit(2), n))).alias("top1_gap"), n.cast("long").alias("k_used"))
     twin = F.col("top1") >= duplicate
     return rows.withColumns({"is_near_duplicate": twin, "novelty": F.when(twin, 0.0).otherwise(F.col("knn_mean"))})
 
 
 def distinctiveness(df: DataFrame, key: str, by: str, vector: str, k: int = 5, duplicate: float = 0.95) -> DataFrame:
     """1 minus the mean of the k greatest similarities to peers of the class, itself left out; NULL without peers."""
-    u = with_units(df.select(key, by, vector), vector)
-    p = u.select(F.col(key).alias("ref_"), F.col(by).alias("b_"), F.col(vector).alias("v_"))
-    pairs = u.join(p, (F.col(by) == F.col("b_")) & (F.col(key) != F.col("ref_"))).select(key, "ref_", dot(vector, "v_").alias("similarity"))
-    ranked = pairs.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "ref_")))
-    s = F.col("similarity")
-    got = ranked.groupBy(key).agg((1 - F.avg(F.when(F.col("r_") <= k, s))).alias("score"), F.max(s).alias("max_similarity"), F.count_if(s >= duplicate).alias("n_duplicates"), F.count(F.lit(1)).alias("n_peers"))
+    rows = df.select(F.col(key).alias("id"), F.col(by).alias("class_"), F.col(vector).alias("v"))
+    got = nearest(rows, rows, k, duplicate, same=True)
+    mean = F.aggregate("top", F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size("top"), F.lit(0))
+    got = got.select(F.col("id").alias(key), (1 - mean).alias("score"), F.get("top", F.lit(0)).alias("max_similarity"), "n_duplicates", "n_peers")
     return df.select(key, by).join(got, key, "left").withColumns({"is_undefined": F.col("score").isNull(), "n_duplicates": F.coalesce("n_duplicates", F.lit(0)), "n_peers": F.coalesce("n_peers", F.lit(0))})
 
 
 def duplicate_edges(df: DataFrame, key: str, by: str, vector: str, limit: float) -> DataFrame:
-    u = with_units(df.select(key, by, vector), vector)
-    p = u.select(F.col(key).alias("b"), F.col(by).alias("b_"), F.col(vector).alias("v_"))
-    return u.withColumnRenamed(key, "a").join(p, (F.col(by) == F.col("b_")) & (F.col("a") < F.col("b"))).where(dot(vector, "v_") >= limit).select("a", "b")
+    """Links (a, b) that connect all rows of a class whose similarity is ``limit`` or more, directly or by others: of each block a forest, not all pairs."""
+    rows = df.select(F.col(key).alias("id"), F.col(by).alias("class_"), F.col(vector).alias("v"))
+
+    def work(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        left, right = a["id"].tolist(), b["id"].tolist()
+        hits, parent, out = (x @ y.T) >= limit, {}, []
+
+        def root(z: int) -> int:
+            while (up := parent.setdefault(z, z)) != z:
+                parent[z] = z = parent[up]
+            return z
+
+        for i, own in enumerate(left):
+            for j in np.flatnonzero(hits[i]).tolist():
+                p, q = root(own), root(right[j])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((own, right[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return blocks(rows, rows, work, "a long, b long")
 
 
 def clusters(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -76,18 +197,13 @@ def clusters(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Labels are passed along edges and along labels (each node takes its label's label), so rounds
     grow with the logarithm of the diameter; each round is checkpointed.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
-    if not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        edges.sparkSession.sparkContext.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
-    labels = labels.checkpoint()
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
     for _ in range(most_rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
         of = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = step.join(of, "new").select("node", F.least("new", "far").alias("label"), "old").checkpoint()
+        step = settled(step.join(of, "new").select("node", F.least("new", "far").alias("label"), "old"))
         changed = step.where("label <> old").limit(1).count()
         labels = step.select("node", "label")
         if not changed:
@@ -96,16 +212,23 @@ def clusters(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean, covariance (sample) and count: sums by coordinate pair in Spark, a d x d table on the driver."""
-    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    pairs = rows.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y"))
-    got = pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.sum("x").alias("sx"), F.count(F.lit(1)).alias("n")).collect()
-    d, n = max(r.i for r in got) + 1, got[0].n
-    s, m = np.zeros((d, d)), np.zeros(d)
-    for r in got:
-        s[r.i, r.j] = r.s
-        m[r.i] = r.sx / n
-    return m, (s - n * np.outer(m, m)) / (n - 1), n
+    """Mean, covariance (sample) and count: each task adds up the products of its batches, the d x d tables of the tasks are added on the driver."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, ss = 0, 0.0, 0.0
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+                n, s, ss = n + len(x), s + x.sum(axis=0), ss + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [s], "ss": [np.ravel(ss)]})
+
+    rows = df.select(F.col(vector).alias("v")).mapInPandas(sums, "n long, s array<double>, ss array<double>")
+    at = lambda c: F.posexplode(c).alias("k", "x")
+    n = rows.agg(F.sum("n")).first()[0]
+    total = lambda c: np.array([r.x for r in rows.select(at(c)).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()])
+    m = total("s") / n
+    return m, (total("ss").reshape(len(m), len(m)) - n * np.outer(m, m)) / (n - 1), n
 
 
 def frechet(a: DataFrame, b: DataFrame, vector: str) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.frames import numbered
 from tessella.operators import sampling, select, vectors
 from tessella.plans.registry import Tables, register
 
@@ -47,7 +48,7 @@ def wn4(t: Tables):
 @register("wn5_pooled_half", "SELECT image_id FROM (SELECT image_id, row_number() OVER (ORDER BY score DESC, image_id) AS r FROM pool) WHERE r <= (SELECT greatest(1, count(*) // 2) FROM pool)")
 def wn5(t: Tables):
     n = max(1, t.pool.count() // 2)
-    return t.pool.orderBy(F.col("score").desc(), "image_id").limit(n).select("image_id")
+    return numbered(t.pool, [F.col("score").desc(), F.col("image_id")], "place").where(F.col("place") < n).select("image_id")
 
 
 @register("wn8_rank_bands", "SELECT image_id, greatest(1, CAST(ceil((r - 1) * 3 / CAST(greatest(n - 1, 1) AS DOUBLE) - 1e-12) AS BIGINT)) AS band FROM (SELECT image_id, row_number() OVER (PARTITION BY dx ORDER BY score, image_id) AS r, count(*) OVER (PARTITION BY dx) AS n FROM pool)")
@@ -325,7 +326,7 @@ def halves(t: Tables):
 @register("ve2_knn_similarity", f"WITH {CAND}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ref) AS r FROM p), a AS (SELECT vec_id, any_value(tier) AS tier, avg(s) AS knn_mean, max(s) AS top1, max(s) - min(s) AS topk_spread, max(s) - avg(CASE WHEN r > 1 THEN s END) AS top1_gap FROM k WHERE r <= 5 GROUP BY vec_id) SELECT vec_id, tier, round(knn_mean, 6) AS knn_mean, round(top1, 6) AS top1, round(topk_spread, 6) AS topk_spread, round(top1_gap, 6) AS top1_gap, top1 >= 0.3 AS is_near_duplicate, round(CASE WHEN top1 >= 0.3 THEN 0.0 ELSE knn_mean END, 6) AS novelty FROM a")
 def ve2(t: Tables):
     c, r = halves(t)
-    rows = vectors.knn_scores(vectors.similarities(c, r, "vec_id", "label", "embedding"), "vec_id", duplicate=0.3)
+    rows = vectors.knn_scores(c, r, "vec_id", "label", "embedding", duplicate=0.3)
     return rounded(rows.select("vec_id", "tier", "knn_mean", "top1", "topk_spread", "top1_gap", "is_near_duplicate", "novelty"), "knn_mean", "top1", "topk_spread", "top1_gap", "novelty")
 
 
@@ -361,7 +362,7 @@ FLAGSHIP = f"WITH {CAND}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id
 def flagship(spark, sf_dir: str):
     """Similarity to references of the class, near duplicates out, quality floor by class, the ten best of each."""
     c, r = halves(Tables(spark, sf_dir))
-    scores = vectors.knn_scores(vectors.similarities(c, r, "vec_id", "label", "embedding"), "vec_id", duplicate=0.3)
+    scores = vectors.knn_scores(c, r, "vec_id", "label", "embedding", duplicate=0.3)
     rows = scores.where("not is_near_duplicate").join(c.select("vec_id", "label"), "vec_id")
     best = select.top_k(select.class_floor(rows, 0.25, "knn_mean", "label"), 10, "knn_mean", "label", "vec_id")
     return rounded(best.select("vec_id", "label", "knn_mean", F.col("rank").cast("bigint").alias("rank")), "knn_mean")
