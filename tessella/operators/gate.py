@@ -21,6 +21,35 @@ def admitted_columns(configured: list[str], owner: dict[str, str], survivors: se
     return out
 
 
+def contributing_signals(columns: list[str], owner: dict[str, str]) -> list[str]:
+    """The signals that feature columns belong to, sorted; a column without an owner raises."""
+    return sorted({owner[c] for c in columns})
+
+
+#: Splits that reference statistics may come from.
+PERMITTED = ("train", "validation", "selection")
+
+
+def calibration_faults(df: DataFrame, calibrated: str = "calibrated", scientific: str = "scientific", split: str = "reference_split", permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
+    """(fault, n) of rows that keep a score from being a selection feature: not calibrated, by an untrained model, or against a split that isn't permitted; a null is a fault."""
+    wrong = {"not_calibrated": ~F.coalesce(calibrated, F.lit(False)), "not_scientific": ~F.coalesce(scientific, F.lit(False)), "split_not_permitted": ~F.coalesce(F.col(split).isin(*permitted), F.lit(False))}
+    counts = df.agg(*[F.count_if(w).alias(k) for k, w in wrong.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fault"), F.col(k).alias("n")) for k in wrong])).alias("e")).select("e.*").where("n > 0")
+
+
+def pilot_checks(rows: DataFrame, planned: int, least_valid: float, most_uniform: float, most_rejected: float, blank: float) -> DataFrame:
+    """One row about pilot outputs (status, valid, contrast): counts, shares and whether they pass.
+
+    Outputs that geometry rejects have a limit of their own; the valid share is of the others.
+    """
+    good = (F.col("status") == "accepted") & F.col("valid")
+    n = rows.agg(F.count_if(F.col("status") == "geometry_rejected").alias("rejected"), F.count_if(good).alias("valid"), F.count_if(good & (F.col("contrast") < blank)).alias("near_uniform"))
+    share = lambda a, b, empty: F.when(b > 0, F.col(a) / F.nullif(b, F.lit(0))).otherwise(F.lit(empty))
+    total = F.lit(planned)
+    n = n.withColumns({"valid_share": share("valid", total - F.col("rejected"), 0.0), "rejected_share": share("rejected", total, 1.0), "uniform_share": share("near_uniform", total, 1.0)})
+    return n.withColumn("passed", (F.col("valid_share") >= least_valid) & (F.col("uniform_share") <= most_uniform) & (F.col("rejected_share") <= most_rejected))
+
+
 def refuse_raw(columns: list[str]) -> None:
     bad = [c for c in columns if c.startswith(RAW_PREFIXES)]
     if bad:

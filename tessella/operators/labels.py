@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.hashing import hash_dict
+
 #: Frozen class order: an index is a contract, never the alphabet.
 CLASSES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
@@ -39,6 +41,11 @@ def one_hot(index: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k == index).cast("int"))
 
 
+def raw_vector(names: Column, values: Column) -> Column:
+    """A map of one label to its raw value, NULL kept."""
+    return F.create_map(names, values)
+
+
 def positives(vector: Column, order: list[str]) -> Column:
     """Names of a map's positive labels, in a fixed order."""
     return F.filter(F.array(*[F.lit(x) for x in order]), lambda x: F.coalesce(F.element_at(vector, x), F.lit(0)) == 1)
@@ -68,6 +75,43 @@ def duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def metadata_faults(df: DataFrame, key: str, group: str, by: str, classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """(key, fault) of rows without a group, or whose class isn't one of ``classes`` after trim and whatever the case; a missing column raises."""
+    require(df, [key, group, by])
+    code = F.lower(F.trim(by))
+    faults = F.array(F.when(F.col(group).isNull(), "no_group"), F.when(~F.coalesce(code.isin(*[c.lower() for c in classes]), F.lit(False)), "unknown_class"))
+    return df.select(key, F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("fault"))
+
+
+def source_faults(df: DataFrame, path: str, labels: list[str], pattern: str) -> DataFrame:
+    """(path, fault) of source rows: blank path, path that comes twice, path without a patient id, label outside 1, 0, -1 and blank; missing columns raise."""
+    require(df, [path, *labels])
+    blank = F.trim(F.coalesce(F.col(path), F.lit(""))) == ""
+    outside = [F.coalesce(~F.col(c).try_cast("double").isin(1.0, 0.0, -1.0) & ~F.isnan(F.col(c).try_cast("double")), F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "") for c in labels]
+    faults = F.array(F.when(blank, "blank_path"), F.when(~blank & ~F.col(path).rlike(pattern), "no_patient_id"), F.when(reduce(lambda a, b: a | b, outside), "label_domain"))
+    rows = df.select(F.col(path).alias("path"), F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("fault"))
+    twice = duplicate_keys(df.where(~blank), path).select(F.col(path).alias("path"), F.lit("repeated_path").alias("fault"))
+    return rows.unionByName(twice)
+
+
+def schema_hash(df: DataFrame) -> str:
+    """Hash of column names, in order, and their types."""
+    return hash_dict({"columns": df.columns, "types": dict(df.dtypes)})
+
+
+def known_files(df: DataFrame, files: DataFrame, name: str) -> DataFrame:
+    """Rows whose file is there (files: name)."""
+    return df.join(files.select("name").distinct(), df[name] == F.col("name"), "left_semi")
+
+
+def candidates(df: DataFrame, columns: list[str], key: str = "image_id", most: int | None = None) -> DataFrame:
+    """Candidate rows of a reader: required columns and distinct keys or ValueError; the first ``most`` by key where given."""
+    require(df, columns)
+    require_empty(duplicate_keys(df, key), f"repeated {key}")
+    rows = df.select(*columns)
+    return rows if most is None else rows.orderBy(key).limit(most)
+
+
 def patient_support(df: DataFrame, patient: str = "patient_id", label: str = "label", raw: str = "raw") -> DataFrame:
     """Patients and rows for and against each label: any positive wins, else any 0, else masked."""
     each = df.groupBy(label, patient).agg(F.max((F.col(raw) == 1).cast("int")).alias("p"), F.max((F.col(raw) == 0).cast("int")).alias("q"), F.count_if(F.col(raw) == 1).alias("rp"), F.count_if(F.col(raw) == 0).alias("rq"))

@@ -324,11 +324,46 @@ def fn13(t: Tables):
     return rounded(t.part.select("p_partkey", F.tanh(s / 10).alias("t"), F.log1p(s).alias("l"), (1 / (1 + F.exp(-(s - 25) / 10))).alias("gate"), F.bround(s / 2, 0).alias("half")), "t", "l", "gate")
 
 
-@register("fn5_caption")
-def fn5(t: Tables):
-    c = t.customer
-    age = text.age_bucket((F.col("c_custkey") % 97).cast("string"))
-    return c.select("c_custkey", text.caption(hashing.variant_index(F.col("c_custkey"), F.lit(0)), F.lit("lesion"), age, text.site_clause(F.col("c_mktsegment"))).alias("caption"))
+PERSONS = "SELECT c_custkey, c_mktsegment, CASE c_custkey % 4 WHEN 0 THEN 'Male' WHEN 1 THEN ' female' WHEN 3 THEN 'x' END AS sex, CASE c_custkey % 3 WHEN 0 THEN 'Lateral' WHEN 1 THEN 'Frontal' END AS view, CAST(c_custkey % 97 AS STRING) AS age FROM customer"
+SEX = "CASE c_custkey % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'patient' END AS sex, CASE c_custkey % 3 WHEN 0 THEN 'lateral' ELSE 'frontal' END AS view, CASE WHEN c_custkey % 97 = 0 THEN 'adult' ELSE CAST(c_custkey % 97 // 10 * 10 AS VARCHAR) || '-' || CAST(c_custkey % 97 // 10 * 10 + 9 AS VARCHAR) || '-year-old' END AS age"
+CLAUSE = "CASE WHEN c_custkey % 7 = 1 OR (c_custkey % 2 <> 1 AND c_custkey % 3 <> 1 AND c_custkey % 5 <> 1) THEN 'no acute cardiopulmonary abnormality' ELSE array_to_string([x for x in [CASE WHEN c_custkey % 3 = 1 THEN 'cardiomegaly' END, CASE WHEN c_custkey % 2 = 1 THEN 'pulmonary edema' END, CASE WHEN c_custkey % 5 = 1 THEN 'a fracture' END] if x IS NOT NULL], '|') END"
+CLAUSES = f"SELECT *, CASE len(string_split(c, '|')) WHEN 1 THEN c WHEN 2 THEN replace(c, '|', ' and ') ELSE regexp_replace(replace(c, '|', ', '), ', ([^,]*)$', ', and \\1') END AS clause, CASE WHEN c_custkey % 11 = 1 THEN 'Support devices are present.' ELSE '' END AS device FROM (SELECT c_custkey, c_mktsegment, {SEX}, {CLAUSE} AS c FROM customer)"
+
+
+def findings_of(t: Tables):
+    """Customers with label maps: 1, 0, uncertain and absent values."""
+    k = F.col("c_custkey")
+    mod = lambda n: F.when(k % n == 1, 1).when(k % n == 0, -1).otherwise(0)
+    pairs = {"Edema": mod(2), "Cardiomegaly": mod(3), "Fracture": mod(5), text.NO_FINDING: mod(7), text.DEVICE: mod(11), "Pneumonia": F.lit(None).cast("int")}
+    return t.sql(PERSONS).withColumn("labels", F.create_map(*[x for n, v in pairs.items() for x in (F.lit(n), v)]))
+
+
+@register("fn2_person_phrases", f"SELECT c_custkey, {SEX} FROM customer")
+def fn2(t: Tables):
+    return t.sql(PERSONS).select("c_custkey", text.sex_phrase(F.col("sex")).alias("sex"), text.view_phrase(F.col("view")).alias("view"), text.age_bucket(F.col("age")).alias("age"))
+
+
+@register("fn4_finding_clauses", f"SELECT c_custkey, clause, device FROM ({CLAUSES})")
+def fn4(t: Tables):
+    return findings_of(t).select("c_custkey", text.finding_clause(F.col("labels")).alias("clause"), text.device_clause(F.col("labels")).alias("device"))
+
+
+VARIANT = "CAST('0x' || substr(sha256(concat_ws(':', c_custkey, 0)), 58, 7) AS BIGINT) % 4"
+
+
+@register("fn5_chest_caption", f"SELECT c_custkey, concat_ws(' ', CASE {VARIANT} WHEN 0 THEN 'A ' || view || ' chest X-ray of a ' || age || ' ' || sex || ' patient. Findings: ' || clause || '.' WHEN 1 THEN 'Chest radiograph, ' || view || ' view, ' || age || ' ' || sex || ' patient. Findings: ' || clause || '.' WHEN 2 THEN 'A ' || view || ' view chest X-ray from a ' || age || ' ' || sex || ' patient showing ' || clause || '.' ELSE age || ' ' || sex || ' patient, ' || view || ' chest X-ray. Findings: ' || clause || '.' END, nullif(device, '')) AS caption FROM ({CLAUSES})")
+def fn5_chest(t: Tables):
+    variant = hashing.variant_index(F.col("c_custkey"), F.lit(0))
+    return findings_of(t).select("c_custkey", text.chest_caption(variant, F.col("view"), F.col("age"), F.col("sex"), F.col("labels")).alias("caption"))
+
+
+ARTICLE = "CASE WHEN age = 'adult' OR age LIKE '8%' THEN 'an' ELSE 'a' END"
+
+
+@register("fn5_caption", f"SELECT c_custkey, CASE {VARIANT} WHEN 0 THEN 'A dermoscopic image of a lesion on the ' || lower(c_mktsegment) || ' in ' || {ARTICLE} || ' ' || age || ' ' || sex || ' patient.' WHEN 1 THEN 'Dermoscopy of a lesion on the ' || lower(c_mktsegment) || ', ' || age || ' ' || sex || ' patient.' WHEN 2 THEN upper(substr({ARTICLE}, 1, 1)) || substr({ARTICLE}, 2) || ' ' || age || ' ' || sex || ' patient with a lesion on the ' || lower(c_mktsegment) || ', dermoscopic view.' ELSE 'Dermoscopic image, ' || age || ' ' || sex || ' patient, showing a lesion on the ' || lower(c_mktsegment) || '.' END AS caption FROM ({CLAUSES})")
+def fn5_skin(t: Tables):
+    variant = hashing.variant_index(F.col("c_custkey"), F.lit(0))
+    return t.sql(PERSONS).select("c_custkey", text.skin_caption(variant, F.lit("a lesion"), F.col("age"), F.col("sex"), F.col("c_mktsegment")).alias("caption"))
 
 
 @register("ct1_snapshot_fairness", "SELECT * FROM (VALUES ('n_images', 1::BIGINT, true), ('ids', 1::BIGINT, true), ('condition', 3::BIGINT, false)) v(\"key\", n_values, uniform)")
@@ -378,9 +413,18 @@ def vectors_of(t: Tables):
 KINDS = [f"k{i}" for i in range(len(labels.CLASSES))]
 
 
+def signals_of(t: Tables):
+    """Positives of each label, and confident negatives of the first two: customers of enough orders without the label."""
+    v = vectors_of(t).join(t.orders.groupBy(F.col("o_custkey").alias("group_id")).agg(F.count(F.lit(1)).alias("n_")), "group_id")
+    return v.select("group_id", *KINDS, *[((F.col(f"k{i}") == 0) & (F.col("n_") >= 8)).cast("int").alias(f"n{i}") for i in range(2)])
+
+
+SIGNALS = [*KINDS, "n0", "n1"]
+
+
 @register("sp4_multilabel_allocation")
 def sp4(t: Tables):
-    return sampling.multilabel_groups(vectors_of(t), KINDS)
+    return sampling.multilabel_groups(signals_of(t), SIGNALS)
 
 
 @register("sm11_rarity_first")
