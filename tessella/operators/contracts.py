@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,28 +49,26 @@ def register_evaluation(spark: SparkSession, run: str, path: str) -> None:
     write_frozen_json(spark, {"run": run}, path)
 
 
-def forbidden_paths(df: DataFrame, column: str, key: str, value: str) -> DataFrame:
-    """(key, path) of every place of a JSON tree whose value is ``value``; what is no JSON has none."""
-    import json
-
-    @F.udf("array<string>")  # a walk over trees of any shape; reports are few and small
-    def walk(text: str | None) -> list[str]:
-        def places(node, path: str):
-            if isinstance(node, dict):
-                for k, v in node.items():
-                    yield from places(v, f"{path}.{k}")
-            elif isinstance(node, list):
-                for i, v in enumerate(node):
-                    yield from places(v, f"{path}[{i}]")
-            elif node == value:
-                yield path
+def forbidden_paths(df: DataFrame, column: str, key: str, value: object, depth: int = 8) -> DataFrame:
+    """(key, path) of every place of a JSON tree, ``depth`` levels deep at most, whose value is ``value``; what is no JSON has none.
 
-        try:
-            return list(places(json.loads(text or "null"), "$"))
-        except ValueError:
-            return []
-
-    return df.select(key, F.explode(walk(F.col(column))).alias("path"))
+    A deeper tree raises.
+    """
+    rows = df.select(F.col(key).alias("k"), F.try_parse_json(column).alias("v"), F.lit("$").alias("path")).where("v is not null")
+    found, wanted = None, F.parse_json(F.lit(json.dumps(value)))
+    for level in range(depth + 1):
+        here = rows.where(F.to_json("v") == F.to_json(wanted)).select(F.col("k").alias(key), "path")
+        found = here if found is None else found.unionByName(here)
+        nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+        if level == depth:
+            deep = F.raise_error(F.lit("a tree is deeper than expected")).cast("string")
+            found = found.unionByName(rows.where(nested).select(F.col("k").alias(key), deep.alias("path")))
+            break
+        # one level down: entries of objects by name, items of arrays by place
+        rows = rows.where(nested).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select("pos", F.col("key").alias("name"), F.col("value").alias("next")))
+        step = F.when(F.col("name").isNotNull(), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        rows = rows.select("k", F.col("next").alias("v"), F.concat("path", step).alias("path"))
+    return found
 
 
 def accepted(evidence: DataFrame, criteria: DataFrame) -> DataFrame:
@@ -115,6 +116,95 @@ def subset_design(pool: DataFrame, per_role: int, size: int, bins: int = 3, seed
     return plan.withColumn("r", rank).where(F.col("r") <= size).select(F.concat_ws("-", "role", "k").alias("subset_id"), "role", key)
 
 
+#: Fields that an artifact's provenance must have.
+PROVENANCE = ("schema_version", "signal", "n_rows", "candidates_csv_sha256", "git_commit_hash")
+
+
+def provenance_checks(sidecars: DataFrame, key: str, column: str, forbidden: str, required: tuple[str, ...] = PROVENANCE) -> DataFrame:
+    """(key, missing, mentions, passed) of provenance records (JSON): required fields that are absent, and how often a forbidden value occurs; a null record fails."""
+    keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+    missing = F.array_join(F.array_sort(F.array_except(F.array(*[F.lit(r) for r in required]), keys)), ",")
+    mentions = forbidden_paths(sidecars, column, key, forbidden).groupBy(key).agg(F.count(F.lit(1)).alias("mentions"))
+    rows = sidecars.select(key, missing.alias("missing")).join(mentions, key, "left").withColumn("mentions", F.coalesce("mentions", F.lit(0)))
+    return rows.withColumn("passed", (F.col("missing") == "") & (F.col("mentions") == 0))
+
+
+def hash_contracts(records: DataFrame, files: DataFrame, name: str = "name") -> DataFrame:
+    """(name, problem) of artifacts whose completion record (name, status, sha256) isn't met by the files (name, sha256): missing, incomplete or other contents."""
+    both = records.join(files.select(name, F.col("sha256").alias("found")), name, "left")
+    problem = F.when(F.col("found").isNull(), "missing").when(~F.col("status").eqNullSafe("complete"), "incomplete").when(F.col("found") != F.col("sha256"), "other_contents")
+    return both.select(name, problem.alias("problem")).where("problem is not null")
+
+
+def preconditions(runs: DataFrame, grid: DataFrame, protected: DataFrame, shared: list[str], key: str = "image_id") -> DataFrame:
+    """(check, n_bad, passed) of what must hold before the protected split is evaluated.
+
+    ``runs``: condition, seed, split, trained_on (a hash of the training data) and the ``shared``
+    columns; ``grid``: the condition and seed of every planned run; ``protected``: the split's key
+    and group. Every planned run is there once; none was trained or tuned on the protected
+    split; each shared column has one value; no two conditions were trained on the same data; every
+    protected row has a group.
+    """
+    cells = ["condition", "seed"]
+    bad = {
+        "grid_complete": grid.join(runs, cells, "left_anti").select(F.lit(1)).unionAll(runs.groupBy(*cells).count().where("count > 1").select(F.lit(1))),
+        "protected_split_unused": runs.where("split = 'final'").select(F.lit(1)),
+        "shared_protocol": runs.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("null"))).alias(c) for c in shared]).select(F.explode(F.array(*[F.col(c) for c in shared])).alias("n")).where("n > 1").select(F.lit(1)),
+        "training_data_differs": runs.groupBy("trained_on").agg(F.count_distinct("condition").alias("n")).where("n > 1").select(F.lit(1)),
+        "groups_known": protected.where("group_id is null").select(F.lit(1)),
+    }
+    out = None
+    for name, rows in bad.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n_bad")).select(F.lit(name).alias("check"), "n_bad", (F.col("n_bad") == 0).alias("passed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def enforce(checks: DataFrame) -> None:
+    """ValueError that names all failed checks, of a table of a row a check."""
+    failed = sorted(r.check for r in checks.where("not passed").select("check").limit(100).collect())
+    if failed:
+        raise ValueError(f"preconditions failed: {failed}")
+
+
+def run_name(kind: str, version: str) -> str:
+    """A run's immutable name, ``kind-version``; kinds other than dev and production, and empty versions, raise."""
+    if kind not in ("dev", "production") or not re.fullmatch(r"[A-Za-z0-9._-]+", version):
+        raise ValueError(f"no run name: {kind!r}, {version!r}")
+    return f"{kind}-{version}"
+
+
+def valid_run(name: str, kind: str):
+    """Whether a column's run names are of the kind that another column says, with something behind it."""
+    return F.coalesce(F.col(kind).isin("dev", "production") & F.startswith(F.col(name), F.concat(kind, F.lit("-"))) & (F.length(name) > F.length(kind) + 1), F.lit(False))
+
+
+def scientific_status(name: str):
+    """Only the namespace ``production`` itself is production evidence."""
+    return F.when(F.col(name) == "production", "production").otherwise("non-production / development-only")
+
+
+def run_paths(root: str, name: str) -> dict[str, str]:
+    """Where a run's tables and reports lie."""
+    base = f"{root.rstrip('/')}/{name}"
+    tables = ("recipes", "recipe_decisions", "generation_manifest", "candidates", "boxes", "scores", "selection", "predictions")
+    return {t: f"{base}/{t}" for t in tables} | {f"{r}_report": f"{base}/reports/{r}.json" for r in ("generation", "selection", "comparison")}
+
+
+def markdown(df: DataFrame, most: int = 50) -> str:
+    """A small result as a markdown table."""
+    cells = [[str(c) for c in df.columns], ["---"] * len(df.columns), *[["" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|") for v in r] for r in df.limit(most).collect()]]
+    return "\n".join(f"| {' | '.join(r)} |" for r in cells)
+
+
+def confusion_text(cells: DataFrame, classes: list[str]) -> str:
+    """A confusion table (true_class, predicted: indexes, n) as text, true classes down, zero cells kept."""
+    n = {(r.true_class, r.predicted): r.n for r in cells.groupBy("true_class", "predicted").agg(F.sum("n").alias("n")).limit(len(classes) ** 2 + 1).collect()}
+    rows = [["", *classes], *[[name, *[str(n.get((i, j), 0)) for j in range(len(classes))]] for i, name in enumerate(classes)]]
+    width = max(len(x) for r in rows for x in r)
+    return "\n".join("  ".join(x.rjust(width) for x in r) for r in rows)
+
+
 def table_text(df: DataFrame, most: int = 50) -> str:
     """A small result as a fixed-width table."""
     rows = [list(map(str, df.columns)), *[["" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(most).collect()]]

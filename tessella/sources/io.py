@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.labels import duplicate_keys, require, require_empty
+from tessella.operators.labels import counts_over, duplicate_keys, require, require_empty
 
 
 def _fs(spark: SparkSession, path: str):
@@ -75,35 +77,60 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def publish(df: DataFrame, path: str, form: str = "parquet", check: Callable[[DataFrame], None] | None = None, key: str | None = None, once: bool = True) -> None:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in ``spark.checkpoint.dir``, which driver and executors share; on one machine without the setting, in a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        sc = spark.sparkContext
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def publish(df: DataFrame, path: str, form: str = "parquet", check: Callable[[DataFrame], None] | None = None, key: str | None = None, once: bool = True, sort: list[str] = (), provenance: dict | None = None) -> None:
     """Write to a staging folder, read it back, check it, then rename; nothing is seen under ``path`` before.
 
-    Checks the schema, the number of rows and (``key``) that keys are distinct, then calls
-    ``check``. ``once`` refuses to replace what is there.
+    Checks the schema, the number of rows (counted while they are written, so the plan runs once)
+    and (``key``) that keys are distinct, then calls ``check``. ``once`` refuses to replace what is
+    there; else the old table moves aside until the new one has its name. ``sort`` orders rows
+    within and across files. ``provenance`` goes, with the number of rows, to ``path.provenance``.
     """
     spark = df.sparkSession
     if once and exists(spark, path):
         raise FileExistsError(path)
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    base, tag = path.rstrip("/"), uuid.uuid4().hex
+    staging, aside = f"{base}.staging-{tag}", f"{base}.old-{tag}"
     fs, stage = _fs(spark, staging)
+    to = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
     try:
-        n = df.count()
-        writer = df.write.option("header", True) if form == "csv" else df.write
-        getattr(writer, form)(staging)
+        seen = Observation()
+        rows = df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df
+        writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write
+        getattr(writer.option("header", True) if form == "csv" else writer, form)(staging)
         back = getattr(spark.read.schema(df.schema).option("header", True), form)(staging)
-        if back.count() != n:
-            raise ValueError(f"{back.count()} rows written, {n} expected")
+        if (n := back.count()) != seen.get["n"]:
+            raise ValueError(f"{n} rows written, {seen.get['n']} expected")
         if key:
             require_empty(duplicate_keys(back, key), f"repeated {key}")
         if check:
             check(back)
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not once:
-            fs.delete(target, True)
-        if not fs.rename(stage, target):
+        if provenance is not None:
+            delete(spark, f"{base}.provenance")
+            write_frozen_json(spark, provenance | {"n_rows": n}, f"{base}.provenance")
+        old = not once and fs.exists(to(path)) and fs.rename(to(path), to(aside))
+        if not fs.rename(stage, to(path)):
+            if old:
+                fs.rename(to(aside), to(path))
             raise OSError(f"cannot publish {path}")
     finally:
         fs.delete(stage, True)
+        fs.delete(to(aside), True)
 
 
 def write_frozen_json(spark: SparkSession, value: dict, path: str) -> None:
@@ -116,7 +143,15 @@ def write_frozen_json(spark: SparkSession, value: dict, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
+#: Reports are read whole; larger files are refused.
+MOST_BYTES = 16 << 20
+
+
 def read_json(spark: SparkSession, path: str, required: dict | None = None) -> dict:
+    """A small report; ValueError where a required field has another value, or where it is too large to be one."""
+    fs, p = _fs(spark, path)
+    if fs.getContentSummary(p).getLength() > MOST_BYTES:
+        raise ValueError(f"{path} is larger than a report")
     value = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
     wrong = {k: value.get(k) for k, v in (required or {}).items() if value.get(k) != v}
     if wrong:
@@ -132,12 +167,59 @@ REGISTRY = "experiment_id string, parent_experiment_id string, at timestamp, sta
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "experiment_id") -> DataFrame:
-    """Registry rows by key: new ones replace old ones, others stay; the table is published anew, in two renames."""
+    """Registry rows by key: new ones replace old ones, others stay; the table is published anew, by two renames."""
     old = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], rows.schema)
     publish(old.join(rows, key, "left_anti").unionByName(rows), path, key=key, once=False)
     return spark.read.parquet(path)
 
 
+@contextmanager
+def experiment(spark: SparkSession, path: str, run: str, stage: str, config_hash: str, parent: str | None = None) -> Iterator[dict]:
+    """A run's row in the registry: running at first, then completed or failed, with what the body puts in the yielded dict as metrics."""
+
+    def put(status: str, metrics: dict) -> None:
+        row = spark.createDataFrame([(run, parent, stage, config_hash, status, json.dumps(metrics, sort_keys=True))], "experiment_id string, parent_experiment_id string, stage string, config_hash string, status string, metrics string")
+        upsert(spark, path, row.select("experiment_id", "parent_experiment_id", F.current_timestamp().alias("at"), "stage", "config_hash", "status", "metrics"))
+
+    metrics: dict = {}
+    put("running", metrics)
+    try:
+        yield metrics
+    except BaseException:
+        put("failed", metrics)
+        raise
+    put("completed", metrics)
+
+
+def write_candidates(candidates: DataFrame, boxes: DataFrame, classes: DataFrame, folder: str, key: str = "image_id", by: str = "dx") -> DataFrame:
+    """Publish the accepted candidates and their content boxes (every one must have its own) and return counts of all classes, zeros kept."""
+    accepted = candidates.where("accepted").drop("accepted")
+    require_empty(duplicate_keys(boxes, key), f"repeated {key}")
+    require_empty(accepted.join(boxes, key, "left_anti").select(key), "candidates without a content box")
+    publish(accepted, f"{folder}/candidates", key=key)
+    publish(boxes.join(accepted, key, "left_semi"), f"{folder}/boxes", key=key)
+    return counts_over(accepted, classes, by)
+
+
+def hash_files(spark: SparkSession, glob: str) -> DataFrame:
+    """(name, bytes, sha256) of files, hashed where they are read; a file is one task's value."""
+    files = spark.read.format("binaryFile").load(glob)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def folder_hash(files: DataFrame) -> DataFrame:
+    """One row: the hash of a folder's file names and hashes, in order of the names."""
+    lines = F.array_sort(F.collect_list(F.concat_ws(":", "name", "sha256")))
+    return files.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"), F.count(F.lit(1)).alias("n_files"))
+
+
+def present_cells(spark: SparkSession, root: str, marker: str, pattern: str, names: list[str]) -> DataFrame:
+    """The cells of a grid whose run folder below ``root`` holds the file ``marker``; the folder's name gives the cell by a pattern."""
+    folder = F.element_at(F.split("path", "/"), -2)
+    found = spark.read.format("binaryFile").load(f"{root}/*/{marker}").select(folder.alias("folder")).where(F.col("folder").rlike(pattern))
+    return found.select(*[F.regexp_extract("folder", pattern, k + 1).alias(n) for k, n in enumerate(names)]).distinct()
+
+
 def ancestors(registry: DataFrame, most: int = 50) -> DataFrame:
     """(experiment_id, ancestor, depth) over parent links; a cycle ends at ``most``."""
     parents = registry.where("parent_experiment_id is not null").select("experiment_id", F.col("parent_experiment_id").alias("parent"))
