@@ -109,8 +109,12 @@ def test_adding_a_class_moves_no_group(spark):
 
 def test_drivers_heuristics():
     v = [(g, (g % 2, int(g % 5 == 0))) for g in range(20)]
-    got = sampling.greedy_multilabel(v, {"a": 0.5, "b": 0.5}, 2)
-    assert sorted(got) == list(range(20)) and 8 <= sum(s == "a" for s in got.values()) <= 12
+    got = sampling.greedy_counts({x: sum(w == x for _, w in v) for x in {w for _, w in v}}, {"a": 0.5, "b": 0.5})
+    assert sum(got.values()) == 20 and sum(n for (_, s), n in got.items() if s == "a") == 10
+    assert all(sum(n for (x, s), n in got.items() if s == "a" and x[k]) == sum(x[k] for _, x in v) / 2 for k in range(2))
+    # a small split gets its own share of a rare label
+    got = sampling.greedy_counts({(1, 0): 20, (0, 1): 380}, {"large": 0.9, "small": 0.1})
+    assert got[(1, 0), "small"] == 2 and got[(0, 1), "small"] == 38
     assert len(sampling.rarity_first(v, 3, 2, 8)) == 8
     assert sampling.matched_draw(v, [2, 1], 3)[1] == 0
 

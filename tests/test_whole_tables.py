@@ -135,16 +135,40 @@ def test_families_and_labels_are_whole(spark, far, name):
     assert {r["name"]: r["adjusted"] for r in got if r["adjusted"] is not None} == pytest.approx(want, abs=1e-6)
 
 
+def plain_allocation(vectors, shares):
+    """The multi-label rule one group after the other: (vector, split) of each."""
+    names, n = list(shares), len(vectors)
+    room = {s: int(n * p) for s, p in shares.items()}
+    room[max(names, key=shares.get)] += n - sum(room.values())
+    full = dict(room)
+    totals = [sum(c) for c in zip(*vectors, strict=True)]
+    seen, out = {s: [0] * len(totals) for s in names}, []
+
+    def order(v):
+        return min([t for t, x in zip(totals, v, strict=True) if x], default=n + 1), -sum(v), hashlib.sha256(f"0:{v}".encode()).hexdigest()
+
+    for v in sorted(vectors, key=order):
+        best = None
+        for i, s in enumerate(names):
+            if room[s]:
+                lack = sum(max(0.0, (shares[s] * t - h) / max(shares[s] * t, 1e-9)) for x, t, h in zip(v, totals, seen[s], strict=True) if x)
+                mark = (round(lack, 9), room[s] / max(full[s], 1), -i)
+                best = max(best or (mark, s), (mark, s), key=lambda m: m[0])
+        room[best[1]] -= 1
+        seen[best[1]] = [a + b for a, b in zip(seen[best[1]], v, strict=True)]
+        out.append((v, best[1]))
+    return out
+
+
 def test_all_groups_take_part_in_the_heuristics(spark, far):
     folder, duck = far
     kinds = ", ".join(f"max((o_orderpriority = '{k}')::int)" for k in labels.CLASSES)
     groups = [(r[0], r[1:]) for r in duck.execute(f"select o_custkey, {kinds} from orders group by 1").fetchall()]
-    # the plain heuristic over all groups, numbered by vector, which is its tie rule
-    plain = sampling.greedy_multilabel([(i, v) for i, v in enumerate(sorted(v for _, v in groups))], sampling.SPLITS, 5)
-    vectors = sorted(v for _, v in groups)
+    few = dict(duck.execute("select o_custkey, count(*) from orders group by 1").fetchall())
+    whole = {g: (*v, *(int(not v[k] and few[g] >= 8) for k in range(2))) for g, v in groups}
     got = {r.group_id: r.split for r in QUERIES["sp4_multilabel_allocation"](spark, folder).collect()}
-    assert got.keys() == {g for g, _ in groups}
-    assert Counter((v, got[g]) for g, v in groups) == Counter((vectors[i], s) for i, s in plain.items())
+    assert got.keys() == whole.keys()
+    assert Counter((v, got[g]) for g, v in whole.items()) == Counter(plain_allocation(list(whole.values()), sampling.SPLITS))
     assert sorted(r.group_id for r in QUERIES["sm11_rarity_first"](spark, folder).collect()) == sorted(sampling.rarity_first(groups, 30, 5, 80))
     want, residual = sampling.matched_draw(groups, [20] * 5, 30, 5)
     assert [tuple(r) for r in QUERIES["sm12_matched_draw"](spark, folder).collect()] == [(g, residual) for g in sorted(want)]
