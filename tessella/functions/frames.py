@@ -23,7 +23,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
-    """``df`` with each row's number, from 0, in an order that must have no ties.
+    """``df`` with each row's number, from 0, as last column, in an order that must have no ties.
 
     Rows are dealt out by ranges of the order and numbered within them; a row a range, with the
     number of rows before it, is broadcast.
@@ -34,7 +34,7 @@ def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("part_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("before_"))
     number = F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(F.broadcast(sizes), "part_").withColumn(name, number).drop("part_", "at_", "before_")
+    return rows.join(F.broadcast(sizes), "part_").select(*[c for c in df.columns if c != name], number.alias(name))
 
 
 def quantiles(df: DataFrame, value: str | Column, qs: list[float], by: list[str] = (), accuracy: int = 10_000) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.frames import numbered
 from tessella.functions.hashing import hash_dict, seeded
 from tessella.operators.sampling import rank_bins
 from tessella.sources.io import exists, read_json, write_frozen_json
@@ -99,21 +100,33 @@ def feasibility_report(pool: DataFrame, sizes: list[int], bins: int, by: str = "
 
 
 def subset_design(pool: DataFrame, per_role: int, size: int, bins: int = 3, seed: int = 0, key: str = "image_id", score: str = "score") -> DataFrame:
-    """Members (subset_id, role, key) of random subsets and of subsets of one score band.
+    """Members (subset_id, role, key) of random subsets, of subsets of one score band, and of mixtures of all bands.
 
-    Each subset draws by its own hash order; a band subset draws in band ``k mod bins + 1``. Candidates
-    of a draw are thinned by their hash to a few times ``size`` before they are ranked.
+    Each subset draws by its own hash order; a band subset draws in band ``k mod bins + 1``; a
+    mixture's shares of the bands are a uniform Dirichlet draw (exponentials of hashes over their
+    sum), turned into counts by largest remainders. Candidates of a draw are thinned by their hash
+    to a few times ``size`` before they are ranked.
     """
-    n = pool.count()
-    rows = rank_bins(pool, bins, score, key).select(key, "band")
-    plan = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_role - 1)))).withColumn("role", F.explode(F.array(F.lit("random"), F.lit("band"))))
-    plan = plan.where((F.col("role") == "random") | (F.col("band") == F.col("k") % bins + 1))
-    h = seeded(seed, "role", "k", key)
-    share = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    pool_size = F.when(F.col("role") == "random", F.lit(n)).otherwise(F.lit(n / bins))
-    plan = plan.withColumn("h", h).where(share < (4.0 * size + 64) / pool_size)
-    rank = F.row_number().over(Window.partitionBy("role", "k").orderBy("h", key))
-    return plan.withColumn("r", rank).where(F.col("r") <= size).select(F.concat_ws("-", "role", "k").alias("subset_id"), "role", key)
+    rows = numbered(pool.select(key, score), [F.col(score), F.col(key)], "at_")
+    n = rows.count()
+    band = F.greatest(F.lit(1), F.ceil(F.col("at_") * bins / F.lit(float(max(n - 1, 1))) - 1e-12)).cast("int")
+    unit = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("double")
+    # how many each subset takes of each band; band 0 is the whole pool
+    plan = pool.sparkSession.range(per_role).select(F.col("id").cast("int").alias("k"))
+    mixed = plan.withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(bins)))).withColumn("role", F.lit("mixture"))
+    mixed = mixed.withColumn("w", -F.log((unit(seeded(seed, "role", "k", "band")) + 1) / float((1 << 32) + 1)))
+    over = Window.partitionBy("k")
+    mixed = mixed.withColumn("ideal", F.round(size * F.col("w") / F.sum("w").over(over), 9)).withColumn("whole", F.floor("ideal"))
+    extra = F.row_number().over(over.orderBy((F.col("ideal") - F.col("whole")).desc(), "band")) <= size - F.sum("whole").over(over)
+    mixed = mixed.select("role", "k", "band", (F.col("whole") + extra.cast("int")).cast("int").alias("take"))
+    other = lambda role, b: plan.select(F.lit(role).alias("role"), "k", b.cast("int").alias("band"), F.lit(size).alias("take"))
+    plan = mixed.unionByName(other("random", F.lit(0))).unionByName(other("band", F.col("k") % bins + 1))
+    rows = rows.select(key, F.explode(F.array(F.lit(0), band)).alias("band"))
+    drawn = rows.join(F.broadcast(plan), "band").withColumn("h", seeded(seed, "role", "k", key))  # a row a subset and band
+    room = F.when(F.col("band") == 0, F.lit(n)).otherwise(F.lit(n / bins))
+    drawn = drawn.where(unit("h") / float(1 << 32) < (4.0 * size + 64) / room)
+    rank = F.row_number().over(Window.partitionBy("role", "k", "band").orderBy("h", key))
+    return drawn.withColumn("r", rank).where(F.col("r") <= F.col("take")).select(F.concat_ws("-", "role", "k").alias("subset_id"), "role", key)
 
 
 #: Fields that an artifact's provenance must have.

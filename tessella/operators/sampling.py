@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import numbered
+from tessella.functions.frames import numbered, settled
 from tessella.functions.hashing import seeded
 
 
@@ -198,54 +198,85 @@ def heads(rows: DataFrame, by: str, order: list[str], n: int, key: str) -> DataF
     return each.unionByName(rows.groupBy(key).agg(F.min(F.struct(*order)).alias("o_")).orderBy("o_").limit(n).select(key)).distinct()
 
 
-def first_of_vectors(groups: DataFrame, kinds: list[str], n: int, key: str = "group_id") -> tuple[list[tuple], list[int]]:
-    """The first n groups of each vector and the labels' totals over all groups.
-
-    For a heuristic that picks n groups at most, and of equal vectors the first, the others never matter.
-    """
-    rows = groups.withColumn("r_", F.row_number().over(Window.partitionBy(*kinds).orderBy(key))).where(F.col("r_") <= n)
-    totals = groups.agg(*[F.coalesce(F.sum(k), F.lit(0)) for k in kinds]).first()
-    return [(r[0], tuple(r[1:])) for r in rows.select(key, *kinds).collect()], list(totals)
+def upto(rows: DataFrame, value: str, most: int, key: str, seed: object, *salt) -> DataFrame:
+    """The first rows in seeded hash order until ``value`` (1 or more a row) adds up to ``most``; only as many as could be needed are gathered."""
+    order = [seeded(seed, *salt, key), F.col(key)]
+    first = rows.orderBy(*order).limit(max(most, 0))
+    before = F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("before_", before).where(F.col("before_") < most).drop("before_")
 
 
-def rarity_first(vectors: list[tuple], quota: int, n_labels: int, total: int, totals: list[int] | None = None) -> list:
-    """Whole groups, rarest label first until each label has its quota, then the rest in order up to ``total`` (driver).
+def rarity_first(groups: DataFrame, labels: list[str], target: int, key: str = "group_id", size: str = "n_rows", seed: object = 0) -> DataFrame:
+    """Whole groups, about ``target`` rows: for each label, rarest first, groups in hash order until its quota of positive rows is met, then any groups in hash order.
 
-    ``totals`` are the labels' totals if ``vectors`` are only the first ``total`` groups of each vector.
+    ``groups``: key, size and, for each label, its positive rows. A quota is the label's share of
+    all rows times the target, half to even; what groups drawn before hold counts. One pass over
+    the groups a label; the sample, not the table, is what a task ranks.
     """
-    got, out = [0] * n_labels, []
-    totals = totals or [sum(v[k] for _, v in vectors) for k in range(n_labels)]
-    order = sorted(range(n_labels), key=lambda k: (totals[k], k))
-    for k in order:
-        for group, v in sorted(vectors):
-            if got[k] >= quota or len(out) >= total:
-                break
-            if group not in out and v[k]:
-                out.append(group)
-                got = [a + b for a, b in zip(got, v, strict=True)]
-    for group, _ in sorted(vectors):
-        if len(out) >= total:
-            break
-        if group not in out:
-            out.append(group)
-    return out
-
+    total = groups.agg(*[F.sum(c).alias(c) for c in (size, *labels)]).first()
+    quota = {x: int(half_even(target * (total[x] or 0) / max(total[size] or 0, 1))) for x in labels}
+    chosen = groups.limit(0)
+    for x in sorted(labels, key=lambda x: (total[x] or 0, labels.index(x))):
+        have = chosen.agg(F.coalesce(F.sum(x), F.lit(0))).first()[0]
+        if quota[x] > have:
+            rest = groups.where(F.col(x) > 0).join(chosen, key, "left_anti")
+            chosen = settled(chosen.unionByName(upto(rest, x, quota[x] - have, key, seed, F.lit(x))))
+    have = chosen.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if have < target:
+        chosen = settled(chosen.unionByName(upto(groups.join(chosen, key, "left_anti"), size, target - have, key, seed)))
+    return chosen.select(key)
+
+
+def half_even(x: float) -> float:
+    """Half to even, after the noise of a product is off."""
+    return round(round(x, 9))
+
+
+def matched_counts(pool: dict[tuple, int], wanted: list[int], size: int, single: float, multi: float, seed: object = 0, swaps: int = 100) -> dict[tuple, int]:
+    """How many rows of each label vector to draw so that label totals are near ``wanted`` and shares of single- and multi-label rows near theirs.
+
+    Labels by what is wanted, least first: vectors with the label in seeded order until it has
+    enough; then vectors without labels, then any, up to ``size``; then up to ``swaps`` best
+    exchanges of a row of one vector for a row of another, while the mismatch falls. Rows of a
+    vector are alike, so only vectors and counts are looked at (driver; pool: vector to rows).
+    """
+    order = sorted(pool, key=lambda v: hashlib.sha256(f"{seed}:{v}".encode()).hexdigest())
+    take = dict.fromkeys(order, 0)
+    total = lambda k: sum(n * v[k] for v, n in take.items())
+    room = lambda: size - sum(take.values())
+    for k in sorted(range(len(wanted)), key=lambda k: (wanted[k], k)):
+        for v in order:
+            if v[k]:
+                take[v] += max(0, min(pool[v] - take[v], wanted[k] - total(k), room()))
+    for v in sorted(order, key=any):  # those without a label come first, the sort keeps the order
+        take[v] += max(0, min(pool[v] - take[v], room()))
+
+    def mismatch(t: dict[tuple, int]) -> float:
+        ones, more = (sum(n for v, n in t.items() if f(sum(v))) / max(size, 1) for f in (lambda s: s == 1, lambda s: s > 1))
+        return round(sum(abs(sum(n * v[k] for v, n in t.items()) - w) / max(w, 1) for k, w in enumerate(wanted)) + abs(ones - single) + abs(more - multi), 9)
 
-def matched_draw(pool: list[tuple], wanted: list[int], size: int, swaps: int = 100) -> tuple[list, int]:
-    """Rows whose label totals are near ``wanted``: greedy by what is lacking, then improving swaps; also the residual (driver)."""
-    left, out, have = sorted(pool), [], [0] * len(wanted)
-    miss = lambda h: sum(abs(a - b) for a, b in zip(wanted, h, strict=True))
-    plus = lambda h, v, s=1: [a + s * b for a, b in zip(h, v, strict=True)]
-    while left and len(out) < size:
-        best = min(left, key=lambda x: (miss(plus(have, x[1])), x[0]))
-        out.append(best)
-        left.remove(best)
-        have = plus(have, best[1])
     for _ in range(swaps):
-        moves = [(miss(plus(plus(have, a[1], -1), b[1])), a, b) for a in out for b in left]
-        if not moves or min(moves)[0] >= miss(have):
+        trials = [(mismatch(take | {a: take[a] - 1, b: take[b] + 1}), i, j) for i, a in enumerate(order) if take[a] for j, b in enumerate(order) if a != b and take[b] < pool[b]]
+        if not trials or min(trials)[0] >= mismatch(take):
             break
-        _, a, b = min(moves)
-        out[out.index(a)], left[left.index(b)] = b, a
-        have = plus(plus(have, a[1], -1), b[1])
-    return [k for k, _ in out], miss(have)
+        _, i, j = min(trials)
+        take[order[i]] -= 1
+        take[order[j]] += 1
+    return {v: n for v, n in take.items() if n}
+
+
+def matched_draw(pool: DataFrame, labels: list[str], wanted: list[int], size: int, single: float, multi: float, key: str = "group_id", seed: object = 0, swaps: int = 100) -> DataFrame:
+    """The rows of ``matched_counts``, of each vector the first in hash order: key and the labels."""
+    counts = {tuple(r[:-1]): r[-1] for r in pool.groupBy(*labels).agg(F.count(F.lit(1))).collect()}  # a row a vector
+    take = matched_counts(counts, wanted, size, single, multi, seed, swaps)
+    plan = pool.sparkSession.createDataFrame([(*v, n) for v, n in take.items()], ", ".join(f"{x} int" for x in labels) + ", n_ int")
+    rank = F.row_number().over(Window.partitionBy(*labels).orderBy(seeded(seed, key), key))
+    return pool.join(F.broadcast(plan), labels).withColumn("r_", rank).where(F.col("r_") <= F.col("n_")).select(key, *labels)
+
+
+def draw_residuals(drawn: DataFrame, labels: list[str], wanted: list[int], tolerance: float) -> DataFrame:
+    """(label, target, achieved, delta, within): what a matched draw misses; within a share of the target, or one row."""
+    rows = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.lit(w).cast("long").alias("target"), F.col(x).alias("achieved")) for x, w in zip(labels, wanted, strict=True)]))
+    sums = drawn.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in labels]).select(rows.alias("r")).select("r.*")
+    delta = F.col("achieved") - F.col("target")
+    return sums.withColumns({"delta": delta, "within": F.abs(delta) <= F.greatest(F.lit(1.0), tolerance * F.greatest("target", F.lit(1)))})

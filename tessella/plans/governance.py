@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import contracts
+from tessella.plans.evaluation import MEASURED
 from tessella.plans.registry import Tables, register
 from tessella.plans.selection import rounded
 
@@ -35,16 +36,20 @@ def pf28(t: Tables):
     return t.pool.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("image_id") == F.count(F.lit(1))).alias("unique_ids"), F.every(F.col("score") >= 0).alias("uniform"))
 
 
-@register("se22_official_method", "SELECT * FROM (VALUES ('a', 'network'), ('b', 'measured'), ('c', 'baseline')) v(dx, method)")
+EVIDENCE = "SELECT position AS dx, CAST(sum(CASE WHEN context_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS train, CAST(sum(CASE WHEN context_id % 2 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS held_out, avg(CASE WHEN context_id % 3 = 0 THEN utility END) AS network, avg(CASE WHEN context_id % 3 = 1 THEN utility END) AS baseline FROM (" + MEASURED + ") m GROUP BY position"
+
+
+@register("se22_official_method", f"WITH e AS ({EVIDENCE}), n AS (SELECT count(*) // 4 AS least FROM orders) SELECT dx, CASE WHEN train >= least AND held_out >= least AND network > baseline THEN 'network' WHEN train >= least AND held_out >= least THEN 'measured' ELSE 'baseline' END AS method FROM e, n")
 def se22(t: Tables):
-    rows = [("a", 9, 9, 0.8, 0.7), ("b", 9, 9, 0.6, 0.7), ("c", 9, 1, 0.9, 0.7)]
-    return contracts.official_method(t.spark.createDataFrame(rows, "dx string, train int, held_out int, network double, baseline double"), 5).select("dx", "method")
+    return contracts.official_method(t.sql(EVIDENCE), t.orders.count() // 4).select("dx", "method")
 
 
-@register("se24_acceptance", "SELECT * FROM (VALUES ('rho', true), ('regret', false), ('lost', false)) v(name, accepted)")
+@register("se24_acceptance", "WITH e AS (SELECT dx, avg(score) AS value FROM pool GROUP BY dx) SELECT dx AS name, CASE WHEN dx < '4' THEN value >= 0.5 ELSE value <= 0.5 END AS accepted FROM e UNION ALL SELECT '9-NONE', false")
 def se24(t: Tables):
-    criteria = t.spark.createDataFrame([("rho", ">=", 0.3), ("regret", "<=", 0.01), ("lost", ">=", 0.0)], "name string, comparison string, bound double")
-    return contracts.accepted(t.spark.createDataFrame([("rho", 0.4), ("regret", 0.2)], "name string, value double"), criteria).select("name", "accepted")
+    evidence = t.pool.groupBy(F.col("dx").alias("name")).agg(F.avg("score").alias("value"))
+    names = evidence.select("name").unionByName(t.spark.createDataFrame([("9-NONE",)], "name string"))
+    criteria = names.withColumns({"comparison": F.when(F.col("name").between("4", "8"), "<=").otherwise(">="), "bound": F.lit(0.5)})
+    return contracts.accepted(evidence, criteria).select("name", "accepted")
 
 
 @register("se29_budget", "SELECT p_partkey, p_size * 9 AS runs, p_size * 9 * 0.5::DOUBLE AS hours, p_size * 9 * 0.5 <= 100 AS within FROM part")
@@ -58,7 +63,10 @@ def se30(t: Tables):
     return contracts.feasibility_report(t.pool, [60, 990, 1010], 3)
 
 
-@register("sm5_subset_design")
+UNIT_HASH = "CAST('0x' || substr(h, 1, 8) AS BIGINT)"
+
+
+@register("sm5_subset_design", f"WITH n AS (SELECT count(*) AS n FROM pool), r AS (SELECT image_id, row_number() OVER (ORDER BY score, image_id) - 1 AS pos FROM pool), b AS (SELECT image_id, greatest(1, ceil(pos * 3 / greatest(n - 1, 1)::DOUBLE - 1e-12)) AS band FROM r, n), e AS (SELECT k, band, -ln(({UNIT_HASH} + 1) / 4294967297.0::DOUBLE) AS w FROM (SELECT k, band, sha256(concat_ws(':', '0', 'mixture', k, band)) AS h FROM (SELECT unnest(generate_series(0, 3)) AS k), (SELECT unnest([1, 2, 3]) AS band))), i AS (SELECT k, band, round(60 * w / sum(w) OVER (PARTITION BY k), 9) AS ideal FROM e), m AS (SELECT 'mixture' AS role, k, band, floor(ideal) + CASE WHEN row_number() OVER (PARTITION BY k ORDER BY ideal - floor(ideal) DESC, band) <= 60 - sum(floor(ideal)) OVER (PARTITION BY k) THEN 1 ELSE 0 END AS take FROM i), p AS (SELECT * FROM m UNION ALL SELECT 'random', k, 0, 60 FROM generate_series(0, 3) g(k) UNION ALL SELECT 'band', k, k % 3 + 1, 60 FROM generate_series(0, 3) g(k)), a AS (SELECT image_id, 0 AS band FROM pool UNION ALL SELECT image_id, band FROM b), d AS (SELECT role, k, p.band, take, image_id, sha256(concat_ws(':', '0', role, k, image_id)) AS h FROM a JOIN p ON a.band = p.band), x AS (SELECT *, row_number() OVER (PARTITION BY role, k, band ORDER BY h, image_id) AS r FROM d, n WHERE {UNIT_HASH} / 4294967296.0::DOUBLE < (4.0 * 60 + 64) / CASE WHEN band = 0 THEN n ELSE n / 3 END) SELECT role || '-' || k AS subset_id, role, image_id FROM x WHERE r <= take")
 def sm5(t: Tables):
     return contracts.subset_design(t.pool, 4, 60)
 

@@ -366,7 +366,7 @@ def fn5_skin(t: Tables):
     return t.sql(PERSONS).select("c_custkey", text.skin_caption(variant, F.lit("a lesion"), F.col("age"), F.col("sex"), F.col("c_mktsegment")).alias("caption"))
 
 
-@register("ct1_snapshot_fairness", "SELECT * FROM (VALUES ('n_images', 1::BIGINT, true), ('ids', 1::BIGINT, true), ('condition', 3::BIGINT, false)) v(\"key\", n_values, uniform)")
+@register("ct1_snapshot_fairness", "WITH e AS (SELECT condition, count(*) AS n_images, sha256(string_agg(DISTINCT CAST(image_id AS VARCHAR), chr(10) ORDER BY CAST(image_id AS VARCHAR))) AS ids FROM predictions GROUP BY 1), c AS (SELECT unnest(['n_images', 'ids', 'condition']) AS \"key\", unnest([count(DISTINCT n_images), count(DISTINCT ids), count(DISTINCT condition)]) AS n_values FROM e) SELECT \"key\", n_values, n_values <= 1 AS uniform FROM c")
 def ct1(t: Tables):
     each = t.predictions.groupBy("condition").agg(F.count(F.lit(1)).alias("n_images"), hashing.set_hash(F.col("image_id")).alias("ids"))
     return labels.one_value_per_key(each, ["n_images", "ids", "condition"])
@@ -427,15 +427,42 @@ def sp4(t: Tables):
     return sampling.multilabel_groups(signals_of(t), SIGNALS)
 
 
-@register("sm11_rarity_first")
+def group_sizes(t: Tables):
+    """Customers with their orders and, for each priority, how many of these have it."""
+    kinds = enumerate(labels.CLASSES)
+    return t.orders.where("o_custkey is not null").groupBy(F.col("o_custkey").alias("group_id")).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col("o_orderpriority") == k).alias(f"k{i}") for i, k in kinds])
+
+
+def rarity_sql(target: int) -> str:
+    """The same draws as a chain of steps, the order of the labels by a switch over all of them."""
+    n = len(labels.CLASSES)
+    kinds = ", ".join(f"count_if(o_orderpriority = '{k}') AS k{i}" for i, k in enumerate(labels.CLASSES))
+    long = " UNION ALL ".join(f"SELECT {i} AS label, sum(k{i}) AS n, round_even(round({target} * sum(k{i}) / sum(n_rows), 9), 0) AS quota FROM g" for i in range(n))
+    steps = [f"g AS (SELECT o_custkey AS group_id, count(*) AS n_rows, {kinds} FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1)", f"o AS (SELECT *, row_number() OVER (ORDER BY n, label) AS step FROM ({long}))", "v AS (SELECT group_id, n_rows, label, x FROM (UNPIVOT g ON " + ", ".join(f"k{i}" for i in range(n)) + " INTO NAME name VALUE x) JOIN (SELECT label, 'k' || label AS name FROM o) USING (name))", "s0 AS (SELECT group_id FROM g WHERE false)"]
+    for k in range(1, n + 1):
+        steps.append(f"h{k} AS (SELECT quota - coalesce((SELECT sum(x) FROM v JOIN s{k - 1} USING (group_id) WHERE v.label = o.label), 0) AS need, label FROM o WHERE step = {k})")
+        steps.append(f"s{k} AS (SELECT group_id FROM s{k - 1} UNION ALL SELECT group_id FROM (SELECT group_id, need, coalesce(sum(x) OVER (ORDER BY sha256(concat_ws(':', '0', 'k' || v.label, group_id)), group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v JOIN h{k} ON v.label = h{k}.label WHERE x > 0 AND group_id NOT IN (SELECT group_id FROM s{k - 1})) WHERE before < need)")
+    rest = f"SELECT group_id, coalesce(sum(n_rows) OVER (ORDER BY sha256(concat_ws(':', '0', group_id)), group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g WHERE group_id NOT IN (SELECT group_id FROM s{n})"
+    return f"WITH {', '.join(steps)} SELECT group_id FROM s{n} UNION ALL SELECT group_id FROM ({rest}) WHERE before < {target} - (SELECT coalesce(sum(n_rows), 0) FROM g JOIN s{n} USING (group_id))"
+
+
+@register("sm11_rarity_first", rarity_sql(400))
 def sm11(t: Tables):
-    rows, totals = sampling.first_of_vectors(vectors_of(t), KINDS, 80)
-    return t.spark.createDataFrame([(g,) for g in sampling.rarity_first(rows, 30, 5, 80, totals)], "group_id long")
+    return sampling.rarity_first(group_sizes(t), KINDS, 400)
+
+
+WANTED, DRAWN = [20, 25, 30, 20, 15], 45
+
+
+def drawn_of(t: Tables):
+    return sampling.matched_draw(vectors_of(t), KINDS, WANTED, DRAWN, 0.1, 0.9)
 
 
 @register("sm12_matched_draw")
 def sm12(t: Tables):
-    size, swaps = 30, 5
-    rows, _ = sampling.first_of_vectors(vectors_of(t), KINDS, size + swaps)
-    got, residual = sampling.matched_draw(rows, [20, 20, 20, 20, 20], size, swaps)
-    return t.spark.createDataFrame([(g, residual) for g in sorted(got)], "group_id long, residual int")
+    return drawn_of(t)
+
+
+@register("sm12_draw_residuals")
+def sm12_residuals(t: Tables):
+    return sampling.draw_residuals(drawn_of(t), KINDS, WANTED, 0.1)

@@ -115,8 +115,10 @@ def test_drivers_heuristics():
     # a small split gets its own share of a rare label
     got = sampling.greedy_counts({(1, 0): 20, (0, 1): 380}, {"large": 0.9, "small": 0.1})
     assert got[(1, 0), "small"] == 2 and got[(0, 1), "small"] == 38
-    assert len(sampling.rarity_first(v, 3, 2, 8)) == 8
-    assert sampling.matched_draw(v, [2, 1], 3)[1] == 0
+    pool = {(1, 0): 9, (0, 1): 2, (1, 1): 2, (0, 0): 7}
+    take = sampling.matched_counts(pool, [4, 2], 8, 0.5, 0.125)
+    assert sum(take.values()) == 8 and all(take[x] <= pool[x] for x in take)
+    assert [sum(n * x[k] for x, n in take.items()) for k in range(2)] == [4, 2]
 
 
 def test_ternary_domain(spark):

@@ -169,19 +169,58 @@ def test_all_groups_take_part_in_the_heuristics(spark, far):
     got = {r.group_id: r.split for r in QUERIES["sp4_multilabel_allocation"](spark, folder).collect()}
     assert got.keys() == whole.keys()
     assert Counter((v, got[g]) for g, v in whole.items()) == Counter(plain_allocation(list(whole.values()), sampling.SPLITS))
-    assert sorted(r.group_id for r in QUERIES["sm11_rarity_first"](spark, folder).collect()) == sorted(sampling.rarity_first(groups, 30, 5, 80))
-    want, residual = sampling.matched_draw(groups, [20] * 5, 30, 5)
-    assert [tuple(r) for r in QUERIES["sm12_matched_draw"](spark, folder).collect()] == [(g, residual) for g in sorted(want)]
+    drawn = QUERIES["sm12_matched_draw"](spark, folder).collect()
+    take = plain_draw(groups, [20, 25, 30, 20, 15], 45, 0.1, 0.9)
+    assert {r.group_id: tuple(r)[1:] for r in drawn} == take
+    got = {r.label: (r.achieved, r.delta) for r in QUERIES["sm12_draw_residuals"](spark, folder).collect()}
+    assert got == {f"k{k}": (sum(v[k] for v in take.values()), sum(v[k] for v in take.values()) - w) for k, w in enumerate([20, 25, 30, 20, 15])}
+
+
+def plain_draw(groups, wanted, size, single, multi):
+    """The matched draw one group after the other, in the order of the vectors' and then the groups' hashes."""
+    digest = lambda x: hashlib.sha256(f"0:{x}".encode()).hexdigest()
+    left = sorted(groups, key=lambda g: (digest(tuple(g[1])), digest(g[0]), g[0]))
+    out = []
+    sums = lambda: [sum(v[k] for _, v in out) for k in range(len(wanted))]
+    for k in sorted(range(len(wanted)), key=lambda k: (wanted[k], k)):
+        for g in list(left):
+            if len(out) < size and g[1][k] and sums()[k] < wanted[k]:
+                out.append(g)
+                left.remove(g)
+    for g in sorted(left, key=lambda g: any(g[1]))[: size - len(out)]:
+        out.append(g)
+        left.remove(g)
+
+    def mismatch():
+        ones, more = sum(sum(v) == 1 for _, v in out) / size, sum(sum(v) > 1 for _, v in out) / size
+        return round(sum(abs(a - w) / max(w, 1) for a, w in zip(sums(), wanted, strict=True)) + abs(ones - single) + abs(more - multi), 9)
+
+    rank = {v: i for i, v in enumerate(sorted({tuple(v) for _, v in groups}, key=digest))}
+    for _ in range(100):
+        now, best = mismatch(), None
+        for a in {tuple(g[1]): g for g in out}.values():
+            for b in {tuple(g[1]): g for g in reversed(left)}.values():
+                if a[1] != b[1]:
+                    out[out.index(a)] = b
+                    best = min([x for x in (best, (mismatch(), rank[tuple(a[1])], rank[tuple(b[1])], a, b)) if x])
+                    out[out.index(b)] = a
+        if best is None or best[0] >= now:
+            break
+        out[out.index(best[3])] = best[4]
+        left[left.index(best[4])] = best[3]
+    counts = Counter(tuple(v) for _, v in out)
+    first = sorted(groups, key=lambda g: (digest(g[0]), g[0]))
+    return {g: tuple(v) for g, v in first if (counts.__setitem__(tuple(v), counts[tuple(v)] - 1) or counts[tuple(v)] >= 0)}
 
 
 def test_late_groups_are_candidates(spark):
     """Groups with the rare label come last by id, behind more groups than are drawn."""
-    data = [(g, 1, 0) for g in range(400)] + [(1000 + g, 0, 1) for g in range(3)]
-    rows, totals = sampling.first_of_vectors(spark.createDataFrame(data, "group_id long, a int, b int"), ["a", "b"], 20)
-    whole = [(g, (a, b)) for g, a, b in data]
-    assert totals == [400, 3] and len(rows) == 23
-    assert sampling.rarity_first(rows, 5, 2, 20, totals) == sampling.rarity_first(whole, 5, 2, 20)
-    assert sampling.matched_draw(rows, [5, 2], 7, 13) == sampling.matched_draw(whole, [5, 2], 7, 13)
+    data = [(g, 1, 1, 0) for g in range(400)] + [(1000 + g, 1, 0, 1) for g in range(3)]
+    groups = spark.createDataFrame(data, "group_id long, n_rows int, a int, b int")
+    got = {r.group_id for r in sampling.rarity_first(groups, ["a", "b"], 200).collect()}
+    assert len(got) == 200 and len([g for g in got if g >= 1000]) >= 1
+    assert {r.group_id for r in sampling.rarity_first(groups, ["a", "b"], 5000).collect()} == {r[0] for r in data}
+    assert sampling.rarity_first(groups.limit(0), ["a", "b"], 10).count() == 0
 
 
 def test_groups_of_a_vector_are_dealt_in_hash_order(spark):
