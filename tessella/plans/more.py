@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import numbered
-from tessella.operators import contracts, gate, inference, labels, metrics, sampling, select, signals, valuation, vectors
+from tessella.operators import contracts, gate, inference, labels, metrics, recipes, sampling, select, signals, valuation, vectors
 from tessella.plans.evaluation import PROBS
 from tessella.plans.registry import Tables, register
 from tessella.plans.selection import CAND, COUNTS, SAFE, UNIT, halves, rounded
@@ -318,3 +318,39 @@ def im20(t: Tables):
     k = F.col("p_size")
     rows = t.part.select(F.when(k % 10 == 0, "geometry_rejected").otherwise("accepted").alias("status"), (k % 7 != 0).alias("valid"), F.when(k % 9 == 0, 0.5).otherwise(30.0).alias("contrast"))
     return rounded(gate.pilot_checks(rows, t.part.count(), 0.8, 0.2, 0.2, 5.0), "valid_share", "rejected_share", "uniform_share")
+
+
+EVENT_LABELS = "SELECT s, count(*) AS support FROM (SELECT list_sort(list(DISTINCT event_type)) AS s FROM events WHERE value > 40 GROUP BY user_id) GROUP BY 1 HAVING count(*) >= 3"
+
+
+def mined(t: Tables):
+    sets = t.events.where("value > 40").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("combination"))
+    return sets.groupBy("combination").agg(F.count(F.lit(1)).alias("support")).where("support >= 3")
+
+
+LABELS = ["click", "error", "purchase", "view", "zzz"]
+ALLOW, BLOCK = [["click", "purchase", "zzz"]], [["error", "view"], ["zzz"]]
+
+
+@register("se26_recipe_decisions", f"WITH m AS ({EVENT_LABELS}), f AS (SELECT ['click', 'purchase', 'zzz'] AS s, 'allow' AS g UNION ALL SELECT [unnest({LABELS})], 'single'), x AS (SELECT coalesce(m.s, f.s) AS s, coalesce(support, 0) AS support, g FROM m FULL JOIN f ON m.s = f.s WHERE g IS NOT NULL OR len(m.s) <= 2), o AS (SELECT s, support, CASE WHEN g = 'allow' THEN 'medical_rule_allow' WHEN support > 0 THEN 'empirical_cooccurrence' ELSE 'single_label_guaranteed' END AS origin FROM x), b AS (SELECT *, CASE WHEN origin = 'medical_rule_allow' THEN NULL WHEN list_has_all(s, ['error', 'view']) THEN 'medical_rule_block:error,view' WHEN list_has_all(s, ['zzz']) THEN 'medical_rule_block:zzz' END AS blocked FROM o), r AS (SELECT *, coalesce(blocked, CASE WHEN len(s) > 2 THEN 'exceeds_max_positive_labels:2' END) AS refused FROM b) SELECT array_to_string(s, '|') AS combination, origin, refused IS NULL AS accepted, coalesce(refused, CASE origin WHEN 'medical_rule_allow' THEN 'accepted_medical_rule_allow' WHEN 'single_label_guaranteed' THEN 'accepted_single_label_below_support_but_required_for_coverage' ELSE 'accepted_empirical_support' END) AS reason, support FROM r")
+def se26_decisions(t: Tables):
+    return recipes.decisions(mined(t), LABELS, 2, ALLOW, BLOCK).withColumn("combination", F.array_join("combination", "|"))
+
+
+QUOTAS = {"click": 60, "error": 25, "purchase": 40, "view": 80}
+
+
+def planned(t: Tables):
+    """Recipes of the accepted combinations; as many combinations as label sets are driver rows."""
+    accepted = recipes.decisions(mined(t), LABELS, 3, [], BLOCK).where("accepted").select("combination").collect()
+    return recipes.recipes(t.spark, recipes.plan([tuple(r.combination) for r in accepted], QUOTAS, 0.5, 0.1, 4), [20, 40, 60], ["Male", "Female"], 0.3, 4)
+
+
+@register("se26_recipe_rows")
+def se26_rows(t: Tables):
+    return planned(t)
+
+
+@register("ag28_recipe_mix")
+def ag28_mix(t: Tables):
+    return recipes.statistics(planned(t), sorted(QUOTAS)).withColumn("emitted", F.to_json("emitted"))

@@ -1,5 +1,6 @@
 """Ranks, quantiles, blocked vectors, comparison and contracts against plain Python."""
 
+import json
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from test_oracles import DATA
 
 from tessella.functions import frames
-from tessella.operators import comparison, contracts, labels, select, signals, vectors
+from tessella.operators import comparison, contracts, labels, recipes, select, signals, vectors
 from tessella.plans import more
 from tessella.plans.registry import Tables
 from tessella.sources import io
@@ -222,3 +223,19 @@ def test_source_and_metadata_faults_need_their_columns(spark):
     for f in (lambda: labels.source_faults(df, "path", ["a", "b"], "p"), lambda: labels.metadata_faults(df, "path", "g", "a")):
         with pytest.raises(ValueError, match="missing columns"):
             f()
+
+
+def test_recipes_meet_quotas_and_blocks(spark):
+    t = Tables(spark, DATA)
+    made = more.planned(t).collect()
+    held = {x: sum(x in r.combination for r in made) for x in more.QUOTAS}
+    assert all(held[x] >= n for x, n in more.QUOTAS.items()) and len({r.recipe_id for r in made}) == len(made)
+    assert not any({"error", "view"} <= set(r.combination) or "zzz" in r.combination for r in made)
+    total = sum(more.QUOTAS.values())
+    assert sum(not r.combination for r in made) == round(total / 0.9) - total
+    row = more.ag28_mix(t).first()
+    assert (row.n_recipes, row.single + row.multi + row.none) == (len(made), len(made)) and json.loads(row.emitted) == held
+    assert {r.age for r in made} == {20, 40, 60} and 0 < sum(r.support_devices for r in made) < len(made)
+    for bad in ({"other": 1}, {"click": 5, "other": 1}):
+        with pytest.raises(ValueError, match="no combination"):
+            recipes.plan([("click",)], bad, 0.5, 0.1)
