@@ -419,7 +419,7 @@ def im16(t: Tables):
     return rounded(signals.uncertainty(passes(t), "image_id", 3, 0.05, 0.1), "predictive_entropy", "expected_entropy", "mutual_information", "mean_std", "max_std")
 
 
-@register("im17_uncertainty_multi", f"WITH x AS ({RAWP}), q AS (SELECT *, w / sum(w) OVER (PARTITION BY image_id, pass) AS p FROM x), e AS (SELECT image_id, class, greatest(1e-6, least(1 - 1e-6, avg(p))) AS m, stddev_pop(p) AS s FROM q GROUP BY 1, 2), a AS (SELECT image_id, avg(s) AS ms, max(s) AS xs, avg(-(m * ln(m) + (1 - m) * ln(1 - m))) AS h FROM e GROUP BY 1) SELECT image_id, round(ms, 6) AS mean_std, round(xs, 6) AS max_std, round(h, 6) AS entropy, CASE WHEN ms <= 0.05 THEN 'low' WHEN ms <= 0.151 THEN 'moderate' ELSE 'extreme' END AS band FROM a")
+@register("im17_uncertainty_multi", f"WITH x AS ({RAWP}), q AS (SELECT *, w / sum(w) OVER (PARTITION BY image_id, pass) AS p FROM x), e AS (SELECT image_id, class, greatest(1e-6, least(1 - 1e-6, avg(p))) AS m, stddev_pop(p) AS s FROM q GROUP BY 1, 2), a AS (SELECT image_id, avg(s) AS ms, max(s) AS xs, avg(-(m * ln(m) + (1 - m) * ln(1 - m))) AS h FROM e GROUP BY 1) SELECT image_id, round(ms, 6) AS mean_std, round(xs, 6) AS max_std, round(h, 6) AS entropy, CASE WHEN ms <= 0.05 + 1e-9 THEN 'low' WHEN ms <= 0.151 + 1e-9 THEN 'moderate' ELSE 'extreme' END AS band FROM a")
 def im17(t: Tables):
     return rounded(signals.uncertainty_multi(passes(t), "image_id", 0.05, 0.151), "mean_std", "max_std", "entropy")
 
