@@ -73,8 +73,8 @@ def read_boxes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as (path, content); decode with signals.decode_images."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """Image files of the kinds that Spark's image source reads (PNG, JPEG, GIF, BMP), a row a file: origin, height, width, nChannels (-1 for what it can't read), mode, data; see signals.source_images."""
+    return spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

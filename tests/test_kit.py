@@ -2,6 +2,8 @@
 
 import json
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -76,6 +78,26 @@ def test_image_files_may_hold_any_byte():
             signals.decoded(bad)
 
 
+def png(pixels):
+    """A PNG of an array (rows, columns) or (rows, columns, 3), without filters."""
+    h, w = pixels.shape[:2]
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_image_source_reads_png(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    colour, grey = rng.integers(0, 256, (4, 6, 3)).astype(np.uint8), rng.integers(0, 256, (3, 5)).astype(np.uint8)
+    for name, raw in (("c.png", png(colour)), ("g.png", png(grey)), ("bad.png", b"no image")):
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rsplit("/", 1)[1]: r for r in signals.source_images(io.read_images(spark, str(tmp_path))).collect()}
+    assert {k: (r.valid, r.width, r.height) for k, r in got.items()} == {"c.png": (True, 6, 4), "g.png": (True, 5, 3), "bad.png": (False, None, None)}
+    assert np.array(got["c.png"].pixels) == pytest.approx(signals.luminance(colour)) and got["bad.png"].pixels is None
+    assert got["c.png"].channel_spread == pytest.approx(colour.astype(float).std(axis=2).mean())
+    assert (np.array(got["g.png"].pixels) == grey).all() and got["g.png"].channel_spread == 0
+
+
 def embeddings(rng, n, dims=6):
     return [(k, rng.normal(size=dims).tolist(), int(k % 3 > 0)) for k in range(n)]
 
