@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import settled
@@ -71,6 +71,28 @@ def resampled(predictions: DataFrame, unit: str, replicates: int, seed: int) ->
     return settled(confusion_metrics(summed, key).groupBy("b", "condition", "metric").agg(F.avg("value").alias("value")))
 
 
+def resampled_auroc(predictions: DataFrame, unit: str, probabilities: list[str], replicates: int, seed: int) -> DataFrame:
+    """The same for the macro one-vs-rest AUROC, from one probability column a class: (b, condition, metric, value).
+
+    Rows are counted by unit and score before they meet the draws, and by score behind them, so
+    distinct scores are what is sorted. Classes without rows on both sides of a resample are left
+    out of its mean.
+    """
+    score = F.posexplode(F.array(*[F.col(c).cast("double") for c in probabilities])).alias("k", "s")
+    rows = predictions.select(F.col(unit).alias("unit"), "condition", "seed", "true_class", score)
+    mine = F.col("true_class") == F.col("k")
+    cells = rows.groupBy("unit", "condition", "seed", "k", "s").agg(F.count_if(mine).alias("p"), F.count_if(~mine).alias("n"))
+    weights = draws(predictions.select(F.col(unit).alias("unit")), replicates, seed)
+    key = ["condition", "seed", "k", "s"]
+    drawn = weights.join(cells, "unit").select("b", *key, (F.col("p") * F.col("weight")).alias("p"), (F.col("n") * F.col("weight")).alias("n"))
+    summed = drawn.unionByName(cells.select(F.lit(0).alias("b"), *key, "p", "n")).groupBy("b", *key).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    by = ["b", "condition", "seed", "k"]
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = summed.withColumn("below", below).groupBy(*by).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
+    means = each.groupBy("b", "condition", "seed").agg(F.avg("auroc").alias("value")).groupBy("b", "condition").agg(F.avg("value").alias("value"))
+    return settled(means.select("b", "condition", F.lit("macro_auroc").alias("metric"), "value"))
+
+
 def estimates(values: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(condition, metric, estimate, low, high, n_draws) of ``resampled`` values."""
     draw = F.when(F.col("b") > 0, F.col("value"))
@@ -103,9 +125,12 @@ def corrected(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return holm(part("confirmatory"), ["family"], alpha=alpha).unionByName(benjamini_hochberg(part("exploratory"), ["family"], alpha=alpha))
 
 
-def compare(predictions: DataFrame, protocol: Protocol, unit: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """The comparison of a protocol's conditions, by family; see ``comparable`` for what raises."""
-    values = resampled(comparable(predictions, protocol), unit, replicates, seed)
+def compare(predictions: DataFrame, protocol: Protocol, unit: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05, probabilities: list[str] = ()) -> DataFrame:
+    """The comparison of a protocol's conditions, by family, with the macro AUROC where there are probabilities; see ``comparable`` for what raises."""
+    rows = comparable(predictions, protocol)
+    values = resampled(rows, unit, replicates, seed)
+    if probabilities:
+        values = values.unionByName(resampled_auroc(rows, unit, list(probabilities), replicates, seed))
     return corrected(differences(values, protocol, alpha), alpha)
 
 

@@ -32,6 +32,18 @@ def st17_comparison(t: Tables):
     return rounded(rows.drop("note"), "difference", "low", "high", "p", "adjusted")
 
 
+KINDS = range(5)
+CHANCES = ", ".join(f"round((CAST((image_id * {31 + 2 * k} + seed * 7) % 101 AS DOUBLE) / 101 + CASE WHEN predicted = {k} THEN 0.5 ELSE 0 END) / 2, 6) AS p{k}" for k in KINDS)
+AUROC = "x AS (SELECT *, " + CHANCES + " FROM predictions), y AS (" + " UNION ALL ".join(f"SELECT lesion_id AS unit, condition, seed, {k} AS k, p{k} AS s, CASE WHEN true_class = {k} THEN 1 ELSE 0 END AS y FROM x" for k in KINDS) + f"), {draws_sql('SELECT DISTINCT lesion_id AS unit FROM predictions')}, c AS (SELECT b, condition, seed, k, s, sum(y * weight) AS p, sum((1 - y) * weight) AS n FROM y JOIN d USING (unit) GROUP BY ALL), a AS (SELECT *, sum(n) OVER (PARTITION BY b, condition, seed, k ORDER BY s) - n AS below FROM c), e AS (SELECT b, condition, seed, k, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auroc FROM a GROUP BY ALL), m AS (SELECT b, condition, seed, avg(auroc) AS value FROM e GROUP BY ALL), v AS (SELECT b, condition, avg(value) AS value FROM m GROUP BY ALL)"
+
+
+@register("st17_auroc_estimates", f"WITH {AUROC} SELECT condition, 'macro_auroc' AS metric, round(max(CASE WHEN b = 0 THEN value END), 6) AS estimate, round(quantile_cont(CASE WHEN b > 0 THEN value END, 0.025), 6) AS low, round(quantile_cont(CASE WHEN b > 0 THEN value END, 0.975), 6) AS high, count(CASE WHEN b > 0 THEN value END) AS n_draws FROM v GROUP BY 1")
+def st17_auroc(t: Tables):
+    chance = lambda k: F.round(((F.col("image_id") * (31 + 2 * k) + F.col("seed") * 7) % 101 / F.lit(101.0) + F.when(F.col("predicted") == k, 0.5).otherwise(0)) / 2, 6)
+    rows = t.predictions.withColumns({f"p{k}": chance(k) for k in KINDS})
+    return rounded(comparison.estimates(comparison.resampled_auroc(rows, "lesion_id", [f"p{k}" for k in KINDS], REPLICATES, SEED)), "estimate", "low", "high")
+
+
 RUNS = f"SELECT image_id, true_class, run, CAST(k AS INT) AS label, CASE k WHEN 0 THEN (p0 + run / 10.0) / 2 WHEN 1 THEN (p1 + run / 20.0) / 2 ELSE (p2 + run / 40.0) / 2 END AS p FROM ({PROBS}) CROSS JOIN (SELECT 1 AS run UNION ALL SELECT 2 UNION ALL SELECT 3) r CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) l"
 
 

@@ -184,6 +184,9 @@ def test_equal_conditions_do_not_differ(spark):
     got = comparison.compare(p, comparison.PROTOCOLS["v1"], "lesion_id", 20).collect()
     assert {r.family for r in got} == {"confirmatory", "exploratory"} and sum(r.family == "confirmatory" for r in got) == 1
     assert all(r.difference == 0 and r.p == 1 and not r.rejected for r in got)
+    chances = p.withColumns({f"p{k}": (F.col("predicted") == k).cast("double") for k in range(3)})
+    more = comparison.compare(chances, comparison.PROTOCOLS["v1"], "lesion_id", 20, probabilities=["p0", "p1", "p2"]).collect()
+    assert {r.name for r in more} - {r.name for r in got} == {f"{x}:macro_auroc" for x in ("C_vs_B", "C_vs_A", "B_vs_A")}
 
 
 def test_forbidden_paths_of_nested_trees(spark):
