@@ -34,7 +34,7 @@ SKETCH_BITS = 1024
 #: Sketch estimates this far below the limit (over four standard errors) rule a pair out.
 SLACK = 0.13
 #: Classes of a bucket to a block on either side of a comparison, on average.
-BLOCK = 1024
+BLOCK = 256
 #: Bits of the Bloom filter of wanted documents (8 MB) and hashes of each.
 BLOOM_BITS, BLOOM_HASHES = 1 << 26, 3
 
