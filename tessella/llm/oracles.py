@@ -55,4 +55,30 @@ r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - lost >= 0.3 * n_words AS kept FROM r
 """
 
-ORACLES = {"op2_warc": WARC, "op5_chat": CHAT, "op6_near_dedup": NEAR, "op7_url_filter": URLS, "op10_quality_rules": RULES}
+#: CRC-32 of a string, which DuckDB lacks: a table of 256 steps, then a fold over the bytes.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def crc32(string: str) -> str:
+    """The SQL of a string's checksum, beside the one row of CRC_TABLE."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen({string})), lambda i: CAST('0x' || substr(hex(encode({string})), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INT)])))"
+
+
+SPELLING = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+r AS (SELECT doc_id, translate(r, '{UPPER}', '{LOWER}') AS r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents) WHERE length(r) >= 6 GROUP BY 1, 2),
+h AS (SELECT r, n, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r")} AS h FROM r, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w, n FROM h),
+v AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(w) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+k AS (SELECT w, n, unnest(generate_series(1, length(w))) AS i FROM v),
+x AS (SELECT w, n, i, substr(w, 1, i - 1) AS a, substr(w, i + 1) AS b FROM k),
+d AS (SELECT DISTINCT w, n, a || b AS s FROM x),
+p AS (SELECT x.w, y.w AS o, y.n FROM x JOIN x y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.w <> y.w
+  UNION ALL SELECT d.w, v.w, v.n FROM d JOIN v ON d.s = v.w UNION ALL SELECT v.w, d.w, d.n FROM d JOIN v ON d.s = v.w),
+q AS (SELECT w, count(*) AS n_near, arg_min(struct_pack(o := o, n := n), struct_pack(n := -n, o := o)) AS f FROM p GROUP BY 1),
+g AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 5 * v.n THEN f.o END AS form, CASE WHEN f.n >= 5 * v.n THEN f.n END AS form_n FROM v LEFT JOIN q ON v.w = q.w),
+t(word, root, form) AS (SELECT w, w, form FROM g UNION ALL SELECT t.word, g.w, g.form FROM t JOIN g ON g.w = t.form)
+SELECT g.w AS word, g.form, t.root, g.n, n_near, form_n FROM g JOIN t ON t.word = g.w AND t.form IS NULL
+"""
+
+ORACLES = {"op2_warc": WARC, "op5_chat": CHAT, "op6_near_dedup": NEAR, "op7_url_filter": URLS, "op10_quality_rules": RULES, "op11_spelling": SPELLING}

@@ -114,6 +114,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import spelling as op
+
+    return op.group(table(spark, sf_dir, "documents").select("doc_id", "text"), damage=op.DAMAGE)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op4_quality, op5_chat, op6_near_dedup, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op4_quality, op5_chat, op6_near_dedup, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules, op11_spelling)}
