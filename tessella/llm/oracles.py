@@ -81,4 +81,39 @@ t(word, root, form) AS (SELECT w, w, form FROM g UNION ALL SELECT t.word, g.w, g
 SELECT g.w AS word, g.form, t.root, g.n, n_near, form_n FROM g JOIN t ON t.word = g.w AND t.form IS NULL
 """
 
-ORACLES = {"op2_warc": WARC, "op5_chat": CHAT, "op6_near_dedup": NEAR, "op7_url_filter": URLS, "op10_quality_rules": RULES, "op11_spelling": SPELLING}
+def _least(*ways: str) -> str:
+    """The SQL of the cheapest of some ways {c: cost, a: audit, t: repaired}, ties by audit; nulls are no ways."""
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _way(of: str, cost: str, letter: str, said: str | None = None, when: str = "TRUE") -> str:
+    text = f"list_append({of}.t, {said})" if said else f"{of}.t"
+    return f"CASE WHEN {of} IS NOT NULL AND {when} THEN {{'c': {of}.c + {cost}, 'a': {of}.a || '{letter}', 't': {text}}} END"
+
+
+_ADD_U = _least("y", _way("n", "2", "I", "'user:'"), _way("s", "2", "I", "'user:'"), _way("z", "2", "I", "'user:'"))
+_ADD_A = _least("z", _way("y", "2", "I", "'assistant:'"))
+_OPEN, _SAID = "fault NOT IN ('blank', 'duplicate')", "role || ':' || text"
+_K = lambda of, initial: _way(of, "more", "K", _SAID, f"{_OPEN} AND starts_with(role, '{initial}')")
+_R = lambda of, role: _way(of, "2 + more", "R", f"'{role}:' || text", _OPEN)
+
+REPAIR = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS h FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, generate_series(1, 2) g(copy) WHERE h <> 0 AND (copy = 1 OR h = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS seen, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS prior FROM o),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (substr(prior, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows_ FROM f GROUP BY 1),
+t AS (SELECT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS n, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS s, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS y, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS z FROM m
+  UNION ALL SELECT conv_id, k, {_least(_way("n", "3", "D"))}, {_least(_way("s", "3", "D"), _K("n", "s"))},
+    {_least(_way("y", "3", "D"), _K("n", "u"), _K("s", "u"), _K("z", "u"), _R("n", "user"), _R("s", "user"), _R("z", "user"))}, {_least(_way("z", "3", "D"), _K("y", "a"), _R("y", "assistant"))}
+  FROM (SELECT f.conv_id, f.k, role, text, fault, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS more, n, s, y, {_ADD_A} AS z FROM (SELECT conv_id, k + 1 AS k, n, s, {_ADD_U} AS y, z FROM t) t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.k = t.k)),
+e AS (SELECT conv_id, {_least("n", "z")} AS w FROM (SELECT conv_id, k, n, {_ADD_A} AS z FROM (SELECT conv_id, k, n, s, {_ADD_U} AS y, z FROM t)) t WHERE k = (SELECT rows_ FROM m WHERE m.conv_id IS NOT DISTINCT FROM t.conv_id))
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN m ON i.conv_id IS NOT DISTINCT FROM m.conv_id LEFT JOIN e ON i.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+ORACLES = {"op2_warc": WARC, "op5_chat": CHAT, "op6_near_dedup": NEAR, "op7_url_filter": URLS, "op10_quality_rules": RULES, "op11_spelling": SPELLING, "op12_repair": REPAIR}

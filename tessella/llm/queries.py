@@ -120,6 +120,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.group(table(spark, sf_dir, "documents").select("doc_id", "text"), damage=op.DAMAGE)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import conversation_repair as op
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return op.report(op.repair(op.damaged(rows)), rows)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op4_quality, op5_chat, op6_near_dedup, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules, op11_spelling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op4_quality, op5_chat, op6_near_dedup, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules, op11_spelling, op12_repair)}
