@@ -116,4 +116,13 @@ SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN m ON i.conv_id IS NOT DISTINCT FROM m.conv_id LEFT JOIN e ON i.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 
-ORACLES = {"op2_warc": WARC, "op5_chat": CHAT, "op6_near_dedup": NEAR, "op7_url_filter": URLS, "op10_quality_rules": RULES, "op11_spelling": SPELLING, "op12_repair": REPAIR}
+VECTORS = """
+WITH RECURSIVE f AS MATERIALIZED (SELECT vec_id, label, list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NOT NULL AND isfinite(x)) AS x, len(embedding) AS n FROM embeddings WHERE label IS NOT NULL),
+v AS MATERIALIZED (SELECT vec_id, label, n, x, sqrt(list_inner_product(x, x)) AS r FROM f WHERE len(x) = n AND n > 0 AND list_max(list_transform(x, lambda y: abs(y))) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.n = b.n AND a.vec_id <> b.vec_id WHERE list_inner_product(a.x, b.x) >= 0.93 * (a.r * b.r)),
+t(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT t.node, e.b FROM t JOIN e ON t.seen = e.a),
+c AS (SELECT node, min(seen) AS component_id FROM t GROUP BY 1)
+SELECT node AS vec_id, (SELECT count(*) FROM e WHERE a = node) AS n_links, component_id, node = component_id AS kept FROM c
+"""
+
+ORACLES = {"op2_warc": WARC, "op5_chat": CHAT, "op6_near_dedup": NEAR, "op7_url_filter": URLS, "op10_quality_rules": RULES, "op11_spelling": SPELLING, "op12_repair": REPAIR, "op13_vectors": VECTORS}

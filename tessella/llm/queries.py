@@ -127,6 +127,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.report(op.repair(op.damaged(rows)), rows)
 
 
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import embedding_dedup as op
+
+    return op.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op4_quality, op5_chat, op6_near_dedup, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules, op11_spelling, op12_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_media, op4_quality, op5_chat, op6_near_dedup, op7_url_filter, op8_mixing, op9_token_files, op10_quality_rules, op11_spelling, op12_repair, op13_vectors)}
