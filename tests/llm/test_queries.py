@@ -19,7 +19,7 @@ from tessella.llm.queries import QUERIES, vocabulary
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 MORE = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-TABLES = ("documents", "pages", "conversations", "labels")
+TABLES = ("documents", "pages", "conversations", "labels", "embeddings")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
