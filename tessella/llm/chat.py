@@ -57,29 +57,28 @@ def _whole_events(events: DataFrame) -> DataFrame:
 def dropped(events: DataFrame) -> DataFrame:
     """The ids (conv_id, message) of messages that a regeneration of a lower one has dropped for good; of ``_whole_events``.
 
-    A regeneration counts if its own message is open then, which only lower messages decide; so a
-    conversation's regenerated messages are folded by number, each adding those that count. Of
-    all others, only the last opening is looked at. Texts take no part.
+    A conversation's openings and regenerations, texts aside, are folded in their order over a
+    list of what is open, a byte for each message by rank: an opening sets one, a regeneration whose own
+    message is open cuts off what comes behind it. Bytes are all that a step copies (Spark copies
+    a fold's arrays, rows and strings at each step, but not its binary values).
     """
-    kind = F.col("place.kind")
-    each = events.groupBy("id").agg(F.min("place").alias("first"), F.collect_list(F.when(kind == 1, F.col("place"))).alias("starts"), F.collect_list(F.when(kind == 2, F.col("place"))).alias("again"))
-    each = each.withColumn("opened", F.array_union("starts", F.array("first")))
-    some = each.where("size(again) > 0").groupBy("id.conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("id.message").alias("message"), "opened", "again"))).alias("m"))
-
-    def counted(drops: Column, x: Column) -> Column:
-        def fits(u: Column) -> Column:
-            last = F.array_max(F.filter(x["opened"], lambda o: o <= u))
-            return ~F.exists(drops, lambda d: (d["place"] > last) & (d["place"] <= u))
-
-        return F.concat(drops, F.transform(F.filter(x["again"], fits), lambda u: F.struct(x["message"].alias("message"), u.alias("place"))))
-
-    kind_of = events.select(F.struct(F.col("id.message").alias("message"), "place").alias("d")).schema["d"].dataType.simpleString()
-    drops = some.select("conv_id", F.explode(F.aggregate("m", F.from_json(F.lit("[]"), f"array<{kind_of}>"), counted)).alias("d"))
-    # for each message, the last opening against the drops of its conversation by lower messages
-    last = each.select("id", F.array_max("opened").alias("opened"))
-    met = last.join(drops.select(F.struct(F.col("conv_id")).alias("conv"), "d"), F.struct(F.col("id.conv_id").alias("conv_id")) == F.col("conv"))
-    lower = F.struct(F.col("d.message").alias("m")) < F.struct(F.col("id.message").alias("m"))
-    return met.where(lower & (F.col("d.place") > F.col("opened"))).select("id").distinct()
+    kind, one = F.col("place.kind"), F.lit(bytearray(b"1"))
+    firsts = events.groupBy("id").agg(F.min("place").alias("place")).where(kind != 1)
+    step = lambda rows, again: rows.select(F.struct("id.conv_id").alias("conv"), "id.message", "place", F.lit(again).alias("again"))
+    steps = step(events.where(kind == 1), 0).unionByName(step(firsts, 0)).unionByName(step(events.where(kind == 2), 1))
+    steps = steps.withColumn("rank", F.dense_rank().over(Window.partitionBy("conv").orderBy("message")))
+    convs = steps.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("place", "rank", "again", "message"))).alias("e"), F.max("again").alias("again")).where("again = 1")
+    is_open = lambda some, e: F.substring(some, e["rank"], F.lit(1)) == one
+
+    def taken(some: Column, e: Column) -> Column:
+        rank, n = e["rank"], F.octet_length(some)
+        behind = F.concat(F.when(n < rank - 1, F.rpad(some, rank - 1, F.lit(bytearray(b"0")))).otherwise(some), one)
+        opening = F.when(n < rank, behind).when(is_open(some, e), some).otherwise(F.overlay(some, one, rank, F.lit(1)))
+        return F.when(e["again"] == 0, opening).when((n > rank) & is_open(some, e), F.substring(some, F.lit(1), rank)).otherwise(some)
+
+    lost = F.aggregate("e", F.lit(bytearray()), taken, lambda some: F.filter("e", lambda e: ~is_open(some, e)))
+    convs = convs.select("conv", F.explode(F.transform(lost, lambda e: e["message"])).alias("message"))
+    return convs.select(F.struct(F.col("conv.conv_id").alias("conv_id"), "message").alias("id")).distinct()
 
 
 def fold(events: DataFrame) -> DataFrame:
