@@ -1,10 +1,13 @@
 """WARC archives: a writer with one gzip member a record, and a splittable reader.
 
-The reader's tasks take byte ranges of files. A task searches its range for the gzip magic and
-holds a place for a record only if the member there inflates to a WARC record and members
-follow it end to end, some deep or to the file's end: a member inside another's payload is
-followed by the rest of that payload. From the first record on it goes from member to member.
-It owns the records that start in its range and reads past its end to finish the last.
+The reader's tasks take byte ranges of files. A task searches its range for the gzip magic, holds a
+place for a record if the member there inflates to a WARC record, and goes on from its end. It owns
+the records that start in its range and reads past its end to finish the last. What it takes for its
+first record may lie inside a record that starts before its range (an archive stored in another's
+payload); so each task also tells where its first record starts and where its last ends. By
+file these are stitched: a range's records are right if the range before ends no later than its
+first one starts; else, the range is read again from where that ended. So records don't
+depend on where ranges are cut: they are those of one range that holds the whole file.
 """
 
 from __future__ import annotations
@@ -22,9 +25,6 @@ from tessella.llm import common, files
 MAGIC = b"\x1f\x8b\x08"  # fixed by the format
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed by the format
 LEAST_PAYLOAD = 100
-#: Members that must follow a place found by search. Archives of more members than this, stored
-#: without compression inside a record that crosses the split's start, would be taken for records.
-DEPTH = 16
 SCHEMA = "file string, offset long, record_type string, record_id string, refers_to_id string, target_uri string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -147,16 +147,6 @@ class Ranges:
             return None
         return (bytes(out), at - len(z.unused_data)) if out.startswith(header) else None
 
-    def followed(self, at: int, depth: int = DEPTH) -> bool:
-        """Whether whole members lie end to end from ``at`` bytes behind the base on, ``depth`` of them or up to the file's end."""
-        for _ in range(depth):
-            if at >= len(self.held) and not self.more():
-                return True
-            if (got := self.inflate(at, b"")) is None:
-                return False
-            at = got[1]
-        return True
-
 
 def parsed(data: bytes) -> dict:
     """Header fields (lower-case names) and block of an uncompressed record; ValueError where it isn't one."""
@@ -177,62 +167,103 @@ def parsed(data: bytes) -> dict:
     return out
 
 
-def records(source, start: int, end: int, size: int) -> Iterator[tuple[int, dict]]:
-    """Records that start in [start, end) of a file of ``size`` bytes, with their places.
+def records(source, start: int, end: int) -> Iterator[tuple[int, int, dict]]:
+    """Records that start in [start, end) of a file, searched for from ``start`` on: (place, end, fields).
 
-    A record found by search must be followed by whole members, one that lies at the file's start
-    or at the end of another need not, so a damaged member costs what lies up to it only if a
-    split starts within DEPTH members before it.
+    A place that holds no sound record is passed over by a byte; so a damaged record costs itself alone.
     """
-    window, known = Ranges(source, start), 0  # where a member is known to start
+    window = Ranges(source, start)
     while (at := window.find(end)) is not None:
         window.skip_to(at)
         got = window.inflate()
         try:
-            fields = parsed(got[0]) if got and (at == known or window.followed(got[1])) else None
+            fields = parsed(got[0]) if got else None
         except (ValueError, KeyError):
             fields = None
         if fields is None:
             window.skip_to(at + 1)
             continue
-        yield at, fields
-        known = at + got[1]
-        window.skip_to(known)
+        yield at, at + got[1], fields
+        window.skip_to(at + got[1])
 
 
-def read(spark: SparkSession, archives: list[tuple[str, int]], split_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
-    """A row for each record of gzip archives (file, bytes), by splits of ``split_bytes``.
+TRIED = "file string, split long, entry long, end long, first long, exit long"
 
-    The payload of a response is checked against its digest (ValueError where they differ);
-    that of a revisit is null, its payload_bytes is the full payload's length. ``payloads``
-    False leaves the payloads out. No archives give no rows.
-    """
-    common.ship(spark)
-    splits = [(name, at, min(at + split_bytes, size), size) for name, size in archives for at in range(0, size, split_bytes)]
-    if not splits:
-        return spark.createDataFrame([], SCHEMA)
+
+def tried(jobs: DataFrame, payloads: bool) -> DataFrame:
+    """For jobs (file, split, end, entry): the records from ``entry`` on (offset and so on), and of each job a row without an offset that tells first and exit."""
+    names = [c.split()[0] for c in f"{TRIED}, {SCHEMA.partition(', ')[2]}, sound boolean".split(", ")]
 
     def get(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        for jobs in batches:
-            for name, start, end, size in jobs.itertuples(index=False):
-                rows, held = [], 0
+        for batch in batches:
+            for job in batch[["file", "split", "end", "entry"]].itertuples(index=False):
+                name, split, end, entry = job
+                rows, held, first, out = [], 0, None, end
+                head = (name, split, entry, end)
                 with files.reading(name) as source:
-                    for at, f in records(source, start, end, size):
+                    for at, out_, f in records(source, entry, end):
+                        first, out = at if first is None else first, max(end, out_)
                         kind, digest = f["warc-type"], f.get("warc-payload-digest", "").removeprefix("sha256:")
-                        head, _, payload = f["block"].partition(b"\r\n\r\n")
-                        lengths = [int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                        if kind == "response" and digest and hashlib.sha256(payload).hexdigest() != digest:
-                            raise ValueError(f"{name} at {at}: payload digest")
+                        top, _, payload = f["block"].partition(b"\r\n\r\n")
+                        lengths = [int(x.partition(b":")[2]) for x in top.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                        sound = kind != "response" or not digest or hashlib.sha256(payload).hexdigest() == digest
                         strip = lambda k, f=f: f[k].strip("<>") if k in f else None
-                        rows.append((name, at, kind, strip("warc-record-id"), strip("warc-refers-to"), f.get("warc-target-uri"), digest, lengths[0] if lengths else len(payload), payload if payloads and kind == "response" else None))
+                        rows.append((*head, None, None, at, kind, strip("warc-record-id"), strip("warc-refers-to"), f.get("warc-target-uri"), digest, lengths[0] if lengths else len(payload), payload if payloads and kind == "response" else None, sound))
                         held += len(payload)
                         if held > 8 << 20 or len(rows) >= 5000:
-                            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                            yield pd.DataFrame(rows, columns=names)
                             rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                yield pd.DataFrame([*rows, (*head, first, out, *[None] * 9)], columns=names).astype({"first": "Int64", "exit": "Int64", "offset": "Int64", "payload_bytes": "Int64"})
+
+    return jobs.mapInPandas(get, f"{TRIED}, {SCHEMA.partition(', ')[2]}, sound boolean")
+
+
+def stitched(shown: DataFrame) -> DataFrame:
+    """Of what was tried (TRIED): by file, the ``entry`` of each split whose records are right, and of others (``again``) where to read from."""
+
+    def walk(group):
+        import pandas as pd
+
+        out, at = [], 0
+        for split, tries in group.groupby("split", sort=True):
+            end, entry = int(tries["end"].iloc[0]), max(at, split)
+            if entry >= end:  # a record from before covers it
+                continue
+            fits = tries[(tries["entry"] == entry) | (tries["entry"] < entry) & ~(tries["first"] < entry)]
+            out.append((tries["file"].iloc[0], split, end, int(fits["entry"].iloc[0]) if len(fits) else entry, not len(fits)))
+            at = max(entry, int((fits if len(fits) else tries)["exit"].iloc[0]))
+        return pd.DataFrame(out, columns=["file", "split", "end", "entry", "again"])
+
+    return shown.groupBy("file").applyInPandas(walk, "file string, split long, end long, entry long, again boolean")
+
+
+def read(spark: SparkSession, archives: list[tuple[str, int]], split_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
+    """A row for each record of gzip archives (file, bytes), by splits of ``split_bytes``.
 
-    jobs = spark.createDataFrame(splits, "file string, start long, end long, size long").repartition(min(len(splits), 10_000))
-    return jobs.mapInPandas(get, SCHEMA)
+    The payload of a response is checked against its digest (an error where they differ);
+    that of a revisit is null, its payload_bytes is the full payload's length. ``payloads``
+    False leaves the payloads out. No archives give no rows.
+    """
+    common.ship(spark)
+    splits = [(name, at, min(at + split_bytes, size), at) for name, size in archives for at in range(0, size, split_bytes)]
+    if not splits:
+        return spark.createDataFrame([], SCHEMA)
+    jobs = spark.createDataFrame(splits, "file string, split long, end long, entry long").repartition(min(len(splits), 10_000))
+    folder, rounds = common.scratch(spark, "records"), 0
+    try:
+        while True:
+            tried(jobs, payloads).write.parquet(f"{folder}/round={rounds}")
+            seen = spark.read.parquet(folder)
+            state = common.saved(stitched(seen.where("exit is not null").select(*[c.split()[0] for c in TRIED.split(", ")])))
+            jobs, rounds = state.where("again").select("file", "split", "end", "entry"), rounds + 1
+            if not (n := jobs.count()):
+                break
+            jobs = jobs.repartition(min(n, 10_000))
+        right = seen.where("offset is not null").join(state.select("file", "split", "entry"), ["file", "split", "entry"], "left_semi")
+        wrong = F.raise_error(F.concat("file", F.lit(" at "), F.col("offset").cast("string"), F.lit(": payload digest")))
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        return common.saved(right.select(*[F.when(~F.col("sound"), wrong.cast("string")).otherwise(F.col(c)).alias(c) if c == "file" else c for c in names]))
+    finally:
+        files.delete(spark, folder)

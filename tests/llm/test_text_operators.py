@@ -162,24 +162,65 @@ def test_warc_reads_other_members_and_skips_false_magic(tmp_path):
     path = tmp_path / "a.warc.gz"
     path.write_bytes(noise + inner + stored + inner)
     with open(path, "rb") as f:
-        got = list(warc.records(f, 0, path.stat().st_size, path.stat().st_size))
-    assert [at for at, _ in got] == [len(noise), len(noise + inner + stored)]
+        got = list(warc.records(f, 0, path.stat().st_size))
+    assert [at for at, _, _ in got] == [len(noise), len(noise + inner + stored)]
 
 
-def test_warc_members_inside_stored_members(tmp_path):
+def one_record(k, body, level=6):
+    return warc.member(warc.record("response", f"urn:{k}", None, "u", "d", hashlib.sha256(body).hexdigest(), body, len(body)), level)
+
+
+def read_at_all_splits(spark, path, steps):
+    """Records of one file, which must be the same for all split sizes."""
+    size = path.stat().st_size
+    with open(path, "rb") as f:
+        whole = [(at, x["warc-record-id"].strip("<>")) for at, _, x in warc.records(f, 0, size)]
+    for step in steps:
+        got = warc.read(spark, [(f"file://{path}", size)], step, payloads=False).collect()
+        assert sorted((r.offset, r.record_id) for r in got) == whole
+    return [k for _, k in whole]
+
+
+def test_warc_members_inside_stored_members(spark, tmp_path):
     """Splits that start inside a payload don't take what it holds for records, and all split sizes agree."""
     rng = random.Random(6)
-    small = lambda k: warc.member(warc.record("response", f"urn:{k}", None, "u", "d", "0", rng.randbytes(rng.randint(0, 400)), 0))
-    outer = lambda k: warc.member(warc.record("response", f"urn:{k}", None, "u", "d", "0", b"x" * 3000 + b"".join(small(f"no-{j}") for j in range(3)) + b"y" * 2000, 0), level=0)
+    small = lambda k: one_record(k, rng.randbytes(rng.randint(0, 400)))
+    outer = lambda k: one_record(k, b"x" * 3000 + b"".join(small(f"no-{j}") for j in range(3)) + b"y" * 2000, 0)
     path = tmp_path / "a.warc.gz"
     path.write_bytes(b"".join(outer(k) if k % 3 == 1 else small(k) for k in range(40)))
+    assert read_at_all_splits(spark, path, (1000, 3500, 20000)) == [f"urn:{k}" for k in range(40)]
+
+
+@pytest.mark.parametrize("n", [20, 200])
+def test_warc_archive_inside_a_record(spark, tmp_path, n):
+    inner = b"".join(one_record(f"no-{j}", bytes([j]) * 300) for j in range(n))
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(one_record(1, b"first") + one_record(2, inner, 0) + one_record(3, b"last"))
+    assert read_at_all_splits(spark, path, (1000, len(inner) // 2, 1 << 20)) == ["urn:1", "urn:2", "urn:3"]
+
+
+def test_warc_damage_costs_one_record(spark, tmp_path):
+    rng = random.Random(8)
+    members = [one_record(k, rng.randbytes(rng.randint(200, 900))) for k in range(60)]
+    bad = bytearray(members[40])
+    bad[len(bad) // 2] ^= 4
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join([*members[:40], bytes(bad), *members[41:]]))
     size = path.stat().st_size
-    with open(path, "rb") as f:
-        whole = [(at, x["warc-record-id"]) for at, x in warc.records(f, 0, size, size)]
-        assert [k for _, k in whole] == [f"<urn:{k}>" for k in range(40)]
-        for step in (1000, 3500, 20000):
-            got = [(at, x["warc-record-id"]) for a in range(0, size, step) for at, x in warc.records(f, a, min(a + step, size), size)]
-            assert got == whole
+    assert read_at_all_splits(spark, path, (1 << 10, 1 << 12, size // 2, size - 1, size)) == [f"urn:{k}" for k in range(60) if k != 40]
+
+
+def test_warc_wrong_digest_is_an_error(spark, tmp_path):
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(warc.member(warc.record("response", "urn:1", None, "u", "d", "0" * 64, b"body", 4)))
+    with pytest.raises(Exception, match="payload digest"):
+        warc.read(spark, [(f"file://{path}", path.stat().st_size)]).collect()
+
+
+def test_warc_writes_beside_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "p" * 200, "k", "b", 7), (2, "v", "p" * 200, "r", "u", 8)], "page_id long, url string, html string, k string, b string, payload_bytes int")
+    got = warc.read(spark, warc.write(pages, f"file://{tmp_path}/w")).collect()
+    assert sorted((r.record_id, r.record_type, r.payload_bytes) for r in got) == [("urn:page:1", "response", 200), ("urn:page:2", "revisit", 200)]
 
 
 def test_warc_long_member(tmp_path):
@@ -187,7 +228,7 @@ def test_warc_long_member(tmp_path):
     path = tmp_path / "a.warc.gz"
     path.write_bytes(warc.member(warc.record("response", "urn:x", None, "u", "d", "0", body, len(body)), level=1))
     with open(path, "rb") as f:
-        assert [x["block"].endswith(body) for _, x in warc.records(f, 0, path.stat().st_size, path.stat().st_size)] == [True]
+        assert [x["block"].endswith(body) for _, _, x in warc.records(f, 0, path.stat().st_size)] == [True]
 
 
 def test_warc_empty(spark, tmp_path):
