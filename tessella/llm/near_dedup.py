@@ -195,21 +195,77 @@ def mixed_buckets(buckets: DataFrame, of: DataFrame, hot: DataFrame) -> DataFram
     return common.saved(common.even_join(rows, mixed, ["band"], hot).where("c <> first").drop("first"))
 
 
+def grouped(rows: DataFrame, group: list[str], each) -> Iterator:
+    """Helper of tasks: ``each`` (name, rows) on each run of Arrow rows whose first columns, ``group``, are equal; lists of numbers, all as long, come as arrays."""
+    held, name, k = [], None, len(group)
+    of = lambda x: x.flatten().to_numpy().reshape(len(x), -1) if hasattr(x, "flatten") and hasattr(x.type, "value_type") else x.to_pylist()
+    for batch in (b for b in rows if b.num_rows):
+        for row in zip(*map(of, batch.columns), strict=True):
+            if row[:k] != name:
+                if name is not None:
+                    yield from each(name, held)
+                held, name = [], row[:k]
+            held.append(row[k:])
+    if name is not None:
+        yield from each(name, held)
+
+
+def sifted(met: DataFrame) -> DataFrame:
+    """Of classes in blocks (band, i, j, side, c, component, n_shingles, sketch, bands), those with a likely partner on the other side: (band, i, j, side, c, component).
+
+    Sketches alone are looked at, a block's against one another at once. A pair counts in the first band that it shares.
+    """
+
+    def sift(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from tessella.llm.shingles import MinHash
+
+        m = MinHash(BANDS * ROWS, SKETCH_BITS)
+        most = int((m.estimate(np.arange(SKETCH_BITS + 1)) >= PERCENT / 100 - SLACK).sum()) - 1  # estimates fall with the ones
+
+        def each(name: tuple, group: list) -> Iterator:
+            sides = [[x for x in group if x[0] == k] for k in (0, 1)]
+            if not all(sides):
+                return
+            comp, n = ([np.array([x[k] for x in side]) for side in sides] for k in (2, 3))
+            # bits as 0 and 1: what two sketches differ in is what both have, less twice what they share
+            bits = [np.unpackbits(np.array([np.frombuffer(x[4], dtype=np.uint8) for x in side]), axis=1).astype(np.float32) for side in sides]
+            bands = [np.array([x[5] for x in side]) for side in sides]
+            ones = [b.sum(axis=1) for b in bits]
+            fits = (comp[0][:, None] != comp[1]) & (100 * np.minimum(n[0][:, None], n[1]) >= PERCENT * np.maximum(n[0][:, None], n[1]))
+            fits &= ones[0][:, None] + ones[1] - 2 * (bits[0] @ bits[1].T) <= most
+            one, two = fits.nonzero()
+            here = np.concatenate([bands[0][a, (bands[0][a] == bands[1][b]).argmax(axis=1)] == name[0] for a, b in ((one[k : k + 4096], two[k : k + 4096]) for k in range(0, len(one), 4096))] or [one > 0])
+            keep = [np.isin(np.arange(len(side)), at[here]) for side, at in zip(sides, (one, two), strict=True)]
+            out = [(*name, *x[:3]) for side, some in zip(sides, keep, strict=True) for x, k in zip(side, some, strict=True) if k]
+            if out:
+                yield pa.record_batch([pa.array([x[k] for x in out], pa.int32() if k == 3 else pa.int64()) for k in range(6)], names=["band", "i", "j", "side", "c", "component"])
+
+        yield from grouped(batches, ["band", "i", "j"], each)
+
+    met = met.select("band", "i", "j", "side", "c", "component", "n_shingles", "sketch", "bands")
+    return met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(sift, "band long, i long, j long, side int, c long, component long")
+
+
 def across(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Links (a, b: classes) between components in the buckets of ``rows`` (see ``mixed_buckets``).
 
     Classes outside a bucket's largest component meet all others in blocks: each side's block
-    number is a hash, so a block has about BLOCK classes however many the bucket has. A pair is
+    number is a hash, so a block has about BLOCK classes however many the bucket has. First their
+    sketches meet; full sets follow to a block only for classes that have a likely partner there. A pair is
     looked at in the first band that it shares; likely pairs are confirmed there on the full
     sets, the likeliest first, and pairs whose components a block has already joined are passed
     over, so what leaves a block is a forest.
     """
-    found = found.join(classes.select("c", "sketch", "bands"), "c")
+    signs = classes.select("c", "n_shingles", "sketch", "bands")
     rows = rows.withColumns({"left": F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)), "right": F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK), F.lit(1)), "h": F.xxhash64("c", "band")})
     body = ["band", "c", "component"]
     one = rows.select(*body, F.lit(0).alias("side"), F.pmod("h", "left").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("right") - 1)).alias("j"))
     two = rows.where("component <> main").select(*body, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)).alias("i"), F.pmod("h", "right").alias("j"))
-    met = one.unionByName(two).join(found, "c").select("band", "i", "j", "side", "c", "component", "sketch", "bands", "hashes")
+    met = common.saved(sifted(one.unionByName(two).join(signs, "c")))
+    met = met.join(found, "c").join(signs.drop("n_shingles"), "c").select("band", "i", "j", "side", "c", "component", "sketch", "bands", "hashes")
     met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def compare(batches: Iterator) -> Iterator:
