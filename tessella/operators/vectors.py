@@ -1,8 +1,9 @@
 """Similarity of vectors with class constraints.
 
-Pairs meet by class, an equi-join key, in blocks of bounded size, as products of matrices; of
-these only what is asked for becomes rows. Exact results are asked for, so nothing is
-approximated, and work is the sum of squared class sizes.
+Pairs meet by class and cell of a pivot index, an equi-join key, in blocks of bounded size, as products
+of matrices; of these only what is asked for becomes rows. Exact results are asked for, so nothing is
+approximated: cells are passed over only where the triangle inequality rules them out. Where
+vectors don't lie in clusters it seldom does, and work is the sum of squared class sizes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import settled
+from tessella.operators import pivots
 
 EPSILON = 1e-8
 
@@ -86,9 +88,27 @@ def nearest(left: DataFrame, right: DataFrame, k: int, duplicate: float, same: b
         top = [t[np.isfinite(t)] for t in -np.sort(-top, axis=1)]
         return pd.DataFrame({"id": a["id"], "top": top, "n_duplicates": (s >= duplicate).sum(axis=1), "n_peers": s.shape[1] - own.sum(axis=1)})
 
-    each = blocks(left, right, work, NEAREST)
-    top = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k)
-    return each.groupBy("id").agg(top.alias("top"), F.sum("n_duplicates").alias("n_duplicates"), F.sum("n_peers").alias("n_peers"))
+    known, laid = pivots.index(right)
+    merged = lambda rows: rows.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top"), F.sum("n_duplicates").alias("n_duplicates"), F.sum("n_peers").alias("n_peers"))
+    if not known.pivots:
+        return merged(blocks(left, right, work, NEAREST))
+    # first the nearest cells; what they hold bounds how far the others can matter
+    need = k + same
+    right = pivots.by_cell(settled(laid.select("id", "class_", "v", "cell")))
+    near = settled(merged(blocks(pivots.by_cell(pivots.visits(left, known, lambda i, name, x, _: i.first(name, x, need))), right, work, NEAREST)))
+    kth = F.when(F.size("top") >= k, F.element_at("top", k))
+    left = left.join(near.select("id", F.least(kth, F.lit(duplicate)).alias("kth")), "id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
+
+    def rest(i: pivots.Index, name: str, x: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        return (i.bounds(name, x)[1] <= pivots.reach(kth)[:, None]) & ~i.first(name, x, need)
+
+    more = merged(near.unionByName(blocks(pivots.by_cell(pivots.visits(left, known, rest, "kth")), right, work, NEAREST)))
+    # peers are counted by class: those passed over are peers too
+    count = laid.groupBy("class_").agg(F.count(F.lit(1)).alias("n_peers"))
+    own = left.select("id", "class_").join(count, "class_")
+    if same:
+        own = own.withColumn("n_peers", F.col("n_peers") - 1)
+    return more.drop("n_peers").join(own.select("id", "n_peers"), "id")
 
 
 def knn_scores(candidates: DataFrame, references: DataFrame, key: str, by: str, vector: str, k: int = 5, duplicate: float = 0.95, least_references: int = 25) -> DataFrame:
@@ -188,7 +208,17 @@ def duplicate_edges(df: DataFrame, key: str, by: str, vector: str, limit: float)
                     out.append((own, right[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return blocks(rows, rows, work, "a long, b long")
+    known, laid = pivots.index(rows)
+    if not known.pivots:
+        return blocks(rows, rows, work, "a long, b long")
+    far = pivots.reach(limit)
+
+    def later(i: pivots.Index, name: str, x: np.ndarray, _) -> np.ndarray:
+        """Each pair meets in the later of its two cells."""
+        d, b = i.bounds(name, x)
+        return (b <= far) & (d.argmin(axis=1)[:, None] <= np.arange(d.shape[1]))
+
+    return blocks(pivots.by_cell(pivots.visits(rows, known, later)), pivots.by_cell(settled(laid.select("id", "class_", "v", "cell"))), work, "a long, b long")
 
 
 def clusters(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
