@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,16 +149,50 @@ def greedy_counts(counts: dict[tuple, int], shares: dict[str, float], seed: obje
     rarest = lambda v: min((totals[j] for j in signals if v[j]), default=total + 1)
     for v in sorted(counts, key=lambda v: (rarest(v), -sum(v), digest(v))):
         own = [j for j in signals if v[j]]
-        lack = lambda s, own=own: round(sum(max(0.0, 1 - have[s][j] / target[s][j]) for j in own), 9)
-        for _ in range(counts[v]):
-            s = max((s for s in names if room[s]), key=lambda s: (lack(s), room[s] / size[s], -names.index(s)))
-            out[v, s] = out.get((v, s), 0) + 1
-            room[s] -= 1
-            for j in own:
-                have[s][j] += 1
+
+        def offer(k: int, t: int, own=own) -> tuple:
+            """What split k offers to the next group after t."""
+            s = names[k]
+            return round(sum(max(0.0, 1 - (have[s][j] + t) / target[s][j]) for j in own), 9), (room[s] - t) / size[s], -k
+
+        for k, n in enumerate(best_of(offer, [room[s] for s in names], counts[v])):
+            if n:
+                s = names[k]
+                out[v, s] = n
+                room[s] -= n
+                for j in own:
+                    have[s][j] += n
     return out
 
 
+def best_of(value, lengths: list[int], n: int) -> list[int]:
+    """Of lists whose values ``value(list, place)`` fall, all distinct, how many of each belong to the ``n`` greatest of all.
+
+    The middle of the list that is least known splits all lists: if no more than ``n`` values reach
+    it, all that do belong, else it and what is below don't.
+    """
+    least, most = [0] * len(lengths), [min(x, n) for x in lengths]
+
+    def reaching(k: int, pivot) -> int:
+        low, high = 0, lengths[k]
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if value(k, middle) >= pivot else (low, middle)
+        return low
+
+    while any(a < b for a, b in zip(least, most, strict=True)):
+        k = max(range(len(lengths)), key=lambda k: most[k] - least[k])
+        middle = (least[k] + most[k]) // 2
+        pivot = value(k, middle)
+        count = [reaching(u, pivot) for u in range(len(lengths))]
+        if sum(count) <= n:
+            least = [max(a, c) for a, c in zip(least, count, strict=True)]
+        else:
+            most = [min(b, c) for b, c in zip(most, count, strict=True)]
+            most[k] = min(most[k], middle)
+    return least
+
+
 def multilabel_groups(groups: DataFrame, kinds: list[str], shares: dict[str, float] = SPLITS, key: str = "group_id", seed: object = 0) -> DataFrame:
     """A split for each group by ``greedy_counts``: distinct vectors come to the driver, groups of a vector are dealt in hash order."""
     plan, begin = [], {}
@@ -238,31 +273,51 @@ def matched_counts(pool: dict[tuple, int], wanted: list[int], size: int, single:
     Labels by what is wanted, least first: vectors with the label in seeded order until it has
     enough; then vectors without labels, then any, up to ``size``; then up to ``swaps`` best
     exchanges of a row of one vector for a row of another, while the mismatch falls. Rows of a
-    vector are alike, so only vectors and counts are looked at (driver; pool: vector to rows).
+    vector are alike, so only vectors and counts are looked at (driver; pool: vector to rows); all
+    exchanges are rated at once by what they change.
     """
     order = sorted(pool, key=lambda v: hashlib.sha256(f"{seed}:{v}".encode()).hexdigest())
-    take = dict.fromkeys(order, 0)
-    total = lambda k: sum(n * v[k] for v, n in take.items())
-    room = lambda: size - sum(take.values())
+    take, totals, drawn = dict.fromkeys(order, 0), [0] * len(wanted), 0
+
+    def more(v: tuple, most: int) -> None:
+        nonlocal drawn
+        n = max(0, min(pool[v] - take[v], most, size - drawn))
+        take[v], drawn = take[v] + n, drawn + n
+        for k, x in enumerate(v):
+            totals[k] += n * x
+
     for k in sorted(range(len(wanted)), key=lambda k: (wanted[k], k)):
         for v in order:
             if v[k]:
-                take[v] += max(0, min(pool[v] - take[v], wanted[k] - total(k), room()))
+                more(v, wanted[k] - totals[k])
     for v in sorted(order, key=any):  # those without a label come first, the sort keeps the order
-        take[v] += max(0, min(pool[v] - take[v], room()))
-
-    def mismatch(t: dict[tuple, int]) -> float:
-        ones, more = (sum(n for v, n in t.items() if f(sum(v))) / max(size, 1) for f in (lambda s: s == 1, lambda s: s > 1))
-        return round(sum(abs(sum(n * v[k] for v, n in t.items()) - w) / max(w, 1) for k, w in enumerate(wanted)) + abs(ones - single) + abs(more - multi), 9)
-
+        more(v, pool[v])
+    if not order:
+        return {}
+    x, have, held = np.array(order, dtype=np.float64), np.array([take[v] for v in order]), np.array([pool[v] for v in order])
+    goal, weight = np.array(wanted, dtype=np.float64), np.maximum(np.array(wanted, dtype=np.float64), 1)
+    kind = np.minimum(x.sum(axis=1), 2).astype(int)  # none, one or several labels
     for _ in range(swaps):
-        trials = [(mismatch(take | {a: take[a] - 1, b: take[b] + 1}), i, j) for i, a in enumerate(order) if take[a] for j, b in enumerate(order) if a != b and take[b] < pool[b]]
-        if not trials or min(trials)[0] >= mismatch(take):
+        gone, come = np.flatnonzero(have > 0), np.flatnonzero(have < held)
+        if not len(gone) or not len(come):
+            break
+        off, parts = have @ x - goal, np.bincount(kind, have, 3)
+        shares = lambda a, b: np.abs((parts[1] - (a == 1) + (b == 1)) / max(size, 1) - single) + np.abs((parts[2] - (a == 2) + (b == 2)) / max(size, 1) - multi)
+        now = round(float((np.abs(off) / weight).sum() + shares(0, 0)), 9)
+        cost = shares(*np.meshgrid(kind[gone], kind[come], indexing="ij"))
+        if ((x == 0) | (x == 1)).all():  # of labels that are there or not, a label's part is linear in either side and their product
+            up, down, same = (np.abs(off + d) / weight for d in (1, -1, 0))
+            cost += same.sum() + (x[gone] @ (down - same))[:, None] + x[come] @ (up - same) + (x[gone] * (2 * same - up - down)) @ x[come].T
+        else:
+            for k in range(len(goal)):
+                cost += np.abs(off[k] - x[gone, k][:, None] + x[come, k]) / weight[k]
+        cost[gone[:, None] == come] = np.inf
+        i, j = divmod(int(np.round(cost, 9).argmin()), len(come))
+        if np.round(cost[i, j], 9) >= now:
             break
-        _, i, j = min(trials)
-        take[order[i]] -= 1
-        take[order[j]] += 1
-    return {v: n for v, n in take.items() if n}
+        have[gone[i]] -= 1
+        have[come[j]] += 1
+    return {v: int(n) for v, n in zip(order, have, strict=True) if n}
 
 
 def matched_draw(pool: DataFrame, labels: list[str], wanted: list[int], size: int, single: float, multi: float, key: str = "group_id", seed: object = 0, swaps: int = 100) -> DataFrame:
