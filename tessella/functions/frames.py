@@ -37,6 +37,50 @@ def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     return rows.join(F.broadcast(sizes), "part_").select(*[c for c in df.columns if c != name], number.alias(name))
 
 
+def ranged(df: DataFrame, by: list[str], order: list[str | Column], parts: int | None = None) -> DataFrame:
+    """``df`` dealt out by ranges of group and order, checkpointed, with the range's number as ``part_``: a group of any size lies in as many as it needs."""
+    keys = [*[F.col(c).asc_nulls_first() for c in by], *order]
+    rows = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    return settled(rows.withColumn("part_", F.spark_partition_id()))
+
+
+def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str | None = None, sums: dict[str, str | Column] | None = None, totals: dict[str, str | Column] | None = None, highest: dict[str, str | Column] | None = None, lowest_on: dict[str, str | Column] | None = None, parts: int | None = None) -> DataFrame:
+    """``df`` with values taken along the order of each group, however large it is: a prefix scan over ranges.
+
+    ``rank``: the row's number, from 1; ``sums``: of what comes up to the row; ``totals``: of the whole
+    group; ``highest``: up to the row; ``lowest_on``: from the row to the end. Nulls add nothing. Rows
+    that the order doesn't tell apart are taken in any order. Values are scanned within ranges; what
+    the ranges before (or behind) hold of the same group is added. A range has one group at most that
+    began before it and one that goes on behind it, so what is broadcast is two rows a range.
+    """
+    sums, totals, highest, lowest_on = dict(sums or {}), totals or {}, highest or {}, lowest_on or {}
+    if rank:
+        sums[rank] = F.lit(1).cast("long")
+    kinds = {"s": sums, "t": totals, "h": highest, "l": lowest_on}
+    values = {f"{k}_{n}_": (F.col(v) if isinstance(v, str) else v) for k, named in kinds.items() for n, v in named.items()}
+    fold = {"s": F.sum, "t": F.sum, "h": F.max, "l": F.min}
+    rows = ranged(df.withColumns(values), by, order, parts)
+    group = Window.partitionBy("part_", *by)
+    held = rows.groupBy("part_", *by).agg(*[fold[c[0]](c).alias(c) for c in values])
+    whole = Window.partitionBy(*by)
+    before, behind = (whole.orderBy(x).rowsBetween(Window.unboundedPreceding, -1) for x in ("part_", F.desc("part_")))
+    across = {c: fold[c[0]](c).over({"t": whole, "l": behind}.get(c[0], before)).alias(f"o{c}") for c in values}
+    ends = held.withColumn("spans_", F.count(F.lit(1)).over(whole)).select("spans_", F.col("part_").alias("p_"), *[F.col(c).alias(f"g{k}_") for k, c in enumerate(by)], *across.values()).where("spans_ > 1").drop("spans_")
+    same = F.col("part_") == F.col("p_")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"g{k}_"))
+    upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"w{c}": fold[c[0]](c).over(group if c[0] == "t" else upto) for c in values if c[0] != "l"} | ({"at_": F.row_number().over(group.orderBy(*order))} if lowest_on else {}))
+    # backwards, as frames that end with the range are folded anew for each row
+    on = group.orderBy(F.desc("at_")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"w{c}": F.min(c).over(on) for c in values if c[0] == "l"})
+    rows = rows.join(F.broadcast(ends), same, "left")
+    joined = {"s": lambda w, o: F.coalesce(w + o, w, o), "t": lambda w, o: F.coalesce(o, w), "h": F.greatest, "l": F.least}
+    named = [n for names in kinds.values() for n in names]
+    out = [joined[k](F.col(f"w{k}_{n}_"), F.col(f"o{k}_{n}_")).alias(n) for k, names in kinds.items() for n in names]
+    return rows.select(*[c for c in df.columns if c not in named], *out)
+
+
 def quantiles(df: DataFrame, value: str | Column, qs: list[float], by: list[str] = (), accuracy: int = 10_000) -> DataFrame:
     """Exact linear quantiles: (*by, q, v); no row for a group without values, one with a null for no rows without ``by``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import numbered
+from tessella.functions.frames import numbered, scanned
 from tessella.functions.hashing import seeded_int
 
 
@@ -51,25 +51,24 @@ def paired_difference(df: DataFrame, unit: str, value: str, side: str, a: str, b
     return each.groupBy("difference", "n_units").agg(F.expr(f"percentile(d, {alpha / 2})").alias("low"), F.expr(f"percentile(d, {1 - alpha / 2})").alias("high"), F.least(F.lit(1.0), 2 * F.avg(across.cast("double"))).alias("p_value"))
 
 
+def stepped(df: DataFrame, family: list[str], p: str, name: str, alpha: float, raw, extreme: str) -> DataFrame:
+    """Adjusted p by a running extreme of ``raw`` (p, rank, number of known p); an undefined p stays with a note and doesn't count. A family may be of any size."""
+    known, order = F.col(p).isNotNull(), [F.col(p).asc_nulls_last(), F.col(name)]
+    rows = scanned(df, family, order, rank="r_", totals={"m_": F.when(known, 1)})
+    value = F.when(known, F.least(F.lit(1.0), raw(F.col(p), F.col("r_"), F.col("m_"))))
+    rows = scanned(rows.drop("adjusted"), family, order, **{extreme: {"adjusted": value}})
+    adjusted = F.when(known, F.col("adjusted"))
+    return rows.select(*df.columns, adjusted.alias("adjusted"), (known & F.coalesce(adjusted <= alpha, F.lit(False))).alias("rejected"), F.when(~known, "undefined_p").alias("note"))
+
+
 def holm(df: DataFrame, family: list[str], p: str = "p", name: str = "name", alpha: float = 0.05) -> DataFrame:
     """Holm step-down: adjusted p and rejected; an undefined p stays with a note and doesn't count."""
-    known = F.col(p).isNotNull()
-    over = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), name)
-    m = F.count(p).over(Window.partitionBy(*family))
-    raw = F.least(F.lit(1.0), F.col(p) * (m - F.row_number().over(over) + 1))
-    rows = df.withColumn("raw", F.when(known, raw))
-    adjusted = F.max("raw").over(over.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(*df.columns, F.when(known, adjusted).alias("adjusted"), (known & F.coalesce(adjusted <= alpha, F.lit(False))).alias("rejected"), F.when(~known, "undefined_p").alias("note"))
+    return stepped(df, family, p, name, alpha, lambda x, r, m: x * (m - r + 1), "highest")
 
 
 def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", name: str = "name", alpha: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg step-up: adjusted p and rejected."""
-    known = F.col(p).isNotNull()
-    over = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), name)
-    m = F.count(p).over(Window.partitionBy(*family))
-    rows = df.withColumn("raw", F.when(known, F.least(F.lit(1.0), F.col(p) * m / F.row_number().over(over))))
-    adjusted = F.min("raw").over(over.rowsBetween(0, Window.unboundedFollowing))
-    return rows.select(*df.columns, F.when(known, adjusted).alias("adjusted"), (known & F.coalesce(adjusted <= alpha, F.lit(False))).alias("rejected"), F.when(~known, "undefined_p").alias("note"))
+    return stepped(df, family, p, name, alpha, lambda x, r, m: x * m / r, "lowest_on")
 
 
 def variance_components(df: DataFrame, groups: list[str], subset: str = "subset_id", value: str = "y", centre: list[str] | None = None) -> DataFrame:

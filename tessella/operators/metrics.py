@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.frames import scanned
+
 Groups = list[str]
 
 
@@ -19,10 +21,12 @@ def defined(df: DataFrame, *cols: str) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols]))
 
 
-def mid_rank(value: str, groups: Groups = ()) -> Column:
-    """Average rank of ties, from 1."""
-    by = Window.partitionBy(*groups)
-    return F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*groups, value)) - 1) / F.lit(2.0)
+def with_mid_rank(df: DataFrame, value: str, groups: Groups = (), name: str = "mid_rank") -> DataFrame:
+    """``df`` with the average rank of ties, from 1; distinct values, not rows, are scanned."""
+    each = scanned(df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_")), list(groups), [F.col(value)], sums={"upto_": "n_"})
+    each = each.select(*[F.col(c).alias(f"g{k}_") for k, c in enumerate([*groups, value])], (F.col("upto_") - (F.col("n_") - 1) / F.lit(2.0)).alias(name))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"g{k}_")) for k, c in enumerate([*groups, value])])
+    return df.join(each, same, "left").select(*[c for c in df.columns if c != name], name)
 
 
 def auroc(df: DataFrame, groups: Groups, score: str = "score", target: str = "target") -> DataFrame:
@@ -38,18 +42,15 @@ def auroc(df: DataFrame, groups: Groups, score: str = "score", target: str = "ta
 
 def average_precision(df: DataFrame, groups: Groups, score: str = "score", target: str = "target", tie: str = "row_id") -> DataFrame:
     """Step-wise average precision; ties are taken in the order of ``tie``."""
-    over = Window.partitionBy(*groups).orderBy(F.col(score).desc(), tie)
-    running = over.rowsBetween(Window.unboundedPreceding, 0)
+    rows = cumulative_precision(df, groups, score, target, tie)
     hit = (F.col(target) == 1).cast("double")
-    rows = defined(df, score, target).withColumn("precision", F.sum(hit).over(running) / F.row_number().over(over))
     return rows.groupBy(*groups).agg((F.sum(hit * F.col("precision")) / F.nullif(F.sum(hit), F.lit(0.0))).alias("average_precision"))
 
 
 def cumulative_precision(df: DataFrame, groups: Groups, score: str = "score", target: str = "target", tie: str = "row_id") -> DataFrame:
     """``df`` (rows without a score or target left out) with rank and precision down to it, best first."""
-    over = Window.partitionBy(*groups).orderBy(F.col(score).desc(), tie)
-    hits = F.sum((F.col(target) == 1).cast("double")).over(over.rowsBetween(Window.unboundedPreceding, 0))
-    return defined(df, score, target).withColumn("rank", F.row_number().over(over)).withColumn("precision", hits / F.col("rank"))
+    rows = scanned(defined(df, score, target), list(groups), [F.col(score).desc(), F.col(tie)], rank="rank", sums={"hits_": (F.col(target) == 1).cast("double")})
+    return rows.withColumns({"rank": F.col("rank").cast("int"), "precision": F.col("hits_") / F.col("rank")}).drop("hits_")
 
 
 def micro_auroc(df: DataFrame, mask: str = "mask", **names) -> DataFrame:
@@ -156,7 +157,7 @@ def spearman(df: DataFrame, groups: Groups, x: str, y: str) -> DataFrame:
     Reasons: too_few_rows (under two), constant_x, constant_y.
     """
     rows = defined(df, x, y)
-    rows = rows.withColumns({"rx": mid_rank(x, groups), "ry": mid_rank(y, groups)})
+    rows = with_mid_rank(with_mid_rank(rows, x, groups, "rx"), y, groups, "ry")
     a = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"), F.covar_pop("rx", "ry").alias("cxy"))
     reason = F.when(F.col("n") < 2, "too_few_rows").when(F.col("vx") <= 0, "constant_x").when(F.col("vy") <= 0, "constant_y")
     rho = F.when(reason.isNull(), F.col("cxy") / F.nullif(F.sqrt(F.col("vx") * F.col("vy")), F.lit(0.0)))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import numbered, settled
+from tessella.functions.frames import numbered, scanned, settled
 from tessella.functions.hashing import seeded
 
 
@@ -23,8 +23,7 @@ def proportional(df: DataFrame, n: int, key: str, stratum: str, seed: object = 0
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("c_"))
     total = df.agg(F.count(F.lit(1)).alias("t_"))
     sizes = sizes.crossJoin(F.broadcast(total)).select(stratum, F.bround(F.lit(n) * F.col("c_") / F.col("t_"), 0).cast("int").alias("q_"))
-    over = Window.partitionBy(stratum).orderBy(seeded(seed, key), key)
-    rows = df.join(sizes, stratum).withColumn("first_", (F.row_number().over(over) <= F.col("q_")).cast("int"))
+    rows = scanned(df.join(sizes, stratum), [stratum], [seeded(seed, key), F.col(key)], rank="r_").withColumn("first_", (F.col("r_") <= F.col("q_")).cast("int")).drop("r_")
     order = Window.orderBy(F.col("first_").desc(), seeded(seed, key), key)
     # only n rows of the global order are wanted: a sort with a limit, not a window over all
     return rows.orderBy(F.col("first_").desc(), seeded(seed, key), key).limit(n).withColumn("position", F.row_number().over(order)).drop("q_", "first_")
@@ -32,10 +31,8 @@ def proportional(df: DataFrame, n: int, key: str, stratum: str, seed: object = 0
 
 def split_share(df: DataFrame, share: float, key: str, seed: object = 0, by: list[str] = ()) -> DataFrame:
     """``df`` with side a or b: the first half-to-even share of each group in hash order is a."""
-    over = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(over)
-    rank = F.row_number().over(over.orderBy(seeded(seed, key), key))
-    return df.withColumn("side", F.when(rank <= F.bround(n * F.lit(share), 0), "a").otherwise("b"))
+    rows = scanned(df, list(by), [seeded(seed, key), F.col(key)], rank="r_", totals={"n_": F.lit(1)})
+    return rows.withColumn("side", F.when(F.col("r_") <= F.bround(F.col("n_") * F.lit(share), 0), "a").otherwise("b")).drop("r_", "n_")
 
 
 def folds(df: DataFrame, k: int, key: str, seed: object = 0) -> DataFrame:
@@ -47,33 +44,34 @@ def folds(df: DataFrame, k: int, key: str, seed: object = 0) -> DataFrame:
 def bootstrap_contexts(df: DataFrame, replicates: int, share: float, key: str, by: str, seed: object = 0) -> DataFrame:
     """For each class and replicate, a share of its rows without replacement (at least one)."""
     rows = df.select(by, key).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    over = Window.partitionBy(by, "replicate")
-    n = F.count(F.lit(1)).over(over)
-    rank = F.row_number().over(over.orderBy(seeded(seed, "replicate", key), key))
-    return rows.withColumns({"rank_": rank, "n_": F.greatest(F.lit(1), F.bround(n * F.lit(share), 0))}).where("rank_ <= n_").drop("rank_", "n_")
+    rows = scanned(rows, [by, "replicate"], [seeded(seed, "replicate", key), F.col(key)], rank="rank_", totals={"n_": F.lit(1)})
+    return rows.where(F.col("rank_") <= F.greatest(F.lit(1), F.bround(F.col("n_") * F.lit(share), 0))).drop("rank_", "n_")
 
 
 def with_replacement(source: DataFrame, slots: DataFrame, by: str, key: str, seed: object = 0) -> DataFrame:
     """A row of the class for each slot (class, slot): the one whose number is a hash modulo the class's size."""
     from tessella.functions.hashing import seeded_int
 
-    numbered = source.select(by, key).withColumn("at_", F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1)
-    sizes = numbered.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
+    rows = scanned(source.select(by, key), [by], [F.col(key)], rank="at_").withColumn("at_", F.col("at_") - 1)
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
     picks = slots.join(sizes, by).withColumn("at_", seeded_int(seed, by, "slot") % F.col("n_"))
-    return picks.join(numbered, [by, "at_"]).select(by, "slot", key)
+    return picks.join(rows, [by, "at_"]).select(by, "slot", key)
 
 
 def rank_bins(df: DataFrame, bins: int, value: str, key: str, by: list[str] = ()) -> DataFrame:
     """Bands of equal count by first-come rank, edges at 1 + (n - 1) k / bins, closed on the right; exact integers."""
-    over = Window.partitionBy(*by)
-    rank, n = F.row_number().over(over.orderBy(value, key)), F.count(F.lit(1)).over(over)
-    band = F.greatest(F.lit(1), F.ceil((rank - 1) * bins / F.greatest(n - 1, F.lit(1)).cast("double") - 1e-12)).cast("bigint")
-    return df.withColumn("band", band)
+    rows = scanned(df, list(by), [F.col(value), F.col(key)], rank="r_", totals={"n_": F.lit(1)})
+    band = F.greatest(F.lit(1), F.ceil((F.col("r_") - 1) * bins / F.greatest(F.col("n_") - 1, F.lit(1)).cast("double") - 1e-12)).cast("bigint")
+    return rows.withColumn("band", band).drop("r_", "n_")
 
 
 def equal_bins(df: DataFrame, bins: int, value: str, key: str, seed: object = 0, by: list[str] = ()) -> DataFrame:
     """One seeded row out of each of ``bins`` equal parts of a ranking."""
-    rows = df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(value, key)))
+    rows = scanned(df, list(by), [F.col(value), F.col(key)], rank="r_", totals={"n_": F.lit(1)})
+    # the first n % bins parts have one row more
+    some, more, at = F.floor(F.col("n_") / bins), F.col("n_") % bins, F.col("r_") - 1
+    bin_ = F.when(at < more * (some + 1), F.floor(at / (some + 1))).otherwise(more + F.floor((at - more * (some + 1)) / F.greatest(some, F.lit(1))))
+    rows = rows.withColumn("bin", (bin_ + 1).cast("int")).drop("r_", "n_")
     return take(rows, 1, key, seed, [*by, "bin"]).drop("draw")
 
 
@@ -95,8 +93,7 @@ def allocation(counts: DataFrame, shares: dict[str, float] = SPLITS, by: str = "
 def stratified_groups(groups: DataFrame, shares: dict[str, float] = SPLITS, by: str = "dx", key: str = "group_id", seed: object = 0) -> DataFrame:
     """A split for each group: hash order within its class (the class is part of the hash), cut at the allocation."""
     counts = groups.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    order = F.row_number().over(Window.partitionBy(by).orderBy(seeded(seed, by, key), key)) - 1
-    rows = groups.select(by, key).withColumn("r_", order)
+    rows = scanned(groups.select(by, key), [by], [seeded(seed, by, key), F.col(key)], rank="r_").withColumn("r_", F.col("r_") - 1)
     plan = allocation(counts, shares, by).select(F.col(by).alias("by_"), "split", "begin", "end")
     return rows.join(plan, (F.col(by) == F.col("by_")) & (F.col("r_") >= F.col("begin")) & (F.col("r_") < F.col("end"))).select(by, key, "split")
 

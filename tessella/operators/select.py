@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import quantile_row, quantiles
+from tessella.functions.frames import quantile_row, quantiles, scanned
 from tessella.functions.hashing import seeded
 from tessella.operators.labels import require_empty
 
@@ -127,8 +127,8 @@ def rarity_percentiles(counts: DataFrame, base: float = 50.0, least: float = 10.
 
 def group_percentiles(df: DataFrame, percentiles: DataFrame, score: str = "score", by: str = "dx") -> DataFrame:
     """Linear percentile of each class's scores, at a rank that differs by class (0 to 100)."""
-    over = Window.partitionBy(by)
-    rows = df.where(F.col(score).isNotNull()).join(percentiles.select(by, "percentile"), by).withColumns({"r_": F.row_number().over(over.orderBy(score)) - 1, "n_": F.count(F.lit(1)).over(over)})
+    rows = df.where(F.col(score).isNotNull()).join(percentiles.select(by, "percentile"), by)
+    rows = scanned(rows, [by], [F.col(score)], rank="r_", totals={"n_": F.lit(1)}).withColumn("r_", F.col("r_") - 1)
     h = (F.col("n_") - 1) * F.col("percentile") / 100
     low = F.max(F.when(F.col("r_") == F.floor(h), F.col(score)))
     high = F.max(F.when(F.col("r_") == F.ceil(h), F.col(score)))
@@ -156,8 +156,7 @@ def threshold_search(df: DataFrame, targets: DataFrame, weight: float = 0.5, ste
 
 def keep_at_least(df: DataFrame, cuts: DataFrame, least: int, score: str = "score", by: str = "dx", key: str = "image_id") -> DataFrame:
     """Cuts lowered where they must be to admit the ``least``-th best of the class (or its last, if it has fewer)."""
-    over = Window.partitionBy(by)
-    rows = df.withColumns({"r_": F.row_number().over(over.orderBy(F.col(score).desc(), key)), "n_": F.count(F.lit(1)).over(over)})
+    rows = scanned(df, [by], [F.col(score).desc(), F.col(key)], rank="r_", totals={"n_": F.lit(1)})
     best = rows.groupBy(by).agg(F.max(F.when(F.col("r_") == F.least(F.lit(least), F.col("n_")), F.col(score))).alias("admit_"))
     return cuts.join(best, by, "left").withColumn("threshold", F.coalesce(F.least("threshold", "admit_"), F.col("threshold"))).drop("admit_")
 
@@ -209,9 +208,8 @@ def select_with_reasons(pool: DataFrame, flags: DataFrame, floor: float = 0.25,
     rows = rows.crossJoin(F.broadcast(cut)).withColumn("adjusted", F.col("score") + F.when(F.col("score").between(0.4, 0.6), bonus).otherwise(0.0))
     first = F.when(F.col("score") < F.col("floor"), "below_floor").when(F.coalesce("duplicate", F.lit(False)), "near_duplicate")
     rows = rows.withColumn("reason", first)
-    over = Window.partitionBy("dx", F.col("reason").isNull()).orderBy(F.col("adjusted").desc(), "image_id")
-    rank = F.row_number().over(over)
-    return rows.withColumn("rank_", rank).select("image_id", "dx", "adjusted", F.coalesce("reason", F.when(F.col("rank_") > quota, "over_quota"), F.lit("selected")).alias("reason"))
+    rows = scanned(rows.withColumn("free_", F.col("reason").isNull()), ["dx", "free_"], [F.col("adjusted").desc(), F.col("image_id")], rank="rank_")
+    return rows.select("image_id", "dx", "adjusted", F.coalesce("reason", F.when(F.col("rank_") > quota, "over_quota"), F.lit("selected")).alias("reason"))
 
 
 def hard_grid(candidates: DataFrame, grid: list[float], weight: float, most: int, least: int = 0, by: str = "context_id", key: str = "image_id", score: str = "score", utility: str = "utility") -> DataFrame:
@@ -221,8 +219,8 @@ def hard_grid(candidates: DataFrame, grid: list[float], weight: float, most: int
     nothing isn't a choice, and a context without any raises. Equal objectives go to the lower
     threshold. Candidates meet the grid binned by the highest threshold that they reach.
     """
-    over = Window.partitionBy(by).orderBy(F.col(score).desc(), key)
-    ranked = candidates.select(by, score, F.row_number().over(over).alias("selected"), F.avg(utility).over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("utility"))
+    ranked = scanned(candidates.select(by, score, key, F.col(utility).alias("u_")), [by], [F.col(score).desc(), F.col(key)], rank="selected", sums={"s_": F.col("u_").cast("double"), "c_": F.when(F.col("u_").isNotNull(), 1)})
+    ranked = ranked.select(by, score, "selected", (F.col("s_") / F.nullif(F.col("c_"), F.lit(0))).alias("utility"))
     at = F.size(F.filter(F.array(*[F.lit(float(t)) for t in sorted(grid)]), lambda t: t <= F.col(score)))  # thresholds that it reaches
     reached = candidates.groupBy(by, at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
     levels = reached.select(by).distinct().withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))))

@@ -59,7 +59,7 @@ def wn6(t: Tables):
 
 @register("wn7_mid_ranks", "SELECT image_id, rank() OVER (PARTITION BY dx ORDER BY score) + (count(*) OVER (PARTITION BY dx, score) - 1) / 2.0::DOUBLE AS mid_rank FROM pool")
 def wn7(t: Tables):
-    return t.pool.select("image_id", metrics.mid_rank("score", ["dx"]).cast("double").alias("mid_rank"))
+    return metrics.with_mid_rank(t.pool, "score", ["dx"]).select("image_id", F.col("mid_rank").cast("double"))
 
 
 @register("wn10_cumulative_precision", "WITH b AS (SELECT * FROM scored WHERE mask) SELECT row_id, label, CAST(row_number() OVER w AS INT) AS rank, round(sum(CASE WHEN target = 1 THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY label ORDER BY score DESC, row_id ROWS UNBOUNDED PRECEDING) / row_number() OVER w, 6) AS precision FROM b WINDOW w AS (PARTITION BY label ORDER BY score DESC, row_id)")
