@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.labels import require_empty
 from tessella.operators.metrics import spearman
 
 RAW_PREFIXES = ("explainability_raw", "explainability_focus", "explainability_peripheral")
@@ -50,6 +53,25 @@ def pilot_checks(rows: DataFrame, planned: int, least_valid: float, most_uniform
     return n.withColumn("passed", (F.col("valid_share") >= least_valid) & (F.col("uniform_share") <= most_uniform) & (F.col("rejected_share") <= most_rejected))
 
 
+def raw(name: str) -> Column:
+    """Whether a feature is a raw statistic by its name."""
+    return reduce(lambda a, b: a | b, [F.col(name).startswith(p) for p in RAW_PREFIXES])
+
+
+def eligibility(features: DataFrame, survivors: DataFrame, feature: str = "feature", signal: str = "signal") -> DataFrame:
+    """``features`` with a verdict each: raw (by its name), no_owner (a null signal), not_surviving (its signal isn't among ``survivors``) or admitted."""
+    alive = survivors.select(signal).distinct().withColumn("alive_", F.lit(True))
+    verdict = F.when(raw(feature), "raw").when(F.col(signal).isNull(), "no_owner").when(F.col("alive_").isNull(), "not_surviving").otherwise("admitted")
+    return features.join(alive, signal, "left").withColumn("verdict", verdict).drop("alive_")
+
+
+def signals_of(features: DataFrame, owners: DataFrame, feature: str = "feature", signal: str = "signal") -> DataFrame:
+    """The signals that features belong to; features without an owner raise."""
+    met = features.select(feature).distinct().join(owners.select(feature, signal), feature, "left")
+    require_empty(met.where(F.col(signal).isNull()), "features without a signal")
+    return met.select(signal).distinct()
+
+
 def refuse_raw(columns: list[str]) -> None:
     bad = [c for c in columns if c.startswith(RAW_PREFIXES)]
     if bad:

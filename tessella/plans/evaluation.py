@@ -424,9 +424,9 @@ def im17(t: Tables):
     return rounded(signals.uncertainty_multi(passes(t), "image_id", 0.05, 0.151), "mean_std", "max_std", "entropy")
 
 
-@register("im18_agreement", f"WITH x AS ({PROBS} WHERE CAST(substr(o_orderpriority, 1, 1) AS INT) <= 3), y AS (SELECT *, CASE true_class WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS own, CASE true_class WHEN 0 THEN greatest(p1, p2) WHEN 1 THEN greatest(p0, p2) ELSE greatest(p0, p1) END AS rival FROM x) SELECT image_id, round(own - 0.5 * CASE WHEN rival >= 0.6 THEN rival ELSE 0 END, 6) AS score, round(own - rival, 6) AS margin, rival >= 0.6 AS penalised, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END = true_class AS is_match FROM y")
+@register("im18_agreement", f"WITH x AS (SELECT image_id, true_class % 3 AS true_class, p0, p1, p2 FROM ({PROBS})), y AS (SELECT *, CASE true_class WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS own, CASE true_class WHEN 0 THEN greatest(p1, p2) WHEN 1 THEN greatest(p0, p2) ELSE greatest(p0, p1) END AS rival FROM x) SELECT image_id, round(own - 0.5 * CASE WHEN rival >= 0.6 THEN rival ELSE 0 END, 6) AS score, round(own - rival, 6) AS margin, rival >= 0.6 AS penalised, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END = true_class AS is_match FROM y")
 def im18(t: Tables):
-    rows = t.sql(PROBS).where("true_class <= 2").withColumn("p", F.array("p0", "p1", "p2"))
+    rows = t.sql(PROBS).withColumns({"true_class": F.col("true_class") % 3, "p": F.array("p0", "p1", "p2")})
     return rounded(signals.agreement(rows, "p", "true_class", 0.6, 0.5).select("image_id", "score", "margin", "penalised", "is_match"), "score", "margin")
 
 

@@ -31,9 +31,9 @@ def pf6(t: Tables):
     return t.customer.select("c_custkey", F.regexp_extract("c_name", r"#0*([0-9]+)$", 1).cast("bigint").alias("id"))
 
 
-@register("pf7_sanitize_id", "SELECT page_id, replace(regexp_replace(regexp_replace(url, '^https?://', ''), '\\.(jpg|jpeg|png|html)$', '', 'i'), '/', '__') AS id FROM pages WHERE url NOT LIKE '%.html'")
+@register("pf7_sanitize_id", "SELECT page_id, replace(regexp_replace(regexp_replace(url, '^https?://', ''), '\\.(jpg|jpeg|png)$', '', 'i'), '/', '__') AS id FROM pages")
 def pf7(t: Tables):
-    return t.pages.where("url not like '%.html'").select("page_id", text.sanitize_id(F.col("url"), "https?://").alias("id"))
+    return t.pages.select("page_id", text.sanitize_id(F.col("url"), "https?://").alias("id"))
 
 
 @register("pf8_label_arrays", "SELECT row_id, CAST(coalesce(raw, -2) AS INT) AS raw, CASE WHEN raw = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS target, coalesce(raw IN (0, 1), false) AS mask FROM ternary")

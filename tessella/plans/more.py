@@ -10,7 +10,7 @@ from tessella.operators import contracts, gate, inference, labels, metrics, reci
 from tessella.plans.evaluation import PROBS
 from tessella.plans.registry import Tables, register
 from tessella.plans.selection import CAND, COUNTS, SAFE, UNIT, halves, rounded
-from tessella.plans.storage import BOXES, outcomes
+from tessella.plans.storage import BOXES
 
 P_VALUES = "SELECT c_mktsegment AS family, c_custkey AS name, CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_custkey % 97 AS DOUBLE) / 1000 END AS p FROM customer"
 
@@ -93,9 +93,9 @@ def wn15(t: Tables):
     return numbered(t.pool.groupBy("dx").agg(F.count(F.lit(1)).alias("n")), [F.col("dx")], "place")
 
 
-@register("sm4_heads", "WITH r AS (SELECT user_id, event_type AS label, min(event_id) AS first_id FROM events WHERE value > 25 GROUP BY 1, 2), h AS (SELECT user_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY first_id) AS k FROM r) WHERE k <= 7), p AS (SELECT user_id FROM (SELECT user_id, min(first_id) AS first_id FROM r GROUP BY 1) ORDER BY first_id LIMIT 7) SELECT user_id FROM h UNION SELECT user_id FROM p")
+@register("sm4_heads", "WITH r AS (SELECT user_id, event_type AS label, min(event_id) AS first_id FROM events GROUP BY 1, 2), h AS (SELECT user_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY first_id) AS k FROM r) WHERE k <= 7), p AS (SELECT user_id FROM (SELECT user_id, min(first_id) AS first_id FROM r GROUP BY 1) ORDER BY first_id LIMIT 7) SELECT user_id FROM h UNION SELECT user_id FROM p")
 def sm4(t: Tables):
-    rows = t.events.where("value > 25").groupBy("user_id", F.col("event_type").alias("label")).agg(F.min("event_id").alias("at"))
+    rows = t.events.groupBy("user_id", F.col("event_type").alias("label")).agg(F.min("event_id").alias("at"))
     return sampling.heads(rows, "label", ["at"], 7, "user_id")
 
 
@@ -138,10 +138,10 @@ def decisions(t: Tables):
     return gate.decide(gate.column_checks(rows, rows.columns, 5, 0.1))
 
 
-@register("pf12_contributing_signals", "SELECT unnest(['iqa', 'novelty']) AS signal")
+@register("pf12_contributing_signals", "SELECT DISTINCT n_name AS signal FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 2000")
 def pf12(t: Tables):
-    owner = {"iqa_score": "iqa", "iqa_flag": "iqa", "novelty": "novelty"}
-    return t.spark.createDataFrame([(s,) for s in gate.contributing_signals(["novelty", "iqa_flag", "iqa_score"], owner)], "signal string")
+    owners = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("feature"), F.col("n_name").alias("signal"))
+    return gate.signals_of(t.supplier.where("s_acctbal > 2000").select(F.col("s_suppkey").alias("feature")), owners)
 
 
 @register("gt1_technical_validity", "SELECT unnest(['iqa', 'similarity', 'novelty', 'uncertainty']) AS signal, (SELECT count(*) FROM pool) > 0 AS passed")
@@ -156,10 +156,12 @@ def gt4(t: Tables):
     return gate.column_checks(rows, ["a", "b"], 1, 0.5).where(F.col("check") == "missing_rate").select("signal", "passed")
 
 
-@register("pf15_raw_columns", "SELECT * FROM (VALUES ('score', 'ok'), ('explainability_calibrated', 'ok'), ('explainability_raw_x', 'ValueError'), ('explainability_focus_area', 'ValueError'), ('explainability_peripheral_mass', 'ValueError')) v(\"case\", outcome)")
+NAMED = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'score' WHEN 1 THEN 'explainability_calibrated' WHEN 2 THEN 'explainability_raw_x' WHEN 3 THEN 'explainability_focus_area' ELSE 'explainability_peripheral_mass' END || '_' || p_brand AS name FROM part"
+
+
+@register("pf15_raw_columns", f"SELECT p_partkey, name, p_partkey % 5 > 1 AS raw FROM ({NAMED})")
 def pf15(t: Tables):
-    names = ("score", "explainability_calibrated", "explainability_raw_x", "explainability_focus_area", "explainability_peripheral_mass")
-    return outcomes(t, {n: lambda n=n: gate.refuse_raw([n]) for n in names})
+    return t.sql(NAMED).withColumn("raw", gate.raw("name"))
 
 
 @register("pf16_calibration_faults", "SELECT 'not_calibrated' AS fault, count(*) AS n FROM pool WHERE image_id % 7 = 0 HAVING count(*) > 0 UNION ALL SELECT 'split_not_permitted', count(*) FROM pool WHERE image_id % 5 = 0 HAVING count(*) > 0")

@@ -246,11 +246,11 @@ def sk8(t: Tables):
     return through(t, "sk8", work)
 
 
-@register("sk9_reports", "WITH c AS (SELECT true_class, predicted, count(*) AS n FROM predictions WHERE seed = 1 AND true_class < 2 AND predicted < 2 GROUP BY 1, 2) SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || (SELECT string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) FROM region) AS markdown, (SELECT list(n ORDER BY true_class, predicted) FROM c) AS cells")
+@register("sk9_reports", "WITH c AS (SELECT i, j, (SELECT count(*) FROM predictions WHERE true_class = i AND predicted = j) AS n FROM range(5) a(i), range(5) b(j)) SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || (SELECT string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) FROM region) AS markdown, (SELECT list(n ORDER BY i, j) FROM c) AS cells")
 def sk9(t: Tables):
-    cells = t.predictions.where("seed = 1 and true_class < 2 and predicted < 2").groupBy("true_class", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    shown = contracts.confusion_text(cells, ["a", "b"])
-    numbers = [int(x) for x in shown.replace("a", " ").replace("b", " ").split()]
+    cells = t.predictions.groupBy("true_class", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    shown = contracts.confusion_text(cells, list("abcde"))
+    numbers = [int(x) for x in shown.split() if x.isdigit()]
     return t.spark.createDataFrame([(contracts.markdown(t.region.select("r_regionkey", "r_name").orderBy("r_regionkey")), numbers)], "markdown string, cells array<bigint>")
 
 
@@ -291,13 +291,17 @@ def pf23(t: Tables):
     return through(t, "pf23", work)
 
 
-@register("fn10_content_hashes", "SELECT n_nationkey, sha256(n_name || chr(10)) AS sha256, sha256((SELECT string_agg(l, chr(10) ORDER BY l) FROM (SELECT n_nationkey || '.txt:' || sha256(n_name || chr(10)) AS l FROM nation WHERE n_nationkey < 3))) AS folder FROM nation WHERE n_nationkey < 3")
+def nation_files(t: Tables, path: str) -> DataFrame:
+    """Hashes of one text file a nation, named by its folder."""
+    t.nation.repartition("n_nationkey").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(f"{path}/f")
+    return io.hash_files(t.spark, f"{path}/f/*/*.txt", up=1)
+
+
+@register("fn10_content_hashes", "SELECT n_nationkey, sha256(n_name || chr(10)) AS sha256, sha256((SELECT string_agg(l, chr(10) ORDER BY l) FROM (SELECT 'n_nationkey=' || n_nationkey || ':' || sha256(n_name || chr(10)) AS l FROM nation))) AS folder FROM nation")
 def fn10(t: Tables):
     def work(path: str):
-        for k in range(3):
-            named_file(t, t.nation.where(F.col("n_nationkey") == k).select("n_name"), f"{path}/f/{k}.txt", "text")
-        files = io.hash_files(t.spark, f"{path}/f/*.txt")
-        return files.select(F.regexp_extract("name", r"^(\d+)", 1).cast("int").alias("n_nationkey"), "sha256").crossJoin(F.broadcast(io.folder_hash(files).select(F.col("sha256").alias("folder"))))
+        files = nation_files(t, path)
+        return files.select(F.regexp_extract("name", r"(\d+)$", 1).cast("int").alias("n_nationkey"), "sha256").crossJoin(F.broadcast(io.folder_hash(files).select(F.col("sha256").alias("folder"))))
 
     return through(t, "fn10", work)
 
@@ -310,15 +314,13 @@ def ct3(t: Tables):
         return outcomes(t, {"first": freeze(), "note differs": freeze(note="b"), "seed differs": freeze(seed=2)})
 
 
-@register("ct5_artifact_hashes", "SELECT * FROM (VALUES ('1.txt', 'other_contents'), ('2.txt', 'incomplete'), ('9.txt', 'missing')) v(name, problem)")
+@register("ct5_artifact_hashes", "SELECT 'n_nationkey=' || n_nationkey AS name, CASE n_nationkey % 5 WHEN 1 THEN 'other_contents' ELSE 'incomplete' END AS problem FROM nation WHERE n_nationkey % 5 IN (1, 2) UNION ALL SELECT 'n_nationkey=none', 'missing'")
 def ct5(t: Tables):
     def work(path: str):
-        for k in range(3):
-            named_file(t, t.nation.where(F.col("n_nationkey") == k).select("n_name"), f"{path}/f/{k}.txt", "text")
-        files = io.hash_files(t.spark, f"{path}/f/*.txt")
-        k = F.regexp_extract("name", r"^(\d+)", 1).cast("int")
+        files = nation_files(t, path)
+        k = F.regexp_extract("name", r"(\d+)$", 1).cast("int") % 5
         records = files.select("name", F.when(k == 2, "running").otherwise("complete").alias("status"), F.when(k == 1, F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256")).alias("sha256"))
-        lost = t.spark.createDataFrame([("9.txt", "complete", "0")], "name string, status string, sha256 string")
+        lost = t.spark.createDataFrame([("n_nationkey=none", "complete", "0")], "name string, status string, sha256 string")
         return contracts.hash_contracts(records.unionByName(lost), files)
 
     return through(t, "ct5", work)
@@ -338,11 +340,12 @@ def ct6(t: Tables):
     return contracts.preconditions(runs_of(t), grid, protected, ["protocol"])
 
 
-@register("ct8_evaluation_runs", "SELECT * FROM (VALUES ('first', 'ok'), ('same run', 'ok'), ('other run', 'PermissionError')) v(\"case\", outcome)")
+@register("ct8_evaluation_runs", "WITH r AS (SELECT c_mktsegment AS run, row_number() OVER (ORDER BY c_mktsegment) AS k FROM customer GROUP BY 1) SELECT run AS \"case\", CASE k WHEN 1 THEN 'ok' ELSE 'PermissionError' END AS outcome FROM r UNION ALL SELECT run || ' again', 'ok' FROM r WHERE k = 1")
 def ct8(t: Tables):
+    runs = [r.c_mktsegment for r in t.customer.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # a row a segment
     with folder(t, "ct8") as path:
         mark = lambda run: lambda: contracts.register_evaluation(t.spark, run, f"{path}/e")
-        return outcomes(t, {"first": mark("r1"), "same run": mark("r1"), "other run": mark("r2")})
+        return outcomes(t, {r: mark(r) for r in runs} | {f"{runs[0]} again": mark(runs[0])})
 
 
 @register("ct9_design_hash", "SELECT * FROM (VALUES ('built as reported', 'ok'), ('size differs', 'FileExistsError'), ('field lacks', 'KeyError')) v(\"case\", outcome)")
@@ -371,8 +374,10 @@ def gt5(t: Tables):
     return contracts.provenance_checks(t.supplier.select("s_suppkey", record.alias("record")), "s_suppkey", "record", "final")
 
 
-@register("gt2_selection_eligibility", "SELECT * FROM (VALUES ('calibrated', 'ok'), ('raw composite', 'ValueError'), ('no owner', 'ValueError'), ('no survivor', 'ValueError')) v(\"case\", outcome)")
+FEATURES = "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'explainability_raw_' ELSE 'feature_' END || CAST(s_suppkey AS VARCHAR(20)) AS feature, CASE WHEN s_suppkey % 7 <> 0 THEN s_nationkey END AS signal FROM supplier"
+
+
+@register("gt2_selection_eligibility", f"WITH f AS ({FEATURES}) SELECT s_suppkey, feature, CASE WHEN feature LIKE 'explainability_raw_%' THEN 'raw' WHEN signal IS NULL THEN 'no_owner' WHEN n_nationkey IS NULL THEN 'not_surviving' ELSE 'admitted' END AS verdict FROM f LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2) n ON n_nationkey = signal")
 def gt2(t: Tables):
-    owner = {"a": "iqa", "b": "similarity", "explainability_raw_x": "explainability"}
-    admit = lambda columns, alive: lambda: gate.refuse_raw(gate.admitted_columns(columns, owner, alive))
-    return outcomes(t, {"calibrated": admit(["a", "b"], {"iqa"}), "raw composite": admit(["a", "explainability_raw_x"], {"explainability"}), "no owner": admit(["z"], {"iqa"}), "no survivor": admit(["a"], set())})
+    alive = t.nation.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("signal"))
+    return gate.eligibility(t.sql(FEATURES), alive).select("s_suppkey", "feature", "verdict")

@@ -201,10 +201,10 @@ def write_candidates(candidates: DataFrame, boxes: DataFrame, classes: DataFrame
     return counts_over(accepted, classes, by)
 
 
-def hash_files(spark: SparkSession, glob: str) -> DataFrame:
-    """(name, bytes, sha256) of files, hashed where they are read; a file is one task's value."""
+def hash_files(spark: SparkSession, glob: str, up: int = 0) -> DataFrame:
+    """(name, bytes, sha256) of files, hashed where they are read; a file is one task's value. ``up``: so many folders up is what names it."""
     files = spark.read.format("binaryFile").load(glob)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.element_at(F.split("path", "/"), -1 - up).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def folder_hash(files: DataFrame) -> DataFrame:
