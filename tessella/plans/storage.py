@@ -13,7 +13,7 @@ from tessella.functions.frames import settled
 from tessella.functions.hashing import hash_dict
 from tessella.operators import contracts, gate, labels
 from tessella.plans.registry import Tables, register
-from tessella.sources import io
+from tessella.sources import commits, io
 
 
 @contextmanager
@@ -165,7 +165,7 @@ def sk1(t: Tables):
 def sk2(t: Tables):
     def work(path: str):
         io.publish(t.supplier.select("s_suppkey"), f"{path}/t", provenance={"signal": "similarity"})
-        seen = io.read_json(t.spark, f"{path}/t.provenance", {"signal": "similarity"})
+        seen = io.provenance_of(t.spark, f"{path}/t", {"signal": "similarity"})
         return t.spark.read.parquet(f"{path}/t").select("s_suppkey", F.lit(seen["n_rows"]).cast("bigint").alias("n_rows"), F.lit(seen["signal"]).alias("signal"))
 
     return through(t, "sk2", work)
@@ -238,7 +238,7 @@ def sk8(t: Tables):
             pass
         with io.experiment(t.spark, f"{path}/r", "r3", "select", "h3", parent="r2"):
             pass
-        runs = settled(t.spark.read.parquet(f"{path}/r"))
+        runs = settled(commits.table(t.spark, f"{path}/r"))
         up = io.ancestors(runs, 5).groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n_ancestors"))
         rows = runs.join(up, "experiment_id", "left")
         return rows.select("experiment_id", "status", F.get_json_object("metrics", "$.n").cast("bigint").alias("n"), F.coalesce("n_ancestors", F.lit(0)).cast("int").alias("n_ancestors"))

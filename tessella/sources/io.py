@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.labels import counts_over, duplicate_keys, require, require_empty
+from tessella.sources import commits
 
 
 def _fs(spark: SparkSession, path: str):
@@ -98,10 +99,13 @@ def publish(df: DataFrame, path: str, form: str = "parquet", check: Callable[[Da
 
     Checks the schema, the number of rows (counted while they are written, so the plan runs once)
     and (``key``) that keys are distinct, then calls ``check``. ``once`` refuses to replace what is
-    there; else the old table moves aside until the new one has its name. ``sort`` orders rows
-    within and across files. ``provenance`` goes, with the number of rows, to ``path.provenance``.
+    there; else the old table moves aside until the new one has its name; if that fails it moves back, and if
+    the process dies in between, the next ``publish`` or ``recover`` moves it back. (``commits.commit`` has no such gap.)
+    ``sort`` orders rows within and across files. ``provenance`` lies, with the number of rows, inside the
+    folder, so it comes and goes with its data.
     """
     spark = df.sparkSession
+    recover(spark, path)
     if once and exists(spark, path):
         raise FileExistsError(path)
     base, tag = path.rstrip("/"), uuid.uuid4().hex
@@ -121,16 +125,34 @@ def publish(df: DataFrame, path: str, form: str = "parquet", check: Callable[[Da
         if check:
             check(back)
         if provenance is not None:
-            delete(spark, f"{base}.provenance")
-            write_frozen_json(spark, provenance | {"n_rows": n}, f"{base}.provenance")
-        old = not once and fs.exists(to(path)) and fs.rename(to(path), to(aside))
+            write_frozen_json(spark, provenance | {"n_rows": n}, f"{staging}/{PROVENANCE}")
+        if not once and fs.exists(to(path)) and not fs.rename(to(path), to(aside)):
+            raise OSError(f"cannot move {path}")
         if not fs.rename(stage, to(path)):
-            if old:
-                fs.rename(to(aside), to(path))
             raise OSError(f"cannot publish {path}")
+        fs.delete(to(aside), True)
     finally:
         fs.delete(stage, True)
-        fs.delete(to(aside), True)
+        recover(spark, path)
+
+
+#: A table's provenance inside its folder; Spark's readers pass over such names.
+PROVENANCE = "_provenance"
+
+
+def provenance_of(spark: SparkSession, path: str, required: dict | None = None) -> dict:
+    return read_json(spark, f"{path.rstrip('/')}/{PROVENANCE}", required)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Give a table back its name that a dead ``publish`` had moved aside; nothing else."""
+    fs, p = _fs(spark, path.rstrip("/"))
+    if fs.exists(p) or not fs.exists(p.getParent()):
+        return
+    for s in fs.listStatus(p.getParent()):
+        if s.getPath().getName().startswith(f"{p.getName()}.old-"):
+            fs.rename(s.getPath(), p)
+            return
 
 
 def write_frozen_json(spark: SparkSession, value: dict, path: str) -> None:
@@ -167,10 +189,9 @@ REGISTRY = "experiment_id string, parent_experiment_id string, at timestamp, sta
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "experiment_id") -> DataFrame:
-    """Registry rows by key: new ones replace old ones, others stay; the table is published anew, by two renames."""
-    old = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], rows.schema)
-    publish(old.join(rows, key, "left_anti").unionByName(rows), path, key=key, once=False)
-    return spark.read.parquet(path)
+    """Registry rows by key: new ones replace old ones, others stay; writers at one time all keep their rows (see ``commits``)."""
+    commits.commit(spark, path, lambda old: rows if old is None else old.join(rows, key, "left_anti").unionByName(rows), key=key)
+    return commits.table(spark, path)
 
 
 @contextmanager

@@ -239,8 +239,8 @@ def test_publish_replaces_by_renames_and_runs_once(spark, tmp_path):
     io.publish(spark.range(5), path)
     io.publish(spark.range(7).mapInPandas(count, "id long"), path, once=False, provenance={"signal": "s"})
     assert spark.read.parquet(path).count() == 7 and seen.value == 7
-    assert io.read_json(spark, f"{path}.provenance") == {"signal": "s", "n_rows": 7}
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["t", "t.provenance"]
+    assert io.provenance_of(spark, path) == {"signal": "s", "n_rows": 7}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
 
 
 def test_source_and_metadata_faults_need_their_columns(spark):

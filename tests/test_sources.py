@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.sources import io
+from tessella.sources import commits, io
 from tessella.streaming import incremental
 
 
@@ -76,7 +76,7 @@ def test_follow(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     incremental.follow(stream, "k", "at", f"{tmp_path}/out", f"{tmp_path}/cp", lambda d: d).awaitTermination(60)
-    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+    assert sorted(r.k for r in commits.table(spark, f"{tmp_path}/out").collect()) == [1, 2]
 
 
 def test_contracts(spark, tmp_path):
@@ -94,3 +94,105 @@ def test_contracts(spark, tmp_path):
     with pytest.raises(PermissionError):
         contracts.register_evaluation(spark, "r2", f"file://{tmp_path}/run")
     assert contracts.table_text(spark.createDataFrame([(1, 0.5)], "a int, bb double")) == "a  bb\n1  0.5000"
+
+
+def test_commits_of_two_writers_both_stay(spark, tmp_path):
+    """Two interleaved upserts: the second commits while the first is at work; both rows are there, and each version's provenance is its own."""
+    path = f"file://{tmp_path}/r"
+    row = lambda k: spark.createDataFrame([(k, "x")], "experiment_id string, status string")
+    calls = []
+
+    def slow(old):
+        calls.append(old is None)
+        if len(calls) == 1:
+            io.upsert(spark, path, row("b"))
+        return row("a") if old is None else old.unionByName(row("a"))
+
+    record = commits.commit(spark, path, slow, key="experiment_id", provenance={"by": "a"})
+    assert calls == [True, False] and {r.experiment_id for r in commits.table(spark, path).collect()} == {"a", "b"}
+    assert [r["provenance"] for r in commits.history(spark, path)] == [None, {"by": "a"}] and record["n_rows"] == 2
+
+
+def test_a_failed_commit_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    commits.commit(spark, path, lambda _: spark.range(3))
+    for step in ("observe", "claim"):
+        with monkeypatch.context() as m, pytest.raises((RuntimeError, ValueError)):
+            if step == "claim":
+                m.setattr(commits, "claim", lambda *_: (_ for _ in ()).throw(RuntimeError("dies before the commit's file")))
+            commits.commit(spark, path, lambda _: spark.range(9), check=(lambda _: (_ for _ in ()).throw(ValueError("checked"))) if step == "observe" else None)
+        assert commits.table(spark, path).count() == 3
+    commits.commit(spark, path, lambda _: spark.range(9))
+    assert commits.table(spark, path).count() == 9 and not commits.claim(spark, f"{path}/commits/{0:020d}.json", "{}")
+
+
+def test_publish_survives_each_step(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    io.publish(spark.range(3), path, provenance={"v": 1})
+    real = io._fs
+
+    class Dies:
+        """A file system whose k-th rename fails: returns false, or throws."""
+
+        def __init__(self, fs, left, throws):
+            self.fs, self.left, self.throws = fs, left, throws
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, a, b):
+            self.left[0] -= 1
+            if self.left[0] == 0:
+                if self.throws:
+                    raise RuntimeError("rename")
+                return False
+            return self.fs.rename(a, b)
+
+    for k in (1, 2):
+        for throws in (False, True):
+            left = [k]
+            with monkeypatch.context() as m, pytest.raises((OSError, RuntimeError)):
+                m.setattr(io, "_fs", lambda s, p, left=left, throws=throws: (Dies(real(s, p)[0], left, throws), real(s, p)[1]))
+                io.publish(spark.range(9), path, once=False, provenance={"v": 2})
+            assert spark.read.parquet(path).count() == 3 and io.provenance_of(spark, path) == {"v": 1, "n_rows": 3}
+            assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    (tmp_path / "t").rename(tmp_path / "t.old-1")  # a process that died between the renames
+    io.publish(spark.range(9), path, once=False, provenance={"v": 2})
+    assert spark.read.parquet(path).count() == 9 and io.provenance_of(spark, path)["v"] == 2
+
+
+def test_two_resumes_at_once(spark, tmp_path):
+    log, plan, first = f"file://{tmp_path}/log", spark.range(10), []
+
+    def work(todo):
+        if not first:
+            first.append(1)
+            assert incremental.resume(spark, plan.where("id < 7"), log, "id", lambda d: d) == 7
+        return todo
+
+    assert incremental.resume(spark, plan, log, "id", work) == 10
+    assert sorted(r.id for r in commits.table(spark, log).collect()) == list(range(10))
+
+
+def test_a_retried_batch_is_appended_once(spark, tmp_path, monkeypatch):
+    """A batch that dies behind its commit, and one that dies before it, are both there once after a restart."""
+    rows = spark.sql("select id as k, timestamp'2024-01-01 00:00:00' as at from range(20)")
+    rows.write.parquet(f"{tmp_path}/in")
+    real, fails = commits.commit, ["behind", "before"]
+
+    def dies(*args, **more):
+        how = fails.pop(0) if fails else None
+        if how == "before":
+            raise RuntimeError(how)
+        out = real(*args, **more)
+        if how:
+            raise RuntimeError(how)
+        return out
+
+    monkeypatch.setattr(commits, "commit", dies)
+    run = lambda: incremental.follow(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "k", "at", f"file://{tmp_path}/out", f"{tmp_path}/cp", lambda d: d).awaitTermination(60)
+    for _ in range(2):
+        with pytest.raises(Exception, match="behind|before"):
+            run()
+    run()
+    assert not fails and sorted(r.k for r in commits.table(spark, f"file://{tmp_path}/out").collect()) == list(range(20))
