@@ -40,9 +40,10 @@ def decisions(mined: DataFrame, labels: list[str], most: int, allow: list[list[s
 def plan(combinations: list[tuple[str, ...]], quotas: dict[str, int], single_share: float, none_share: float, seed: object = 0) -> dict[tuple[str, ...], int]:
     """How many recipes of each combination meet every label's quota, and how many without a label make up their share.
 
-    Each step draws from single or from multiple labels, by their shares, a combination that serves
-    an unmet quota, or any where none does; draws are hashes of seed and step. A step a recipe, over
-    distinct combinations only (driver); quotas that no combination serves raise.
+    Each round draws as many recipes as the least unmet quota asks for, so none is passed by more than a
+    round's single recipe could: single and multiple labels by their shares, and of these the combinations that
+    serve an unmet quota evenly (any, where none of a kind does); what doesn't divide is dealt by hashes of seed and round.
+    Rounds grow with labels and the logarithm of quotas (driver); quotas that no combination serves raise.
     """
     lacking = {k for k, n in quotas.items() if n} - {x for c in combinations for x in c}
     if lacking:
@@ -50,17 +51,20 @@ def plan(combinations: list[tuple[str, ...]], quotas: dict[str, int], single_sha
     single, multi = ([c for c in sorted(combinations) if (len(c) == 1) == one] for one in (True, False))
     left, out, step = dict(quotas), {}, 0
     draw = lambda what: int(hashlib.sha256(f"{seed}:{step}:{what}".encode()).hexdigest()[:8], 16) / 2**32
+    serves = lambda c: any(left.get(x, 0) > 0 for x in c)
     while any(n > 0 for n in left.values()):
-        pool = single if single and (draw("kind") < single_share or not multi) else multi
-        hungry = [c for c in pool if any(left.get(x, 0) > 0 for x in c)]
-        if not hungry and not any(left.get(x, 0) > 0 for c in (single if pool is multi else multi) for x in c):
+        if not any(map(serves, [*single, *multi])):
             raise ValueError("quotas can't be met")
-        some = hungry or pool
-        c = some[int(draw("combination") * len(some))]
-        out[c] = out.get(c, 0) + 1
-        for x in c:
-            if x in left:
-                left[x] = max(0, left[x] - 1)
+        n = min(x for x in left.values() if x > 0)
+        share = 1.0 if not multi else 0.0 if not single else single_share
+        ones = int(n * share + draw("kind"))
+        for pool, many in ((single, ones), (multi, n - ones)):
+            some = sorted((c for c in pool if serves(c)), key=lambda c: draw(c)) or sorted(pool, key=lambda c: draw(c))
+            for k, c in enumerate(some):
+                if m := many // len(some) + (k < many % len(some)):
+                    out[c] = out.get(c, 0) + m
+        for x in left:
+            left[x] = max(0, quotas[x] - sum(m for c, m in out.items() if x in c))
         step += 1
     total = sum(quotas.values())
     out[()] = round(total / max(1 - none_share, 1e-6)) - total

@@ -231,19 +231,34 @@ def heads(rows: DataFrame, by: str, order: list[str], n: int, key: str) -> DataF
 
 
 def upto(rows: DataFrame, value: str, most: int, key: str, seed: object, *salt) -> DataFrame:
-    """The first rows in seeded hash order until ``value`` (1 or more a row) adds up to ``most``; only as many as could be needed are gathered."""
-    order = [seeded(seed, *salt, key), F.col(key)]
-    first = rows.orderBy(*order).limit(max(most, 0))
-    before = F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return first.withColumn("before_", before).where(F.col("before_") < most).drop("before_")
+    """The first rows in seeded hash order until ``value`` (1 or more a row) adds up to ``most``.
+
+    Sums by the hash's first three digits, 4,096 at most, tell in which of these the sum is reached:
+    rows before it are taken in passing, and only its own are put in order.
+    """
+    h = seeded(seed, *salt, key)
+    digits = F.substring(h, 1, 3)
+    before, cut = 0, None
+    for r in sorted(rows.groupBy(digits.alias("d")).agg(F.sum(value).alias("s")).collect()):
+        if before + (r.s or 0) >= most:
+            cut = r.d
+            break
+        before += r.s or 0
+    if most <= 0:
+        return rows.limit(0)
+    if cut is None:
+        return rows
+    held = F.coalesce(F.sum(value).over(Window.orderBy(h, F.col(key)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = rows.where(digits == cut).withColumn("before_", held).where(F.col("before_") + before < most).drop("before_")
+    return rows.where(digits < cut).unionByName(last)
 
 
 def rarity_first(groups: DataFrame, labels: list[str], target: int, key: str = "group_id", size: str = "n_rows", seed: object = 0) -> DataFrame:
     """Whole groups, about ``target`` rows: for each label, rarest first, groups in hash order until its quota of positive rows is met, then any groups in hash order.
 
     ``groups``: key, size and, for each label, its positive rows. A quota is the label's share of
-    all rows times the target, half to even; what groups drawn before hold counts. One pass over
-    the groups a label; the sample, not the table, is what a task ranks.
+    all rows times the target, half to even; what groups drawn before hold counts. Two passes over
+    the groups a label (see ``upto``); no task holds the sample.
     """
     total = groups.agg(*[F.sum(c).alias(c) for c in (size, *labels)]).first()
     quota = {x: int(half_even(target * (total[x] or 0) / max(total[size] or 0, 1))) for x in labels}
