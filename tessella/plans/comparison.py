@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import comparison, inference, metrics
+from tessella.operators import comparison, inference, metrics, resampling
 from tessella.plans.evaluation import PROBS
 from tessella.plans.registry import Tables, register
 from tessella.plans.selection import rounded
@@ -85,3 +86,27 @@ def st31(t: Tables):
     each = t.predictions.groupBy("condition", F.col("true_class").cast("string").alias("k")).agg(F.round(hit, 6).alias("r"))
     stored = each.groupBy("condition").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("k", "r"))).alias("per_class_recall"))).alias("report"))
     return comparison.recall_table(stored, ["0", "3", "9"])
+
+
+def hits_of(t: Tables) -> DataFrame:
+    return t.predictions.select("lesion_id", "condition", "true_class", "predicted")
+
+
+@register("st13_metric_bootstrap")
+def st13_metric(t: Tables):
+    """Macro F1, which isn't a mean of rows, with intervals by draws that are split, not listed."""
+    sums, metric = resampling.f1_macro([0, 1, 2, 3, 4])
+    return rounded(resampling.bootstrap(hits_of(t), "lesion_id", ["condition"], sums("true_class", "predicted"), metric, 100, SEED), "estimate", "low", "high")
+
+
+@register("st14_metric_difference")
+def st14_metric(t: Tables):
+    sums, metric = resampling.f1_macro([0, 1, 2, 3, 4])
+    return rounded(resampling.bootstrap_difference(hits_of(t), "lesion_id", "condition", "A", "B", sums("true_class", "predicted"), metric, 100, SEED), "estimate", "low", "high")
+
+
+@register("st13_resample_totals", "SELECT b, (SELECT count(DISTINCT lesion_id) FROM predictions)::DOUBLE AS n FROM (SELECT unnest(generate_series(0, 100))::INT AS b)")
+def st13_totals(t: Tables):
+    """Weights of each replicate add up to the number of units."""
+    units = hits_of(t).select("lesion_id").distinct()
+    return resampling.resampled(units, "lesion_id", [], {"n": F.lit(1)}, 100, SEED)
