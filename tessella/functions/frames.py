@@ -44,6 +44,19 @@ def ranged(df: DataFrame, by: list[str], order: list[str | Column], parts: int |
     return settled(rows.withColumn("part_", F.spark_partition_id()))
 
 
+#: Rows of a group that a window may hold in a task.
+ROWS = 1 << 20
+
+
+def along(rows: DataFrame, group, order: list[str | Column], values: list[str], fold: dict) -> DataFrame:
+    """Values folded along a window's order (``scanned``'s names): of the whole, up to the row, or from it on."""
+    upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"w{c}": fold[c[0]](c).over(group if c[0] == "t" else upto) for c in values if c[0] != "l"} | ({"at_": F.row_number().over(group.orderBy(*order))} if any(c[0] == "l" for c in values) else {}))
+    # backwards, as frames that end with the group are folded anew for each row
+    on = group.orderBy(F.desc("at_")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({f"w{c}": F.min(c).over(on) for c in values if c[0] == "l"})
+
+
 def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str | None = None, sums: dict[str, str | Column] | None = None, totals: dict[str, str | Column] | None = None, highest: dict[str, str | Column] | None = None, lowest_on: dict[str, str | Column] | None = None, parts: int | None = None) -> DataFrame:
     """``df`` with values taken along the order of each group, however large it is: a prefix scan over ranges.
 
@@ -51,7 +64,8 @@ def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str |
     group; ``highest``: up to the row; ``lowest_on``: from the row to the end. Nulls add nothing. Rows
     that the order doesn't tell apart are taken in any order. Values are scanned within ranges; what
     the ranges before (or behind) hold of the same group is added. A range has one group at most that
-    began before it and one that goes on behind it, so what is broadcast is two rows a range.
+    began before it and one that goes on behind it, so what is broadcast is two rows a range. Where no
+    group has more than ROWS rows, each is a window's; ``parts``: the number of ranges, whatever the sizes.
     """
     sums, totals, highest, lowest_on = dict(sums or {}), totals or {}, highest or {}, lowest_on or {}
     if rank:
@@ -59,6 +73,10 @@ def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str |
     kinds = {"s": sums, "t": totals, "h": highest, "l": lowest_on}
     values = {f"{k}_{n}_": (F.col(v) if isinstance(v, str) else v) for k, named in kinds.items() for n, v in named.items()}
     fold = {"s": F.sum, "t": F.sum, "h": F.max, "l": F.min}
+    named = [n for names in kinds.values() for n in names]
+    if not parts and (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_")).agg(F.max("n_")).first()[0] or 0) <= ROWS:
+        rows = along(df.withColumns(values), Window.partitionBy(*by), order, list(values), fold)
+        return rows.select(*[c for c in df.columns if c not in named], *[F.col(f"w{k}_{n}_").alias(n) for k, names in kinds.items() for n in names])
     rows = ranged(df.withColumns(values), by, order, parts)
     group = Window.partitionBy("part_", *by)
     held = rows.groupBy("part_", *by).agg(*[fold[c[0]](c).alias(c) for c in values])
@@ -69,14 +87,8 @@ def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str |
     same = F.col("part_") == F.col("p_")
     for k, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"g{k}_"))
-    upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"w{c}": fold[c[0]](c).over(group if c[0] == "t" else upto) for c in values if c[0] != "l"} | ({"at_": F.row_number().over(group.orderBy(*order))} if lowest_on else {}))
-    # backwards, as frames that end with the range are folded anew for each row
-    on = group.orderBy(F.desc("at_")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"w{c}": F.min(c).over(on) for c in values if c[0] == "l"})
-    rows = rows.join(F.broadcast(ends), same, "left")
+    rows = along(rows, group, order, list(values), fold).join(F.broadcast(ends), same, "left")
     joined = {"s": lambda w, o: F.coalesce(w + o, w, o), "t": lambda w, o: F.coalesce(o, w), "h": F.greatest, "l": F.least}
-    named = [n for names in kinds.values() for n in names]
     out = [joined[k](F.col(f"w{k}_{n}_"), F.col(f"o{k}_{n}_")).alias(n) for k, names in kinds.items() for n in names]
     return rows.select(*[c for c in df.columns if c not in named], *out)
 

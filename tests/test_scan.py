@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import frames
 from tessella.functions.frames import ranged, scanned
 from tessella.operators import inference, metrics
 
@@ -15,9 +16,9 @@ def rows_of(seed, n, hot=0.9):
     return [(i, "hot" if rng.random() < hot else rng.choice(("a", "b", None)), rng.choice((None, *range(40))), rng.randint(-5, 5)) for i in range(n)]
 
 
-@pytest.mark.parametrize("parts", [1, 3, 16])
+@pytest.mark.parametrize("parts", [None, 1, 3, 16])
 def test_scan_is_plain_python(spark, parts):
-    data = rows_of(parts, 700)
+    data = rows_of(parts or 0, 700)
     df = spark.createDataFrame(data, "id long, g string, x int, v int")
     got = scanned(df, ["g"], [F.col("x").desc_nulls_last(), F.col("id")], rank="r", sums={"s": "v", "k": F.when(F.col("v") > 0, 1)}, totals={"t": "v"}, highest={"h": "v"}, lowest_on={"l": "v"}, parts=parts)
     got = {r.id: tuple(r)[4:] for r in got.collect()}
@@ -37,7 +38,8 @@ def test_a_hot_group_lies_in_many_ranges(spark):
     assert most < 2.5 * 4000 / 16 and held.where("g = 'hot'").count() >= 12
 
 
-def test_a_large_family_of_corrections(spark):
+def test_a_large_family_of_corrections(spark, monkeypatch):
+    monkeypatch.setattr(frames, "ROWS", 1000)
     n = 100_000
     p = spark.range(n).select(F.lit("all").alias("family"), F.col("id").alias("name"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e9).alias("p"))
     for f, plain in ((inference.holm, lambda s: list(itertools.accumulate((min(1.0, x * (n - k)) for k, x in enumerate(s)), max))), (inference.benjamini_hochberg, lambda s: list(itertools.accumulate((min(1.0, x * n / (n - k)) for k, x in enumerate(reversed(s))), min))[::-1])):
