@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions.frames import numbered
 from tessella.functions.hashing import hash_dict, seeded
 from tessella.operators.sampling import rank_bins
-from tessella.sources.io import exists, read_json, write_frozen_json
+from tessella.sources.io import exists, freeze, read_json, write_frozen_json
 
 #: Purposes that may read each protected split; other splits are open.
 PURPOSES = {"final": frozenset({"final_evaluation", "schema_validation"})}
@@ -43,6 +44,34 @@ def freeze_or_match(spark: SparkSession, design: dict, fields: list[str], path:
     return digest
 
 
+def design_hashes(designs: DataFrame, fields: list[str]) -> DataFrame:
+    """``designs`` with the hash of each row's fields that matter (SHA-256 of their JSON, by name); NULL where one lacks."""
+    whole = F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
+    lacks = reduce(lambda a, b: a | b, [F.col(f).isNull() for f in fields])
+    return designs.withColumn("design_hash", F.when(~lacks, whole))
+
+
+def freeze_designs(spark: SparkSession, path: str, designs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Freeze the fields that matter of each design at its first use; a design that differs in one later is refused, and all that come with it.
+
+    Returns the frozen designs with their hashes. Refused tells each design, field and both values.
+    """
+    return design_hashes(freeze(spark, path, designs.select(key, *fields), key), fields)
+
+
+def build_faults(builds: DataFrame, reported: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, fault) of builds that may not go on: a field that matters lacks, no hash was reported for them, or another one."""
+    met = design_hashes(builds, fields).join(reported.select(key, F.col("design_hash").alias("reported_")), key, "left")
+    fault = F.when(F.col("design_hash").isNull(), "field_lacks").when(F.col("reported_").isNull(), "not_reported").when(F.col("design_hash") != F.col("reported_"), "differs")
+    return met.select(key, fault.alias("fault")).where("fault is not null")
+
+
+def field_faults(reports: DataFrame, expected: DataFrame, key: str, column: str = "record") -> DataFrame:
+    """(key, field, expected, found) of required fields (key, field, expected, as text) that reports (JSON) don't have with that value; found is NULL where the field, or the report, lacks."""
+    held = reports.select(key, F.explode(F.from_json(column, "map<string,string>")).alias("field", "found"))
+    return expected.join(held, [key, "field"], "left").where(~F.col("expected").eqNullSafe(F.col("found"))).select(key, "field", "expected", "found")
+
+
 def register_evaluation(spark: SparkSession, run: str, path: str) -> None:
     """Mark outcomes as read by a run; another run is refused from then on."""
     if exists(spark, path) and read_json(spark, path).get("run") != run:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.labels import require_empty
+from tessella.functions.frames import numbered
+from tessella.operators.labels import refuse, require_empty
 from tessella.operators.metrics import spearman
 
 RAW_PREFIXES = ("explainability_raw", "explainability_focus", "explainability_peripheral")
@@ -24,6 +25,15 @@ def admitted_columns(configured: list[str], owner: dict[str, str], survivors: se
     return out
 
 
+def admitted(configured: DataFrame, survivors: DataFrame, place: str = "place", feature: str = "feature", signal: str = "signal") -> DataFrame:
+    """(place, feature) of configured features (place, feature, signal) whose signal survives, numbered from 0 in their order; Refused names all without a signal, ValueError if none is left."""
+    refuse(configured.where(F.col(signal).isNull()).select(feature), "features without a signal")
+    out = numbered(configured.join(survivors.select(signal).distinct(), signal, "left_semi").select(place, feature), [place, feature], "at_")
+    if out.isEmpty():
+        raise ValueError("no feature of a surviving signal")
+    return out.select(F.col("at_").alias(place), feature)
+
+
 def contributing_signals(columns: list[str], owner: dict[str, str]) -> list[str]:
     """The signals that feature columns belong to, sorted; a column without an owner raises."""
     return sorted({owner[c] for c in columns})

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.frames import settled
 from tessella.functions.hashing import hash_dict
 
 #: Frozen class order: an index is a contract, never the alphabet.
@@ -70,6 +71,42 @@ def require_empty(bad: DataFrame, what: str, shown: int = 5) -> None:
         raise ValueError(f"{what}: {[r.asDict() for r in rows]}")
 
 
+class Refused(ValueError):
+    """A refusal with all its reasons: ``faults`` has a row for each, and doesn't depend on what was refused."""
+
+    def __init__(self, what: str, faults: DataFrame):
+        super().__init__(what)
+        self.faults = faults
+
+
+def refuse(faults: DataFrame, what: str, shown: int = 5) -> None:
+    """Refused if there are any faults, with all of them; the message names the first."""
+    held = settled(faults)
+    rows = held.limit(shown).collect()
+    if rows:
+        raise Refused(f"{what}: {[r.asDict() for r in rows]}", held)
+
+
+def key_faults(df: DataFrame, key: str, expected: DataFrame | None = None) -> DataFrame:
+    """(key, fault, n) of keys that are missing (null) or repeated; against ``expected``, also those unexpected or absent. n: rows of the key."""
+    held = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    wrong = [F.when(F.col(key).isNull(), "missing"), F.when(F.col(key).isNotNull() & (F.col("n") > 1), "repeated")]
+    if expected is not None:
+        known = expected.where(F.col(key).isNotNull()).select(key).distinct().withColumn("known_", F.lit(True))
+        held = held.join(known, key, "full")
+        wrong += [F.when(F.col(key).isNotNull() & F.col("known_").isNull(), "unexpected"), F.when(F.col("n").isNull(), "absent")]
+    return held.select(key, F.explode(F.filter(F.array(*wrong), lambda x: x.isNotNull())).alias("fault"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def changed(frozen: DataFrame, found: DataFrame, key: str, fields: list[str] | None = None) -> DataFrame:
+    """(key, field, frozen, found), values as text, of each field of ``found`` that another value is frozen for; a null is a value, new keys have none."""
+    fields = fields or [c for c in found.columns if c != key]
+    side = lambda df, name: df.select(key, F.struct(*[F.col(c).cast("string").alias(c) for c in fields]).alias(name))
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col("a_")[c].alias("frozen"), F.col("b_")[c].alias("found")) for c in fields])
+    met = side(found, "b_").join(side(frozen, "a_"), key)
+    return met.select(key, F.explode(F.filter(cells, lambda x: ~x["frozen"].eqNullSafe(x["found"]))).alias("c_")).select(key, "c_.*")
+
+
 def duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:
     keys = [key] if isinstance(key, str) else key
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -124,11 +124,12 @@ def pf5(t: Tables):
     return labels.source_faults(rows, "p", ["a", "b"], r"patient\d+")
 
 
-@register("pf11_feature_admission", "SELECT * FROM (VALUES (0, 'iqa_score'), (1, 'novelty')) v(place, feature)")
+@register("pf11_feature_admission", "WITH d AS (SELECT 0 AS k, count(DISTINCT score) >= 5 AS alive FROM pool UNION ALL SELECT 1, count(DISTINCT CASE WHEN image_id % 3 = 0 THEN score END) >= 5 AND avg(CASE WHEN image_id % 3 = 0 THEN 0.0 ELSE 1.0 END) <= 0.1 FROM pool UNION ALL SELECT 2, count(DISTINCT score) >= 5 FROM pool UNION ALL SELECT 3, count(DISTINCT 1.0) >= 5 FROM pool) SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_name AS feature FROM part JOIN d ON k = p_partkey % 4 WHERE alive")
 def pf11(t: Tables):
-    owner = {"iqa_score": "iqa", "knn_mean": "similarity", "novelty": "novelty", "band": "uncertainty"}
-    alive = {r.signal for r in decisions(t).where("outcome = 'include'").collect()}  # a row a signal
-    return t.spark.createDataFrame(list(enumerate(gate.admitted_columns(list(owner), owner, alive))), "place int, feature string")
+    """Configured features, in their order, of the signals that the decision leaves."""
+    signal = F.element_at(F.array(*[F.lit(s) for s in ("iqa", "similarity", "novelty", "uncertainty")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    configured = t.part.select(F.col("p_partkey").alias("place"), F.col("p_name").alias("feature"), signal.alias("signal"))
+    return gate.admitted(configured, decisions(t).where("outcome = 'include'"))
 
 
 def decisions(t: Tables):
@@ -275,18 +276,18 @@ def im2(t: Tables):
     return rounded(per_image(images(t), ["canvas", "content"], lambda k, g: (signals.border_uniform(g), signals.border_uniform(g, box=(1, 1, 7, 7)))), "canvas", "content")
 
 
-@register("im7_resolved_thresholds", "SELECT * FROM (VALUES ('constant', 'ok'), ('match', 'ok'), ('no artifact', 'ValueError'), ('other quantile', 'ValueError'), ('protected split', 'ValueError')) v(\"case\", outcome)")
+@register("im7_resolved_thresholds", "WITH c AS (SELECT dx || '/' || group_id % 10 AS class, any_value(group_id % 10) AS k, quantile_cont(score, 0.05) AS threshold FROM pool GROUP BY 1) SELECT class, CASE WHEN k = 1 THEN 0.5 WHEN k IN (0, 6, 7, 8, 9) THEN round(threshold, 6) END::DOUBLE AS threshold, CASE WHEN k = 1 THEN 'inherited_constant_uncalibrated' WHEN k IN (0, 6, 7, 8, 9) THEN 'train_lower_quantile_0.05' END AS source, CASE k WHEN 2 THEN 'no_calibration' WHEN 3 THEN 'split_not_permitted' WHEN 4 THEN 'other_quantile' WHEN 5 THEN 'other_region' END AS fault FROM c")
 def im7(t: Tables):
-    row = signals.calibrated_threshold(t.pool.withColumnRenamed("score", "sharpness"), "sharpness", 0.05, False, "dx").select("threshold").first()
-    s = {"source_split": "train", "rule": "lower_quantile", "quantile": 0.05, "region": None, "constant": 1.0}
-    found = {"source_split": "train", "rule": "lower_quantile", "quantile": 0.05, "threshold": row.threshold}
-
-    def matches() -> None:
-        value, source = signals.resolved_threshold(s, found)
-        if value != row.threshold or source != "train_lower_quantile_0.05":
-            raise AssertionError(source)
-
-    return outcomes(t, {"constant": lambda: signals.resolved_threshold({"calibrated": False, "constant": 1.0}, None), "match": matches, "no artifact": lambda: signals.resolved_threshold(s, None), "other quantile": lambda: signals.resolved_threshold(s | {"quantile": 0.1}, found), "protected split": lambda: signals.resolved_threshold(s | {"source_split": "final"}, found | {"source_split": "final"})})
+    """Thresholds of classes by their settings and calibrations, and why others have none."""
+    from tessella.functions.frames import quantiles
+
+    rows = t.pool.select("score", F.concat_ws("/", "dx", (F.col("group_id") % 10).cast("string")).alias("class"))
+    k = F.substring_index("class", "/", -1).cast("int")
+    split, rule = F.when(k == 3, "final").otherwise("train").alias("source_split"), F.lit("lower_quantile").alias("rule")
+    settings = rows.select("class").distinct().select("class", (k != 1).alias("calibrated"), F.lit(0.5).alias("constant"), split, rule, F.when(k == 5, "border").alias("region"), F.when(k == 4, 0.1).otherwise(0.05).alias("quantile"))
+    found = quantiles(rows.where(k != 2), "score", [0.05], ["class"])
+    calibrations = found.select("class", split, rule, F.lit(None).cast("string").alias("region"), F.col("q").alias("quantile"), F.col("v").alias("threshold"))
+    return rounded(signals.resolved_thresholds(settings, calibrations, "class"), "threshold")
 
 
 @register("im9_explainability", "SELECT vec_id, round((1 - CASE WHEN vec_id % 8 BETWEEN 1 AND 6 THEN 1 ELSE 0 END)::DOUBLE, 6) AS peripheral, 1 / 64::DOUBLE AS area, round((CASE WHEN vec_id % 8 BETWEEN 1 AND 6 THEN 1 ELSE 0 END * (1 - 1 / 64))::DOUBLE, 6) AS raw FROM embeddings")

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.labels import counts_over, duplicate_keys, require, require_empty
+from tessella.operators.labels import changed, counts_over, duplicate_keys, key_faults, refuse, require, require_empty
 from tessella.sources import commits
 
 
@@ -41,13 +41,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_keyed_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON lines whose key is neither missing nor repeated."""
+    """JSON lines whose key is neither missing nor repeated; else Refused with all keys at fault."""
     df = read_jsonl(spark, path, schema)
-    require_empty(df.where(F.col(key).isNull()), f"missing {key}")
-    require_empty(duplicate_keys(df, key), f"repeated {key}")
+    refuse(key_faults(df, key), f"{path}: {key}")
     return df
 
 
+def read_reports(spark: SparkSession, glob: str, up: int = 0) -> DataFrame:
+    """(name, record) of small JSON files, a row a file read whole; ``up``: so many folders up is what names it."""
+    files = spark.read.text(glob, wholetext=True)
+    return files.select(F.element_at(F.split("_metadata.file_path", "/"), -1 - up).alias("name"), F.col("value").alias("record"))
+
+
 def read_tagged(spark: SparkSession, glob: str, pattern: str, names: list[str]) -> DataFrame:
     """Parquet files of a glob with the parts of their names that a pattern captures; a name that doesn't match raises."""
     df = spark.read.parquet(glob)
@@ -94,11 +99,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def publish(df: DataFrame, path: str, form: str = "parquet", check: Callable[[DataFrame], None] | None = None, key: str | None = None, once: bool = True, sort: list[str] = (), provenance: dict | None = None) -> None:
+def publish(df: DataFrame, path: str, form: str = "parquet", check: Callable[[DataFrame], None] | None = None, key: str | None = None, once: bool = True, sort: list[str] = (), provenance: dict | None = None, expected: DataFrame | None = None) -> None:
     """Write to a staging folder, read it back, check it, then rename; nothing is seen under ``path`` before.
 
     Checks the schema, the number of rows (counted while they are written, so the plan runs once)
-    and (``key``) that keys are distinct, then calls ``check``. ``once`` refuses to replace what is
+    and (``key``) that keys are given, distinct and, with ``expected``, just those of that table (Refused, with
+    all keys at fault); then calls ``check``. ``once`` refuses to replace what is
     there; else the old table moves aside until the new one has its name; if that fails it moves back, and if
     the process dies in between, the next ``publish`` or ``recover`` moves it back. (``commits.commit`` has no such gap.)
     ``sort`` orders rows within and across files. ``provenance`` lies, with the number of rows, inside the
@@ -121,7 +127,7 @@ def publish(df: DataFrame, path: str, form: str = "parquet", check: Callable[[Da
         if (n := back.count()) != seen.get["n"]:
             raise ValueError(f"{n} rows written, {seen.get['n']} expected")
         if key:
-            require_empty(duplicate_keys(back, key), f"repeated {key}")
+            refuse(key_faults(back, key, expected), f"{path}: {key}")
         if check:
             check(back)
         if provenance is not None:
@@ -165,6 +171,22 @@ def write_frozen_json(spark: SparkSession, value: dict, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
+def freeze(spark: SparkSession, path: str, rows: DataFrame, key: str) -> DataFrame:
+    """A table of values written once a key: new keys are added, the same values again change nothing, another value refuses all of ``rows``.
+
+    Refused has each such key with the field, its frozen and its found value. Writers at one time agree (see ``commits``).
+    """
+
+    def make(old: DataFrame | None) -> DataFrame:
+        if old is None:
+            return rows
+        refuse(changed(old, rows, key), f"{path}: frozen")
+        return rows.join(old, key, "left_anti").select(*rows.columns)
+
+    commits.commit(spark, path, make, replaces=False, key=key)
+    return commits.table(spark, path)
+
+
 #: Reports are read whole; larger files are refused.
 MOST_BYTES = 16 << 20
 
