@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import settled
+from tessella.operators import resampling
 from tessella.operators.inference import benjamini_hochberg, draws, holm, repeats_needed
 from tessella.operators.labels import require_empty
 
@@ -57,16 +58,21 @@ def confusion_metrics(cells: DataFrame, by: list[str]) -> DataFrame:
     return long.unionByName(each.select(*by, F.concat(F.lit("recall_"), F.col("k").cast("string")).alias("metric"), F.col("recall").alias("value")))
 
 
-def resampled(predictions: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
+def resampled(predictions: DataFrame, unit: str, replicates: int, seed: int, split: bool = False) -> DataFrame:
     """(b, condition, metric, value): each condition's metrics, the mean over its seeds, on the rows as they are (b = 0) and on each resample of units.
 
     Rows are summed to confusion cells by unit before they meet the draws, which all conditions share.
+    ``split``: draws are split where the units lie (see ``resampling``) instead of listed, so no row is made,
+    shuffled or joined for a draw; rows with a null unit are left out then.
     """
+    key = ["b", "condition", "seed"]
+    if split:
+        summed = resampling.resampled(predictions, unit, ["condition", "seed", "true_class", "predicted"], {"n": F.lit(1)}, replicates, seed).where("n > 0")
+        return settled(confusion_metrics(settled(summed), key).groupBy("b", "condition", "metric").agg(F.avg("value").alias("value")))
     cells = predictions.groupBy(F.col(unit).alias("unit"), "condition", "seed", "true_class", "predicted").agg(F.count(F.lit(1)).alias("c"))
     weights = draws(predictions.select(F.col(unit).alias("unit")), replicates, seed)
     drawn = weights.join(cells, "unit").select("b", "condition", "seed", "true_class", "predicted", (F.col("c") * F.col("weight")).alias("n"))
     whole = cells.select(F.lit(0).alias("b"), "condition", "seed", "true_class", "predicted", F.col("c").alias("n"))
-    key = ["b", "condition", "seed"]
     summed = settled(drawn.unionByName(whole).groupBy(*key, "true_class", "predicted").agg(F.sum("n").alias("n")))
     return settled(confusion_metrics(summed, key).groupBy("b", "condition", "metric").agg(F.avg("value").alias("value")))
 
@@ -125,10 +131,10 @@ def corrected(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return holm(part("confirmatory"), ["family"], alpha=alpha).unionByName(benjamini_hochberg(part("exploratory"), ["family"], alpha=alpha))
 
 
-def compare(predictions: DataFrame, protocol: Protocol, unit: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05, probabilities: list[str] = ()) -> DataFrame:
-    """The comparison of a protocol's conditions, by family, with the macro AUROC where there are probabilities; see ``comparable`` for what raises."""
+def compare(predictions: DataFrame, protocol: Protocol, unit: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05, probabilities: list[str] = (), split: bool = False) -> DataFrame:
+    """The comparison of a protocol's conditions, by family, with the macro AUROC where there are probabilities (its draws are listed); see ``comparable`` for what raises."""
     rows = comparable(predictions, protocol)
-    values = resampled(rows, unit, replicates, seed)
+    values = resampled(rows, unit, replicates, seed, split)
     if probabilities:
         values = values.unionByName(resampled_auroc(rows, unit, list(probabilities), replicates, seed))
     return corrected(differences(values, protocol, alpha), alpha)
@@ -148,10 +154,14 @@ def ensembles(probabilities: DataFrame, by: list[str]) -> DataFrame:
     return probabilities.groupBy(*by).agg(F.avg("p").alias("p"), F.stddev_samp("p").alias("spread"), F.count(F.lit(1)).alias("n_runs"))
 
 
-def resampled_components(cells: DataFrame, weights: DataFrame) -> DataFrame:
-    """Variance components on each resample of subsets: cells (unit, n, m, v: repeats, mean, population variance), weights (b, unit, weight)."""
-    w = F.col("weight")
-    sums = weights.join(cells, "unit").groupBy("b").agg(F.sum(w).alias("k"), F.sum(w * F.col("n")).alias("total"), F.sum(w * F.col("n") * F.col("v")).alias("ssw"), F.sum(w * F.col("n") * F.col("m") * F.col("m")).alias("sq"), F.sum(w * F.col("n") * F.col("m")).alias("s"))
+def resampled_components(cells: DataFrame, replicates: int, seed: int, split: bool = False) -> DataFrame:
+    """Variance components on each resample of subsets: cells (unit, n, m, v: repeats, mean, population variance); ``split`` as in ``resampled``."""
+    n, m = F.col("n"), F.col("m")
+    each = {"k": F.lit(1), "total": n, "ssw": n * F.col("v"), "sq": n * m * m, "s": n * m}
+    if split:
+        sums = resampling.resampled(cells, "unit", [], each, replicates, seed).where("b > 0")
+    else:
+        sums = draws(cells.select("unit"), replicates, seed).join(cells, "unit").groupBy("b").agg(*[F.sum(F.col("weight") * c).alias(k) for k, c in each.items()])
     ssb = F.col("sq") - F.col("s") * F.col("s") / F.col("total")
     within = F.col("ssw") / F.nullif(F.col("total") - F.col("k"), F.lit(0))
     rows = sums.withColumn("within", within).withColumn("between", (ssb / F.nullif(F.col("k") - 1, F.lit(0)) - F.col("within")) * F.col("k") / F.col("total"))
@@ -159,10 +169,10 @@ def resampled_components(cells: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.select("b", "between", "within", (up / F.nullif(up + F.col("within"), F.lit(0.0))).alias("icc"))
 
 
-def subset_bootstrap(df: DataFrame, replicates: int, seed: int, affordable: int = 4, most: int = 10, subset: str = "subset_id", value: str = "y", alpha: float = 0.05) -> DataFrame:
+def subset_bootstrap(df: DataFrame, replicates: int, seed: int, affordable: int = 4, most: int = 10, subset: str = "subset_id", value: str = "y", alpha: float = 0.05, split: bool = False) -> DataFrame:
     """One row: interval of the ICC, median and 0.9 quantile of the repeats needed (``most`` + 1 for more), and the share of resamples that ``affordable`` repeats satisfy."""
     cells = df.groupBy(F.col(subset).alias("unit")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    rows = resampled_components(cells, draws(cells.select("unit"), replicates, seed))
+    rows = resampled_components(cells, replicates, seed, split)
     needed = F.coalesce(F.least(repeats_needed(F.col("icc")), F.lit(most + 1)), F.lit(most + 1)).cast("double")
     q = lambda c, p: F.percentile(c, F.lit(p))
     return rows.withColumn("needed", needed).agg(q("icc", alpha / 2).alias("low"), q("icc", 1 - alpha / 2).alias("high"), q("needed", 0.5).alias("needed_median"), q("needed", 0.9).alias("needed_p90"), F.avg((F.col("needed") <= affordable).cast("double")).alias("affordable_share"))

@@ -110,3 +110,15 @@ def st13_totals(t: Tables):
     """Weights of each replicate add up to the number of units."""
     units = hits_of(t).select("lesion_id").distinct()
     return resampling.resampled(units, "lesion_id", [], {"n": F.lit(1)}, 100, SEED)
+
+
+@register("st17_split_comparison")
+def st17_split(t: Tables):
+    """The comparison with draws that are split, not listed."""
+    rows = comparison.compare(t.predictions, comparison.PROTOCOLS["v1"], "lesion_id", 200, SEED, split=True)
+    return rounded(rows.drop("note"), "difference", "low", "high", "p", "adjusted")
+
+
+@register("st22_split_bootstrap")
+def st22_split(t: Tables):
+    return rounded(comparison.subset_bootstrap(t.repeats, 200, SEED, split=True), "low", "high", "needed_median", "needed_p90", "affordable_share", places=4)

@@ -4,7 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import resampling
+from tessella.operators import comparison, resampling
+from tessella.plans.comparison import SEED
+from tessella.plans.registry import Tables
+
+DATA = "/root/testdata/sf0.001"
+
 
 def one_and_y():
     return {"n": F.lit(1), "s": F.col("y")}
@@ -68,3 +73,59 @@ def test_difference_and_any_metric(spark):
     same = resampling.bootstrap_difference(df.withColumn("p", F.col("t")), "unit", "side", "A", "B", sums("t", "p"), metric, 50, 1).first()
     assert (same.estimate, same.low, same.high, same.p_value) == (0.0, 0.0, 0.0, 1.0)
     assert resampling.bootstrap(df.limit(0), "unit", ["side"], {"n": F.lit(1)}, F.col("n"), 5).collect() == []
+
+
+def drawn(units: list, replicates: int) -> dict:
+    """Each unit's weights, b = 0 first, by the same splits."""
+    n = len(units)
+    w = np.concatenate([resampling.weights(SEED, n, k, replicates) for k in range(-(-n // resampling.BLOCK))], axis=1)
+    return {u: w[:, k] for k, u in enumerate(sorted(units))}
+
+
+def test_compared_conditions_by_splits_equal_a_loop_over_rows(spark):
+    """All metrics of all resamples of all predictions, against weighted rows in plain Python."""
+    rows = [r.asDict() for r in Tables(spark, DATA).predictions.collect()]
+    by, replicates = drawn({r["lesion_id"] for r in rows}, 12), 12
+    cells: dict = {}
+    for r in rows:
+        cell = cells.setdefault((r["condition"], r["seed"]), np.zeros((replicates + 1, 5, 5)))
+        cell[:, r["true_class"], r["predicted"]] += by[r["lesion_id"]]
+    want: dict = {}
+    for (condition, _), cell in cells.items():
+        for b in range(replicates + 1):
+            m = cell[b]
+            there = m.sum(axis=1) > 0
+            hits, support, claimed = np.diag(m)[there], m.sum(axis=1)[there], m.sum(axis=0)[there]
+            each = {"balanced_accuracy": (hits / support).mean(), "macro_f1": (2 * hits / (support + claimed)).mean(), "accuracy": hits.sum() / support.sum()}
+            each |= {f"recall_{k}": h / s for k, h, s in zip(np.flatnonzero(there), hits, support, strict=True)}
+            for metric, value in each.items():
+                want.setdefault((b, condition, metric), []).append(value)
+    got = comparison.resampled(Tables(spark, DATA).predictions, "lesion_id", replicates, SEED, split=True).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.value == pytest.approx(np.mean(want[r.b, r.condition, r.metric])), r
+
+
+def test_subsets_by_splits_equal_plain_analysis_of_variance(spark):
+    rows = Tables(spark, DATA).repeats.toPandas()
+    groups, replicates = {u: g["y"].to_numpy() for u, g in rows.groupby("subset_id")}, 30
+    by = drawn(list(groups), replicates)
+    cells = spark.createDataFrame([(int(u), len(y), float(y.mean()), float(y.var())) for u, y in groups.items()], "unit long, n long, m double, v double")
+    got = {r.b: r for r in comparison.resampled_components(cells, replicates, SEED, split=True).collect()}
+    assert set(got) == set(range(1, replicates + 1))
+    for b, r in got.items():
+        many = [y for u, y in groups.items() for _ in range(by[u][b])]
+        k, total, grand = len(many), sum(map(len, many)), np.concatenate(many).mean()
+        within = sum(((y - y.mean()) ** 2).sum() for y in many) / (total - k)
+        between = (sum(len(y) * (y.mean() - grand) ** 2 for y in many) / (k - 1) - within) / (total / k)
+        assert (r.within, r.between) == pytest.approx((within, between))
+        assert r.icc == pytest.approx(max(between, 0) / (max(between, 0) + within))
+
+
+def test_splits_and_lists_of_draws_agree(spark):
+    """Intervals of the same differences from either kind of draws; what isn't drawn is equal."""
+    t = Tables(spark, DATA)
+    one, other = ({r.name: r for r in comparison.compare(t.predictions, comparison.PROTOCOLS["v1"], "lesion_id", 150, SEED, split=s).collect()} for s in (False, True))
+    assert set(one) == set(other)
+    wide = [abs(one[n].low - other[n].low) + abs(one[n].high - other[n].high) - 0.5 * (one[n].high - one[n].low) for n in one]
+    assert all(one[n].difference == pytest.approx(other[n].difference) and one[n].family == other[n].family for n in one) and max(wide) < 0
