@@ -57,7 +57,7 @@ def along(rows: DataFrame, group, order: list[str | Column], values: list[str],
     return rows.withColumns({f"w{c}": F.min(c).over(on) for c in values if c[0] == "l"})
 
 
-def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str | None = None, sums: dict[str, str | Column] | None = None, totals: dict[str, str | Column] | None = None, highest: dict[str, str | Column] | None = None, lowest_on: dict[str, str | Column] | None = None, parts: int | None = None) -> DataFrame:
+def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str | None = None, sums: dict[str, str | Column] | None = None, totals: dict[str, str | Column] | None = None, highest: dict[str, str | Column] | None = None, lowest_on: dict[str, str | Column] | None = None, parts: int | None = None, most: int | None = None) -> DataFrame:
     """``df`` with values taken along the order of each group, however large it is: a prefix scan over ranges.
 
     ``rank``: the row's number, from 1; ``sums``: of what comes up to the row; ``totals``: of the whole
@@ -65,7 +65,8 @@ def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str |
     that the order doesn't tell apart are taken in any order. Values are scanned within ranges; what
     the ranges before (or behind) hold of the same group is added. A range has one group at most that
     began before it and one that goes on behind it, so what is broadcast is two rows a range. Where no
-    group has more than ROWS rows, each is a window's; ``parts``: the number of ranges, whatever the sizes.
+    group has more than ROWS rows, each is a window's; ``parts``: the number of ranges, whatever the sizes;
+    ``most``: the rows of the largest group, where that is known.
     """
     sums, totals, highest, lowest_on = dict(sums or {}), totals or {}, highest or {}, lowest_on or {}
     if rank:
@@ -74,7 +75,9 @@ def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str |
     values = {f"{k}_{n}_": (F.col(v) if isinstance(v, str) else v) for k, named in kinds.items() for n, v in named.items()}
     fold = {"s": F.sum, "t": F.sum, "h": F.max, "l": F.min}
     named = [n for names in kinds.values() for n in names]
-    if not parts and (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_")).agg(F.max("n_")).first()[0] or 0) <= ROWS:
+    if not parts and most is None:
+        most = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_")).agg(F.max("n_")).first()[0] or 0
+    if not parts and most <= ROWS:
         rows = along(df.withColumns(values), Window.partitionBy(*by), order, list(values), fold)
         return rows.select(*[c for c in df.columns if c not in named], *[F.col(f"w{k}_{n}_").alias(n) for k, names in kinds.items() for n in names])
     rows = ranged(df.withColumns(values), by, order, parts)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import numbered
+from tessella.functions.frames import numbered, scanned, settled
 from tessella.operators.labels import refuse, require_empty
 from tessella.operators.metrics import spearman
 
@@ -135,13 +135,17 @@ def redundancy_pooled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def usefulness(df: DataFrame, columns: list[str], key: str, by: list[str], share: float) -> DataFrame:
     """For each column, the Jaccard similarity of the best shares of each class with and without it in the mean of min-max scores."""
-    over = Window.partitionBy(*by)
-    scaled = {c: F.coalesce((F.col(c) - F.min(c).over(over)) / F.nullif(F.max(c).over(over) - F.min(c).over(over), F.lit(0.0)), F.lit(0.0)) for c in columns}
-    rows = df.select(key, *by, *[v.alias(f"s_{c}") for c, v in scaled.items()])
+    ends = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))]
+    classes = settled(df.groupBy(*[F.col(b).alias(f"g{k}_") for k, b in enumerate(by)]).agg(F.count(F.lit(1)).alias("rows_"), *ends))  # a row a class
+    most = classes.agg(F.max("rows_")).first()[0] or 0
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"g{k}_")) for k, b in enumerate(by)], F.lit(True))
+    scaled = {c: F.coalesce((F.col(c) - F.col(f"low_{c}")) / F.nullif(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(0.0)), F.lit(0.0)) for c in columns}
+    rows = df.select(key, *by, *columns).join(classes, same).select(key, *by, "rows_", *[v.alias(f"s_{c}") for c, v in scaled.items()])
     total = sum(F.col(f"s_{c}") for c in columns)
     marks = {"all_": total / float(len(columns))} | {f"no_{c}": (total - F.col(f"s_{c}")) / float(max(1, len(columns) - 1)) for c in columns}
-    rows = rows.withColumns({k: F.round(v, 9) for k, v in marks.items()}).withColumn("n_", F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(over) * F.lit(share), 0)))
-    rows = rows.withColumns({f"in_{m}": F.row_number().over(over.orderBy(F.col(m).desc(), key)) <= F.col("n_") for m in marks})
+    rows = rows.withColumns({k: F.round(v, 9) for k, v in marks.items()}).withColumn("n_", F.greatest(F.lit(1), F.bround(F.col("rows_") * F.lit(share), 0)))
+    for m in marks:
+        rows = scanned(rows, by, [F.col(m).desc(), F.col(key)], rank="r_", most=most).withColumn(f"in_{m}", F.col("r_") <= F.col("n_"))
     got = rows.agg(*[F.coalesce(F.count_if(F.col("in_all_") & F.col(f"in_no_{c}")) / F.nullif(F.count_if(F.col("in_all_") | F.col(f"in_no_{c}")), F.lit(0)), F.lit(1.0)).alias(c) for c in columns])
     return got.select(F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).alias("jaccard")) for c in columns])).alias("e")).select("e.*")
 

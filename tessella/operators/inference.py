@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import numbered, scanned
@@ -80,7 +80,8 @@ def variance_components(df: DataFrame, groups: list[str], subset: str = "subset_
     """
     rows = df.where(F.col(value).isNotNull())
     if centre:
-        rows = rows.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*groups, *centre)))
+        rows = scanned(rows, [*groups, *centre], [F.col(subset)], totals={"s_": F.col(value).cast("double"), "c_": F.lit(1)})
+        rows = rows.withColumn(value, F.col(value) - F.col("s_") / F.col("c_"))
     cells = rows.groupBy(*groups, subset).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
     a = cells.groupBy(*groups).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("v")).alias("ssw"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), F.lit(2)) / F.sum("n")).alias("ssb"))
     a = a.withColumns({"ms_between": F.col("ssb") / F.nullif(F.col("k") - 1, F.lit(0)), "ms_within": F.col("ssw") / F.nullif(F.col("total") - F.col("k"), F.lit(0))})

@@ -32,11 +32,10 @@ def with_mid_rank(df: DataFrame, value: str, groups: Groups = (), name: str = "m
 def auroc(df: DataFrame, groups: Groups, score: str = "score", target: str = "target") -> DataFrame:
     """Mann-Whitney AUROC from counts at each distinct score.
 
-    Rows are first counted by score, so what is sorted is the distinct scores, not the rows.
+    Rows are first counted by score, so what is scanned is the distinct scores, not the rows; as many as there are.
     """
     rows = defined(df, score, target).groupBy(*groups, score).agg(F.sum((F.col(target) == 1).cast("double")).alias("p"), F.sum((F.col(target) != 1).cast("double")).alias("q"))
-    below = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("w", F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0.0)) + F.col("q") / 2))
+    rows = scanned(rows, list(groups), [F.col(score)], sums={"upto_": "q"}).withColumn("w", F.col("p") * (F.col("upto_") - F.col("q") / 2))
     return rows.groupBy(*groups).agg((F.sum("w") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0))).alias("auroc"))
 
 

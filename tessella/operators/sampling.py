@@ -337,8 +337,8 @@ def matched_draw(pool: DataFrame, labels: list[str], wanted: list[int], size: in
     counts = {tuple(r[:-1]): r[-1] for r in pool.groupBy(*labels).agg(F.count(F.lit(1))).collect()}  # a row a vector
     take = matched_counts(counts, wanted, size, single, multi, seed, swaps)
     plan = pool.sparkSession.createDataFrame([(*v, n) for v, n in take.items()], ", ".join(f"{x} int" for x in labels) + ", n_ int")
-    rank = F.row_number().over(Window.partitionBy(*labels).orderBy(seeded(seed, key), key))
-    return pool.join(F.broadcast(plan), labels).withColumn("r_", rank).where(F.col("r_") <= F.col("n_")).select(key, *labels)
+    rows = scanned(pool.join(F.broadcast(plan), labels), labels, [seeded(seed, key), F.col(key)], rank="r_", most=max(counts.values(), default=0))
+    return rows.where(F.col("r_") <= F.col("n_")).select(key, *labels)
 
 
 def draw_residuals(drawn: DataFrame, labels: list[str], wanted: list[int], tolerance: float) -> DataFrame:

@@ -37,13 +37,6 @@ def apply_features(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataF
     return rows.withColumns({c: (F.coalesce(finite(c), F.col(f"{c}_median")) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in columns}).drop(*stats.columns)
 
 
-def min_max(value: str, by: list[str] = (), constant: float = 0.5) -> Column:
-    """Min-max over the table (or group); a constant column gives ``constant``."""
-    over = Window.partitionBy(*by)
-    low, high = F.min(value).over(over), F.max(value).over(over)
-    return F.coalesce((F.col(value) - low) / F.nullif(high - low, F.lit(0.0)), F.when(F.col(value).isNotNull(), F.lit(constant)))
-
-
 def normalised(df: DataFrame, value: str, by: list[str] = (), constant: float = 0.5) -> DataFrame:
     """``df`` with normalised and degenerate, from the extremes joined back as one row a group."""
     ends = df.groupBy(*by).agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
@@ -97,9 +90,11 @@ def class_floor(df: DataFrame, p: float, score: str = "score", by: str = "dx") -
 
 
 def top_k(df: DataFrame, k: Column | int, score: str = "score", by: str | list[str] = "dx", key: str = "image_id") -> DataFrame:
-    """The k best of each class by score, then key; k may be a column."""
-    over = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.col(score).desc_nulls_last(), key)
-    return df.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= (F.lit(k) if isinstance(k, int) else k))
+    """The k best of each class by score, then key; k may be a column (Spark cuts classes before it shuffles them only for a number, so ranks are scanned then)."""
+    by, order = [by] if isinstance(by, str) else list(by), [F.col(score).desc_nulls_last(), F.col(key)]
+    if isinstance(k, int):
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+    return scanned(df, by, order, rank="rank").withColumn("rank", F.col("rank").cast("int")).where(F.col("rank") <= k)
 
 
 def top_share(df: DataFrame, share: float, score: str = "score", by: str = "dx", key: str = "image_id") -> DataFrame:
@@ -197,8 +192,8 @@ def select_filled(pool: DataFrame, flags: DataFrame, counts: DataFrame, floor: f
 
 def random_matched(pool: DataFrame, targets: DataFrame, seed: int, by: str = "dx", key: str = "image_id") -> DataFrame:
     """As many rows of each class as ``targets`` says, without replacement, in seeded hash order."""
-    over = Window.partitionBy(by).orderBy(seeded(seed, key), key)
-    return pool.join(targets.select(by, "target"), by).withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= F.col("target"))
+    rows = scanned(pool.join(targets.select(by, "target"), by), [by], [seeded(seed, key), F.col(key)], rank="rank")
+    return rows.withColumn("rank", F.col("rank").cast("int")).where(F.col("rank") <= F.col("target"))
 
 
 def select_with_reasons(pool: DataFrame, flags: DataFrame, floor: float = 0.25, quota: int = 40, bonus: float = 0.05) -> DataFrame:

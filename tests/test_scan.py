@@ -3,12 +3,16 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import frames
 from tessella.functions.frames import ranged, scanned
-from tessella.operators import inference, metrics
+from tessella.operators import inference, metrics, sampling
+from tessella.plans import ORACLES, QUERIES
+from tessella.plans.registry import TABLES
+from test_oracles import DATA, rows
 
 
 def rows_of(seed, n, hot=0.9):
@@ -56,3 +60,35 @@ def test_empty_tables_and_ties(spark):
     df = spark.createDataFrame([(i, "a", 1.0 if i < 6 else 2.0) for i in range(8)], "id long, g string, x double")
     assert sorted(r.mid_rank for r in metrics.with_mid_rank(df, "x", ["g"]).collect()) == [3.5] * 6 + [7.5] * 2
     assert sorted(r.r for r in scanned(df, [], [F.col("x")], rank="r").collect()) == list(range(1, 9))
+
+
+SCANNED = ["st1_auroc", "st17_auroc_estimates", "wn1_top_k_per_class", "wn4_top_share", "se18_random_matched", "se18_select_filled", "gt8_usefulness"]
+
+
+@pytest.mark.parametrize("name", SCANNED)
+def test_queries_give_the_same_by_ranges(spark, monkeypatch, name):
+    """No group fits a task, so all are scanned over ranges; the oracle's rows all the same."""
+    monkeypatch.setattr(frames, "ROWS", 5)
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    df = QUERIES[name](spark, DATA)
+    want = duck.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert rows([tuple(r) for r in df.collect()], df.columns) == rows(want.fetchall(), names)
+
+
+def test_draws_and_centring_by_ranges(spark, monkeypatch):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.choice("ab"), rng.choice((None, 1, 2)), k % 40, float(rng.randint(0, 9))) for k in range(400)], "metric string, size int, subset_id int, y double")
+    pool = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(300)], "group_id int, p int, q int")
+
+    def both():
+        parts = {r.metric: tuple(r)[1:] for r in inference.variance_components(df, ["metric"], centre=["size"]).collect()}
+        return parts, sorted(tuple(r) for r in sampling.matched_draw(pool, ["p", "q"], [40, 30], 80, 0.3, 0.5).collect())
+
+    (parts, drawn), _ = both(), monkeypatch.setattr(frames, "ROWS", 5)
+    other, again = both()
+    assert drawn == again and len(drawn) == 80
+    for m, x in parts.items():
+        assert other[m] == pytest.approx(x)
