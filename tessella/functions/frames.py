@@ -48,6 +48,11 @@ def ranged(df: DataFrame, by: list[str], order: list[str | Column], parts: int |
 ROWS = 1 << 20
 
 
+def largest(df: DataFrame, by: list[str]) -> int:
+    """The rows of the largest group."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_")).agg(F.max("n_")).first()[0] or 0
+
+
 def along(rows: DataFrame, group, order: list[str | Column], values: list[str], fold: dict) -> DataFrame:
     """Values folded along a window's order (``scanned``'s names): of the whole, up to the row, or from it on."""
     upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -66,7 +71,7 @@ def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str |
     the ranges before (or behind) hold of the same group is added. A range has one group at most that
     began before it and one that goes on behind it, so what is broadcast is two rows a range. Where no
     group has more than ROWS rows, each is a window's; ``parts``: the number of ranges, whatever the sizes;
-    ``most``: the rows of the largest group, where that is known.
+    ``most``: a bound on the rows of a group, where one is known, so that ``df`` isn't computed to count them.
     """
     sums, totals, highest, lowest_on = dict(sums or {}), totals or {}, highest or {}, lowest_on or {}
     if rank:
@@ -76,7 +81,7 @@ def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str |
     fold = {"s": F.sum, "t": F.sum, "h": F.max, "l": F.min}
     named = [n for names in kinds.values() for n in names]
     if not parts and most is None:
-        most = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_")).agg(F.max("n_")).first()[0] or 0
+        most = largest(df, by)
     if not parts and most <= ROWS:
         rows = along(df.withColumns(values), Window.partitionBy(*by), order, list(values), fold)
         return rows.select(*[c for c in df.columns if c not in named], *[F.col(f"w{k}_{n}_").alias(n) for k, names in kinds.items() for n in names])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import scanned, settled
+from tessella.functions.frames import largest, scanned, settled
 from tessella.operators import resampling
 from tessella.operators.inference import benjamini_hochberg, draws, holm, repeats_needed
 from tessella.operators.labels import require_empty
@@ -91,10 +91,10 @@ def resampled_auroc(predictions: DataFrame, unit: str, probabilities: list[str],
     weights = draws(predictions.select(F.col(unit).alias("unit")), replicates, seed)
     key = ["condition", "seed", "k", "s"]
     drawn = weights.join(cells, "unit").select("b", *key, (F.col("p") * F.col("weight")).alias("p"), (F.col("n") * F.col("weight")).alias("n"))
-    summed = settled(drawn.unionByName(cells.select(F.lit(0).alias("b"), *key, "p", "n")).groupBy("b", *key).agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
+    summed = drawn.unionByName(cells.select(F.lit(0).alias("b"), *key, "p", "n")).groupBy("b", *key).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     by = ["b", "condition", "seed", "k"]
     below = F.col("upto_") - F.col("n")
-    each = scanned(summed, by, [F.col("s")], sums={"upto_": "n"}).withColumn("below", below).groupBy(*by).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
+    each = scanned(summed, by, [F.col("s")], sums={"upto_": "n"}, most=largest(predictions, ["condition", "seed"])).withColumn("below", below).groupBy(*by).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
     means = each.groupBy("b", "condition", "seed").agg(F.avg("auroc").alias("value")).groupBy("b", "condition").agg(F.avg("value").alias("value"))
     return settled(means.select("b", "condition", F.lit("macro_auroc").alias("metric"), "value"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import quantile_row, quantiles, scanned
+from tessella.functions.frames import largest, quantile_row, quantiles, scanned
 from tessella.functions.hashing import seeded
 from tessella.operators.labels import require_empty
 
@@ -89,12 +89,12 @@ def class_floor(df: DataFrame, p: float, score: str = "score", by: str = "dx") -
     return df.join(quantiles(df, score, [p], [by]).select(by, F.col("v").alias("floor")), by).where(F.col(score) >= F.col("floor"))
 
 
-def top_k(df: DataFrame, k: Column | int, score: str = "score", by: str | list[str] = "dx", key: str = "image_id") -> DataFrame:
-    """The k best of each class by score, then key; k may be a column (Spark cuts classes before it shuffles them only for a number, so ranks are scanned then)."""
+def top_k(df: DataFrame, k: Column | int, score: str = "score", by: str | list[str] = "dx", key: str = "image_id", most: int | None = None) -> DataFrame:
+    """The k best of each class by score, then key; k may be a column (Spark cuts classes before it shuffles them only for a number, so ranks are scanned then; ``most`` as there)."""
     by, order = [by] if isinstance(by, str) else list(by), [F.col(score).desc_nulls_last(), F.col(key)]
     if isinstance(k, int):
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
-    return scanned(df, by, order, rank="rank").withColumn("rank", F.col("rank").cast("int")).where(F.col("rank") <= k)
+    return scanned(df, by, order, rank="rank", most=most).withColumn("rank", F.col("rank").cast("int")).where(F.col("rank") <= k)
 
 
 def top_share(df: DataFrame, share: float, score: str = "score", by: str = "dx", key: str = "image_id") -> DataFrame:
@@ -149,9 +149,9 @@ def threshold_search(df: DataFrame, targets: DataFrame, weight: float = 0.5, ste
     return best.select(by, (F.col("b.k") / float(steps)).alias("threshold"), F.col("b.kept").alias("kept"), F.col("b.objective").alias("objective"))
 
 
-def keep_at_least(df: DataFrame, cuts: DataFrame, least: int, score: str = "score", by: str = "dx", key: str = "image_id") -> DataFrame:
+def keep_at_least(df: DataFrame, cuts: DataFrame, least: int, score: str = "score", by: str = "dx", key: str = "image_id", most: int | None = None) -> DataFrame:
     """Cuts lowered where they must be to admit the ``least``-th best of the class (or its last, if it has fewer)."""
-    rows = scanned(df, [by], [F.col(score).desc(), F.col(key)], rank="r_", totals={"n_": F.lit(1)})
+    rows = scanned(df, [by], [F.col(score).desc(), F.col(key)], rank="r_", totals={"n_": F.lit(1)}, most=most)
     best = rows.groupBy(by).agg(F.max(F.when(F.col("r_") == F.least(F.lit(least), F.col("n_")), F.col(score))).alias("admit_"))
     return cuts.join(best, by, "left").withColumn("threshold", F.coalesce(F.least("threshold", "admit_"), F.col("threshold"))).drop("admit_")
 
@@ -178,21 +178,22 @@ def select_adaptive(pool: DataFrame, flags: DataFrame, counts: DataFrame, floor:
     scaled = normalised(safe, "score").drop("degenerate")
     above = pooled_floor(scaled, floor, "normalised").drop("floor")
     targets = ratio_targets(counts, ratio, least_target, most_target)
-    cuts = keep_at_least(above, threshold_search(above, targets, weight, score="normalised"), least_kept, "normalised")
+    most = largest(pool, ["dx"])
+    cuts = keep_at_least(above, threshold_search(above, targets, weight, score="normalised"), least_kept, "normalised", most=most)
     chosen = above_cut(above, cuts, "normalised").join(targets.select("dx", "target"), "dx")
-    return top_k(chosen, F.col("target") if cap is None else F.least(F.col("target"), F.lit(cap)), "normalised").drop("target")
+    return top_k(chosen, F.col("target") if cap is None else F.least(F.col("target"), F.lit(cap)), "normalised", most=most).drop("target")
 
 
 def select_filled(pool: DataFrame, flags: DataFrame, counts: DataFrame, floor: float = 0.25, up_to: int = 300) -> DataFrame:
     """The second policy: safety, floor of the own class, the best up to what the class lacks."""
     safe = fail_closed(pool, flags).where("not unsafe").drop("unsafe", "reason")
     rows = class_floor(safe, floor).join(fill_targets(counts, up_to).select("dx", "target"), "dx")
-    return top_k(rows, F.col("target"))
+    return top_k(rows, F.col("target"), most=largest(pool, ["dx"]))
 
 
 def random_matched(pool: DataFrame, targets: DataFrame, seed: int, by: str = "dx", key: str = "image_id") -> DataFrame:
     """As many rows of each class as ``targets`` says, without replacement, in seeded hash order."""
-    rows = scanned(pool.join(targets.select(by, "target"), by), [by], [seeded(seed, key), F.col(key)], rank="rank")
+    rows = scanned(pool.join(targets.select(by, "target"), by), [by], [seeded(seed, key), F.col(key)], rank="rank", most=largest(pool, [by]))
     return rows.withColumn("rank", F.col("rank").cast("int")).where(F.col("rank") <= F.col("target"))
 
 
