@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.frames import settled
 from tessella.operators import pivots
+from tessella.sources import io
 
 EPSILON = 1e-8
 
@@ -224,20 +225,35 @@ def duplicate_edges(df: DataFrame, key: str, by: str, vector: str, limit: float)
 def clusters(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """Single-linkage clusters of two or more: (node, cluster), the cluster named by its least node.
 
-    Labels are passed along edges and along labels (each node takes its label's label), so rounds
-    grow with the logarithm of the diameter; each round is checkpointed.
+    Large-star and small-star steps (Kiveris and others, 2014) hang neighbours on smaller ones until
+    nothing changes. Rounds are kept as Parquet, not as checkpoints: these inherit their plan's estimated
+    size, which the joins multiply, so that its digits grew fourfold a round until the driver had no memory.
     """
-    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
-    for _ in range(most_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        of = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = settled(step.join(of, "new").select("node", F.least("new", "far").alias("label"), "old"))
-        changed = step.where("label <> old").limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("cluster"))
+    spark = edges.sparkSession
+    folder = io.scratch(spark, "clusters")
+
+    def kept(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{folder}/{k}")
+        io.delete(spark, f"{folder}/{k - 1}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{k}")
+
+    try:
+        now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0)
+        state = None
+        for k in range(1, most_rounds + 1):
+            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+            now = kept(small.where("a <> b").distinct(), k)
+            seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if seen == state:
+                heads = now.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct()
+                return settled(now.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(heads))
+            state = seen
+    finally:
+        io.delete(spark, folder)
     raise RuntimeError("clusters did not settle")
 
 

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tessella.functions import text
 from tessella.operators import gate, inference, labels, metrics, sampling, select, signals, vectors
@@ -175,6 +177,22 @@ def test_clusters(spark):
     assert {r.node: r.cluster for r in vectors.clusters(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
 
 
+def test_clusters_of_a_chain_keep_plans_small(spark, monkeypatch):
+    """A chain of shuffled names takes many rounds; no table of a round carries an estimate that grows by the rounds before."""
+    names = [(k * 389) % 1009 for k in range(1, 1009)]
+    digits, write, checkpoint = [], DataFrameWriter.parquet, DataFrame.checkpoint
+
+    def seen(df):
+        digits.append(len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen(self._df), write(self, path))[1])
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self: (seen(self), checkpoint(self))[1])
+    edges = frame(spark, list(zip(names, names[1:], strict=False)), "a long, b long")
+    got = {r.node: r.cluster for r in vectors.clusters(edges).collect()}
+    assert got == {k: 1 for k in range(1, 1009)}
+    assert len(digits) > 4 and max(digits) < 300
+
+
 def test_frechet_of_the_same_is_zero(spark):
     df = frame(spark, [([float(i), float(i * i % 7)],) for i in range(20)], "v array<double>")
     assert vectors.frechet(df, df, "v") == pytest.approx(0, abs=1e-6)
