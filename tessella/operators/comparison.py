@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.frames import largest, scanned, settled
 from tessella.operators import resampling
-from tessella.operators.inference import benjamini_hochberg, draws, holm, repeats_needed
+from tessella.operators.inference import benjamini_hochberg, drawn_by_unit, draws, holm, repeats_needed
 from tessella.operators.labels import require_empty
 
 PRIMARY = "balanced_accuracy"
@@ -77,22 +80,77 @@ def resampled(predictions: DataFrame, unit: str, replicates: int, seed: int, spl
     return settled(confusion_metrics(summed, key).groupBy("b", "condition", "metric").agg(F.avg("value").alias("value")))
 
 
+#: Distinct (run, class, score) that a task adds up weights for before it gives them on.
+HELD = 1 << 15
+#: Rows whose weights it adds up at once.
+AT_ONCE = 1 << 16
+
+
 def resampled_auroc(predictions: DataFrame, unit: str, probabilities: list[str], replicates: int, seed: int) -> DataFrame:
     """The same for the macro one-vs-rest AUROC, from one probability column a class: (b, condition, metric, value).
 
-    Rows are counted by unit and score before they meet the draws, and by score behind them, so
-    distinct scores are what is sorted. Classes without rows on both sides of a resample are left
-    out of its mean.
+    A unit's draws meet its rows as one list, and tasks add up the weights of all replicates by score
+    before anything is dealt out again: neither rows by replicates nor rows by classes are shuffled,
+    and distinct scores are what is sorted. Classes without rows on both sides of a resample are left
+    out of its mean. Null scores are the lowest.
     """
-    score = F.posexplode(F.array(*[F.col(c).cast("double") for c in probabilities])).alias("k", "s")
-    rows = predictions.select(F.col(unit).alias("unit"), "condition", "seed", "true_class", score)
-    mine = F.col("true_class") == F.col("k")
-    cells = rows.groupBy("unit", "condition", "seed", "k", "s").agg(F.count_if(mine).alias("p"), F.count_if(~mine).alias("n"))
-    weights = draws(predictions.select(F.col(unit).alias("unit")), replicates, seed)
-    key = ["condition", "seed", "k", "s"]
-    drawn = weights.join(cells, "unit").select("b", *key, (F.col("p") * F.col("weight")).alias("p"), (F.col("n") * F.col("weight")).alias("n"))
-    summed = drawn.unionByName(cells.select(F.lit(0).alias("b"), *key, "p", "n")).groupBy("b", *key).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    kinds = {f.name: f.dataType.simpleString() for f in predictions.schema}
+    scores = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) for c in probabilities])
+    rows = predictions.where("true_class is not null").select(F.col(unit).alias("unit"), "condition", "seed", "true_class", scores.alias("s"))
+    rows = rows.join(drawn_by_unit(predictions.select(F.col(unit).alias("unit")), replicates, seed), "unit", "left").select("condition", "seed", "true_class", "s", "drawn")
+
+    names, width = ["b", "condition", "seed", "k", "s", "p", "n"], replicates + 1
+
+    def given(held: dict, of: pa.Schema) -> pa.RecordBatch:
+        """A row for each weight that isn't zero."""
+        keys, sums = list(held), np.array(list(held.values()))
+        at, b = (sums != 0).nonzero()
+        parts, w = [pa.array(x).take(pa.array(at)) for x in zip(*keys, strict=True)], sums[at, b]
+        y = parts[4].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), parts[0].cast(of.field("condition").type), parts[1].cast(of.field("seed").type), parts[2].cast(pa.int32()), parts[3], pa.array(w * y), pa.array(w * (1 - y))], names=names)
+
+    def add(held: dict, rows: pa.Table) -> None:
+        n, lists = len(rows), rows["drawn"].combine_chunks()
+        sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        at = np.repeat(np.arange(n), sizes) * width + lists.flatten().to_numpy()
+        weight = np.bincount(at, minlength=n * width).reshape(n, width)
+        weight[:, 0] = 1  # the rows as they are
+        s = rows["s"].combine_chunks().flatten().to_numpy().reshape(n, len(probabilities))
+        truth, condition, of_seed = (rows[c].combine_chunks() for c in ("true_class", "condition", "seed"))
+        truth, (runs, which) = truth.to_numpy(zero_copy_only=False), (x.dictionary_encode(null_encoding="encode") for x in (condition, of_seed))
+        runs = runs.indices.to_numpy().astype(np.int64) * (len(which.dictionary) + 1) + which.indices.to_numpy()
+        for k in range(s.shape[1]):
+            y = (truth == k).astype(np.int64)
+            order = np.lexsort((y, s[:, k], runs))
+            a, b, c = runs[order], s[order, k], y[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+            ids = order[first]
+            keys = zip(condition.take(pa.array(ids)).to_pylist(), of_seed.take(pa.array(ids)).to_pylist(), [k] * len(ids), s[ids, k].tolist(), y[ids].tolist(), strict=True)
+            for key, total in zip(keys, np.add.reduceat(weight[order], first, axis=0), strict=True):
+                if key in held:
+                    held[key] += total
+                else:
+                    held[key] = total.copy()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= AT_ONCE:
+                add(held, pa.Table.from_batches(waiting))
+                waiting = []
+            if len(held) > HELD:
+                yield given(held, batch.schema)
+                held = {}
+        if sum(map(len, waiting)):
+            add(held, pa.Table.from_batches(waiting))
+        if held:
+            yield given(held, batch.schema)
+
+    drawn = rows.mapInArrow(weigh, f"b int, condition {kinds['condition']}, seed {kinds['seed']}, k int, s double, p long, n long")
     by = ["b", "condition", "seed", "k"]
+    summed = drawn.groupBy(*by, "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     below = F.col("upto_") - F.col("n")
     each = scanned(summed, by, [F.col("s")], sums={"upto_": "n"}, most=largest(predictions, ["condition", "seed"])).withColumn("below", below).groupBy(*by).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
     means = each.groupBy("b", "condition", "seed").agg(F.avg("auroc").alias("value")).groupBy("b", "condition").agg(F.avg("value").alias("value"))

@@ -23,6 +23,14 @@ def draws(groups: DataFrame, replicates: int, seed: int = 0, unit: str = "unit")
     return taken.join(units, "at").select("b", unit, "weight")
 
 
+def drawn_by_unit(groups: DataFrame, replicates: int, seed: int = 0, unit: str = "unit") -> DataFrame:
+    """The draws of ``draws`` with a row a unit: (unit, drawn), the replicates that draw it, as often as they do; none of a unit that isn't drawn."""
+    units = numbered(groups.select(unit).distinct(), [F.col(unit)], "at")
+    n = units.count()
+    grid = groups.sparkSession.range(replicates * n).select((F.floor(F.col("id") / F.lit(max(n, 1))) + 1).cast("int").alias("b"), (F.col("id") % max(n, 1) + 1).alias("k"))
+    return grid.groupBy((seeded_int(seed, "b", "k") % n).alias("at")).agg(F.collect_list("b").alias("drawn")).join(units, "at").select(unit, "drawn")
+
+
 def bootstrap_rate(df: DataFrame, unit: str, value: str, groups: list[str], replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Mean of ``value`` by group with a percentile interval from resampled units.
 
