@@ -101,6 +101,10 @@ def scanned(df: DataFrame, by: list[str], order: list[str | Column], rank: str |
     return rows.select(*[c for c in df.columns if c not in named], *out)
 
 
+#: Rows (group and quantile) that are broadcast to find quantiles.
+FEW = 100_000
+
+
 def quantiles(df: DataFrame, value: str | Column, qs: list[float], by: list[str] = (), accuracy: int = 10_000) -> DataFrame:
     """Exact linear quantiles: (*by, q, v); no row for a group without values, one with a null for no rows without ``by``.
 
@@ -114,7 +118,11 @@ def quantiles(df: DataFrame, value: str | Column, qs: list[float], by: list[str]
     ends = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), approx(-near).alias("low"), approx(near).alias("high"))
     zipped = F.explode(F.arrays_zip("low", "high", F.array(*[F.lit(float(q)) for q in qs]).alias("q")))
     ends = ends.select(*by, "n", zipped.alias("z")).select(*by, "n", "z.low", "z.high", "z.q")
-    met = rows.join(ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))  # a row a quantile
+    if by:  # few groups are broadcast, so that a group's rows don't meet in a task
+        ends = settled(ends)
+        met = rows.join(F.broadcast(ends) if ends.count() <= FEW else ends, list(by))
+    else:
+        met = rows.crossJoin(F.broadcast(ends))  # a row a quantile
     side = F.when(F.col("v") < F.col("low"), 0).when(F.col("v") <= F.col("high"), 1).otherwise(2)
     met = met.groupBy(*by, "q", "n", side.alias("side"), F.when(side == 1, F.col("v")).alias("x")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
     upto = Window.partitionBy(*by, "q").orderBy("side", "x")

@@ -26,7 +26,7 @@ def fit_features(df: DataFrame, columns: list[str]) -> DataFrame:
     medians = quantile_row(df, {f"{c}_median": (finite(c), 0.5) for c in columns})
     medians = medians.select(*[F.coalesce(m, F.lit(0.0)).alias(m) for m in medians.columns])
     filled = df.crossJoin(F.broadcast(medians)).select(*[F.coalesce(finite(c), F.col(f"{c}_median")).alias(c) for c in columns])  # one row
-    moments = filled.agg(*[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0).alias(f"{c}_std") for c in columns])
+    moments = filled.agg(*[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.when(F.min(c) < F.max(c), F.stddev_pop(c)).otherwise(1.0).alias(f"{c}_std") for c in columns])
     return medians.crossJoin(F.broadcast(moments))
 
 

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.operators import comparison, inference
+from tessella.functions import frames
+from tessella.operators import comparison, inference, select
 
 
 def test_auroc_of_resamples_lists_no_draws_by_rows(spark, monkeypatch):
@@ -25,3 +27,20 @@ def test_auroc_of_resamples_lists_no_draws_by_rows(spark, monkeypatch):
             pairs = np.outer(w * y, w * ~y)
             each.append((pairs * ((s[:, None] > s) + (s[:, None] == s) / 2)).sum() / pairs.sum())
         assert value == pytest.approx(np.mean(each), abs=1e-9)
+
+
+def test_rows_of_a_column_do_not_meet_in_a_task(spark):
+    """Quantiles by few groups: the groups' bounds are broadcast, rows aren't dealt out by group."""
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = frames.quantiles(df, "v", [0.25, 0.5], ["g"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_no_spread_is_one_however_tasks_add_up(spark):
+    for value in (0.1, 0.7, 1.1, 49.3):
+        df = spark.range(0, 100_003, 1, 11).select(F.lit(value).alias("flat"))
+        assert select.fit_features(df, ["flat"]).first().flat_std == 1.0
