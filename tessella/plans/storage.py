@@ -332,10 +332,17 @@ def pf17(t: Tables):
     return through(t, "pf17", work)
 
 
+#: Files that a task makes.
+FILES = 256
+
+
 @register("pf23_rows_with_files", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0")
 def pf23(t: Tables):
     def work(path: str):
-        t.supplier.where("s_suppkey % 3 = 0").select(F.concat(F.lit("img"), F.col("s_suppkey").cast("string")).alias("name"), "s_name").repartition(1).write.partitionBy("name").parquet(f"{path}/t")
+        held = t.supplier.where("s_suppkey % 3 = 0").select(F.concat(F.lit("img"), F.col("s_suppkey").cast("string")).alias("name"), "s_name")
+        # each file is made by one task, and moved to its place by it (version 2), not by the driver
+        held = held.repartition(-(-held.count() // FILES) or 1, "name")
+        held.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("name").parquet(f"{path}/t")
         files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/t").select(F.regexp_extract("path", r"/name=([^/]+)/", 1).alias("name"))
         return labels.known_files(t.supplier.withColumn("file", F.concat(F.lit("img"), F.col("s_suppkey").cast("string"))), files, "file").select("s_suppkey")
 

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessella.functions import frames
 from tessella.operators import comparison, inference, select
+from tessella.plans import QUERIES
 
 
 def test_auroc_of_resamples_lists_no_draws_by_rows(spark, monkeypatch):
@@ -44,3 +46,10 @@ def test_no_spread_is_one_however_tasks_add_up(spark):
     for value in (0.1, 0.7, 1.1, 49.3):
         df = spark.range(0, 100_003, 1, 11).select(F.lit(value).alias("flat"))
         assert select.fit_features(df, ["flat"]).first().flat_std == 1.0
+
+
+def test_files_are_made_by_many_tasks(spark, monkeypatch):
+    parts, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (parts.append(self._df.rdd.getNumPartitions()), write(self, path))[1])
+    assert QUERIES["pf23_rows_with_files"](spark, "/root/testdata/sf0.1").count() == 334
+    assert parts == [2]
