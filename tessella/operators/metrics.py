@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.frames import scanned
+from tessella.functions.frames import ranged, scanned
 
 Groups = list[str]
 
@@ -171,19 +173,66 @@ def youden(df: DataFrame, groups: Groups, steps: int = 19, score: str = "score",
     return rows.groupBy(*groups).agg(F.coalesce(F.max_by("k", F.when(F.col("j").isNotNull(), F.struct(F.round("j", 12), -F.col("k")))) / (steps + 1.0), F.lit(0.5)).alias("threshold"), F.round(F.max("j"), 12).alias("j"))
 
 
+#: Distinct predictions of a group up to which pairs are counted in tasks; rows that are counted at once.
+FEW_PREDICTIONS, AT_ONCE = 512, 4096
+
+
+def counted(frame: pd.DataFrame, m: str, out: list[str]) -> pd.DataFrame:
+    """Numbers of pairs by prediction (pa of the greater, pb of the lesser ``m``) from rows (pa, m, n) of one group."""
+    frame = frame.sort_values(m, kind="stable")
+    code, known = pd.factorize(frame["pa"], use_na_sentinel=False)
+    n, value, size = frame["n"].to_numpy(dtype=np.int64), frame[m].to_numpy(), len(known)
+    first = np.searchsorted(value, value)  # rows before it are lower
+    pairs, before, at = np.zeros((size, size), dtype=np.int64), np.zeros(size, dtype=np.int64), 0
+    while at < len(n):
+        end = min(len(n), at + AT_ONCE)
+        end = len(n) if end == len(n) else max(int(first[end]), int(np.searchsorted(value, value[at], side="right")))  # equal values stay together
+        own = np.zeros((end - at + 1, size), dtype=np.int64)
+        own[np.arange(1, end - at + 1), code[at:end]] = n[at:end]
+        lower = own.cumsum(axis=0)[first[at:end] - at] + before
+        order = np.argsort(code[at:end], kind="stable")
+        some, start = np.unique(code[at:end][order], return_index=True)
+        pairs[some] += np.add.reduceat((lower * n[at:end, None])[order], start, axis=0)
+        before += own.sum(axis=0)
+        at = end
+    x, y = pairs.nonzero()
+    named = np.asarray(known, dtype=object)
+    return frame.iloc[:1][out].loc[lambda f: f.index.repeat(len(x))].assign(pa=named[x], pb=named[y], n=pairs[x, y]) if len(x) else frame.iloc[:0][out].assign(pa=[], pb=[], n=[])
+
+
+def pairs_by_prediction(rows: DataFrame, groups: Groups) -> DataFrame:
+    """Numbers of pairs (*groups, pa, pb, n) of rows (*groups, pa, m, n) with few predictions, a range of ``m`` at a time.
+
+    Pairs inside a range are counted there; for those across, a range counts as one value, with a row a prediction.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in groups], f"pa {kinds['pa']}", f"pb {kinds['pa']}", "n long"])
+    dealt = ranged(rows, groups, [F.col("m")])
+    inside = dealt.groupBy(*groups, "part_").applyInPandas(lambda f: counted(f, "m", groups), schema)
+    held = dealt.groupBy(*groups, "part_", "pa").agg(F.sum("n").alias("n"))
+    return inside.unionByName(held.groupBy(*groups).applyInPandas(lambda f: counted(f, "part_", groups), schema))
+
+
 def pairwise_ranking_accuracy(df: DataFrame, groups: Groups, predicted: str, measured: str, key: str) -> DataFrame:
     """Share of pairs with different measured values that the prediction orders alike; ties of the prediction count as wrong.
 
-    Pairs are counted, not made: each row meets the distinct predictions of its group, and a running
-    count by measured value says how many rows with that prediction lie below it. ``key`` is unique in
+    Pairs are counted, not made: tasks count them by range of the measured value where groups have few distinct
+    predictions; else each row meets the distinct predictions of its group, and a running count by
+    measured value says how many rows with that prediction lie below it. ``key`` is unique in
     a group; rows without it or without a measured value are in no pair.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(measured).isNotNull()).groupBy(*groups, F.col(predicted).alias("pa"), F.col(measured).alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    cells = rows.join(rows.select(*groups, F.col("pa").alias("pb")).distinct(), groups)
-    own = F.when(F.col("pa").eqNullSafe(F.col("pb")), F.col("n")).otherwise(0)
-    below = Window.partitionBy(*groups, "pb").orderBy("m").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    under = F.sum(own).over(below) - F.sum(own).over(Window.partitionBy(*groups, "pb", "m"))
-    pairs = cells.withColumn("n", F.col("n") * under).groupBy(*groups, "pa", "pb").agg(F.sum("n").alias("n")).where("n > 0")
+    rows = rows.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in groups], F.lit(True)))
+    known = rows.select(*groups, "pa").distinct().groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.max(F.isnan(F.col("pa").cast("double"))).alias("nan"))
+    most = known.agg(F.max("n").alias("n"), F.max("nan").alias("nan")).first()
+    if (most.n or 0) <= FEW_PREDICTIONS and not most.nan:  # pandas takes NaN for null
+        pairs = pairs_by_prediction(rows, groups).groupBy(*groups, "pa", "pb").agg(F.sum("n").alias("n"))
+    else:
+        cells = rows.join(rows.select(*groups, F.col("pa").alias("pb")).distinct(), groups)
+        own = F.when(F.col("pa").eqNullSafe(F.col("pb")), F.col("n")).otherwise(0)
+        below = Window.partitionBy(*groups, "pb").orderBy("m").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        under = F.sum(own).over(below) - F.sum(own).over(Window.partitionBy(*groups, "pb", "m"))
+        pairs = cells.withColumn("n", F.col("n") * under).groupBy(*groups, "pa", "pb").agg(F.sum("n").alias("n")).where("n > 0")
     # pa belongs to the greater measured value of the pair
     right = (F.col("pa") > F.col("pb")).cast("double")
     loss = F.log1p(F.exp(F.col("pb") - F.col("pa")))

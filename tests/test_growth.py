@@ -6,7 +6,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessella.functions import frames
-from tessella.operators import comparison, inference, select
+from tessella.operators import comparison, inference, metrics, select
 from tessella.plans import QUERIES
 
 
@@ -53,3 +53,15 @@ def test_files_are_made_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (parts.append(self._df.rdd.getNumPartitions()), write(self, path))[1])
     assert QUERIES["pf23_rows_with_files"](spark, "/root/testdata/sf0.1").count() == 334
     assert parts == [2]
+
+
+def test_pairs_are_counted_without_a_row_a_prediction(spark, monkeypatch):
+    """Few predictions: the same as with many, small steps and ranges, and no join of rows with predictions."""
+    df = spark.range(0, 400, 1, 4).select(F.col("id").alias("k"), F.lit(1).alias("g"), F.when(F.col("id") % 19 != 0, F.col("id") * 7 % 11 / 10).alias("p"), (F.col("id") * 13 % 37).cast("double").alias("m"))
+    monkeypatch.setattr(metrics, "AT_ONCE", 16)
+    got = metrics.pairwise_ranking_accuracy(df, ["g"], "p", "m", "k")
+    assert "Join" not in got._jdf.queryExecution().analyzed().toString()
+    few = got.first()
+    monkeypatch.setattr(metrics, "FEW_PREDICTIONS", 0)
+    many = metrics.pairwise_ranking_accuracy(df, ["g"], "p", "m", "k").first()
+    assert few.n_pairs == many.n_pairs > 0 and (few.accuracy, few.logistic_loss) == pytest.approx((many.accuracy, many.logistic_loss), abs=1e-12)
