@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import frames
 from tessella.operators import comparison, inference, metrics, select
-from tessella.plans import QUERIES
+from tessella.plans import QUERIES, evaluation
 
 
 def test_auroc_of_resamples_lists_no_draws_by_rows(spark, monkeypatch):
@@ -65,3 +65,11 @@ def test_pairs_are_counted_without_a_row_a_prediction(spark, monkeypatch):
     monkeypatch.setattr(metrics, "FEW_PREDICTIONS", 0)
     many = metrics.pairwise_ranking_accuracy(df, ["g"], "p", "m", "k").first()
     assert few.n_pairs == many.n_pairs > 0 and (few.accuracy, few.logistic_loss) == pytest.approx((many.accuracy, many.logistic_loss), abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["im16_uncertainty", "im17_uncertainty_multi"])
+def test_passes_are_dealt_out_once_over_enough_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(evaluation, "PASSES", 1000)
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    n = -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 1000)
+    assert n > 1 and plan.count("hashpartitioning(") == 1 and f", {n}), REPARTITION_BY_NUM" in plan
