@@ -151,16 +151,16 @@ def tiers(wanted: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def tiered_scores(candidates: DataFrame, references: DataFrame, key: str, labels: str, vector: str, k: int = 5, duplicate: float = 0.95, collapsed: float = 0.1, least_references: int = 5) -> DataFrame:
     """``knn_scores`` for label sets (sorted arrays): references by tier (see ``tiers``), their number, and whether a near duplicate stands out from the other neighbours.
 
-    Candidates of one label set are a class; its references are repeated for each set that uses
-    them, and once for all sets that use all.
+    Candidates whose label sets are compared with the same reference sets are a class, so references
+    are repeated for each such choice, of which there are few, not for each label set of a candidate.
     """
     plan = settled(tiers(candidates.select(F.col(labels).alias("wanted")).distinct(), references.groupBy(F.col(labels).alias("labels")).agg(F.count(F.lit(1)).alias("n")), least_references))
-    some = F.when(F.col("tier") < 4, F.array("wanted"))
     every = F.array().cast("array<array<string>>")
-    c = candidates.select(F.col(key).alias("id"), F.col(labels).alias("wanted"), F.col(vector).alias("v")).join(plan.select("wanted", "tier"), "wanted")
-    c = c.select("id", F.coalesce(some, every).alias("class_"), "v", "tier")
+    plan = plan.withColumn("class_", F.when(F.col("tier") < 4, F.array_sort("refs")).otherwise(every))
+    c = candidates.select(F.col(key).alias("id"), F.col(labels).alias("wanted"), F.col(vector).alias("v")).join(plan.select("wanted", "tier", "class_"), "wanted")
+    c = c.select("id", "class_", "v", "tier")
     r = references.select(F.monotonically_increasing_id().alias("id"), F.col(labels).alias("ref"), F.col(vector).alias("v"))
-    own = plan.where("tier < 4").select(F.array("wanted").alias("class_"), F.explode("refs").alias("ref"))
+    own = plan.where("tier < 4").select("class_").distinct().select("class_", F.explode("class_").alias("ref"))
     met = r.join(own, "ref").select("id", "class_", "v")
     if not plan.where("tier = 4").isEmpty():
         met = met.unionByName(r.select("id", every.alias("class_"), "v"))

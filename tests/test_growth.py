@@ -6,7 +6,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessella.functions import frames
-from tessella.operators import comparison, inference, metrics, select
+from tessella.operators import comparison, inference, metrics, select, vectors
 from tessella.plans import QUERIES, evaluation
 
 
@@ -73,3 +73,14 @@ def test_passes_are_dealt_out_once_over_enough_tasks(spark, monkeypatch, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     n = -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 1000)
     assert n > 1 and plan.count("hashpartitioning(") == 1 and f", {n}), REPARTITION_BY_NUM" in plan
+
+
+def test_references_are_repeated_by_choice_of_sets_not_by_label_set(spark, monkeypatch):
+    """Label sets of one candidate each: they are compared with the same sets, so references meet them as one class."""
+    rng = np.random.default_rng(1)
+    own = spark.createDataFrame([(k, ["a", f"own{k:03d}"], rng.normal(size=4).tolist()) for k in range(60)], "k long, l array<string>, v array<double>")
+    refs = spark.createDataFrame([(100 + k, ["a"], rng.normal(size=4).tolist()) for k in range(40)], "k long, l array<string>, v array<double>")
+    met, nearest = [], vectors.nearest
+    monkeypatch.setattr(vectors, "nearest", lambda left, right, *a, **b: (met.append(right.count()), nearest(left, right, *a, **b))[1])
+    got = vectors.tiered_scores(own, refs, "k", "l", "v").collect()
+    assert met == [40] and len(got) == 60 and all(r.n_references == 40 and r.tier == "tier2" for r in got)
