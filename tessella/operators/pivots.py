@@ -61,6 +61,18 @@ class Index:
         np.put_along_axis(out, order, before < k, axis=1)
         return out & np.isfinite(b)
 
+    def packs(self, name: str, most: int) -> np.ndarray:
+        """A pack's number for each cell: cells in a chain of near pivots, until a pack would hold more than ``most`` vectors."""
+        d, n = distances(self.pivots[name], self.pivots[name]), self.cells[name][0]
+        out, rest, cell, held, pack = np.zeros(len(n), dtype=np.int64), set(range(len(n))), 0, 0, 0
+        while rest:
+            rest.remove(cell)
+            if held and held + n[cell] > most:
+                held, pack = 0, pack + 1
+            held, out[cell] = held + n[cell], pack
+            cell = min(rest, key=lambda c: (d[cell, c], c), default=0)
+        return out
+
 
 def named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("name_", F.to_json(F.struct("class_")))
@@ -127,6 +139,17 @@ def visits(queries: DataFrame, known: Index, choose, wants: str | None = None) -
     return some.mapInPandas(go, f"id {kinds['id']}, class_ {kinds['class_']}, v {kinds['v']}, cell int")
 
 
+def any_of(cells: np.ndarray, packs: np.ndarray) -> np.ndarray:
+    """Booleans by cell to booleans by pack."""
+    return np.stack([cells[:, packs == k].any(axis=1) for k in range(packs.max() + 1)], axis=1)
+
+
+def packed(laid: DataFrame, packs: dict[str, np.ndarray]) -> DataFrame:
+    """Rows of an index (id, class_, v, cell) with the pack for the cell."""
+    table = laid.sparkSession.createDataFrame([(name, c, int(k)) for name, own in packs.items() for c, k in enumerate(own)], "name_ string, cell int, pack int")
+    return laid.join(F.broadcast(table), ["name_", "cell"], "left").select("id", "class_", "v", F.coalesce("pack", F.lit(0)).alias("cell"))
+
+
 def by_cell(rows: DataFrame) -> DataFrame:
     """Rows with a cell as rows whose class is class and cell."""
     return rows.select("id", F.struct("class_", "cell").alias("class_"), "v")

@@ -40,8 +40,10 @@ def with_units(df: DataFrame, vector: str) -> DataFrame:
     return d.withColumn(vector, F.zip_with(vector, F.array_repeat("norm_", F.size(vector)), lambda x, n: x / n)).drop("norm_")
 
 
-#: Vectors to either side of a block, on average.
-BLOCK = 2048
+#: Vectors to either side of a block, on average: a vector is shuffled once for each block of the other side.
+BLOCK = 8192
+#: Similarities that a task holds at once.
+STRIP = 1 << 21
 
 
 def blocks(left: DataFrame, right: DataFrame, work, schema: str) -> DataFrame:
@@ -72,6 +74,12 @@ def blocks(left: DataFrame, right: DataFrame, work, schema: str) -> DataFrame:
     return one.groupBy(*key).cogroup(two.groupBy(*key)).applyInPandas(run, schema)
 
 
+def strips(n: int, width: int) -> Iterator[slice]:
+    """Rows of a block's product of ``n`` times ``width``, STRIP values at a time."""
+    step = max(1, STRIP // max(width, 1))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
 NEAREST = "id long, top array<double>, n_duplicates long, n_peers long"
 
 
@@ -82,26 +90,35 @@ def nearest(left: DataFrame, right: DataFrame, k: int, duplicate: float, same: b
     """
 
     def work(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
-        s = x @ y.T
-        own = (a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]) & same
-        s[own] = -np.inf
-        top = np.partition(s, s.shape[1] - k, axis=1)[:, -k:] if s.shape[1] > k else s
-        top = [t[np.isfinite(t)] for t in -np.sort(-top, axis=1)]
-        return pd.DataFrame({"id": a["id"], "top": top, "n_duplicates": (s >= duplicate).sum(axis=1), "n_peers": s.shape[1] - own.sum(axis=1)})
+        left, right, out, most = a["id"].to_numpy(), b["id"].to_numpy(), [], len(b)
+        for at in strips(len(a), most):
+            s, n_peers = x[at] @ y.T, np.full(len(left[at]), most)
+            if same:
+                own = left[at][:, None] == right[None, :]
+                s[own] = -np.inf
+                n_peers -= own.sum(axis=1)
+            top = np.partition(s, most - k, axis=1)[:, -k:] if most > k else s
+            top = [t[np.isfinite(t)] for t in -np.sort(-top, axis=1)]
+            out.append(pd.DataFrame({"id": left[at], "top": top, "n_duplicates": (s >= duplicate).sum(axis=1), "n_peers": n_peers}))
+        return pd.concat(out)
 
     known, laid = pivots.index(right)
     merged = lambda rows: rows.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top"), F.sum("n_duplicates").alias("n_duplicates"), F.sum("n_peers").alias("n_peers"))
     if not known.pivots:
         return merged(blocks(left, right, work, NEAREST))
-    # first the nearest cells; what they hold bounds how far the others can matter
-    need = k + same
-    right = pivots.by_cell(settled(laid.select("id", "class_", "v", "cell")))
-    near = settled(merged(blocks(pivots.by_cell(pivots.visits(left, known, lambda i, name, x, _: i.first(name, x, need))), right, work, NEAREST)))
+    # first the packs of the nearest cells; what they hold bounds how far the others can matter
+    need, packs = k + same, {name: known.packs(name, BLOCK) for name in known.pivots}
+    right = pivots.by_cell(settled(pivots.packed(laid, packs)))
+
+    def first(i: pivots.Index, name: str, x: np.ndarray, _=None) -> np.ndarray:
+        return pivots.any_of(i.first(name, x, need), packs[name])
+
+    near = settled(merged(blocks(pivots.by_cell(pivots.visits(left, known, first)), right, work, NEAREST)))
     kth = F.when(F.size("top") >= k, F.element_at("top", k))
     left = left.join(near.select("id", F.least(kth, F.lit(duplicate)).alias("kth")), "id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
 
     def rest(i: pivots.Index, name: str, x: np.ndarray, kth: np.ndarray) -> np.ndarray:
-        return (i.bounds(name, x)[1] <= pivots.reach(kth)[:, None]) & ~i.first(name, x, need)
+        return pivots.any_of(i.bounds(name, x)[1] <= pivots.reach(kth)[:, None], packs[name]) & ~first(i, name, x)
 
     more = merged(near.unionByName(blocks(pivots.by_cell(pivots.visits(left, known, rest, "kth")), right, work, NEAREST)))
     # peers are counted by class: those passed over are peers too
@@ -194,19 +211,20 @@ def duplicate_edges(df: DataFrame, key: str, by: str, vector: str, limit: float)
 
     def work(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
         left, right = a["id"].tolist(), b["id"].tolist()
-        hits, parent, out = (x @ y.T) >= limit, {}, []
+        parent, out = {}, []
 
         def root(z: int) -> int:
             while (up := parent.setdefault(z, z)) != z:
                 parent[z] = z = parent[up]
             return z
 
-        for i, own in enumerate(left):
-            for j in np.flatnonzero(hits[i]).tolist():
-                p, q = root(own), root(right[j])
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    out.append((own, right[j]))
+        for at in strips(len(left), len(right)):
+            for own, hits in zip(left[at], x[at] @ y.T >= limit, strict=True):
+                for j in np.flatnonzero(hits).tolist():
+                    p, q = root(own), root(right[j])
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        out.append((own, right[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     known, laid = pivots.index(rows)

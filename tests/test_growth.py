@@ -6,7 +6,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessella.functions import frames
-from tessella.operators import comparison, inference, metrics, select, vectors
+from tessella.operators import comparison, inference, metrics, pivots, select, vectors
 from tessella.plans import QUERIES, evaluation
 
 
@@ -84,3 +84,26 @@ def test_references_are_repeated_by_choice_of_sets_not_by_label_set(spark, monke
     monkeypatch.setattr(vectors, "nearest", lambda left, right, *a, **b: (met.append(right.count()), nearest(left, right, *a, **b))[1])
     got = vectors.tiered_scores(own, refs, "k", "l", "v").collect()
     assert met == [40] and len(got) == 60 and all(r.n_references == 40 and r.tier == "tier2" for r in got)
+
+
+def test_vectors_are_shuffled_by_block_not_by_cell(spark, monkeypatch):
+    """Vectors without clusters visit all cells, but are sent once for each pack of them."""
+    monkeypatch.setattr(pivots, "WORTH", 20)
+    rng, sent, blocks = np.random.default_rng(3), [], vectors.blocks
+    rows = spark.createDataFrame([(k, "a", rng.normal(size=32).tolist()) for k in range(640)], "id long, class_ string, v array<double>")
+    monkeypatch.setattr(vectors, "blocks", lambda left, *a: (sent.append(left.count()), blocks(left, *a))[1])
+    got = vectors.nearest(rows, rows, 5, 0.95, True)
+    assert got.count() == 640 and 640 <= sum(sent) <= 2 * 640
+
+
+def test_a_task_holds_a_strip_of_similarities(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(70, 8))
+    rows = spark.createDataFrame([(k, "a", v.tolist()) for k, v in enumerate(x)], "id long, class_ string, v array<double>")
+    whole = {r.id: (r.top, r.n_duplicates, r.n_peers) for r in vectors.nearest(rows, rows, 5, 0.5, True).collect()}
+    edges = lambda: {r.node: r.cluster for r in vectors.clusters(vectors.duplicate_edges(rows, "id", "class_", "v", 0.6)).collect()}
+    linked = edges()
+    monkeypatch.setattr(vectors, "STRIP", 200)
+    assert [s.stop - s.start for s in vectors.strips(70, 70)][0] == 2
+    got = {r.id: (r.top, r.n_duplicates, r.n_peers) for r in vectors.nearest(rows, rows, 5, 0.5, True).collect()}
+    assert {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in whole.items()} and all(got[k][0] == pytest.approx(v[0], abs=1e-12) for k, v in whole.items())
+    assert edges() == linked != {}
