@@ -45,6 +45,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(key).cast("long").alias("id"), common.text_or_empty(text).alias("text"))
 
     def sign(batches: Iterator) -> Iterator:
+        common.let_go()
         import hashlib
 
         import numpy as np
@@ -79,6 +80,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
 
     def sift(batches: Iterator) -> Iterator:
+        common.let_go()
         import numpy as np
         import pyarrow as pa
 
@@ -118,6 +120,7 @@ def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     rows = docs.select(F.col(key).cast("long").alias("id"), common.text_or_empty(text).alias("text")).where("id is not null").select("text", *places("id"))
 
     def sets(batches: Iterator) -> Iterator:
+        common.let_go()
         import hashlib
 
         import numpy as np
@@ -153,6 +156,7 @@ def confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
     rows = firsts.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator) -> Iterator:
+        common.let_go()
         import numpy as np
         import pyarrow as pa
 
@@ -217,6 +221,7 @@ def sifted(met: DataFrame) -> DataFrame:
     """
 
     def sift(batches: Iterator) -> Iterator:
+        common.let_go()
         import numpy as np
         import pyarrow as pa
 
@@ -269,6 +274,7 @@ def across(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def compare(batches: Iterator) -> Iterator:
+        common.let_go()
         import numpy as np
         import pyarrow as pa
 

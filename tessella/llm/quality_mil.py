@@ -234,6 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     common.ship(docs.sparkSession)
 
     def numbers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.let_go()
         reader = Reader()
         for frame in frames:
             read = [reader.read(t) for t in frame["text"]]
@@ -255,6 +256,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.let_go()
         reader, own = Reader(), shared.value
         for texts in batches:
             out, held, chars = [], [], 0

@@ -236,16 +236,9 @@ class Codec:
         return "".join(out)
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec(model: bytes) -> Codec:
-    """This worker's codec of a model, kept from task to task."""
-    key = hash(model)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(model)
-    return _CODECS[key]
+    """This worker's codec of a model, kept from task to task until another operator's tasks come."""
+    return common.held(("sentencepiece", hash(model)), lambda: Codec(model))
 
 
 def read_model(path: str) -> bytes:
